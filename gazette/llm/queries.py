@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontamination, mixing, near_dedup, quality, sharding
 
-QUERIES = {f.__name__: f for f in (sharding.op1_virtual_slot_sharding, mixing.op6_hash_threshold_mixing)}
-ORACLE_SQL = {**mixing.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        sharding.op1_virtual_slot_sharding,
+        decontamination.op2_benchmark_decontamination,
+        quality.op3_fourier_quality_classifier,
+        mixing.op6_hash_threshold_mixing,
+        near_dedup.op8_setsketch_near_dedup,
+    )
+}
+ORACLE_SQL = {**decontamination.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE}
