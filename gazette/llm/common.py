@@ -141,3 +141,23 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
     hashed = mix64((prefix[ends] - prefix[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
     return hashed, begins, ends, np.searchsorted(begins, offsets)
+
+
+def by_key(batches, names: tuple[str, ...]):
+    """Of Arrow batches sorted by the column `key`: (key, table) for each run, across batches."""
+    import pyarrow as pa
+
+    held, last = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column(batch.schema.get_field_index("key")).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and key[a] != last:
+                yield last, pa.Table.from_batches(held).select(names)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key[a]
+    if held:
+        yield last, pa.Table.from_batches(held).select(names)

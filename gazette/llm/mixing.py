@@ -71,18 +71,39 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return last.withColumn("upto", upto).groupBy("source_id", "b2").agg(near.alias("at")).select("source_id", F.coalesce("at", F.shiftleft("b2", LOWER_SHIFT) - 1).alias("threshold"))
 
 
+def _source_id():
+    """A key that holds for a null source too."""
+    return F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("source_id")
+
+
+def limits(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """source_id, source_size, target, whole (repeats of every record) and threshold of each source. rows: records()."""
+    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    left = F.col("target") - F.col("whole") * F.col("source_size")
+    plan = materialize(plan.withColumn("whole", whole).select(_source_id(), "source_size", "target", "whole", left.alias("left")), "plan")
+    cuts = thresholds(rows.select(_source_id(), "size", "h"), plan.select("source_id", "left").where("left > 0"))
+    return materialize(plan.join(cuts, "source_id", "left").drop("left"), "limits")
+
+
+def repeats():
+    """How often the mix takes a record, given its hash and its source's limits."""
+    return F.col("whole") + (F.col("h") <= F.coalesce("threshold", F.lit(-1))).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, repeats (0 to `most`), h of every record."""
     rows = materialize(records(docs), "records")
-    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    # a source's null is a key like any other from here on
-    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("source_id")
-    plan = materialize(plan.withColumn("whole", whole).select(key, "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("left")), "plan")
-    keyed = rows.select("doc_id", "source", key, "size", "h")
-    cuts = materialize(thresholds(keyed.select("source_id", "size", "h"), plan.select("source_id", "left").where("left > 0")), "thresholds")
-    limits = plan.join(cuts, "source_id", "left")
-    return keyed.join(limits, "source_id").select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("h") <= F.coalesce("threshold", F.lit(-1))).cast("long")).alias("repeats"), "h")
+    joined = rows.withColumn("source_id", _source_id()).join(limits(rows, weights, most), "source_id")
+    return joined.select("doc_id", "source", "size", "source_size", "target", repeats().alias("repeats"), "h")
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The rows of docs as often as the mix takes them, columns unchanged: a filter by hash, where they are read."""
+    at = limits(materialize(records(docs), "records"), weights, most).select(F.col("source_id").alias("_id"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
+    joined = docs.withColumn("_hash", record_hash()).withColumn("_source", _source_id()).join(at, F.col("_source") == F.col("_id"))
+    times = F.col("_whole") + (F.col("_hash") <= F.coalesce("_threshold", F.lit(-1))).cast("long")
+    return joined.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_hash_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, only, slices, small_batches, text_buffer, tokens
+from .common import by_key, materialize, mix64, only, slices, small_batches, text_buffer, tokens
 from .graph import components
 
 BANDS, ROWS = 36, 6
@@ -148,26 +148,6 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def by_key(batches, names: tuple[str, ...]):
-    """Of Arrow batches sorted by the column `key`: (key, table) for each run, across batches."""
-    import pyarrow as pa
-
-    held, last = [], None
-    for batch in batches:
-        if not len(batch):
-            continue
-        key = batch.column(batch.schema.get_field_index("key")).to_numpy()
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and key[a] != last:
-                yield last, pa.Table.from_batches(held).select(names)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key[a]
-    if held:
-        yield last, pa.Table.from_batches(held).select(names)
-
-
 def in_blocks(members: DataFrame, by: str, sizes: DataFrame) -> DataFrame:
     """Deal the members of each group into blocks, and pair blocks: members (by, node, ...) get `key`, one for each pair of
     blocks that they are in, and `side` (0, 1, or 2 where a block meets itself). sizes: by, blocks."""

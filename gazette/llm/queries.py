@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, quality, sharding
+from . import decontamination, html_text, language_model, licenses, mixing, near_dedup, pii, quality, sharding, topk
 
 QUERIES = {
     f.__name__: f
@@ -10,8 +10,14 @@ QUERIES = {
         sharding.op1_virtual_slot_sharding,
         decontamination.op2_benchmark_decontamination,
         quality.op3_fourier_quality_classifier,
+        pii.op4_checked_pii,
+        topk.op5_norm_sorted_topk,
         mixing.op6_hash_threshold_mixing,
+        html_text.op7_layout_html_text,
         near_dedup.op8_setsketch_near_dedup,
+        language_model.op9_pitman_yor_scores,
+        licenses.op10_license_digests,
     )
 }
-ORACLE_SQL = {**decontamination.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE}
+#: Without SQL: 1 (crc32), 3, 7 and 9.
+ORACLE_SQL = {**decontamination.ORACLE, **pii.ORACLE, **topk.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE, **licenses.ORACLE}
