@@ -1,8 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, probed by every token window of the corpus.
 
 Texts are lower-cased (A-Z) and cut into words of digits, letters and all that isn't ASCII. A window is 13 consecutive words
-of an item; an item of fewer words is one window. Every corpus window of the lengths that occur is hashed, the hash is looked
-up, and a hit is verified word by word; only hits and one row a document leave the scan.
+of an item; an item of fewer words is one window. Every corpus window that holds some window's anchor (its longest word) in
+that word's place is hashed, the hash is looked up, and a hit is verified word by word; only hits and one row a document
+leave the scan.
 
 The set of windows is broadcast while the benchmark weighs at most `broadcast_bytes`; beyond that it is joined by a shuffle
 on the window's hash (and AQE splits hot windows).
@@ -29,12 +30,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD, -1), "")
 
 
-def _windows(hashes: Column, n: int) -> Column:
-    """(pos, n, hash) of each window of n word hashes; pos counts from 1."""
-    made = F.transform(F.sequence(F.lit(1), F.size(hashes) - (n - 1)), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(F.slice(hashes, i, n)).alias("hash")))
-    return F.when(F.size(hashes) >= n, made).otherwise(F.array().cast("array<struct<pos:int,n:int,hash:bigint>>"))
-
-
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, n, hash, said (the window's words joined by spaces), each once an item."""
     w = only(benchmark, "item_id", "text").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.least(F.lit(window), F.size("w")))
@@ -47,20 +42,26 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     """Per document: doc_id, text_hash, n_words, hits (sorted (pos, end) of the windows that occur, positions from 1, end exclusive), items
     (sorted item_ids as strings), n_hit."""
     found = materialize(benchmark_windows(benchmark, window), "windows")
-    weight, lengths = found.agg(F.sum(F.octet_length("said") + 32), F.array_sort(F.collect_set("n"))).first()
-    distinct = found.groupBy("n", "hash", "said").agg(F.min("item_id").alias("first_item")).select("n", "hash", "said")
+    weight = found.agg(F.sum(F.octet_length("said") + 32)).first()[0]
+    distinct = found.select("n", "hash", "said").distinct()
+    # a window is looked up where its anchor, its longest word, stands: a word has few places that it may have in a window
+    longest = F.array_sort(F.transform(F.split("said", " "), lambda w: F.struct((-F.length(w)).alias("less"), w.alias("w"))))[0]["w"]
+    at = F.array_position(F.split("said", " "), F.col("anchor")).cast("int") - 1
+    anchors = distinct.withColumn("anchor", longest).withColumn("off", at).groupBy("anchor").agg(F.collect_set(F.struct("off", "n")).alias("places"))
     small = (weight or 0) <= broadcast_bytes
-    distinct = F.broadcast(distinct) if small else distinct
+    distinct, anchors = (F.broadcast(x) if small else x for x in (distinct, anchors))
 
     text = F.coalesce(F.col("text"), F.lit(""))
     base = only(docs, "doc_id", "text").select("doc_id", F.xxhash64(text, F.length(text)).alias("text_hash"), words(F.col("text")).alias("w"))
-    base = base.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x))).withColumn("n_words", F.size("w"))
-    # one row of pos 0 stands for the document itself
-    own = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("hash")))
-    every = base.select("doc_id", "text_hash", "n_words", "w", F.inline(F.concat(own, *[_windows(F.col("wh"), n) for n in lengths])))
-    every = every.withColumnsRenamed({"n": "wn", "hash": "whash"})
-    hit = every.join(distinct, (F.col("whash") == F.col("hash")) & (F.col("wn") == F.col("n")) & (F.array_join(F.slice("w", F.greatest("pos", F.lit(1)), F.greatest("wn", F.lit(1))), " ") == F.col("said")), "left")
-    hit = hit.where(F.col("said").isNotNull() | (F.col("pos") == 0)).select("doc_id", "text_hash", "n_words", "pos", (F.col("pos") + F.col("wn")).alias("end"), "n", "hash", "said")
+    # the document itself is a word of its own, '', at 0
+    every = base.select("doc_id", "text_hash", F.size("w").alias("n_words"), "w", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("i", "word"))
+    own = F.array(F.struct(F.lit(0).alias("off"), F.lit(0).alias("n")))
+    marked = every.join(anchors, F.col("word") == F.col("anchor"), "left").where(F.col("anchor").isNotNull() | (F.col("i") == 0))
+    tried = marked.select("doc_id", "text_hash", "n_words", "w", "i", F.explode(F.when(F.col("i") == 0, own).otherwise(F.col("places"))).alias("place"))
+    tried = tried.select("doc_id", "text_hash", "n_words", "w", (F.col("i") - F.col("place.off")).alias("pos"), F.col("place.n").alias("wn")).where((F.col("pos") == 0) & (F.col("wn") == 0) | (F.col("pos") >= 1) & (F.col("pos") + F.col("wn") - 1 <= F.col("n_words")))
+    part = F.slice("w", F.greatest("pos", F.lit(1)), F.col("wn"))
+    hit = tried.join(distinct, (F.xxhash64(F.transform(part, lambda x: F.xxhash64(x))) == F.col("hash")) & (F.col("wn") == F.col("n")) & (F.array_join(part, " ") == F.col("said")), "left")
+    hit = hit.where(F.col("said").isNotNull() | (F.col("pos") == 0)).select("doc_id", "text_hash", "n_words", "pos", (F.col("pos") + F.col("wn")).alias("end"), "said")
     # windows to items: the benchmark's own size bounds both sides of a document
     per = hit.groupBy("doc_id", "text_hash", "n_words").agg(
         F.count_if(F.col("pos") == 0).alias("times"),
