@@ -1,0 +1,183 @@
+"""A small element tree of HTML fragments, with the selectors and edits that distilling needs."""
+
+from __future__ import annotations
+
+import html
+import re
+from html.parser import HTMLParser
+
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+BLOCK = frozenset("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+
+
+class Element:
+    """Tag, attributes, parts (strings and elements), parent."""
+
+    __slots__ = ("tag", "attrs", "parts", "parent")
+
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Element | None = None):
+        self.tag, self.attrs, self.parts, self.parent = tag, attrs or {}, [], parent
+
+    def walk(self):
+        """Elements below, in document order."""
+        todo = [p for p in reversed(self.parts) if isinstance(p, Element)]
+        while todo:
+            e = todo.pop()
+            yield e
+            todo.extend(p for p in reversed(e.parts) if isinstance(p, Element))
+
+    def remove(self) -> None:
+        if self.parent is not None:
+            self.parent.parts = [p for p in self.parent.parts if p is not self]
+            self.parent = None
+
+    def attached(self, root: Element) -> bool:
+        e = self
+        while e is not None and e is not root:
+            e = e.parent
+        return e is root
+
+    def classes(self) -> set[str]:
+        return set(self.attrs.get("class", "").split())
+
+    def text(self) -> str:
+        """Text with blocks apart, white space collapsed."""
+        out, todo = [], [self]
+        while todo:
+            e = todo.pop()
+            if isinstance(e, str):
+                out.append(e)
+            elif e.tag not in ("script", "style", "template"):
+                if e.tag in BLOCK or e.tag == "br":
+                    out.append(" ")
+                    todo.append(" ")
+                todo.extend(reversed(e.parts))
+        return " ".join("".join(out).split())
+
+    def outer(self) -> str:
+        """HTML of the element and what is in it."""
+        out: list[str] = []
+        todo: list = [self]
+        while todo:
+            e = todo.pop()
+            if isinstance(e, tuple):
+                out.append(e[0])
+            elif isinstance(e, str):
+                out.append(html.escape(e, False))
+            else:
+                out.append(f"<{e.tag}" + "".join(f' {k}="{html.escape(v)}"' for k, v in e.attrs.items()) + ">")
+                if e.tag not in VOID:
+                    todo.append((f"</{e.tag}>",))
+                    if e.tag in ("script", "style"):
+                        out.append("".join(p for p in e.parts if isinstance(p, str)))
+                    else:
+                        todo.extend(reversed(e.parts))
+        return "".join(out)
+
+    def inner(self) -> str:
+        return "".join(html.escape(p, False) if isinstance(p, str) else p.outer() for p in self.parts)
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = Element("#root")
+        self.at = self.root
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("li", "dt", "dd", "option", "tr", "td", "th") or tag in BLOCK:
+            self._imply(tag)
+        e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.parts.append(e)
+        if tag not in VOID:
+            self.at = e
+
+    def handle_startendtag(self, tag, attrs):
+        e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.parts.append(e)
+        if tag not in VOID and tag in BLOCK:
+            self.at = e
+
+    def _imply(self, tag: str) -> None:
+        same = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}.get(tag, set()) | ({"p"} if tag in BLOCK else set())
+        stop = {"ul", "ol", "table", "dl", "select"} | ({"div", "section", "article", "blockquote"} if "p" in same and len(same) == 1 else set())
+        e = self.at
+        while e is not None and e is not self.root and e.tag not in stop:
+            if e.tag in same:
+                self.at = e.parent
+                same, e = same - {"p"} if e.tag == "p" else same, e.parent
+                continue
+            e = e.parent
+
+    def handle_endtag(self, tag):
+        e = self.at
+        while e is not None and e is not self.root:
+            if e.tag == tag:
+                self.at = e.parent
+                return
+            e = e.parent
+
+    def handle_data(self, data):
+        self.at.parts.append(data)
+
+
+def parse(source: str) -> Element:
+    """The tree of a fragment or page; never fails."""
+    b = _Builder()
+    b.feed(source)
+    b.close()
+    return b.root
+
+
+_STEP = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+|\[[^\]]+\])*)\Z")
+_PART = re.compile(r"\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$~|]?=)\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]")
+
+
+def matches(e: Element, step: str) -> bool:
+    """tag, .class, #id, [attribute], [attribute=value] and its *= ^= $= forms, together."""
+    m = _STEP.match(step)
+    if not m or not step:
+        return False
+    if m[1] and m[1] != "*" and m[1].lower() != e.tag:
+        return False
+    for name, ident, attribute, op, value in _PART.findall(m[2]):
+        if name and name not in e.classes() or ident and ident != e.attrs.get("id"):
+            return False
+        if attribute:
+            have = e.attrs.get(attribute.lower())
+            if have is None or op == "=" and have != value or op == "*=" and value not in have or op == "^=" and not have.startswith(value) or op == "$=" and not have.endswith(value) or op == "~=" and value not in have.split():
+                return False
+    return True
+
+
+def select(root: Element, selector: str) -> list[Element]:
+    """Elements that a selector (alternatives by commas, descendants by spaces) finds, in document order."""
+    wanted = [s.split() for s in selector.split(",") if s.strip()]
+    out = []
+    for e in root.walk():
+        for steps in wanted:
+            if matches(e, steps[-1]):
+                up, k = e.parent, len(steps) - 2
+                while k >= 0 and up is not None:
+                    if matches(up, steps[k]):
+                        k -= 1
+                    up = up.parent
+                if k < 0:
+                    out.append(e)
+                    break
+    return out
+
+
+def outermost(found: list[Element]) -> list[Element]:
+    """Those that aren't inside another one of the list."""
+    inside = set(map(id, found))
+
+    def covered(e: Element) -> bool:
+        up = e.parent
+        while up is not None:
+            if id(up) in inside:
+                return True
+            up = up.parent
+        return False
+
+    return [e for e in found if not covered(e)]

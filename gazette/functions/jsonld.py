@@ -1,0 +1,115 @@
+"""Article nodes of JSON-LD, and JSON as language models write it."""
+
+from __future__ import annotations
+
+import json
+import re
+
+_SCRIPT = re.compile(r"<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>", re.I | re.S)
+_WRAP = re.compile(r"^\s*(?:<!--|//\s*<!\[CDATA\[|<!\[CDATA\[|/\*\s*<!\[CDATA\[\s*\*/)|(?:-->|//\s*\]\]>|\]\]>|/\*\s*\]\]>\s*\*/)\s*$")
+
+
+def truth(value) -> bool | None:
+    """Booleans, numbers, their names, and schema.org addresses of them."""
+    if isinstance(value, bool) or value is None:
+        return value
+    if isinstance(value, (int, float)):
+        return value != 0
+    name = str(value).strip().lower().rstrip("/").rsplit("/", 1)[-1]
+    return {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}.get(name)
+
+
+def _is_article(node: dict) -> bool:
+    kinds = node.get("@type")
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    return any(isinstance(k, str) and (k.endswith("Article") or k == "BlogPosting") for k in kinds)
+
+
+def article_node(page: str | None) -> dict | None:
+    """body, headline, is_free of the first article with a body that isn't blank, in document order; broken blocks are skipped."""
+    for block in _SCRIPT.findall(page or ""):
+        for _ in range(2):
+            block = _WRAP.sub("", block)
+        try:
+            todo = [json.loads(block, strict=False)]
+        except ValueError:
+            continue
+        while todo:
+            node = todo.pop()
+            if isinstance(node, list):
+                todo.extend(reversed(node))
+            elif isinstance(node, dict):
+                body = node.get("articleBody")
+                if _is_article(node) and isinstance(body, str) and body.strip():
+                    headline = node.get("headline")
+                    return {"body": body.strip(), "headline": headline if isinstance(headline, str) else None, "is_free": truth(node.get("isAccessibleForFree"))}
+                todo.extend(v for k, v in reversed(node.items()) if isinstance(v, (dict, list)) and k != "articleBody")
+    return None
+
+
+def _scan(source: str):
+    """(index, sign) of brackets outside strings."""
+    quoted = escaped = False
+    for i, c in enumerate(source):
+        if quoted:
+            if escaped:
+                escaped = False
+            elif c == "\\":
+                escaped = True
+            elif c == '"':
+                quoted = False
+        elif c == '"':
+            quoted = True
+        elif c in "{}[]":
+            yield i, c
+
+
+def _balanced(source: str, most: int = 5) -> list[str]:
+    out, depth, begin = [], 0, 0
+    for i, c in _scan(source):
+        if c == "{":
+            begin, depth = (i if depth == 0 else begin), depth + 1
+        elif c == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                out.append(source[begin : i + 1])
+                if len(out) == most:
+                    break
+    return out
+
+
+def _repaired(source: str) -> str | None:
+    """From the first object on, cut after the last closed bracket, with what is open then closed."""
+    begin = source.find('{"') if '{"' in source else source.find("{")
+    if begin < 0:
+        return None
+    part = source[begin:]
+    part = part[: max(part.rfind("}"), part.rfind("]")) + 1] or part
+    stack: list[str] = []
+    for _, c in _scan(part):
+        if c in "{[":
+            stack.append("}" if c == "{" else "]")
+        elif stack:
+            stack.pop()
+    return part + "".join(reversed(stack))
+
+
+def tolerant_object(output: str | None) -> str | None:
+    """The JSON object in a model's output, as canonical JSON text; null when there is none. Balanced blocks come first, then
+    first to last brace, the whole, and a repair of a cut one; each as it is and without trailing commas."""
+    said = (output or "").strip()
+    tries = _balanced(said)
+    if "{" in said and said.rfind("}") > said.find("{"):
+        tries.append(said[said.find("{") : said.rfind("}") + 1])
+    tries.append(said)
+    if (repair := _repaired(said)) is not None:
+        tries.append(repair)
+    for t in tries:
+        for version in (t, re.sub(r",\s*([}\]])", r"\1", t)):
+            try:
+                found = json.loads(version)
+            except ValueError:
+                continue
+            if isinstance(found, dict):
+                return json.dumps(found, ensure_ascii=False)
+    return None

@@ -1,0 +1,23 @@
+"""Connected pieces of a pair table, by label passing with shortcuts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gazette.sources.tables import materialize
+
+
+def pieces(pairs: DataFrame) -> DataFrame:
+    """id, piece (the smallest id that it reaches) for every id in pairs (a, b). Every round takes the smallest label among
+    neighbours and then the label's own label, and is written, so that plans stay short."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = materialize(both, "links")
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("piece"), F.lit(True).alias("changed")), "labels")
+    while labels.where("changed").limit(1).count():
+        near = both.join(labels.select(F.col("id").alias("b"), F.col("piece").alias("p")), "b").groupBy("a").agg(F.min("p").alias("p"))
+        step = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("piece").alias("old"), F.least("piece", "p").alias("piece"))
+        jump = labels.select(F.col("id").alias("piece"), F.col("piece").alias("q"))
+        new = F.least("piece", F.coalesce("q", "piece"))
+        labels = materialize(step.join(jump, "piece", "left").select("id", new.alias("piece"), (new < F.col("old")).alias("changed")), "labels")
+    return labels.select("id", "piece")

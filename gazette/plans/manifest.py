@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from gazette.plans import feed_queries, text_queries, topic_queries
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship query."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+_MODULES = (feed_queries, text_queries, topic_queries)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+entry = topic_queries.flagship
