@@ -48,7 +48,7 @@ KNOWN = [
 ]
 #: Equivalent spellings: as found, as kept.
 SPELLINGS = [
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("authorised", "authorized"), ("merchantibility", "merchantability"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("authorised", "authorized"), ("merchantibility", "merchantability"),
     ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("per cent", "percent"), ("favour", "favor"), ("whilst", "while"), ("third parties", "third party"),
 ]
 COPYRIGHT_LINE = r"(?i)(?:^|\n)[ \t/*#;-]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|\(c\)|©)[^\n]*"
