@@ -115,7 +115,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Row ranges of at most so many bytes (one row at least)."""
     begin, n = 0, len(offsets) - 1
     while begin < n:
