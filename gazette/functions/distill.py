@@ -288,3 +288,25 @@ def blocks(source: str | None, base: str | None = None) -> list[dict]:
             todo.extend(reversed(e.parts))
     flush()
     return out
+
+
+_RUNS = {"a": "link", "strong": "strong", "b": "strong", "em": "em", "i": "em", "code": "code"}
+
+
+def runs(source: str | None) -> list[dict]:
+    """Inline runs of a block's HTML: text, kinds (link, strong, em, code), url; white space collapsed."""
+    out: list[dict] = []
+    todo: list = [(p, (), None) for p in reversed(dom.parse(source or "").parts)]
+    while todo:
+        e, kinds, url = todo.pop()
+        if isinstance(e, str):
+            said = re.sub(r"\s+", " ", e)
+            if said and out and (out[-1]["kinds"], out[-1]["url"]) == (list(kinds), url):
+                out[-1]["text"] += said
+            elif said:
+                out.append({"text": said, "kinds": list(kinds), "url": url})
+        else:
+            kind = _RUNS.get(e.tag)
+            inner = (*kinds, kind) if kind and kind not in kinds else kinds
+            todo.extend((p, inner, e.attrs.get("href", url) if e.tag == "a" else url) for p in reversed(e.parts))
+    return [r for r in out if r["text"].strip()]

@@ -16,9 +16,22 @@ from pyspark.sql import functions as F
 from gazette.functions import jsonld, text
 
 CATEGORIES = ("politics", "economy", "world", "technology", "science", "health", "sport", "culture", "other")
+LANGUAGES = {"it": "Italian", "en": "English", "de": "German", "fr": "French", "es": "Spanish"}
 SUMMARY = "struct<short: string, bullets: array<string>>"
 
 
+def language_name(preference: str | None, system: str = "en") -> str:
+    """The language that a summary is asked for: the reader's, or the system's; English where neither is known."""
+    code = (preference or "system").lower()
+    return LANGUAGES.get((system if code == "system" else code).split("-")[0].split("_")[0].lower(), "English")
+
+
+def valid_endpoint(url: str, local: bool = False) -> bool:
+    """Endpoints take https; a local one takes http too."""
+    m = re.fullmatch(r"(https?)://[^/\s]+(?:/\S*)?", url.strip(), re.I)
+    return bool(m) and (local or m[1].lower() == "https")
+
+
 class Provider:
     """Five functions from text to a model's answer; one that isn't provided raises."""
 

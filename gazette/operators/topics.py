@@ -36,23 +36,27 @@ def vectors(articles: DataFrame) -> DataFrame:
     return tf.join(df, "token").select("id", "token", (F.col("tf") * (F.log(F.lit(float(total)) / F.col("df")) + 1)).alias("weight"))
 
 
-def similar_pairs(weights: DataFrame, least: float = THRESHOLD, heavy_df: int = 10_000) -> DataFrame:
-    """a, b (a < b), similarity: cosines of `least` or more, from an equality join on tokens. Tokens of more than heavy_df
-    articles make no pairs of their own; their products are added to the pairs that rarer tokens make. That loses a pair only
-    if it shares nothing rarer: such pairs are found by the prefix bound, which keeps, for each article, enough tokens, rarest
-    first, that what is left can't reach `least` alone."""
+def similar_pairs(weights: DataFrame, least: float = THRESHOLD) -> DataFrame:
+    """a, b (a < b), similarity: cosines of `least` or more, from an equality join on tokens. Common tokens would make most of
+    the pairs, so the side of a leaves out, commonest first, as many of its tokens as can't reach `least` by themselves: their
+    share of a cosine is at most their length, and at most the sum of their weights times each token's greatest weight
+    anywhere. A pair that shares only those is no pair; one whose other tokens fall short by more than that share is none
+    either; the rest is scored on all tokens."""
     norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    df = weights.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    unit = weights.join(norms, "id").join(df, "token").select("id", "token", "df", (F.col("weight") / F.col("norm")).alias("u"))
-    # commonest first: the squares of a suffix that stays under `least` can be left out of candidate search on one side
+    unit = weights.join(norms, "id").select("id", "token", (F.col("weight") / F.col("norm")).alias("u"))
+    stats = unit.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("u").alias("most"))
     common = Window.partitionBy("id").orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0)
-    marked = unit.withColumn("_upto", F.sqrt(F.sum(F.col("u") * F.col("u")).over(common)))
-    search = marked.where((F.col("_upto") >= least) | (F.col("df") <= 1)).select("id", "token", "u")
-    a, b = search.select(F.col("id").alias("a"), "token"), unit.select(F.col("id").alias("b"), "token")
-    candidates = a.join(b, "token").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = (unit.select(F.col("id").alias(k), "token", F.col("u").alias(f"u{k}")) for k in "ab")
-    dot = candidates.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity"))
-    return dot.where(F.col("similarity") >= least)
+    bound = F.least(F.sqrt(F.sum(F.col("u") * F.col("u")).over(common)), F.sum(F.col("u") * F.col("most")).over(common))
+    marked = materialize(unit.join(stats, "token").withColumn("upto", bound).select("id", "token", "u", "upto", (F.col("upto") < least).alias("rest")), "units")
+    slack = marked.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("rest"), F.col("upto"))), F.lit(0.0)).alias("slack"))
+    x = marked.where("not rest").join(slack, "id").select(F.col("id").alias("a"), "token", F.col("u").alias("ua"), "slack")
+    y = marked.select(F.col("id").alias("b"), "token", F.col("u").alias("ub"))
+    part = x.join(y, "token").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("dot"), F.first("slack").alias("slack"))
+    able = materialize(part.where(F.col("dot") + F.col("slack") >= least - 1e-9).select("a", "b", "dot"), "candidates")
+    rest = marked.where("rest").select(F.col("id").alias("a"), "token", F.col("u").alias("ua"))
+    more = able.select("a", "b").join(rest, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("more"))
+    total = F.col("dot") + F.coalesce("more", F.lit(0.0))
+    return able.join(more, ["a", "b"], "left").select("a", "b", total.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def greedy(articles: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import text, urls
-from gazette.operators import dedup, ranking, topics
+from gazette.operators import dedup, enrich, ranking, topics
+from gazette.operators.selection import Preferences
+from gazette.plans import pipelines
 from gazette.plans.bindings import DOCUMENT_ARTICLES, EVENT_ARTICLES, MARKED, PLAIN, as_of, document_articles, event_articles, read
 from gazette.sources import catalogue, tables
 from gazette.streaming import events as stream
@@ -127,3 +129,45 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = topics.windowed(ranking.top_by_date(unique, 20), now + timedelta(seconds=1))
     out = topics.aggregate(corpus, catalogue.sample(spark).where("is_main").select("id"), now)
     return out.join(corpus.select(F.col("id").alias("lead_id"), "title", urls.canonical(F.col("article_url")).alias("url")), "lead_id").orderBy("pos")
+
+
+DAY = f"{EVENT_ARTICLES}, nw AS (SELECT max(published_at) AS now FROM ev), n8 AS (SELECT ev.* FROM ev, nw WHERE published_at >= now - INTERVAL 1 DAY ORDER BY published_at DESC, id LIMIT 800), cp AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(source_id, source_name) ORDER BY published_at DESC, id) AS k FROM n8) WHERE k <= 20)"
+
+
+@register(f"WITH {DAY} SELECT id, source_name FROM cp")
+def topic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles that topics are made of."""
+    return pipelines.topic_corpus(event_articles(spark, sf_dir), as_of(spark, sf_dir), None).select("id", "source_name")
+
+
+@register(f"""WITH {DAY}, s AS (SELECT *, row_number() OVER (PARTITION BY coalesce(source_id, source_name) ORDER BY published_at DESC, id) AS rnd, row_number() OVER (ORDER BY published_at DESC, id) AS pos2 FROM cp),
+f AS (SELECT *, min(pos2) OVER (PARTITION BY coalesce(source_id, source_name)) AS fst FROM s), b AS (SELECT * FROM f ORDER BY rnd, fst LIMIT 100),
+p AS (SELECT id, pos2, CASE WHEN contains(title, 'purchase') THEN 'purchase' WHEN contains(title, '7') THEN '7' END AS interest, CASE WHEN contains(title, 'purchase') THEN 40 ELSE 40 * (length(title) - length(replace(title, '7', ''))) END AS relevance, row_number() OVER (ORDER BY rnd, fst) AS o FROM b)
+SELECT id, interest, least(100, relevance)::INT AS relevance FROM p WHERE interest IS NOT NULL ORDER BY relevance DESC, o LIMIT 30""")
+def for_you_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks for two interests by the local provider."""
+    out = pipelines.for_you(event_articles(spark, sf_dir), ["purchase", "7"], as_of(spark, sf_dir), None, enrich.Local())
+    return out.select("id", "interest", "relevance")
+
+
+@register(f"""WITH {GROUPED.replace("FROM ev, nw WHERE published_at >= now - INTERVAL 1 DAY)", "FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(source_id, source_name) ORDER BY published_at DESC, id) AS cap FROM (SELECT ev.* FROM ev, nw WHERE published_at >= now - INTERVAL 3 HOUR - INTERVAL 1 DAY ORDER BY published_at DESC, id LIMIT 800)) ev WHERE cap <= 20)").replace("SELECT rc.*,", "SELECT rc.* EXCLUDE (cap),").replace("SELECT *, 'a' || id FROM rc", "SELECT * EXCLUDE (cap), 'a' || id FROM rc")}, {BUILT}
+SELECT lead_id, member_ids, source_count, is_aggregated FROM bl""")
+def topics_rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of groups that were saved three hours ago."""
+    now = as_of(spark, sf_dir)
+    cache = read(spark, sf_dir, "events").where("event_id % 4 = 0").select((F.col("user_id") % 15).alias("group_pos"), F.col("event_id").alias("id"), F.lit(now - timedelta(hours=3)).cast("timestamp_ntz").alias("saved_at"))
+    out = pipelines.rehydrated_topics(cache, event_articles(spark, sf_dir), catalogue.sample(spark).where("is_main").select("id"), now, None)
+    return out.select("lead_id", F.array_join("member_ids", ",").alias("member_ids"), "source_count", "is_aggregated")
+
+
+@register()
+def home_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A refresh: documents as feed items of their sources, parsed, deduplicated, enriched from pages, ranked."""
+    d = read(spark, sf_dir, "documents")
+    item = F.concat(F.lit("<item><title>"), F.md5("text"), F.lit("</title><link>https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string"), F.lit("</link><description><![CDATA["), F.replace(F.substring("text", 1, 400), F.lit("]]>"), F.lit("")), F.lit("]]></description><pubDate>"), F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60), "d MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
+    # a payload holds some two hundred items
+    raw = d.groupBy("source", F.floor(F.col("doc_id") / 4000).alias("part")).agg(F.concat_ws("", F.array_sort(F.collect_list(item))).alias("all"))
+    raw = raw.select(F.col("source").alias("source_id"), F.concat(F.lit("<rss><channel>"), "all", F.lit("</channel></rss>")).alias("payload"))
+    page_table = d.where("doc_id % 10 = 0").select(F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("<article><p>"), "text", F.lit("</p></article>")).alias("html"))
+    new = pipelines.refreshed(raw, catalogue.sample(spark), page_table, Preferences())
+    return ranking.rank(new, Preferences(favorite_sources=["outlet 03"]), 50).select("title", "source_name", "content_source", "score")

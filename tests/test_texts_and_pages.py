@@ -147,3 +147,9 @@ def test_stream(spark, tmp_path):
     counted = []
     stream.run_available(stream.counts(stream.read(spark, str(tmp_path / "in"), schema), "published_at", "id", "1 day", None), lambda b, _: counted.extend((r.id, r.n) for r in b.collect()), str(tmp_path / "c3"), "complete")
     assert sorted(counted) == [("a", 2), ("b", 1)]
+
+
+def test_runs_and_settings():
+    assert distill.runs("a <b>b <i>c</i></b> <a href=u>l</a>") == [{"text": "a ", "kinds": [], "url": None}, {"text": "b ", "kinds": ["strong"], "url": None}, {"text": "c", "kinds": ["strong", "em"], "url": None}, {"text": "l", "kinds": ["link"], "url": "u"}]
+    assert enrich.language_name("it") == "Italian" and enrich.language_name(None, "de-DE") == "German" and enrich.language_name("system", "xx") == "English"
+    assert enrich.valid_endpoint("https://a.example/v1") and not enrich.valid_endpoint("http://a.example") and enrich.valid_endpoint("http://localhost:1", True) and not enrich.valid_endpoint("ftp://a", True)
