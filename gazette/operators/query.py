@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.functions import text
+from gazette.functions import text, times
 
 ORDERS = {"published_desc": ("published_at", False), "published_asc": ("published_at", True), "created_desc": ("created_at", False), "updated_desc": ("updated_at", False)}
 
@@ -31,9 +31,9 @@ class ArticleQuery:
         """Conditions that a scan can take, then the one on text."""
         found = []
         if self.published_after is not None:
-            found.append(F.col("published_at") >= F.lit(self.published_after).cast("timestamp_ntz"))
+            found.append(F.col("published_at") >= times.at(self.published_after))
         if self.published_before is not None:
-            found.append(F.col("published_at") <= F.lit(self.published_before).cast("timestamp_ntz"))
+            found.append(F.col("published_at") <= times.at(self.published_before))
         if self.source_names is not None:
             found.append(F.col("source_name").isin(self.source_names) if self.source_names else F.lit(False))
         if self.only_bookmarked:

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.functions import times
+
 from gazette.operators import selection
 
 #: What a reader did to an article; a refresh never overwrites it.
@@ -19,7 +21,7 @@ COALESCED = ("source_id", "ai_summary_short", "ai_summary_bullets", "cluster_id"
 def upsert(old: DataFrame, new: DataFrame, as_of: datetime | Column) -> DataFrame:
     """Rows of either side by id: an incoming article replaces all but KEPT, and COALESCED where it has a value; updated_at is
     as_of. Columns are those of old."""
-    now = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    now = as_of if isinstance(as_of, Column) else times.at(as_of)
     one, two = old.alias("o"), new.alias("n")
     joined = one.join(two, F.col("o.id") == F.col("n.id"), "full_outer")
     both, only_old = F.col("o.id").isNotNull() & F.col("n.id").isNotNull(), F.col("n.id").isNull()
@@ -42,7 +44,7 @@ def with_summary(articles: DataFrame, summaries: DataFrame, as_of: datetime) ->
     s = summaries.select(F.col("article_id").alias("_aid"), F.col("short").alias("_s"), F.col("bullets").alias("_b"))
     found = F.col("_aid").isNotNull()
     out = articles.join(s, F.col("id") == F.col("_aid"), "left")
-    changed = {"ai_summary_short": F.when(found, F.col("_s")).otherwise(F.col("ai_summary_short")), "ai_summary_bullets": F.when(found, F.col("_b")).otherwise(F.col("ai_summary_bullets")), "updated_at": F.when(found, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("updated_at"))}
+    changed = {"ai_summary_short": F.when(found, F.col("_s")).otherwise(F.col("ai_summary_short")), "ai_summary_bullets": F.when(found, F.col("_b")).otherwise(F.col("ai_summary_bullets")), "updated_at": F.when(found, times.at(as_of)).otherwise(F.col("updated_at"))}
     return out.withColumns(changed).select(*articles.columns)
 
 
@@ -93,7 +95,7 @@ def purge_disabled(articles: DataFrame, allow: DataFrame | None) -> tuple[DataFr
 
 def retained(articles: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     """Bookmarked articles and those taken in within so many days (one at least)."""
-    cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {max(1, days)} days")
+    cutoff = times.at(as_of) - F.expr(f"interval {max(1, days)} days")
     return articles.where(F.col("is_bookmarked") | (F.col("created_at") >= cutoff))
 
 
@@ -126,5 +128,5 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def fresh_groups(cache: DataFrame, as_of: datetime, hours: int = 12) -> DataFrame:
     """Cached rows saved within so many hours before as_of; future ones are a miss too."""
-    at = F.lit(as_of).cast("timestamp_ntz")
+    at = times.at(as_of)
     return cache.where((F.col("saved_at") <= at) & (F.col("saved_at") >= at - F.expr(f"interval {hours} hours")))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.functions import text
+from gazette.functions import text, times
 from gazette.operators.pieces import pieces
 from gazette.operators.ranking import source_key
 from gazette.sources.tables import materialize
@@ -22,7 +22,7 @@ def _seconds(column: str | Column) -> Column:
 
 def windowed(articles: DataFrame, as_of: datetime, upper: bool = True) -> DataFrame:
     """Articles of the day before as_of; those up to five minutes after it too, or, with upper=False, all after it."""
-    at = F.lit(as_of).cast("timestamp_ntz")
+    at = times.at(as_of)
     out = articles.where(F.col("published_at") >= at - F.expr(f"interval {WINDOW_SECONDS} seconds"))
     return out.where(F.col("published_at") <= at + F.expr(f"interval {SKEW_SECONDS} seconds")) if upper else out
 

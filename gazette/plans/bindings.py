@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import text, urls
@@ -17,6 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _after(seconds: Column) -> Column:
+    """So many seconds into 2024, in no time zone."""
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def as_of(spark: SparkSession, sf_dir: str) -> datetime:
     """The latest event: queries never look at the clock."""
     return read(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
@@ -43,7 +48,7 @@ CATALOGUE = f"""cat AS (SELECT 'src' || k AS id, 'Outlet ' || lpad(k::VARCHAR, 2
 
 def document_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: the first line is the title, a minute passes between ids."""
-    at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).cast("timestamp_ntz")
+    at = _after(F.col("doc_id") * 60)
     return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 120).alias("title"), F.col("source").alias("source_name"), F.col("source").alias("source_id"), F.col("text").alias("cleaned_content"), F.lit(None).cast("string").alias("raw_content"),
         F.col("lang").alias("language"), at.alias("published_at"), F.lit(None).cast("string").alias("hero_image_url"), text.feed_summary(F.lit(None).cast("string"), text.sanitize(F.col("text"))).alias("summary_short"),
@@ -88,11 +93,10 @@ BUCKET = "CASE status WHEN 'success' THEN 'success' WHEN 'empty' THEN 'empty' WH
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as articles, each twice: as it is, and with a tracking parameter, later for even ids."""
     p = read(spark, sf_dir, "pages")
-    base = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
-    one = p.select((F.col("page_id") * 2).alias("id"), F.col("url").alias("article_url"), base.cast("timestamp_ntz").alias("published_at"))
-    again = F.when(F.col("page_id") % 2 == 0, F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60 + 30)).otherwise(base)
+    one = p.select((F.col("page_id") * 2).alias("id"), F.col("url").alias("article_url"), _after(F.col("page_id") * 60).alias("published_at"))
+    again = _after(F.col("page_id") * 60 + F.when(F.col("page_id") % 2 == 0, 30).otherwise(0))
     tracked = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("UTM_medium=feed#frag"))
-    two = p.select((F.col("page_id") * 2 + 1).alias("id"), tracked.alias("article_url"), again.cast("timestamp_ntz").alias("published_at"))
+    two = p.select((F.col("page_id") * 2 + 1).alias("id"), tracked.alias("article_url"), again.alias("published_at"))
     rows = one.unionByName(two)
     return rows.withColumn("source_id", urls.host(F.col("article_url"))).withColumns({"pos": F.col("id"), "region": F.element_at(F.split("source_id", r"\."), -1), "outlet_name": F.col("source_id")})
 

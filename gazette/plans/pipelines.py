@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.functions import text
+from gazette.functions import text, times
 from gazette.operators import dedup, enrich, pages, query, ranking, selection, store, topics
 from gazette.operators.selection import Preferences
 from gazette.sources import feeds
@@ -31,7 +31,7 @@ def refreshed(raw: DataFrame, catalogue: DataFrame, page_table: DataFrame, prefe
 def persisted(old: DataFrame, new: DataFrame, as_of: datetime) -> DataFrame:
     """The store after retention and the merge of refreshed articles."""
     blank = {c: F.lit(None).cast(t) for c, t in old.dtypes if c not in new.columns}
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = times.at(as_of)
     full = new.withColumns(blank | {"is_bookmarked": F.lit(False), "is_read": F.lit(False), "created_at": now, "updated_at": now})
     return store.upsert(store.retained(old, as_of), full.select(*old.columns), as_of)
 
@@ -74,7 +74,7 @@ def topics_of_day(articles: DataFrame, mains: DataFrame, as_of: datetime, allow:
 def saved_groups(clusters: DataFrame, as_of: datetime) -> DataFrame:
     """group_pos, id, saved_at of clusters of two or more, to be kept for twelve hours."""
     rows = clusters.where("is_aggregated").select(F.col("pos").alias("group_pos"), F.explode(F.concat(F.array("lead_id"), "member_ids")).alias("id"))
-    return rows.withColumn("saved_at", F.lit(as_of).cast("timestamp_ntz"))
+    return rows.withColumn("saved_at", times.at(as_of))
 
 
 def rehydrated_topics(cache: DataFrame, articles: DataFrame, mains: DataFrame, as_of: datetime, allow: DataFrame | None) -> DataFrame | None:
@@ -83,7 +83,7 @@ def rehydrated_topics(cache: DataFrame, articles: DataFrame, mains: DataFrame, a
     saved = fresh.agg(F.max("saved_at")).first()[0]
     if saved is None:
         return None
-    return topics.from_groups(fresh.where(F.col("saved_at") == F.lit(saved).cast("timestamp_ntz")).select("group_pos", "id"), topic_corpus(articles, saved, allow), mains, saved)
+    return topics.from_groups(fresh.where(F.col("saved_at") == times.at(saved)).select("group_pos", "id"), topic_corpus(articles, saved, allow), mains, saved)
 
 
 def for_you(articles: DataFrame, interests: list[str], as_of: datetime, allow: DataFrame | None, provider: enrich.Provider) -> DataFrame:

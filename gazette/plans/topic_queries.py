@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.functions import text, urls
+from gazette.functions import text, times, urls
 from gazette.operators import dedup, enrich, ranking, topics
 from gazette.operators.selection import Preferences
 from gazette.plans import pipelines
@@ -115,7 +115,7 @@ def stream_dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, name = table.rsplit("/", 1)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
     rows = reader.parquet(f"{at}/{name[:-8]}*.parquet")
-    keyed = rows.withColumn("day", F.date_trunc("day", F.col("ts").cast("timestamp")))
+    keyed = rows.withColumn("day", F.to_date("ts"))
     first = keyed.groupBy("user_id", "event_type", "day").agg(F.min(F.struct("ts", "event_id")).alias("first"))
     stream.run_available(first, lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/state", "complete")
     return spark.read.parquet(f"{folder}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("first.ts").alias("first_ts"))
@@ -155,7 +155,7 @@ SELECT lead_id, member_ids, source_count, is_aggregated FROM bl""")
 def topics_rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of groups that were saved three hours ago."""
     now = as_of(spark, sf_dir)
-    cache = read(spark, sf_dir, "events").where("event_id % 4 = 0").select((F.col("user_id") % 15).alias("group_pos"), F.col("event_id").alias("id"), F.lit(now - timedelta(hours=3)).cast("timestamp_ntz").alias("saved_at"))
+    cache = read(spark, sf_dir, "events").where("event_id % 4 = 0").select((F.col("user_id") % 15).alias("group_pos"), F.col("event_id").alias("id"), times.at(now - timedelta(hours=3)).alias("saved_at"))
     out = pipelines.rehydrated_topics(cache, event_articles(spark, sf_dir), catalogue.sample(spark).where("is_main").select("id"), now, None)
     return out.select("lead_id", F.array_join("member_ids", ",").alias("member_ids"), "source_count", "is_aggregated")
 

@@ -148,7 +148,7 @@ def articles(found: DataFrame, catalogue: DataFrame) -> DataFrame:
     tags = text.dedup_ordered(F.concat(F.coalesce("categories", F.array().cast("array<string>")), F.coalesce("s_tags", F.array().cast("array<string>"))), 8)
     return rows.where("_title is not null").select(
         urls.stable_id(F.col("source_id"), F.col("guid"), F.col("_link"), F.col("_title")).alias("id"), text.optional(F.col("guid")).alias("external_id"), F.col("_title").alias("title"), F.col("s_name").alias("source_name"), "source_id",
-        F.coalesce("s_url", F.concat(F.lit(urls.PLACEHOLDER), F.col("source_id"))).alias("source_url"), F.col("_link").alias("article_url"), text.feed_date(F.col("published_at_raw")).cast("timestamp_ntz").alias("published_at"), text.optional(F.col("author")).alias("author_name"),
+        F.coalesce("s_url", F.concat(F.lit(urls.PLACEHOLDER), F.col("source_id"))).alias("source_url"), F.col("_link").alias("article_url"), F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.feed_date(F.col("published_at_raw")).cast("timestamp_ntz")).alias("published_at"), text.optional(F.col("author")).alias("author_name"),
         urls.hero_image(text.optional(F.col("image_url")), F.col("content"), F.col("summary"), F.col("_link"), F.col("s_url")).alias("hero_image_url"), F.col("_raw").alias("raw_content"), F.col("_clean").alias("cleaned_content"), F.col("_from").alias("content_source"),
         text.word_count(F.col("_clean")).alias("content_word_count"), text.feed_complete(F.col("_from"), F.col("_raw"), F.col("_clean")).alias("is_content_likely_complete"), text.feed_summary(F.col("summary"), F.col("_clean")).alias("summary_short"),
         F.element_at(F.when(F.size(tags) > 0, tags), 1).alias("category"), tags.alias("tags"), F.coalesce("language", "s_language").alias("language"), "pos", "region", F.col("s_name").alias("outlet_name"),

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.functions import times
+
 from gazette.operators import store
 
 
@@ -17,7 +19,7 @@ def read(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1
 
 def plausible(rows: DataFrame, as_of, column: str = "published_at") -> DataFrame:
     """Rows not dated more than five minutes ahead; those without a date pass as ancient."""
-    limit = F.lit(as_of).cast("timestamp_ntz") + F.expr("interval 300 seconds")
+    limit = times.at(as_of) + F.expr("interval 300 seconds")
     return rows.where(F.col(column).isNull() | (F.col(column) <= limit))
 
 
