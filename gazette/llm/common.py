@@ -1,61 +1,17 @@
-"""Helpers that several corpus operators share: the shared folder, written tables, byte-level tokens."""
+"""Helpers that several corpus operators share: byte-level tokens, texts of Arrow columns, runs of sorted rows."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.sources.tables import materialize, shared_dir  # noqa: F401  operators take them from here
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Java and RE2 agree on these.
 WHITE = r"[\x20\x09-\x0D]+"
 NOT_WHITE = r"[^\x20\x09-\x0D]+"
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a new local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="gazette-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gazette-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where.getParent(), True)
-
-
-def drop_written(dfs: list[DataFrame]) -> None:
-    """Delete tables of materialize() that no later step reads."""
-    for df in dfs:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _delete(df.sparkSession, path)
-
-
-def _clean() -> None:
-    try:
-        for spark, path in _written:
-            _delete(spark, path)
-    except Exception:  # the JVM has gone already; the cluster's owner clears the checkpoint folder
-        pass
-
-
-atexit.register(_clean)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -94,6 +94,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     bad = found.where(contaminated() if remove == "documents" else "n_hit > 0").groupBy("doc_id", "text_hash").agg(F.first("hits").alias("_hits")).withColumnsRenamed({"doc_id": "_bad_doc", "text_hash": "_bad_hash"})
     on = F.col("_key_doc").eqNullSafe(F.col("_bad_doc")) & (F.col("_key_hash") == F.col("_bad_hash"))
     if remove == "documents":
+        bad = materialize(bad.drop("_hits"), "contaminated")  # its size is known before texts are joined
         return keyed.join(bad, on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     pieces = F.regexp_extract_all("text", F.lit(f"[^{GAP}]+|[{GAP}]+"), F.lit(0))
     lead = F.when(F.col("text").rlike(f"^[^{GAP}]"), 0).otherwise(1)  # the place of the first word

@@ -244,13 +244,13 @@ def with_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     texts = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     wanted = members.select("node", F.col("doc_id").alias("m_doc"), F.col("text_hash").alias("m_hash"))
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_hash") == F.col("m_hash"))).select("node", "text")
+    found = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_hash") == F.col("m_hash"))).select("node", "text")
     return found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def groups(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
-    """Of every row: doc_id, text_hash, n (shingles of its set), component_id (smallest doc_id that links reach; the row's own
-    where the set is empty). similarity: percent of the union that the intersection has at least."""
+    """Of every row: doc_id, text_hash, n (shingles of its set), label (of its component; null where the set is empty),
+    component_id (smallest doc_id that links reach; the row's own where the set is empty). similarity: percent of the union that the intersection has at least."""
     spark = docs.sparkSession
     small_batches(spark)
     link = similarity / 100
@@ -286,21 +286,25 @@ def groups(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
     whole = nodes.select("node", "digest", "least_doc").join(joined, "node", "left").select("digest", "least_doc", F.coalesce("label", "node").alias("label"))
     whole = materialize(whole, "labels")
     least = whole.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    reach = whole.join(least, "label").select("digest", "component_id")
+    reach = whole.join(least, "label").select("digest", "label", "component_id")
     out = rows.select("doc_id", "text_hash", "n", "digest").join(reach, "digest", "left")
-    return out.select("doc_id", "text_hash", "n", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n", "label", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of docs of which no smaller doc_id is linked, columns unchanged; of repeated rows one stays. Texts without
-    shingles all stay. A group of rows without doc_id keeps one of its texts."""
-    found = groups(docs, width, similarity)
-    kept = found.where((F.col("n") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    kept = kept.select(F.col("doc_id").alias("_kept_doc"), F.col("text_hash").alias("_kept_hash"))
-    bare = found.where("n = 0").select(F.col("doc_id").alias("_kept_doc"), F.col("text_hash").alias("_kept_hash")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_kept_doc")) & F.xxhash64("text").eqNullSafe(F.col("_kept_hash"))
-    once = docs.join(kept, on, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.join(bare, on, "left_semi"))
+    """The rows of docs of which no smaller doc_id is linked, columns unchanged; one row of each component, of repeated rows
+    too (a null doc_id comes last). Texts without shingles all stay. Texts move once, to meet the keys that go."""
+    found = groups(docs, width, similarity).where("label is not null")
+    keys = materialize(found.groupBy("doc_id", "text_hash").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("times")), "keys")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    marked = keys.join(keys.groupBy("label").agg(first), "label")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marked = materialize(marked.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "times").where("not stays or times > 1"), "verdicts")
+    gone, again = (materialize(marked.where(x).select("_doc", "_hash"), name) for x, name in (("not stays", "gone"), ("stays", "again")))
+    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
+    once = docs.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"])
+    # one strategy at every size: what goes is the built side, texts aren't sorted
+    return docs.join(again, on, "left_anti").join(gone.hint("shuffle_hash"), on, "left_anti").unionByName(once)
 
 
 def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
