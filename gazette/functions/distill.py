@@ -8,11 +8,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from gazette.functions import dom, jsonld
-from gazette.functions.text import PAYWALL_MARKS, TERMINATORS
+from gazette.functions import dom, jsonld, urls
+from gazette.functions.text import PAYWALL_MARKS, TERMINATORS, UNSAFE
 
 VERSION = 1
 LEAST_WORDS = 80
+# Elements that are never content.
 CHROME = "nav, footer, button, noscript, form, title, meta, link, style, script, template"
 #: Parts of class and id names of what isn't the article.
 NEGATIVE = re.compile(
@@ -27,7 +28,7 @@ BOILERPLATE = {
     "es": re.compile(r"^(?:lea también|todos los derechos reservados|compartir|síguenos|publicidad|suscríbete)\b", re.I),
     "it": re.compile(r"^(?:leggi anche|tutti i diritti riservati|condividi|seguici|pubblicità|abbonati)\b", re.I),
 }
-SIZE_MARK = re.compile(r"([-_](?:[0-9]{2,4}x[0-9]{2,4}|[0-9]{2,5}w|large|medium|small|mobile|desktop|tablet|thumb|thumbnail|hero|main))+$")
+SIZE_MARK = re.compile(urls.SIZE_MARK)
 
 
 @dataclass
@@ -47,7 +48,7 @@ def words(text: str) -> int:
 
 def sanitize(source: str) -> str:
     """Without event handlers, javascript: addresses and images of one pixel."""
-    for pattern in (r"(?i)\son[a-z]+\s*=\s*\"[^\"]*\"", r"(?i)\son[a-z]+\s*=\s*'[^']*'", r"(?i)\s(?:href|src)\s*=\s*\"\s*javascript:[^\"]*\"", r"(?i)\s(?:href|src)\s*=\s*'\s*javascript:[^']*'", r"(?is)<img\b[^>]*\b(?:width|height)\s*=\s*[\"']?1[\"']?[^>]*>"):
+    for pattern in UNSAFE:
         source = re.sub(pattern, "", source)
     return source
 

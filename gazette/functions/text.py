@@ -12,9 +12,18 @@ PAGE_ENTITIES = [("&#8211;", "-"), ("&#8212;", "-"), ("&#8220;", '"'), ("&#8221;
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 WS = r"[ \t\n\x0B\f\r]+"
+# Phrases that say a text goes on elsewhere.
 FEED_HINTS = ("read more", "continue reading")
 PAGE_HINTS = (*FEED_HINTS, "subscribe to continue", "sign in to continue")
 FALLBACK_HINTS = (*PAGE_HINTS, "view the full article")
+# Event handlers, script addresses and images of one pixel, which are stripped from markup.
+UNSAFE = (
+    r"(?i)\son[a-z]+\s*=\s*\"[^\"]*\"",
+    r"(?i)\son[a-z]+\s*=\s*'[^']*'",
+    r"(?i)\s(?:href|src)\s*=\s*\"\s*javascript:[^\"]*\"",
+    r"(?i)\s(?:href|src)\s*=\s*'\s*javascript:[^']*'",
+    r"(?is)<img\b[^>]*\b(?:width|height)\s*=\s*[\"']?1[\"']?[^>]*>",
+)
 #: Words that carry no topic, of the languages that sources have most.
 STOP_WORDS = tuple(sorted(set("""
 about after all also and any are been but can could did does for from had has have her him his how into its just may more most not now off one only other our out over said she should some
@@ -42,6 +51,13 @@ def sanitize(x: Column) -> Column:
     return collapse(decode(F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]+>", " ")))
 
 
+def safe_html(x: Column) -> Column:
+    """Markup without what UNSAFE names."""
+    for pattern in UNSAFE:
+        x = F.regexp_replace(x, pattern, "")
+    return x
+
+
 def optional(x: Column) -> Column:
     """Sanitised, null when nothing is left."""
     return F.nullif(sanitize(x), F.lit(""))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from gazette.functions import distill, jsonld, text, urls
 from gazette.sources import rules as rule_table
 
+# What is cut from pages, where the article may be, where its image may be.
 NON_CONTENT = r"(?is)<(script|style|noscript|svg|canvas|iframe|form)[^>]*>.*?</\1>"
-#: Containers that may hold the article: article, main, and sections or divs whose id or class names content.
 ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
 MAIN = r"(?is)<main\b[^>]*>(.*?)</main>"
 KEYWORD = r"(?is)<(?:section|div)\b[^>]*(?:id|class)\s*=\s*['\"][^'\"]*(?:article|story|post|entry|content|body)[^'\"]*['\"][^>]*>(.*?)</(?:section|div)>"

@@ -76,18 +76,12 @@ def page_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", text.page_text(F.col("html")).alias("said"))
 
 
-def _sanitized(html):
-    for p in (r"(?i)\son[a-z]+\s*=\s*\"[^\"]*\"", r"(?i)\son[a-z]+\s*=\s*'[^']*'", r"(?i)\s(?:href|src)\s*=\s*\"\s*javascript:[^\"]*\"", r"(?i)\s(?:href|src)\s*=\s*'\s*javascript:[^']*'", r"(?is)<img\b[^>]*\b(?:width|height)\s*=\s*[\"']?1[\"']?[^>]*>"):
-        html = F.regexp_replace(html, p, "")
-    return html
-
-
 @register(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, '<a href="/', '<a onclick="x()" href="javascript:/'), '(?i)\son[a-z]+\s*=\s*"[^"]*"', '', 'g'), '(?i)\son[a-z]+\s*=\s*''[^'']*''', '', 'g'),
   '(?i)\s(?:href|src)\s*=\s*"\s*javascript:[^"]*"', '', 'g'), '(?i)\s(?:href|src)\s*=\s*''\s*javascript:[^'']*''', '', 'g'), '(?is)<img\b[^>]*\b(?:width|height)\s*=\s*["'']?1["'']?[^>]*>', '', 'g') AS safe FROM pages""")
 def sanitize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages, given handlers and script addresses, without them again."""
     dirty = F.replace("html", F.lit('<a href="/'), F.lit('<a onclick="x()" href="javascript:/'))
-    return read(spark, sf_dir, "pages").select("page_id", _sanitized(dirty).alias("safe"))
+    return read(spark, sf_dir, "pages").select("page_id", text.safe_html(dirty).alias("safe"))
 
 
 @register()
