@@ -76,18 +76,15 @@ def scan(docs: DataFrame, known: DataFrame | None = None, broadcast_bytes: int =
     """doc_id, license of the text as a whole (null where none is known), line_licenses (distinct, sorted) and n_lines (lines
     that match) of every row."""
     known = known_digests(docs.sparkSession) if known is None else known
-    weight = known.agg(F.sum(F.octet_length("said") + 64), F.max(F.size(F.split("said", " ")))).first()
-    table = F.broadcast(known) if (weight[0] or 0) <= broadcast_bytes else known
+    weight = known.agg(F.sum(F.octet_length("said") + 64)).first()[0]
+    table = F.broadcast(known) if (weight or 0) <= broadcast_bytes else known
     whole = table.select(F.col("digest").alias("w_digest"), F.col("said").alias("w_said"), F.col("license").alias("license"))
     part = table.select(F.col("digest").alias("l_digest"), F.col("said").alias("l_said"), F.col("license").alias("line_license"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = only(docs, "doc_id", "text").select("doc_id", F.xxhash64(text, F.length(text)).alias("text_hash"), "text")
-    # a text longer than any known one has no known digest; lines are texts of their own
-    said = normalised(F.col("text"))
-    longest = known.agg(F.max(F.length("said"))).first()[0] or 0
-    lines = F.filter(F.split(text, r"\n"), lambda x: F.length(F.trim(x)).between(1, 4 * longest))
-    rows = rows.select("doc_id", "text_hash", F.when(F.length("text") <= 16 * longest, said).otherwise("").alias("said"), F.size(F.filter(F.split(text, r"\n"), lambda x: F.trim(x) != "")).alias("many"), lines.alias("lines"))
-    # the document itself is the line of number -1
+    lines = F.filter(F.split(text, r"\n"), lambda x: F.trim(x) != "")
+    rows = rows.select("doc_id", "text_hash", normalised(F.col("text")).alias("said"), lines.alias("lines")).withColumn("many", F.size("lines"))
+    # the document itself is the first of them
     every = rows.select("doc_id", "text_hash", "said", F.posexplode(F.when(F.col("many") > 1, F.concat(F.array(F.lit("")), "lines")).otherwise(F.array(F.lit("")))).alias("at", "line"))
     every = every.select("doc_id", "text_hash", F.when(F.col("at") == 0, F.col("said")).otherwise("").alias("said"), "at", F.when(F.col("at") > 0, normalised(F.col("line"), False)).otherwise("").alias("l_norm"))
     joined = every.join(whole, (F.sha2("said", 256) == F.col("w_digest")) & (F.col("said") == F.col("w_said")), "left").join(part, (F.sha2("l_norm", 256) == F.col("l_digest")) & (F.col("l_norm") == F.col("l_said")), "left")
