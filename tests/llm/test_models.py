@@ -158,6 +158,20 @@ def test_html():
     assert len(r("<p>" + "w " * 200000)) == 399999
 
 
+def test_html_at_any_depth():
+    r = html_text.rendered
+    grid = "<table><tr><td>aa<td>b<tr><td>c<td>dd</table>"
+    for way in ("<font>", "<div>", "<span><b>"):
+        deep = way * 3000
+        assert r(deep + grid) == "aa  b\nc   dd" and r(deep + "<ul><li>x<li>y</ul>z") == "- x\n- y\n\nz"
+        assert r(deep + "<pre>a\n  b</pre>") == "a\n  b" and r(deep + "<i hidden>no<b>no</b></i>yes<script>no</script>") == "yes"
+    # end tags of deep elements end those, and none of the same name above
+    assert r("<div hidden>" + "<div>" * 300 + "</div>" * 300 + "no</div>yes") == "yes"
+    assert r("<blockquote>" + "<div>" * 300 + "</div>" * 300 + "in</blockquote>out") == "> in\n\nout"
+    assert r("<table><tr><td>" * 300 + "x") == "x" and r("<ul><li>" * 200 + "x") == "  " * 199 + "- x"
+    assert r("<p>a <math><mi>x</mi><annotation>no</annotation></math> <map><a>b</a></map> <annotation>c</annotation>") == "a x b c"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a"), (2, "u", None), (1, "u", "<p>a"), (None, None, "")], "page_id long, url string, html string")
     assert sorted(((r.page_id or 0, r.text) for r in html_text.extract(df).collect())) == [(0, ""), (1, "a"), (1, "a"), (2, "")]
