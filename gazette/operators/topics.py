@@ -93,24 +93,46 @@ def greedy(articles: DataFrame, pairs: DataFrame) -> DataFrame:
     return grouped.unionByName(alone)
 
 
-def build(members: DataFrame, mains: DataFrame) -> DataFrame:
-    """lead_id, member_ids (newest first), source_count, is_aggregated, pos of each cluster. members: articles with `cluster`;
-    mains: id of main outlets. Lead: with an image, then of a main outlet, then the newest. Order: sources, main lead, newest
-    lead, id."""
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows with pos, from 1: sorted in ranges, each of which begins after the rows of those before it. The driver sees a number
+    for each range."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    kept = materialize(dealt, "order")
+    part = F.shiftright("_at", 33).cast("int")
+    begins, total = {}, 0
+    for r in kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        begins[r["part"]] = total
+        total += r["n"]
+    start = F.element_at(F.array(*[F.lit(begins.get(k, 0)).cast("long") for k in range(max(begins, default=0) + 1)]), part + 1)
+    return kept.withColumn("pos", (start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_at")
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """cluster, all: ids of (cluster, late, id) by late and id. Members are sorted in ranges, so a large cluster is packed in
+    several tasks, and the last one only joins their runs."""
+    dealt = rows.select("cluster", "late", "id").repartitionByRange("cluster", "late", "id").withColumn("part", F.spark_partition_id())
+    runs = dealt.groupBy("cluster", "part").agg(F.array_sort(F.collect_list(F.struct("late", "id"))).alias("run"))
+    packed = runs.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("part", F.transform("run", lambda x: x["id"]).alias("run")))).alias("runs"))
+    return packed.select("cluster", F.flatten(F.transform("runs", lambda x: x["run"])).alias("all"))
+
+
+def build(members: DataFrame, mains: DataFrame, gather: bool = True) -> DataFrame:
+    """lead_id, member_ids (newest first; only with gather), source_count, is_aggregated, pos of each cluster. members: articles
+    with `cluster`; mains: id of main outlets. Lead: with an image, then of a main outlet, then the newest. Order: sources, main
+    lead, newest lead, id."""
     main = mains.select(F.col("id").alias("_main")).distinct()
     rows = members.join(main, F.col("source_id") == F.col("_main"), "left")
     grade = F.when(F.col("hero_image_url").isNull(), 2).otherwise(0) + F.when(F.col("_main").isNull(), 1).otherwise(0)
     late = -F.unix_micros(F.col("published_at").cast("timestamp"))
-    key = F.struct(grade.alias("grade"), late.alias("late"), F.col("id").alias("id"))
-    packed = rows.groupBy("cluster").agg(
-        F.min(key).alias("lead"), F.array_sort(F.collect_list(F.struct(late.alias("late"), F.col("id").alias("id")))).alias("all"), F.countDistinct(source_key()).cast("int").alias("source_count")
-    )
-    out = packed.select(
-        F.col("lead.id").alias("lead_id"), F.transform(F.filter("all", lambda x: x["id"] != F.col("lead.id")), lambda x: x["id"]).alias("member_ids"), "source_count",
-        (F.size("all") > 1).alias("is_aggregated"), (F.col("lead.grade") % 2).alias("_side"), F.col("lead.late").alias("_late"),
-    )
-    order = Window.orderBy(F.desc("source_count"), "_side", "_late", "lead_id")
-    return out.withColumn("pos", F.row_number().over(order).cast("int")).drop("_side", "_late")
+    rows = rows.select("cluster", grade.alias("grade"), late.alias("late"), "id", source_key().alias("source"))
+    rows = materialize(rows, "members") if gather else rows
+    out = rows.groupBy("cluster").agg(F.min(F.struct("grade", "late", "id")).alias("lead"), F.count(F.lit(1)).alias("n"), F.countDistinct("source").cast("int").alias("source_count"))
+    ids = []
+    if gather:
+        out = out.join(gathered(rows).withColumnRenamed("cluster", "_cluster"), F.col("cluster").eqNullSafe(F.col("_cluster")))
+        ids = [F.filter("all", lambda x: x != F.col("lead.id")).alias("member_ids")]
+    out = out.select(F.col("lead.id").alias("lead_id"), *ids, "source_count", (F.col("n") > 1).alias("is_aggregated"), (F.col("lead.grade") % 2).alias("_side"), F.col("lead.late").alias("_late"))
+    return numbered(out, F.desc("source_count"), "_side", "_late", "lead_id").drop("_side", "_late")
 
 
 def aggregate(articles: DataFrame, mains: DataFrame, as_of: datetime) -> DataFrame:
@@ -123,7 +145,8 @@ def aggregate(articles: DataFrame, mains: DataFrame, as_of: datetime) -> DataFra
 def grouped_articles(groups: DataFrame, articles: DataFrame) -> DataFrame:
     """Articles with `cluster`: those of given groups (group_pos, id) with two or more articles, then all others alone."""
     found = articles.join(groups.select("group_pos", F.col("id").alias("_gid")), F.col("id") == F.col("_gid")).drop("_gid")
-    kept = found.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("group_pos"))).where("_n >= 2").drop("_n")
+    large = found.groupBy("group_pos").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(F.col("group_pos").alias("_large"))
+    kept = found.join(large, F.col("group_pos").eqNullSafe(F.col("_large")), "left_semi")
     alone = articles.join(kept.select(F.col("id").alias("_kid")), F.col("id") == F.col("_kid"), "left_anti")
     return kept.withColumn("cluster", F.concat(F.lit("g"), F.col("group_pos").cast("string"))).drop("group_pos").unionByName(alone.withColumn("cluster", F.concat(F.lit("a"), F.col("id").cast("string"))))
 

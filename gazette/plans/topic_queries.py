@@ -84,7 +84,7 @@ SELECT lead_id, source_count, is_aggregated, row_number() OVER (ORDER BY source_
 def cluster_lead_and_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads and coverage of clusters by category and day."""
     members = event_articles(spark, sf_dir).withColumn("cluster", F.concat("category", F.to_date("published_at").cast("string")))
-    return topics.build(members, catalogue.sample(spark).where("is_main").select("id")).select("lead_id", "source_count", "is_aggregated", "pos")
+    return topics.build(members, catalogue.sample(spark).where("is_main").select("id"), False).select("lead_id", "source_count", "is_aggregated", "pos")
 
 
 @register("""WITH RECURSIVE m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, role, turn, substr(text, 1, 1200) AS body FROM conversations),

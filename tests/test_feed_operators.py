@@ -93,6 +93,29 @@ def test_topics(spark):
     assert topics.aggregate(a.limit(0), mains, NOW).count() == 0
 
 
+def test_large_clusters_are_dealt_out(spark):
+    rows = spark.range(6000).select("id", F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source_id"), F.lit("A").alias("source_name"), (F.lit(NOW) - F.make_dt_interval(secs=F.col("id") % 50)).cast("timestamp_ntz").alias("published_at"), F.when(F.col("id") == 4320, "i").alias("hero_image_url"))
+    rows = rows.withColumn("cluster", F.when(F.col("id") % 3 == 0, "big").otherwise(F.col("id").cast("string")))
+    mains = spark.createDataFrame([("s1",)], "id string")
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # four ranges, however small
+    try:
+        for gather in (True, False):
+            out = topics.build(rows, mains, gather)
+            plan = out._jdf.queryExecution().toString()
+            assert "SinglePartition" not in plan and "collect_list" not in plan and ("member_ids" in out.columns) == gather
+            got = out.orderBy("pos").collect()
+            assert [r.pos for r in got] == list(range(1, 4002)) and (got[0].lead_id, got[0].source_count, got[0].is_aggregated) == (4320, 7, True)
+            main, late = (lambda i: i % 7 != 1), (lambda i: i % 50)
+            assert [r.lead_id for r in got[1:]] == sorted((i for i in range(6000) if i % 3), key=lambda i: (main(i), late(i), i))
+            if gather:
+                assert got[0].member_ids == sorted((i for i in range(0, 6000, 3) if i != 4320), key=lambda i: (late(i), i)) and not any(r.member_ids for r in got[1:])
+        large = topics.gathered(rows.select("cluster", (F.col("id") % 50).alias("late"), "id"))
+        assert large.where("cluster = 'big'").select(F.size("all")).first()[0] == 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+
+
 def test_greedy_takes_the_best_cluster(spark):
     a = articles(spark, [{"id": k, "published_at": NOW - timedelta(minutes=k)} for k in range(5)])
     pairs = spark.createDataFrame([(0, 2, 0.4), (1, 2, 0.5), (2, 3, 0.31), (0, 3, 0.31)], "a long, b long, similarity double")
