@@ -154,7 +154,10 @@ def block_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def jsonld_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON-LD articles of pages, a third of which are given one."""
-    body = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": ["NewsArticle"], "headline": "h", "isAccessibleForFree": "False", "articleBody": "'), F.translate(F.substring("html", 1, 200), '"\\\n\t', "    "), F.lit('"}]}</script>'))
+    article = F.struct(F.array(F.lit("NewsArticle")).alias("@type"), F.lit("h").alias("headline"), F.lit("False").alias("isAccessibleForFree"), F.col("html").alias("articleBody"))
+    # the body's own end tags don't end the script
+    said = F.replace(F.to_json(F.struct(F.array(article).alias("@graph"))), F.lit("</"), F.lit("<\\/"))
+    body = F.concat(F.lit('<script type="application/ld+json">'), said, F.lit("</script>"))
     given = F.concat("html", F.when(F.col("page_id") % 3 == 0, body).otherwise(""))
     return pages.jsonld_articles(read(spark, sf_dir, "pages").select("page_id", given.alias("html")))
 

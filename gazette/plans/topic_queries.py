@@ -164,10 +164,11 @@ def topics_rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def home_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refresh: documents as feed items of their sources, parsed, deduplicated, enriched from pages, ranked."""
     d = read(spark, sf_dir, "documents")
-    item = F.concat(F.lit("<item><title>"), F.md5("text"), F.lit("</title><link>https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string"), F.lit("</link><description><![CDATA["), F.replace(F.substring("text", 1, 400), F.lit("]]>"), F.lit("")), F.lit("]]></description><pubDate>"), F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60), "d MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
+    said = F.regexp_replace("text", "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", " ")  # characters that XML can't hold
+    item = F.concat(F.lit("<item><title>"), F.md5("text"), F.lit("</title><link>https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string"), F.lit("</link><description><![CDATA["), F.replace(said, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]></description><pubDate>"), F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60), "d MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
     # a payload holds some two hundred items
     raw = d.groupBy("source", F.floor(F.col("doc_id") / 4000).alias("part")).agg(F.concat_ws("", F.array_sort(F.collect_list(item))).alias("all"))
     raw = raw.select(F.col("source").alias("source_id"), F.concat(F.lit("<rss><channel>"), "all", F.lit("</channel></rss>")).alias("payload"))
-    page_table = d.where("doc_id % 10 = 0").select(F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("<article><p>"), "text", F.lit("</p></article>")).alias("html"))
+    page_table = d.select(F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("<article><p>"), "text", F.lit("</p></article>")).alias("html"))
     new = pipelines.refreshed(raw, catalogue.sample(spark), page_table, Preferences())
     return ranking.rank(new, Preferences(favorite_sources=["outlet 03"]), 50).select("title", "source_name", "content_source", "score")

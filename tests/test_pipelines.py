@@ -3,8 +3,8 @@
 from datetime import datetime, timedelta
 
 from gazette.operators import enrich, selection, store
-from gazette.plans import pipelines
-from gazette.sources import catalogue
+from gazette.plans import pipelines, text_queries, topic_queries
+from gazette.sources import catalogue, feeds
 
 from .test_feed_operators import NOW, articles
 from .test_texts_and_pages import ATOM, RSS
@@ -46,3 +46,20 @@ def test_topics_and_picks(spark):
     assert [r.id for r in pipelines.rehydrated_picks(saved, a, NOW, None).collect()] == [1]
     assert pipelines.rehydrated_picks(saved, a, datetime(2027, 1, 1), None) is None
     assert [r.id for r in pipelines.shown(a, None, None).collect()] == [0, 1, 2, 3, 4][:5] and store.fresh_groups(cache, NOW).count() == 3
+
+
+def test_refresh_of_whole_documents(spark, tmp_path, monkeypatch):
+    texts = {k: f"begins {k} ]]> <b>\x01 " + "word " * 400 + f"ends {k}" for k in range(1, 10)}
+    spark.createDataFrame([(k, t, "src1") for k, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, whole = [], pipelines.refreshed
+    monkeypatch.setattr(pipelines, "refreshed", lambda raw, catalogue, page_table, preferences: seen.append((raw, page_table)) or whole(raw, catalogue, page_table, preferences))
+    assert topic_queries.home_refresh(spark, str(tmp_path)).count() == 9
+    raw, page_table = seen[0]
+    assert {r.url: r.html for r in page_table.collect()} == {f"https://src1.example/{k}": f"<article><p>{t}</p></article>" for k, t in texts.items()}
+    assert sorted(i["summary"] for r in raw.collect() for i in feeds.parse(r.payload)) == sorted(t.replace("\x01", " ") for t in texts.values())
+
+
+def test_jsonld_of_whole_pages(spark, tmp_path):
+    html = '<p class="a">\\ \t\r\n\x02 é</p><script>x</script>' + "word " * 400 + "</p>"
+    spark.createDataFrame([(k, "u", html) for k in (3, 4)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: (r.body, r.headline, r.is_free) for r in text_queries.jsonld_article(spark, str(tmp_path)).collect()} == {3: (html, "h", False), 4: (None, None, None)}
