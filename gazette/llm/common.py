@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.sources.tables import materialize, shared_dir  # noqa: F401  operators take them from here
+from gazette.sources.tables import free, mark, materialize, scratch, setting, shared_dir  # noqa: F401  operators take them from here
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of an Arrow batch, for rows that are blocks of many; Spark bounds a batch's bytes (64 MB) in any case.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Java and RE2 agree on these.
 WHITE = r"[\x20\x09-\x0D]+"
 NOT_WHITE = r"[^\x20\x09-\x0D]+"
@@ -24,12 +26,6 @@ def only(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound Arrow batches by rows and, where Spark knows the setting, by bytes, so that long texts don't pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Rounds grow with the logarithm of the longest path; so many are never needed.
+MOST_ROUNDS = 100
+
 
 def components(links: DataFrame) -> DataFrame:
     """node, label of every node in links (a, b: long): the smallest node that it reaches. Each round rewrites the links as
@@ -14,10 +17,12 @@ def components(links: DataFrame) -> DataFrame:
     is summed up before the shuffle, and its join can be split."""
     at = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     at, before = materialize(at, "round0"), None
-    for k in range(1, 100):
+    for k in range(1, MOST_ROUNDS + 1):
         now = at.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before or not now[0]:
             break
+        if k == MOST_ROUNDS:
+            raise RuntimeError(f"components: links still change after {k} rounds")
         before = now
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

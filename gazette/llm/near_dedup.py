@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, materialize, mix64, only, slices, small_batches, text_buffer, tokens
+from .common import by_key, materialize, mix64, only, slices, text_buffer, tokens
 from .graph import components
 
 BANDS, ROWS = 36, 6
@@ -251,8 +251,6 @@ def with_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 def groups(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
     """Of every row: doc_id, text_hash, n (shingles of its set), label (of its component; null where the set is empty),
     component_id (smallest doc_id that links reach; the row's own where the set is empty). similarity: percent of the union that the intersection has at least."""
-    spark = docs.sparkSession
-    small_batches(spark)
     link = similarity / 100
     coarse = 2 * link - 1.2  # what a neighbour's neighbour has at least, less the estimate's error (four deviations)
     rows = materialize(sketched(docs, width), "sketches")

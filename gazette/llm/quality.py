@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, only, slices, small_batches, text_buffer, tokens
+from .common import materialize, only, slices, text_buffer, tokens
 
 NAMES = (
     "log_words", "log_bytes", "word_mean", "word_sd", "upper", "digit", "stop", "comma", "shout", "bar", "symbol", "newline", "other",
@@ -69,7 +69,6 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id and NAMES of every row."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

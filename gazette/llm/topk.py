@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, only
+from .common import BATCH, materialize, only, setting
 
 QUERY_BLOCK, VECTOR_BLOCK, RUN, HEAD = 1024, 4096, 16, 16
 
@@ -185,10 +185,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         if best:
             yield out()
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     met = pairs.repartition("q", "run").sortWithinPartitions("q", "run", "place").select("q", "run", "q_ids", "q_rows", "floor", "ids", "known", "rows").mapInArrow(meet, "asked long, query_id long, vec_id long, score long")
-    met = materialize(met, "met")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    with setting(spark, BATCH, "8"):
+        met = materialize(met, "met")
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
