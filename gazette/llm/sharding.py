@@ -1,12 +1,16 @@
 """Sharding by fixed virtual slots: a record hashes into one of thousands of slots for good; bytes are summed by slot; a
-versioned table maps slots to shards and is edited, slot by slot, when shards are added or loads drift.
+versioned table maps slots to shards, is kept under a path of the caller's, and is edited, slot by slot, when shards are added
+or loads drift.
 
-The law is `bytes`: shard sizes near equal. The map has as many rows as there are slots (a parameter, 4096 unless said),
-so it is broadcast and folded in one row whatever the corpus weighs; record tables are grouped by slot only, and no task
-holds more than one slot's narrow rows at a time.
+The law is `bytes`: shard sizes near equal. A record's slot comes from its doc_id, its text and, where a record occurs more
+than once, from which copy it is; so copies spread over slots, whatever share of all rows they are, and no slot is hot. Copies
+are numbered in two levels: within a block of rows of one file, then by the counts of the blocks before it.
 
-Defined results: a null text weighs 1 byte; a null doc_id is placed by its text; repeated rows share a slot and follow one
-another; an empty table gives an empty result and a map that deals slots out in turn.
+The map has as many rows as there are slots (a parameter, 4096 unless said), so it is broadcast and folded in one row whatever
+the corpus weighs; record tables are grouped by slot only, and no task holds more than one slot's narrow rows at a time.
+
+Defined results: a null text weighs 1 byte; repeated rows share no slot but by chance; which of equal rows has which place is
+open, as nothing tells them apart; an empty table gives an empty result and a map that deals slots out in turn.
 """
 
 from __future__ import annotations
@@ -14,21 +18,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, only
+from .common import materialize, only, scratch
 
 SLOTS = 4096
+#: Rows of a file in which copies are numbered at once.
+COPIES = 1 << 16
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32 and key (hash of doc_id and text) of each record."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return only(docs, "doc_id", "text").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64("doc_id", text, F.octet_length(text)).alias("key"))
+
+
+def numbered(stored: DataFrame) -> DataFrame:
+    """stored, a table read from Parquet, with `copy`: 0, 1, ... among the records of the same key."""
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.floor(F.col("_metadata.row_index") / COPIES).alias("part"))
+    rows = stored.select("doc_id", "size", "text_crc32", "key", block.alias("block"))
+    again = stored.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    once = stored.select("doc_id", "size", "text_crc32", "key").join(again, "key", "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    more = rows.join(again, "key", "left_semi")
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    first = more.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n")).select("key", "block", F.coalesce(before, F.lit(0)).alias("first"))
+    here = F.row_number().over(Window.partitionBy("key", "block").orderBy("doc_id")) - 1
+    return once.unionByName(more.withColumn("here", here).join(first, ["key", "block"]).select("doc_id", "size", "text_crc32", "key", (F.col("first") + F.col("here")).cast("long").alias("copy")))
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and the virtual slot of each record."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
-    return only(docs, "doc_id", "text").select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).cast("long").alias("text_crc32"),
-        F.pmod(key, F.lit(slots)).cast("int").alias("vslot"),
-    )
+    slot = F.pmod(F.when(F.col("copy") == 0, F.col("key")).otherwise(F.xxhash64("key", "copy")), F.lit(slots)).cast("int")
+    return numbered(materialize(described(docs), "described")).select("doc_id", "size", "text_crc32", slot.alias("vslot"))
 
 
 def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -74,13 +93,29 @@ def rebalance(old: DataFrame, stats: DataFrame, shards: int) -> DataFrame:
     return rows.select((F.col("version") + 1).alias("version"), F.inline(F.concat(stayed, moved)))
 
 
-def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
+def save_map(slot_map: DataFrame, path: str) -> None:
+    """Keep a version of the map under path; a version once kept can't be written again."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.select("vslot", "shard").coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of the map kept under path, the newest unless said."""
+    kept = spark.read.schema("version int, vslot int, shard int").parquet(path)
+    version = kept.agg(F.max("version")).first()[0] if version is None else version
+    return kept.where(F.col("version") == version).select("version", "vslot", "shard")
+
+
+def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, slot_map: DataFrame | None = None, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (the record's place in its shard, 0 to rows - 1), vslot and the map's version.
-    slot_map: a stored version to place records by; without one, version 1 is made from the slots' bytes and stored."""
+    slot_map: a version to place records by; without one, version 1 is made from the slots' bytes and kept under map_path
+    (a new folder among the intermediate tables unless said)."""
     rows = materialize(records(docs, slots), "records")
     stats = materialize(slot_bytes(rows, slots).coalesce(1), "slot_bytes")
     if slot_map is None:
-        slot_map = materialize(new_map(stats, shards), "slot_map_v1")
+        map_path = map_path or scratch(docs.sparkSession, "slot_map")
+        save_map(new_map(stats, shards), map_path)
+        slot_map = load_map(docs.sparkSession, map_path)
     # places within a shard: slots follow one another, so only a slot's own rows are sorted together
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1))
     placed = slot_map.join(F.broadcast(stats), "vslot").select("version", "vslot", "shard", F.coalesce(before, F.lit(0)).alias("first"))
