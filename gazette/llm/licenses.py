@@ -2,7 +2,9 @@
 
 A text is normalised (case, copyright lines, equivalent spellings, punctuation, white space) and its digest looked up, for
 the document as a whole and for each of its lines as a text of its own; a joined digest is confirmed on the normalised text.
-The table of known texts is part of this module or given by the caller; it is broadcast only under `broadcast_bytes`.
+The table of known texts is a reference table, part of this package (license_texts holds the long ones) or given by the caller.
+While it weighs at most `broadcast_bytes` it is broadcast, and texts whose first word begins no known text, spellings
+considered, are not normalised any further; beyond, all texts are normalised and hash-joined by a shuffle.
 
 Defined results: null and empty texts, and texts without any word, match nothing; repeated rows each get a row; equal lines
 of a document count once each; a document that is one line is reported as a whole and not again as a line.
@@ -10,6 +12,8 @@ of a document count once each; a document that is one line is reported as a whol
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,33 +42,75 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
-KNOWN = [
-    ("MIT", MIT), ("MIT", "MIT License\n" + MIT), ("MIT", "The MIT License (MIT)\n" + MIT), ("ISC", ISC), ("ISC", "ISC License\n" + ISC), ("0BSD", ZERO_BSD), ("BSD-2-Clause", BSD_2), ("BSD-3-Clause", BSD_3),
-    ("BSL-1.0", BOOST), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n" + BOOST), ("Zlib", ZLIB), ("Zlib", "zlib License\n" + ZLIB),
-    ("MIT", "Licensed under the MIT License."), ("MIT", "This work is licensed under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "This work is licensed under the Apache License, Version 2.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "Licensed under the GNU General Public License, version 3."), ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."), ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."), ("CC0-1.0", "Licensed under CC0 1.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
-]
-#: Equivalent spellings: as found, as kept.
+#: Names by which a notice calls a licence; {v} stands for each version, written "3" and "3.0" alike.
+NAMES = {
+    "MIT": ["MIT License", "MIT"], "ISC": ["ISC License", "ISC"], "0BSD": ["BSD Zero Clause License", "Zero Clause BSD License", "0BSD"], "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "BSD-2-Clause", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "BSD-3-Clause", "New BSD License", "Modified BSD License"], "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"], "Zlib": ["zlib License", "zlib"],
+    "Apache-{v}": ["Apache License, Version {v}", "Apache License {v}", "Apache {v}", "Apache-{v} License"], "GPL-{v}": ["GNU General Public License, version {v}", "GNU General Public License v{v}", "GNU GPL, version {v}", "GNU GPL v{v}", "GPL version {v}", "GPL v{v}", "GPLv{v}", "GPL-{v}"],
+    "LGPL-{v}": ["GNU Lesser General Public License, version {v}", "GNU Lesser General Public License v{v}", "GNU LGPL, version {v}", "GNU LGPL v{v}", "LGPL version {v}", "LGPL v{v}", "LGPLv{v}", "LGPL-{v}"], "AGPL-{v}": ["GNU Affero General Public License, version {v}", "GNU Affero General Public License v{v}", "GNU AGPL, version {v}", "GNU AGPL v{v}", "AGPL version {v}", "AGPL v{v}", "AGPLv{v}", "AGPL-{v}"],
+    "MPL-{v}": ["Mozilla Public License, version {v}", "Mozilla Public License {v}", "MPL {v}", "MPL-{v}"], "EPL-{v}": ["Eclipse Public License, version {v}", "Eclipse Public License {v}", "Eclipse Public License v{v}", "EPL {v}", "EPL-{v}"], "GFDL-{v}": ["GNU Free Documentation License, version {v}", "GNU Free Documentation License {v}", "GFDL {v}"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "CC0-1.0", "CC0"], "Unlicense": ["Unlicense", "The Unlicense"], "WTFPL": ["WTFPL"],
+}
+VERSIONS = {"Apache": ["2.0"], "GPL": ["1.0", "2.0", "3.0"], "LGPL": ["2.0", "2.1", "3.0"], "AGPL": ["3.0"], "MPL": ["1.1", "2.0"], "EPL": ["1.0", "2.0"], "GFDL": ["1.2", "1.3"]}
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+#: Equivalent spellings: as found, as kept; applied in this order.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("authorised", "authorized"), ("merchantibility", "merchantability"),
     ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("per cent", "percent"), ("favour", "favor"), ("whilst", "while"), ("third parties", "third party"),
+    ("released under", "licensed under"), ("distributed under", "licensed under"), ("published under", "licensed under"), ("available under", "licensed under"), ("made licensed under", "licensed under"), ("is licensed under", "licensed under"), ("this work licensed under", "licensed under"), ("this project licensed under", "licensed under"),
+    ("this software licensed under", "licensed under"), ("this program licensed under", "licensed under"), ("this file licensed under", "licensed under"), ("this document licensed under", "licensed under"), ("under the terms of the", "under"), ("under the terms of", "under"), ("licensed under the", "licensed under"), ("licensed under a", "licensed under"), ("or at your option any later version", "or any later version"),
 ]
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """License and text: whole texts, alone and after their titles, also without what follows the end of the terms; and notices
+    for every name of every licence."""
+    whole = [("MIT", "MIT License", MIT), ("MIT", "The MIT License (MIT)", MIT), ("MIT", "The MIT License", MIT), ("ISC", "ISC License", ISC), ("ISC", "The ISC License", ISC), ("0BSD", "BSD Zero Clause License", ZERO_BSD), ("0BSD", "Zero-Clause BSD", ZERO_BSD)]
+    whole += [("BSD-2-Clause", "BSD 2-Clause License", BSD_2), ("BSD-2-Clause", "The 2-Clause BSD License", BSD_2), ("BSD-3-Clause", "BSD 3-Clause License", BSD_3), ("BSD-3-Clause", "The 3-Clause BSD License", BSD_3), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003", BOOST), ("Zlib", "zlib License", ZLIB), ("Zlib", "The zlib License", ZLIB)]
+    out = [(k, said) for k, _, said in whole] + [(k, f"{title}\n{said}") for k, title, said in whole]
+    for at in sorted(TEXTS.glob("*.txt")):
+        said = at.read_text()
+        out.append((at.stem, said))
+        if END_OF_TERMS in said:
+            out.append((at.stem, said[: said.index(END_OF_TERMS) + len(END_OF_TERMS)]))
+            out.append((at.stem, said[: said.index(END_OF_TERMS)]))
+    names = {k.format(v=v): [n.format(v=x) for n in known for x in {v, v.removesuffix(".0")}] for k, known in NAMES.items() for v in VERSIONS.get(k.split("-")[0], [""])}
+    names |= {f"CC-{k}-{v}": [f"CC {k} {v}", f"CC-{k}-{v}", f"Creative Commons {said} {v}", f"Creative Commons {said} {v} International", f"Creative Commons {said} {v} International License"] for k, said in COMMONS.items() for v in ("3.0", "4.0")}
+    for license_id, known in names.items():
+        for name in sorted(known):
+            later = [" or any later version"] if license_id.split("-")[0] in ("GPL", "LGPL", "AGPL", "GFDL") else []
+            out += [(license_id, f"Licensed under {name}{more}") for more in ["", *later]]
+            out += [(license_id, f"Licensed under {name} license")] if not name.lower().endswith("license") else []
+            out += [(license_id, f"License: {name}"), (license_id, f"SPDX-License-Identifier: {name}")]
+    return out
+
+
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+TEXTS = Path(__file__).with_name("license_texts")
+KNOWN = known_texts()
 COPYRIGHT_LINE = r"(?i)(?:^|\n)[ \t/*#;-]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|\(c\)|©)[^\n]*"
 
 
-def normalised(text: Column, lines: bool = True) -> Column:
-    """Words of a text in one canonical form, joined by spaces. lines: whether whole copyright lines go."""
+def plain(text: Column, lines: bool = True) -> Column:
+    """Lower-case words joined by spaces. lines: whether whole copyright lines go."""
     out = F.coalesce(text, F.lit(""))
     out = F.regexp_replace(out, COPYRIGHT_LINE, "\n") if lines else out
-    out = F.trim(F.regexp_replace(F.lower(out), r"[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’–—«»]+", " "))
-    out = F.concat(F.lit(" "), out, F.lit(" "))
+    return F.trim(F.regexp_replace(F.lower(out), r"[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’–—«»]+", " "))
+
+
+def spelled(said: Column) -> Column:
+    """A plain text in its canonical spelling."""
+    out = F.concat(F.lit(" "), said, F.lit(" "))
     for found, kept in SPELLINGS:
         out = F.replace(out, F.lit(f" {found} "), F.lit(f" {kept} "))
     return F.trim(out)
 
 
+def normalised(text: Column, lines: bool = True) -> Column:
+    """Words of a text in one canonical form, joined by spaces."""
+    return spelled(plain(text, lines))
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """digest, said, license of each known text."""
     rows = spark.createDataFrame(KNOWN if known is None else known, "license string, text string")
@@ -77,16 +123,24 @@ def scan(docs: DataFrame, known: DataFrame | None = None, broadcast_bytes: int =
     that match) of every row."""
     known = known_digests(docs.sparkSession) if known is None else known
     weight = known.agg(F.sum(F.octet_length("said") + 64)).first()[0]
-    table = F.broadcast(known) if (weight or 0) <= broadcast_bytes else known
+    small = (weight or 0) <= broadcast_bytes
+    table = F.broadcast(known) if small else known
     whole = table.select(F.col("digest").alias("w_digest"), F.col("said").alias("w_said"), F.col("license").alias("license"))
     part = table.select(F.col("digest").alias("l_digest"), F.col("said").alias("l_said"), F.col("license").alias("line_license"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = only(docs, "doc_id", "text").select("doc_id", F.xxhash64(text, F.length(text)).alias("text_hash"), "text")
+    may = lambda said: F.lit(True)
+    if small:
+        # a spelling changes a text's first word only where one of the spellings begins with that word
+        first = {r.w for r in known.select(F.substring_index("said", " ", 1).alias("w")).distinct().collect()} | {found.split(" ")[0] for found, _ in SPELLINGS}
+        may = lambda said: F.substring_index(said, " ", 1).isin(sorted(first))
     lines = F.filter(F.split(text, r"\n"), lambda x: F.trim(x) != "")
-    rows = rows.select("doc_id", "text_hash", normalised(F.col("text")).alias("said"), lines.alias("lines")).withColumn("many", F.size("lines"))
+    rows = rows.select("doc_id", "text_hash", plain(F.col("text")).alias("said"), lines.alias("lines")).withColumn("many", F.size("lines"))
     # the document itself is the first of them
-    every = rows.select("doc_id", "text_hash", "said", F.posexplode(F.when(F.col("many") > 1, F.concat(F.array(F.lit("")), "lines")).otherwise(F.array(F.lit("")))).alias("at", "line"))
-    every = every.select("doc_id", "text_hash", F.when(F.col("at") == 0, F.col("said")).otherwise("").alias("said"), "at", F.when(F.col("at") > 0, normalised(F.col("line"), False)).otherwise("").alias("l_norm"))
+    parts = F.filter(F.transform("lines", lambda x: plain(x, False)), lambda x: (x != "") & may(x))
+    parts = F.concat(F.array(F.when(may(F.col("said")), F.col("said")).otherwise("")), F.when(F.col("many") > 1, parts).otherwise(F.array().cast("array<string>")))
+    every = rows.select("doc_id", "text_hash", F.posexplode(parts).alias("at", "said")).withColumn("said", F.when(F.col("said") == "", "").otherwise(spelled(F.col("said"))))
+    every = every.select("doc_id", "text_hash", F.when(F.col("at") == 0, F.col("said")).otherwise("").alias("said"), "at", F.when(F.col("at") > 0, F.col("said")).otherwise("").alias("l_norm"))
     joined = every.join(whole, (F.sha2("said", 256) == F.col("w_digest")) & (F.col("said") == F.col("w_said")), "left").join(part, (F.sha2("l_norm", 256) == F.col("l_digest")) & (F.col("l_norm") == F.col("l_said")), "left")
     hits = joined.where((F.col("at") == 0) | F.col("line_license").isNotNull()).select("doc_id", "text_hash", "at", "license", "line_license")
     per = hits.groupBy("doc_id", "text_hash").agg(F.count_if(F.col("at") == 0).alias("times"), F.max("license").alias("license"), F.array_sort(F.collect_set("line_license")).alias("line_licenses"), F.count("line_license").alias("n"))
