@@ -176,6 +176,8 @@ def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a"), (2, "u", None), (1, "u", "<p>a"), (None, None, "")], "page_id long, url string, html string")
     assert sorted(((r.page_id or 0, r.text) for r in html_text.extract(df).collect())) == [(0, ""), (1, "a"), (1, "a"), (2, "")]
     assert html_text.extract(df.limit(0)).count() == 0
+    clash = spark.createDataFrame([("k", "<b>x", "other", 3, "c")], "page_id string, html string, text string, n_chars int, tag string")
+    assert [tuple(r) for r in html_text.extract(clash).collect()] == [("k", "x")]
 
 
 def good_and_bad(n):
@@ -204,6 +206,34 @@ def test_quality(spark):
     assert {r.score for r in quality.scored(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_against_one_solve(spark):
+    """The summed system against one in plain numpy, the calibration against a plain isotonic fit, over the same rows."""
+    rows = good_and_bad(500)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, q if i % 9 else 1 - q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    found = quality.features(docs).cache()
+    model = quality.fit(found, labels)
+    x = {r.doc_id: np.array([r[k] for k in quality.NAMES], np.float32) for r in found.collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in x}
+    y = {i: float(q if i % 9 else 1 - q) for i, _, q in rows}
+    every = np.stack(list(x.values())).astype(float)
+    assert np.allclose(model.mean, every.mean(0), atol=1e-5) and np.allclose(model.scale[model.scale != 1], every.std(0)[model.scale != 1], rtol=1e-4)
+    fits = [i for i in x if fold[i] in (1, 2, 3)]
+    z = model.expand(np.stack([x[i] for i in fits]))
+    ridge = 1e-3 * len(fits) * np.diag(np.append(np.ones(z.shape[1] - 1), 1e-6)) + 1e-9 * np.eye(z.shape[1])
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + ridge, z.T @ np.array([y[i] for i in fits])), atol=1e-5)
+    kernel = z[:40, :-1] @ z[:40, :-1].T
+    v = (np.stack([x[i] for i in fits[:40]]).astype(float) - model.mean) / model.scale
+    exact = np.exp(-((np.clip(v, -6, 6)[:, None] - np.clip(v, -6, 6)[None]) ** 2).sum(2) / (2 * len(quality.NAMES)))
+    assert np.abs(kernel - exact).mean() < 0.1  # what 128 features give
+    held = [i for i in x if fold[i] == 4]
+    at = np.minimum((np.clip(model.raw(np.stack([x[i] for i in held])), 0, 1) * quality.BINS).astype(int), quality.BINS - 1)
+    bins = np.unique(at)
+    n, total = np.array([(at == b).sum() for b in bins], float), np.array([sum(y[i] for i, a in zip(held, at, strict=True) if a == b) for b in bins])
+    best = [max(min(total[a : b + 1].sum() / n[a : b + 1].sum() for b in range(k, len(bins))) for a in range(k + 1)) for k in range(len(bins))]
+    assert np.allclose(np.unique(np.round(model.level, 12)), np.unique(np.round(best, 12)))
+
+
 def test_pooled():
     at, level = quality.pooled(np.array([0.1, 0.2, 0.3, 0.4]), np.array([1.0, 1, 1, 1]), np.array([0.0, 1, 0, 1]))
     assert level.tolist() == [0.0, 0.5, 1.0] and at.tolist() == pytest.approx([0.1, 0.25, 0.4])
@@ -240,21 +270,227 @@ def test_language_model(spark):
     assert none and all(r.base_score == 0 and abs(r.score) < 1e-9 and r.n_known == 0 for r in none)
 
 
+def model_range(words, n):
+    """A range of its own: words sorted hashes, n: {(word number, context): tokens}."""
+    keys = sorted(n)
+    runs = np.bincount([w for w, _ in keys], minlength=len(words)).astype(np.uint32)
+    return language_model.Range(np.array(words, np.uint64).tobytes(), runs.tobytes(), np.array([c for _, c in keys], np.uint16).tobytes(), np.array([n[k] for k in keys], np.uint32).tobytes())
+
+
 def test_language_model_sums_to_one(spark):
     """Over all words and the unknown one, in seen and unseen restaurants."""
     rng = np.random.default_rng(0)
     word = np.sort(rng.choice(2**62, 30, replace=False).astype(np.uint64))
-    history = rng.integers(0, language_model.CHILDREN, (30, 5))
-    n = rng.integers(1, 60, 150)
-    r = language_model.Range(word.tobytes(), np.full(30, 5, np.uint32).tobytes(), np.sort(history, 1).astype(np.uint16).tobytes(), n.astype(np.uint32).tobytes())
-    s = language_model.Setting((0.4, 0.5, 0.6))
-    s.totals = [r.totals()]
-    for k in range(1, language_model.SWEEPS + 1):
-        t = language_model.Range(word.tobytes(), np.full(30, 5, np.uint32).tobytes(), np.sort(history, 1).astype(np.uint16).tobytes(), n.astype(np.uint32).tobytes())
+    n = {(w, int(c)): int(rng.integers(1, 60)) for w in range(30) for c in rng.choice(language_model.CONTEXTS, 5, replace=False)}
+    s = language_model.Setting()
+    for k in range(language_model.SWEEPS + 1):
+        t = model_range(word, n)
         for _ in t.replay(0, s, k):
             pass
-        s.totals.append(t.totals())
-    score = language_model.Scorer(r, 0, s)
-    for h in (int(history[0, 0]), 5, 60000):
+        s.add(t.totals())
+    score = language_model.Scorer(model_range(word, n), 0, s)
+    for h in (min(c for _, c in n), 5, 60000):
         _, _, logs = score(np.append(word, np.uint64(3)), np.full(31, h))
         assert (10.0**logs).sum() == pytest.approx(1, abs=1e-9)
+
+
+def rising(start, step, k):
+    return math.prod(start + step * i for i in range(k))
+
+
+def test_language_model_against_all_seatings(monkeypatch):
+    """Averaged probabilities against sums over every number of tables of every dish."""
+    import itertools
+
+    monkeypatch.setattr(language_model, "DISCOUNTS", np.array([0.5]))
+    monkeypatch.setattr(language_model, "STRENGTHS", np.array([1.0]))
+    monkeypatch.setattr(language_model, "PLACES", language_model.PATHS + 2)
+    counts = {(0, 1): 3, (0, 2): 1, (1, 1): 2, (1, 2): 2, (2, 2): 1}
+    d, strength, words, base = 0.5, 1.0, 3, 1 / 4
+    exp_s = np.exp(language_model.stirling(d))
+    dishes, customers = sorted(counts), {u: sum(n for (_, c), n in counts.items() if c == u) for u in (1, 2)}
+    total, want = 0.0, np.zeros((words, 3))
+    for seats in itertools.product(*[range(1, counts[k] + 1) for k in dishes]):
+        t2 = dict(zip(dishes, seats, strict=True))
+        open_ = {u: sum(t for (_, c), t in t2.items() if c == u) for u in (1, 2)}
+        c0 = [sum(t for (w, _), t in t2.items() if w == k) for k in range(words)]
+        for t0 in itertools.product(*[range(1, c + 1) for c in c0]):
+            chance = math.prod(exp_s[counts[k], t2[k]] for k in dishes) * math.prod(rising(strength, d, open_[u]) for u in (1, 2)) * math.prod(exp_s[c, t] for c, t in zip(c0, t0, strict=True)) * rising(strength, d, sum(t0)) / rising(strength, 1, sum(c0)) * base ** sum(t0)
+            total += chance
+            for w in range(words):
+                p0 = (c0[w] - d * t0[w] + (strength + d * sum(t0)) * base) / (strength + sum(c0))
+                want[w, 0] += chance * p0
+                for u in (1, 2):
+                    want[w, u] += chance * (counts.get((w, u), 0) - d * t2.get((w, u), 0) + (strength + d * open_[u]) * p0) / (strength + customers[u])
+    want /= total
+    s, r, got, kept = language_model.Setting(), model_range([10, 20, 30], counts), np.zeros((words, 3)), 0
+    s.add(r.totals())
+    for k in range(3000):
+        r.sweep(s, k, np.random.default_rng([1, k]))
+        s.add(r.totals())
+        if k >= 100:
+            p0, p1 = r.predictive(s, k + 1)
+            got[:, 0] += p0
+            x, kept = s.totals[k + 1], kept + 1
+            for u in (1, 2):
+                got[:, u] += (strength + d * x[u]) * p0 / (strength + customers[u])
+            for (w, u), p in zip(dishes, p1, strict=True):
+                got[w, u] += p - (strength + d * x[u]) * p0[w] / (strength + customers[u])
+    got /= kept
+    assert np.abs(np.log10(got / want)).max() < 0.02
+
+
+def test_language_model_finds_the_discount():
+    """Tokens drawn from a process with a discount of 0.8: the sampled ones of root and context, which multiply, come near."""
+    rng = random.Random(1)
+    n, customers, tables, known = {}, 0, 0, 0
+    seats: list[tuple[int, int]] = []
+    for _ in range(4000):
+        if rng.random() * (1 + customers) < 1 + 0.8 * tables:
+            seats.append((known, 1))
+            known, tables = known + 1, tables + 1
+        else:
+            at, left = 0, rng.random() * (customers - 0.8 * tables)
+            while left > seats[at][1] - 0.8:
+                left, at = left - seats[at][1] + 0.8, at + 1
+            seats[at] = (seats[at][0], seats[at][1] + 1)
+        customers += 1
+    n = {(w, 7): k for w, k in seats}
+    s, r = language_model.Setting(), model_range(range(10, 10 + known), n)
+    s.add(r.totals())
+    for k in range(12):
+        r.sweep(s, k, np.random.default_rng([2, k]))
+        s.add(r.totals())
+    assert abs(s.levels[-1][0] * s.levels[-1][2] - 0.8) <= 0.1
+
+
+def test_contexts_of_common_words_are_their_own(spark):
+    text = " ".join(f"w{k % 40}" for k in range(4000))
+    docs = spark.createDataFrame([(k, text + f" rare{k}") for k in range(30)], "doc_id long, text string")
+    common = language_model.common_words(docs, 40)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    word, context, _ = language_model.histories(raw, np.array([0, len(raw)]), common)
+    assert len(common) == 40 and context[0] == 0 and len(set(context[1:])) == 40 and max(context) <= 40
+    pairs = dict(zip(context[1:].tolist(), word[:-1].tolist(), strict=True))
+    assert all(pairs[c] == w for c, w in zip(context[1:].tolist(), word[:-1].tolist(), strict=True))
+
+
+WORDS = "ash birch cedar elm fir oak pine yew".split()
+
+
+def random_part(rng, depth):
+    kind = rng.choice(("text", "inline", "p", "div", "ul", "ol", "blockquote", "hidden", "table", "br") if depth else ("text", "inline"))
+    parts = [random_part(rng, depth - 1) for _ in range(rng.randrange(4))] if depth else []
+    said = " ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 4)))
+    if kind == "text":
+        return kind, " " + said + " "
+    if kind == "inline":
+        return kind, rng.choice(("b", "i", "span")), said
+    if kind in ("ul", "ol"):
+        return kind, [[("text", f" {said} "), *parts] if rng.random() < 0.9 else parts for _ in range(rng.randrange(1, 4))]
+    if kind == "table":
+        return kind, [[" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 3))) for _ in range(3)] for _ in range(rng.randrange(1, 4))]
+    if kind == "p":  # blocks would end it
+        parts = [random_part(rng, 0) for _ in range(rng.randrange(4))]
+    return kind, said if kind in ("hidden", "br") else parts
+
+
+def as_html(part):
+    kind, said, *more = part
+    inside = lambda parts: "".join(map(as_html, parts))
+    if kind == "text":
+        return said
+    if kind == "inline":
+        return f"<{said}>{more[0]}</{said}>"
+    if kind == "br":
+        return f"{said}<br>{said}"
+    if kind == "hidden":
+        return f"<div style='display:none'>{said}<p>{said}</p></div>"
+    if kind in ("ul", "ol"):
+        return f"<{kind}>" + "".join(f"<li>{inside(x)}</li>" for x in said) + f"</{kind}>"
+    if kind == "table":
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>" for row in said) + "</table>"
+    return f"<{kind}>{inside(said)}</{kind}>"
+
+
+GAP, END_LINE = object(), object()
+
+
+def marks(part, within=None):
+    """The part as words, ends of lines, gaps, and pushed or popped indents: what a reader would do on paper."""
+    kind, said, *more = part
+    if kind == "text":
+        return [" ", *[w for x in said.split() for w in (x, " ")]]
+    if kind == "inline":
+        return [*[w for x in more[0].split() for w in (" ", x)][1:]]
+    if kind == "br":
+        w = [y for x in said.split() for y in (" ", x)][1:]
+        return [*w, END_LINE, *w]
+    if kind == "hidden":
+        return []
+    if kind == "table":
+        wide = [max(len(row[k]) for row in said) for k in range(3)]
+        return [END_LINE, GAP, *[x for row in said for x in (END_LINE, "".join(c.ljust(w + 2) for c, w in zip(row, wide, strict=True)).rstrip())], END_LINE, GAP]
+    if kind in ("ul", "ol"):
+        gap = [] if within == "li" else [GAP]
+        items = []
+        for k, x in enumerate(said, 1):
+            mark = f"{k}. " if kind == "ol" else "- "
+            items += [END_LINE, ("push", mark, " " * len(mark)), *[m for y in x for m in marks(y, "li")], END_LINE, ("pop",)]
+        return [END_LINE, *gap, *items, END_LINE, *gap]
+    gap = [GAP] if kind in ("p", "blockquote") else []
+    push, pop = ([("push", "> ", "> ")], [("pop",)]) if kind == "blockquote" else ([], [])
+    return [END_LINE, *gap, *push, *[m for y in said for m in marks(y, kind)], END_LINE, *pop, END_LINE, *gap]
+
+
+def on_paper(parts):
+    lines, line, gap, indents, first = [], "", False, [], {}
+    for m in [x for p in parts for x in marks(p)] + [END_LINE]:
+        if m is GAP:
+            gap = True
+        elif m is END_LINE:
+            if line.strip():
+                last = max((k for k, i in enumerate(indents) if i[1] != "> "), default=0)  # the innermost item's mark is shown
+                lead = "".join(first.pop(id(i), i[2]) if k >= last or i[1] == "> " else (first.pop(id(i), 0), i[2])[1] for k, i in enumerate(indents))
+                lines += [""] if gap and lines else []
+                lines.append((lead + line.strip()).rstrip())
+                gap = False
+            line = ""
+        elif isinstance(m, tuple):
+            if m[0] == "push":
+                m = list(m)
+                indents.append(m)
+                first[id(m)] = m[1]
+            else:
+                first.pop(id(indents.pop()), None)
+        else:
+            line += m if m != " " or not line.endswith(" ") else ""
+    return "\n".join(lines)
+
+
+def test_html_against_paper():
+    rng = random.Random(12)
+    for _ in range(1500):
+        parts = [random_part(rng, 3) for _ in range(3)]
+        source = "".join(map(as_html, parts))
+        assert html_text.rendered(source) == on_paper(parts), source
+
+
+def test_html_of_hostile_pages():
+    import time
+
+    r, begun = html_text.rendered, time.time()
+    assert r("<table><tr><td colspan='²'>a<td>b</table>") == "a  b" and r(f"<table><tr><td colspan='{'9' * 5000}'>a<td>b</table>").split() == ["a", "b"]
+    assert r("&#" + "9" * 6000 + ";x&#" + "0" * 5000 + "65;") == "\ufffdxA"
+    for way in ("<a ", '<a "x ', "<a<b", "<!", "<a \"'>", "<?x", "</a "):
+        out = r(way * (1_000_000 // len(way)))
+        assert len(out) <= 1_000_001
+    assert r("<a 'x <b>y</b>") == "<a 'x y" and r("x <a href='") == "x <a href='"
+    wide = "<table><tr><td>" + "w " * 4000 + "<td>b" + "<tr><td>a<td>b" * 2000 + "</table>"
+    assert len(r(wide)) < 2 * len(wide) and r(wide).endswith("a  b")
+    spans = "<table>" + "<tr><td colspan=1000>a<td>b" * 2000 + "</table>"
+    assert len(r(spans)) < len(spans)
+    deep = r("<table><tr><td>a<td>" * 3000 + "x" + "<br>y" * 3000)
+    assert deep.count("y") == 3000 and deep.count("a") == 3000 and len(deep) < 60 * 3000 * 20
+    assert max(map(len, r("<ul><li>" * 5000 + "x<br>y").split("\n"))) < 410
+    assert time.time() - begun < 30
