@@ -282,13 +282,13 @@ def test_language_model_sums_to_one(spark):
     rng = np.random.default_rng(0)
     word = np.sort(rng.choice(2**62, 30, replace=False).astype(np.uint64))
     n = {(w, int(c)): int(rng.integers(1, 60)) for w in range(30) for c in rng.choice(language_model.CONTEXTS, 5, replace=False)}
-    s = language_model.Setting()
-    for k in range(language_model.SWEEPS + 1):
-        t = model_range(word, n)
-        for _ in t.replay(0, s, k):
-            pass
-        s.add(t.totals())
-    score = language_model.Scorer(model_range(word, n), 0, s)
+    s, r, seats = language_model.Setting(), model_range(word, n), []
+    s.add(r.totals())
+    for k in range(language_model.SWEEPS):
+        r.sweep(s, k, np.random.default_rng(k))
+        s.add(r.totals())
+        seats = (seats if k > language_model.BURN_IN else []) + r.seats()
+    score = language_model.Scorer(model_range(word, n), seats, s)
     for h in (min(c for _, c in n), 5, 60000):
         _, _, logs = score(np.append(word, np.uint64(3)), np.full(31, h))
         assert (10.0**logs).sum() == pytest.approx(1, abs=1e-9)
