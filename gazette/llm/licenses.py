@@ -161,7 +161,7 @@ def _sql() -> str:
             out = f"replace({out}, ' {found} ', ' {kept} ')"
         return f"trim({out})"
 
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''").replace("\n", "' || chr(10) || '")) for k, v in KNOWN)
+    values = ", ".join("('{}', E'{}')".format(k, v.replace("\\", "\\\\").replace("'", "''").replace("\n", "\\n").replace("\t", "\\t").replace("\f", "\\f")) for k, v in KNOWN)
     return f"""
 WITH k AS (SELECT said, min(license) AS license FROM (SELECT license, {norm("text", True)} AS said FROM (VALUES {values}) v(license, text)) GROUP BY said),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
