@@ -1,6 +1,6 @@
 """Distilling of a page to its article: cleaning steps over an element tree, and the order in which they run.
 
-Every step takes and changes a tree, so a page is parsed once. The word lists and rules are this package's own.
+Every step takes and changes a tree, so a page is parsed once.
 """
 
 from __future__ import annotations
@@ -15,12 +15,22 @@ VERSION = 1
 LEAST_WORDS = 80
 # Elements that are never content.
 CHROME = "nav, footer, button, noscript, form, title, meta, link, style, script, template"
-#: Parts of class and id names of what isn't the article.
-NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|masthead|menu|navbar|navigation|newsletter|outbrain|paywall|popup|promo\w*|recommend\w*|related|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|subscription|taboola|teaser|toolbar|trending|widget)(?:$|[\s_-])"
-)
-POSITIVE = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
-#: Lines that a site adds to articles, by language; a paragraph that is one of them goes, whatever its length.
+# Parts of class and id names that say an element is furniture: consent, sharing, other articles, subscription,
+# payment, advertising, navigation, ends of pages, rankings, what lies over the page.
+FURNITURE = """
+cookie consent gdpr privacy
+share social
+related recommended outbrain taboola
+newsletter signup subscribe
+paywall
+sponsor sponsored advert promo ad ads
+breadcrumb pagination pager sidebar navbar menu toolbar
+footer copyright disclaimer
+trending popular
+modal popup overlay banner widget comments
+""".split()
+NEGATIVE = re.compile(r"(?:^|[\s_-])(?:" + "|".join(FURNITURE) + r")s?(?:$|[\s_-])")
+#: Lines that a site adds to articles, by language: a paragraph that begins with one goes, whatever its length.
 BOILERPLATE = {
     "en": re.compile(r"^(?:read more|read also|share this|all rights reserved|follow us|sign up|advertisement)\b", re.I),
     "de": re.compile(r"^(?:mehr zum thema|lesen sie auch|alle rechte vorbehalten|anzeige|folgen sie uns|teilen)\b", re.I),
@@ -106,9 +116,9 @@ def drop_short(root: dom.Element, least: int = 25) -> None:
 def drop_boilerplate(root: dom.Element, language: str | None) -> None:
     """A site's own lines, by language; containers only up to 80 characters; other languages change nothing."""
     pattern = BOILERPLATE.get(re.split(r"[-_]", (language or "").strip().lower())[0])
-    for e in dom.select(root, "p, li, div, section, aside, span") if pattern else []:
+    for e in dom.select(root, "p, li, div, section, span, h1, h2, h3, h4, h5, h6, header, aside, a") if pattern else []:
         text = e.text()
-        if pattern.search(text) and (e.tag in ("p", "li") and len(text) <= 400 or len(text) <= 80):
+        if pattern.search(text) and (e.tag in ("p", "li") or len(text) <= 80):
             e.remove()
 
 
@@ -154,44 +164,54 @@ def apply_rule(root: dom.Element, rule: Rule | None) -> dom.Element:
 
 
 def cut_at_terminator(root: dom.Element, language: str | None) -> None:
-    """Everything from the first phrase on that ends articles of the language, outside figures."""
+    """Everything goes from the first phrase on that ends articles of the language, wherever it stands in a text; captions,
+    attributes and code don't count."""
     phrases = TERMINATORS.get(re.split(r"[-_]", (language or "").strip().lower())[0], ())
-    for e in dom.select(root, "p, h2, h3, h4, h5, li, div, span, strong") if phrases else []:
-        own = "".join(p for p in e.parts if isinstance(p, str)).strip().lower()
-        up, figure = e, False
-        while up is not None:
-            figure, up = figure or up.tag in ("figure", "figcaption"), up.parent
-        if not figure and any(own.startswith(p) for p in phrases):
-            at = e
-            while at.parent is not None:
-                k = next(i for i, p in enumerate(at.parent.parts) if p is at)
-                del at.parent.parts[k if at is e else k + 1 :]
-                at = at.parent
-            return
-
-
-def readable(root: dom.Element) -> dom.Element | None:
-    """The container whose paragraphs speak most for it: each scores by length and commas, for its parent and, half, for the
-    parent's parent; names and shares of link text weigh in. Null under 200 characters."""
-    scores: dict[int, list] = {}
-    for p in dom.select(root, "p, pre, td, blockquote"):
-        text = p.text()
-        if len(text) < 25 or p.parent is None:
-            continue
-        worth = 1 + text.count(",") + min(len(text) // 100, 3)
-        for up, share in ((p.parent, 1.0), (p.parent.parent, 0.5)):
-            if up is not None:
-                if id(up) not in scores:
-                    name = f"{up.attrs.get('class', '')} {up.attrs.get('id', '')}"
-                    scores[id(up)] = [(10 if up.tag in ("article", "main") else 5 if up.tag == "div" else 0) + 25 * bool(POSITIVE.search(name)) - 25 * bool(NEGATIVE.search(name.lower())), up]
-                scores[id(up)][0] += worth * share
+    todo: list[tuple[dom.Element, int]] = [(root, 0)] if phrases else []
+    while todo:
+        e, k = todo.pop()
+        while k < len(e.parts):
+            part, k = e.parts[k], k + 1
+            if isinstance(part, dom.Element):
+                if part.tag not in ("figure", "figcaption", "script", "style"):
+                    todo.append((e, k))
+                    e, k = part, 0
+                continue
+            low = part.lower()
+            if found := [low.find(p) for p in phrases if p in low]:
+                e.parts[k - 1 :] = [part[: min(found)]]
+                for up, at in todo:
+                    del up.parts[at:]
+                return
+
+
+def readable(root: dom.Element, most_links: float = 0.5, block_cost: int = 8, least: int = 200) -> dom.Element | None:
+    """The container that reads most like an article: of all elements the one whose blocks are worth most together. A block is
+    the text that an element holds outside of other blocks; it is worth its words, less those in links, less twice those in links
+    beyond the share `most_links`, less `block_cost`. So prose adds and navigation takes away, and the best element
+    is the largest one that takes in no more furniture than its prose is worth; of equal ones the innermost. None under `least`
+    characters."""
+    order, worth = [root, *root.walk()], {}
+    own: dict[int, list[int]] = {id(e): [0, 0] for e in order}  # words, and those in links, of each block
+    todo: list[tuple[dom.Element, dom.Element, bool]] = [(root, root, False)]
+    while todo:
+        e, block, linked = todo.pop()
+        for part in e.parts:
+            if isinstance(part, str):
+                n = words(part)
+                own[id(block)][0] += n
+                own[id(block)][1] += n * linked
+            elif part.tag not in ("script", "style", "template", "noscript"):
+                todo.append((part, part if part.tag in dom.BLOCK else block, linked or part.tag == "a"))
+    for e in reversed(order):
+        n, links = own[id(e)]
+        value = n - 2 * max(0, links - most_links * n) - links - block_cost if n else 0
+        worth[id(e)] = value + sum(worth[id(p)] for p in e.parts if isinstance(p, dom.Element))
     best = None
-    for score, e in scores.values():
-        text = e.text()
-        density = sum(len(a.text()) for a in dom.select(e, "a")) / max(1, len(text))
-        if len(text) >= 200 and (best is None or score * (1 - density) > best[0]):
-            best = (score * (1 - density), e)
-    return best[1] if best else None
+    for e in order[1:]:
+        if (e.tag in dom.BLOCK) and (best is None or worth[id(e)] >= worth[id(best)]):
+            best = e
+    return best if best is not None and worth[id(best)] > 0 and len(best.text()) >= least else None
 
 
 def clean(root: dom.Element, language: str | None = None, hero: str | None = None) -> dom.Element:

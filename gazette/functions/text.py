@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Entities that are decoded in feed text, and in pages besides.
 ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")]
 PAGE_ENTITIES = [("&#8211;", "-"), ("&#8212;", "-"), ("&#8220;", '"'), ("&#8221;", '"')]
-#: Letters with marks and what they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+WHITE = " \t\n\x0B\f\r"
 WS = r"[ \t\n\x0B\f\r]+"
 # Phrases that say a text goes on elsewhere.
 FEED_HINTS = ("read more", "continue reading")
@@ -34,6 +34,24 @@ che chi con dal dalla dei del della delle gli hai hanno nel nella non per piu so
 """.split())))
 
 
+def _marked() -> tuple[str, str]:
+    """Letters of any script that Unicode decomposes into a letter and marks, and those letters."""
+    marked, plain = "", ""
+    for c in map(chr, range(0xC0, 0xFFFE)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and not unicodedata.combining(parts[0]) and all(unicodedata.category(x)[0] == "M" for x in parts[1:]):
+            marked, plain = marked + c, plain + parts[0]
+    return marked, plain
+
+
+MARKED, PLAIN = _marked()
+
+
+def trimmed(x: Column) -> Column:
+    """Without white space at the ends."""
+    return F.btrim(x, F.lit(WHITE))
+
+
 def collapse(x: Column) -> Column:
     """White space to single spaces, ends trimmed."""
     return F.trim(F.regexp_replace(x, WS, " "))
@@ -64,8 +82,8 @@ def optional(x: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Lower case without marks on letters."""
-    return F.translate(F.lower(x), MARKED, PLAIN)
+    """Lower case without marks on letters, of any script, composed or not."""
+    return F.lower(F.regexp_replace(F.translate(x, MARKED, PLAIN), r"\p{M}+", ""))
 
 
 def word_count(x: Column) -> Column:
@@ -94,9 +112,9 @@ def feed_summary(summary: Column, cleaned: Column) -> Column:
 
 def page_summary(existing: Column, cleaned: Column) -> Column:
     """Keep a summary of 40 characters or more; else the page's text, cut at 280."""
-    text = F.trim(cleaned)
-    cut = F.when(F.length(text) <= 280, text).otherwise(F.concat(F.trim(prefix(text, 280)), F.lit("...")))
-    return F.when(F.length(F.trim(existing)) >= 40, existing).when(text == "", existing).otherwise(cut)
+    text = trimmed(cleaned)
+    cut = F.when(F.length(text) <= 280, text).otherwise(F.concat(trimmed(prefix(text, 280)), F.lit("...")))
+    return F.when(F.length(trimmed(existing)) >= 40, existing).when(text == "", existing).otherwise(cut)
 
 
 def _hinted(lowered: Column, hints: tuple[str, ...]) -> Column:
@@ -108,7 +126,7 @@ def _hinted(lowered: Column, hints: tuple[str, ...]) -> Column:
 
 def trailing_off(x: Column) -> Column:
     """Ends in an ellipsis."""
-    t = F.trim(x)
+    t = trimmed(x)
     return F.endswith(t, F.lit("...")) | F.endswith(t, F.lit("…")) | F.endswith(t, F.lit("[…]"))
 
 
@@ -137,6 +155,11 @@ def replace_content(new_words: Column, old_words: Column, source: Column, comple
     return F.when(new_words <= 0, False).when(old_words == 0, True).otherwise(rule)
 
 
+def improved(new_words: Column, old_words: Column, new_source: Column, old_source: Column) -> Column:
+    """Whether an enriched article is worth storing: it has more words, or its content comes from elsewhere."""
+    return (new_words > old_words) | ~new_source.eqNullSafe(old_source)
+
+
 def wants_enrichment(url: Column, source: Column, words: Column, complete: Column) -> Column:
     """An https article that isn't long enough yet for where its content comes from."""
     enough = ((source == "article_page") & (words >= 180)) | (complete & (words >= 220)) | ((source == "feed_content") & (words >= 350))
@@ -159,10 +182,14 @@ def content_choice(content: Column, summary: Column) -> tuple[Column, Column]:
     return F.when(has(content), content).when(has(summary), summary), F.when(has(content), "feed_content").when(has(summary), "feed_summary").otherwise("none")
 
 
+# Markup that ends a line of a page.
+LINE_BREAK, BLOCK_END = r"(?i)<\s*br\s*/?\s*>", r"(?i)</\s*(p|div|section|article|main|h[1-6]|li|blockquote)\s*>"
+
+
 def page_text(html: Column) -> Column:
     """Lines of a page: breaks and block ends part lines, other tags are spaces, blank lines go."""
-    x = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<\s*br\s*/?\s*>", "\n")
-    x = F.regexp_replace(x, r"(?i)</\s*(p|div|section|article|main|h[1-6]|li|blockquote)\s*>", "\n")
+    x = F.regexp_replace(F.coalesce(html, F.lit("")), LINE_BREAK, "\n")
+    x = F.regexp_replace(x, BLOCK_END, "\n")
     x = decode(F.regexp_replace(x, "<[^>]+>", " "), True)
     x = F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     return F.array_join(F.array_remove(F.transform(F.split(x, "\n"), collapse), ""), "\n")
@@ -171,12 +198,12 @@ def page_text(html: Column) -> Column:
 def paragraphs_html(text: Column) -> Column:
     """Lines of plain text as escaped paragraphs."""
     escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    lines = F.array_remove(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), "")
+    lines = F.array_remove(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), trimmed), "")
     return F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), escaped(x), F.lit("</p>"))), "\n")
 
 
-#: Phrases, by language, after which a page has only furniture.
-TERMINATORS = {"en": ("related articles", "more on this topic", "sign up for our newsletter"), "de": ("mehr zum thema", "lesen sie auch"), "fr": ("lire aussi", "sur le même sujet"), "es": ("lea también", "más sobre este tema"), "it": ("leggi anche", "articoli correlati")}
+# The line, by language, that ends an article; what follows is the site's.
+TERMINATORS = {"it": ("© riproduzione riservata", "©riproduzione riservata", "riproduzione riservata ©", "riproduzione riservata &copy;", "riproduzione riservata&copy;")}
 
 
 def cut_at_terminator(text: Column, language: Column) -> Column:
@@ -187,19 +214,19 @@ def cut_at_terminator(text: Column, language: Column) -> Column:
     for code, phrases in TERMINATORS.items():
         places = [F.nullif(F.instr(low, F.lit(p)), F.lit(0)) for p in phrases]
         first = F.array_min(F.array(*places))
-        out = F.when((primary == code) & first.isNotNull(), F.rtrim(F.substring(text, F.lit(1), first - 1))).otherwise(out)
+        out = F.when((primary == code) & first.isNotNull(), F.rtrim(F.substring(text, F.lit(1), first - 1), F.lit(WHITE))).otherwise(out)
     return out
 
 
 def primary_language(language: Column) -> Column:
     """The primary subtag, lower-case."""
-    return F.nullif(F.regexp_extract(F.lower(F.trim(language)), "^([a-z]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.lower(trimmed(language)), "^([a-z]+)", 1), F.lit(""))
 
 
 def tokens(title: Column, summary: Column) -> Column:
     """Folded runs of letters and digits, of 3 or more, that aren't stop words; with repeats."""
     text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit("")))
-    return F.filter(F.split(fold(text), "[^a-z0-9ßñœæ]+"), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
 
 
 def headline(article_id: Column, title: Column) -> Column:
@@ -209,12 +236,12 @@ def headline(article_id: Column, title: Column) -> Column:
 
 def summarisation_input(cleaned: Column, raw: Column) -> Column:
     """Trimmed cleaned content, else raw content, else null."""
-    return F.coalesce(F.nullif(F.trim(cleaned), F.lit("")), F.nullif(F.trim(raw), F.lit("")))
+    return F.coalesce(F.nullif(trimmed(cleaned), F.lit("")), F.nullif(trimmed(raw), F.lit("")))
 
 
 def cached_summary(short: Column, bullets: Column) -> Column:
     """The stored summary where it isn't blank."""
-    return F.when(F.trim(short) != "", F.struct(short.alias("short"), bullets.alias("bullets")))
+    return F.when(trimmed(short) != "", F.struct(short.alias("short"), bullets.alias("bullets")))
 
 
 def dedup_ordered(values: Column, most: int | None = None, ignore_case: bool = True) -> Column:

@@ -59,6 +59,15 @@ def srcset(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, ","), lambda c: F.regexp_extract(F.trim(c), r"^(\S+)", 1)), lambda u: u != "")
 
 
+def undotted(url: Column) -> Column:
+    """An absolute URL whose path has no . and .. any more."""
+    start, path, rest = (F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+    names = F.filter(F.split(path, "/"), lambda x, i: i > 0)
+    kept = F.aggregate(names, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    end = F.when(F.element_at(names, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(start, F.lit("/"), F.array_join(kept, "/"), end, rest)).otherwise(url)
+
+
 def resolve(value: Column, base: Column) -> Column:
     """An absolute http(s) URL of an image or link: as it is; //host and www.host with a scheme; a path against base. Null when
     none fits."""
@@ -68,7 +77,7 @@ def resolve(value: Column, base: Column) -> Column:
     folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:]/)[^/]*$", "")
     folder = F.when(folder.rlike("^(?i)https?://[^/]+$"), F.concat(folder, F.lit("/"))).otherwise(folder)
     joined = F.when(F.startswith(x, F.lit("/")), F.concat(origin, x)).when(F.startswith(x, F.lit("?")), F.concat(F.regexp_replace(base, r"[?#].*$", ""), x)).otherwise(F.concat(folder, F.regexp_replace(x, r"^(\./)+", "")))
-    relative = F.when((origin != "") & ~x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & (x != ""), joined)
+    relative = F.when((origin != "") & ~x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & (x != ""), undotted(joined))
     return F.when(x.rlike("(?i)^https?://[^/]"), x).when(F.startswith(x, F.lit("//")), F.concat(scheme, F.lit(":"), x)).when(F.startswith(F.lower(x), F.lit("www.")), F.concat(F.lit("https://"), x)).otherwise(relative)
 
 
@@ -80,8 +89,8 @@ def article_link(link: Column, feed_url: Column) -> Column:
 
 
 def first_image(html: Column) -> Column:
-    """The src of the first img, quoted or not."""
-    return F.nullif(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<img\b[^>]*?\bsrc\s*=\s*['\"]?([^'\"\s>]+)['\"]?[^>]*>", 1), F.lit(""))
+    """The src of the first img that has one, quoted or not."""
+    return F.nullif(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<img\s(?:[^>]*?\s)?src\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))
 
 
 def hero_image(media: Column, content: Column, summary: Column, article_url: Column, source_url: Column) -> Column:

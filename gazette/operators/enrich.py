@@ -51,6 +51,41 @@ class Provider:
         raise NotImplementedError("pick")
 
 
+class Timeout(Exception):
+    """What a provider raises when it can't be reached in time."""
+
+
+class Retrying(Provider):
+    """Another provider, asked once more after a pause when it can't be reached in time; other errors pass."""
+
+    def __init__(self, provider: Provider, pause: float = 2.0):
+        self.provider, self.pause = provider, pause
+
+    def _ask(self, name: str, *values) -> str:
+        import time
+
+        try:
+            return getattr(self.provider, name)(*values)
+        except (Timeout, TimeoutError, ConnectionError):
+            time.sleep(self.pause)
+            return getattr(self.provider, name)(*values)
+
+    def summarise(self, content: str) -> str:
+        return self._ask("summarise", content)
+
+    def categorise(self, content: str) -> str:
+        return self._ask("categorise", content)
+
+    def tags(self, content: str) -> str:
+        return self._ask("tags", content)
+
+    def group(self, headlines: list[str]) -> str:
+        return self._ask("group", headlines)
+
+    def pick(self, interests: list[str], headlines: list[str]) -> str:
+        return self._ask("pick", interests, headlines)
+
+
 class Local(Provider):
     """Deterministic answers from word counts."""
 
@@ -131,7 +166,7 @@ def picks(answer: str | None) -> list[dict]:
     for p in found if isinstance(found, list) else []:
         name, interest, r = (p.get("id"), p.get("interest"), p.get("relevance")) if isinstance(p, dict) else (None, None, None)
         if isinstance(name, str) and name.strip() and isinstance(interest, str) and interest.strip():
-            out.append({"id": name.strip(), "interest": " ".join(interest.split()), "relevance": min(100, max(1, int(r) if isinstance(r, (int, float)) and not isinstance(r, bool) else 0))})
+            out.append({"id": name.strip(), "interest": " ".join(interest.split()), "relevance": int(min(100, max(1, r))) if isinstance(r, (int, float)) and not isinstance(r, bool) and r == r else 1})
     return out
 
 

@@ -22,12 +22,29 @@ HERO = (
 MOST_BYTES = 2_000_000
 
 
+#: The signs of windows-1252 where latin-1 has control characters; five places stay as they are.
+CONTROLS, SIGNS = ("".join(x) for x in zip(*[(chr(k), bytes([k]).decode("cp1252")) for k in range(0x80, 0xA0) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)], strict=True))
+
+
 def decoded(body: Column, charset: Column) -> Column:
-    """Bytes of a page as text: a declared utf-8 or latin-1 (cp1252 too), else utf-8 where it is valid, else latin-1; more than
-    MOST_BYTES give null."""
-    latin = F.lower(charset).isin("iso-8859-1", "latin1", "latin-1", "windows-1252", "cp1252")
-    utf8 = F.try_validate_utf8(body.cast("string"))
-    return F.when(F.octet_length(body) <= MOST_BYTES, F.when(latin, F.decode(body, "ISO-8859-1")).otherwise(F.coalesce(utf8, F.decode(body, "ISO-8859-1"))))
+    """Bytes of a page as text: a declared utf-8 where it is valid, a declared latin-1 or windows-1252, else utf-8 where it is
+    valid, else latin-1; more than MOST_BYTES give null."""
+    name, latin, utf8 = F.lower(F.coalesce(charset, F.lit(""))), F.decode(body, "ISO-8859-1"), F.try_validate_utf8(body.cast("string"))
+    declared = F.when(F.contains(name, F.lit("utf-8")) & utf8.isNotNull(), utf8).when(name.rlike("iso-8859-1|latin-?1"), latin).when(name.rlike("windows-1252|cp1252"), F.translate(latin, CONTROLS, SIGNS))
+    return F.when(F.octet_length(body) <= MOST_BYTES, F.coalesce(declared, utf8, latin))
+
+
+def landed(pages: DataFrame) -> DataFrame:
+    """Landed pages (url, http_status, content_type, body) with html and status: success, insecure_transport,
+    http_status, non_html, empty_response or payload_too_large. The first that applies, in this order; html only with success.
+    The charset is the content type's."""
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
+    status = (
+        F.when(~F.startswith(F.lower(F.coalesce("url", F.lit(""))), F.lit("https://")), "insecure_transport").when(~F.coalesce(F.col("http_status").between(200, 299), F.lit(False)), "http_status")
+        .when((kind != "") & ~kind.rlike("text/html|application/xhtml"), "non_html").when(F.coalesce(F.octet_length("body"), F.lit(0)) == 0, "empty_response").when(F.octet_length("body") > MOST_BYTES, "payload_too_large").otherwise("success")
+    )
+    rows = pages.withColumn("status", status)
+    return rows.withColumn("html", F.when(F.col("status") == "success", decoded(F.col("body"), kind))).drop("body")
 
 
 def without_code(html: Column) -> Column:
@@ -38,10 +55,10 @@ def without_code(html: Column) -> Column:
 def extracted(pages: DataFrame) -> DataFrame:
     """pages with raw_html, cleaned_text, hero, words, complete: the container with most words, or the body where that is
     better."""
-    rows = pages.withColumn("_s", without_code(F.trim("html")))
+    rows = pages.withColumn("_s", without_code(text.trimmed(F.col("html"))))
     body = F.nullif(F.regexp_extract("_s", BODY, 1), F.lit(""))
     found = F.concat(*[F.regexp_extract_all("_s", F.lit(p), F.lit(1)) for p in (ARTICLE, MAIN, KEYWORD)])
-    rows = rows.withColumn("_body", F.coalesce(body, "_s")).withColumn("_found", F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
+    rows = rows.withColumn("_body", F.coalesce(body, "_s")).withColumn("_found", F.filter(F.transform(found, text.trimmed), lambda x: x != ""))
     counted = F.transform("_found", lambda x: F.struct(text.word_count(text.page_text(x)).alias("n"), x.alias("html")))
     rows = rows.withColumn("_all", counted).withColumn("_most", F.array_max(F.transform("_all", lambda x: x["n"])))
     rows = rows.withColumn("_one", F.coalesce(F.get(F.filter("_all", lambda x: x["n"] == F.col("_most")), 0)["html"], F.col("_body")))

@@ -83,8 +83,8 @@ def existing(rows: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame
     return rows.join(ids, on, "left_semi"), rows.join(ids, on, "left_anti")
 
 
-def toggled(values, value: str):
-    """A list without the value where it has it, with it at the end where it hasn't."""
+def toggled(values, value):
+    """A list without the value (a string or a column) where it has it, with it at the end where it hasn't."""
     v = F.lit(value)
     return F.when(F.array_contains(values, v), F.array_remove(values, v)).otherwise(F.concat(values, F.array(v)))
 

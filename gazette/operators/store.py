@@ -105,25 +105,83 @@ def patched(preferences: dict, patch: dict) -> tuple[dict, bool]:
     return ({**preferences, **clean}, True) if clean else (preferences, False)
 
 
-def save(df: DataFrame, path: str) -> str:
-    """Write the next version of a table and point to it; returns the version's folder. Old versions stay for readers."""
-    spark, version = df.sparkSession, (current_version(df.sparkSession, path) or 0) + 1
-    df.write.parquet(f"{path}/v{version}")
-    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").json(f"{path}/versions")
-    return f"{path}/v{version}"
+DEFAULTS = {"preferred_categories": [], "preferred_topics": [], "hidden_sources": [], "favorite_sources": [], "preferred_language": None, "enabled_regions": [], "has_completed_onboarding": False}
 
 
-def current_version(spark: SparkSession, path: str) -> int | None:
-    """The latest complete version of a table of save()."""
+def load_preferences(spark: SparkSession, path: str) -> dict:
+    """The stored preferences; the defaults are stored first where there are none."""
+    if current_version(spark, path) is None:
+        return reset_preferences(spark, path)
+    import json
+
+    return json.loads(load(spark, path).first().settings)
+
+
+def _store_preferences(spark: SparkSession, path: str, preferences: dict) -> dict:
+    import json
+
+    save(spark.createDataFrame([(json.dumps(preferences, sort_keys=True),)], "settings string").coalesce(1), path)
+    return preferences
+
+
+def update_preferences(spark: SparkSession, path: str, patch: dict) -> dict:
+    """Preferences after a patch; a patch without values writes nothing."""
+    new, changed = patched(load_preferences(spark, path), patch)
+    return _store_preferences(spark, path, new) if changed else new
+
+
+def reset_preferences(spark: SparkSession, path: str) -> dict:
+    """Store the defaults."""
+    return _store_preferences(spark, path, dict(DEFAULTS))
+
+
+def save(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Write the next version of a table, then point to it; returns the version's folder. A version has a folder of its own
+    name, which only a written pointer names, so a writer that dies in between leaves nothing that a later one stumbles over.
+    The last `keep` versions stay for readers, older ones go."""
+    import uuid
+
+    spark = df.sparkSession
+    version, folder = (current_version(spark, path) or 0) + 1, uuid.uuid4().hex
+    df.write.parquet(f"{path}/data/{folder}")
+    spark.createDataFrame([(version, folder)], POINTER).coalesce(1).write.mode("append").json(f"{path}/versions")
+    for old in pointers(spark, path).where(F.col("version") <= version - keep).collect():
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data/{old.folder}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return f"{path}/data/{folder}"
+
+
+POINTER = "version int, folder string"
+
+
+def pointers(spark: SparkSession, path: str) -> DataFrame:
+    """version and folder of every version that was ever pointed to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return None
-    return spark.read.schema("version int").json(f"{path}/versions").agg(F.max("version")).first()[0]
+        return spark.createDataFrame([], POINTER)
+    return spark.read.schema(POINTER).json(f"{path}/versions")
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """The latest complete version of a table of save()."""
+    return pointers(spark, path).agg(F.max("version")).first()[0]
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of a table of save()."""
-    return spark.read.parquet(f"{path}/v{current_version(spark, path)}")
+    """The latest version of a table of save(); of two writers of one version, the one whose folder's name comes last."""
+    last = pointers(spark, path).orderBy(F.desc("version"), F.desc("folder")).first()
+    return spark.read.parquet(f"{path}/data/{last.folder}")
+
+
+def current_run(cache: DataFrame) -> DataFrame:
+    """Rows of the newest run (run, ...): what a superseded run has still written is discarded."""
+    newest = cache.agg(F.max("run").alias("_run"))
+    return cache.join(F.broadcast(newest), F.col("run") == F.col("_run")).drop("_run")
+
+
+def without_reader(cache: DataFrame, readers: DataFrame) -> DataFrame:
+    """The cache (reader, ...) without rows of readers (reader) whose interests changed."""
+    return cache.join(readers.select(F.col("reader").alias("_reader")).distinct(), F.col("reader") == F.col("_reader"), "left_anti")
 
 
 def fresh_groups(cache: DataFrame, as_of: datetime, hours: int = 12) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from gazette.functions import text, urls
 
 REGIONS = "['italy', 'germany', 'france', 'spain', 'united_kingdom', 'world']"
-MARKED, PLAIN = text.MARKED, text.PLAIN
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gazette.functions import text, urls
 from gazette.operators import dedup, query, ranking, reports, selection, store
 from gazette.plans.bindings import (
-    BUCKET, CANONICAL, CATALOGUE, CHECKS, DOCUMENT_ARTICLES, EVENT_ARTICLES, INTERACTIONS, MARKED, PAGE_ARTICLES, PLAIN, as_of, checks, document_articles, event_articles, interactions, page_articles, read,
+    BUCKET, CANONICAL, CATALOGUE, CHECKS, DOCUMENT_ARTICLES, EVENT_ARTICLES, INTERACTIONS, PAGE_ARTICLES, as_of, checks, document_articles, event_articles, interactions, page_articles, read,
 )
 from gazette.sources import catalogue, rules
 
@@ -44,7 +44,7 @@ def feed_query_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH {DOCUMENT_ARTICLES}
-SELECT id, title, published_at FROM dc WHERE contains(translate(lower(title), '{MARKED}', '{PLAIN}'), 'eaue') OR contains(translate(lower(coalesce(cleaned_content, '')), '{MARKED}', '{PLAIN}'), 'eaue')
+SELECT id, title, published_at FROM dc WHERE contains(lower(strip_accents(title)), 'eaue') OR contains(lower(strip_accents(coalesce(cleaned_content, ''))), 'eaue')
 ORDER BY published_at DESC, id LIMIT 50""")
 def feed_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest fifty articles with a text, without regard to case and marks."""

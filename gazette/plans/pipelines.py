@@ -36,6 +36,20 @@ def persisted(old: DataFrame, new: DataFrame, as_of: datetime) -> DataFrame:
     return store.upsert(store.retained(old, as_of), full.select(*old.columns), as_of)
 
 
+def refreshed_and_kept(raw: DataFrame, catalogue: DataFrame, page_table: DataFrame, preferences: Preferences | None, path: str, as_of: datetime) -> tuple[DataFrame, str | None]:
+    """refreshed(), and what kept it from being stored under path, or None: a write that fails never fails the read."""
+    new = materialize(refreshed(raw, catalogue, page_table, preferences), "refreshed")
+    spark, now = new.sparkSession, times.at(as_of)
+    try:
+        if store.current_version(spark, path) is None:
+            store.save(new.withColumns({"is_bookmarked": F.lit(False), "is_read": F.lit(False), "created_at": now, "updated_at": now}), path)
+        else:
+            store.save(persisted(store.load(spark, path), new, as_of), path)
+    except Exception as e:  # reported, not raised: the reader still gets the articles
+        return new, str(e).splitlines()[0] if str(e) else type(e).__name__
+    return new, None
+
+
 def shown(articles: DataFrame, preferences: Preferences | None, allow: DataFrame | None) -> DataFrame:
     """What is displayed from the store: three times as many of the newest, allowed ones, ranked, cut to fifty."""
     newest = query.recent(articles, 3 * SHOWN)

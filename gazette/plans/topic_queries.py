@@ -12,7 +12,7 @@ from gazette.functions import text, times, urls
 from gazette.operators import dedup, enrich, ranking, topics
 from gazette.operators.selection import Preferences
 from gazette.plans import pipelines
-from gazette.plans.bindings import DOCUMENT_ARTICLES, EVENT_ARTICLES, MARKED, PLAIN, as_of, document_articles, event_articles, read
+from gazette.plans.bindings import DOCUMENT_ARTICLES, EVENT_ARTICLES, as_of, document_articles, event_articles, read
 from gazette.sources import catalogue, tables
 from gazette.streaming import events as stream
 
@@ -34,7 +34,7 @@ def register(sql: str | None = None):
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 VECTORS = f"""{DOCUMENT_ARTICLES},
-tk AS (SELECT id, unnest(list_filter(string_split_regex(translate(lower(coalesce(title, '') || ' ' || coalesce(summary_short, '')), '{MARKED}', '{PLAIN}'), '[^a-z0-9ßñœæ]+'), lambda t: length(t) >= 3 AND NOT (t IN ({STOP})))) AS token FROM dc),
+tk AS (SELECT id, unnest(list_filter(string_split_regex(lower(strip_accents(coalesce(title, '') || ' ' || coalesce(summary_short, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 3 AND NOT (t IN ({STOP})))) AS token FROM dc),
 tf AS (SELECT id, token, count(*) AS tf FROM tk GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), nn AS (SELECT count(*)::DOUBLE AS n FROM dc),
 vw AS (SELECT id, token, tf * (ln(n / df) + 1) AS weight FROM tf JOIN df USING (token), nn)"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gazette.schemas import SOURCES
 
@@ -14,6 +15,19 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SOURCES).json(path)
 
 
+def union(*lists: DataFrame) -> DataFrame:
+    """The lists of regions one after another; a source that stands in two stands there twice."""
+    out = lists[0]
+    for more in lists[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def build(catalogue: DataFrame, multi_region: bool = False, home: str = REGIONS[0]) -> DataFrame:
+    """The sources of a build: those of its home region, or of all regions."""
+    return catalogue if multi_region else catalogue.where(F.col("region") == home)
+
+
 def regions(spark: SparkSession) -> DataFrame:
     """region, ordinal."""
     return spark.createDataFrame([(r, k) for k, r in enumerate(REGIONS)], "region string, ordinal int")

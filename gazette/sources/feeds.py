@@ -137,6 +137,17 @@ def items(raw: DataFrame) -> DataFrame:
     return raw.select("source_id", "payload").mapInArrow(run, FEED_ITEMS + ", status STRING")
 
 
+def landed(raw: DataFrame) -> DataFrame:
+    """Landed payloads (source_id, url, http_status, body) with payload and fetch_status: success, insecure_url, http_status or
+    empty_response, the first that applies; a payload only with success."""
+    status = (
+        F.when(~F.startswith(F.lower(F.coalesce("url", F.lit(""))), F.lit("https://")), "insecure_url").when(~F.coalesce(F.col("http_status").between(200, 299), F.lit(False)), "http_status")
+        .when(F.coalesce(F.octet_length("body"), F.lit(0)) == 0, "empty_response").otherwise("success")
+    )
+    rows = raw.withColumn("fetch_status", status)
+    return rows.withColumn("payload", F.when(F.col("fetch_status") == "success", F.col("body").cast("string"))).drop("body")
+
+
 def articles(found: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Articles of items (pos not null) of catalogue sources, before deduplication. Items without any title are left out."""
     s = catalogue.select(F.col("id").alias("s_id"), F.col("outlet_name").alias("s_name"), F.col("feed_url").alias("s_url"), F.col("language").alias("s_language"), F.col("tags").alias("s_tags"), "region")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import times
 
-from gazette.operators import store
+from gazette.operators import dedup, store
 
 
 def read(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
@@ -42,15 +42,29 @@ def run_available(rows: DataFrame, write: Callable[[DataFrame, int], None], chec
 
 
 def merge_into(path: str, as_of) -> Callable[[DataFrame, int], None]:
-    """A batch writer that merges articles into the store at path; a batch that was merged already changes nothing but
-    updated_at, as rows are matched by id."""
+    """A batch writer that merges articles into the store at path, of each id in a batch the newest row; a batch that was merged
+    already changes nothing but updated_at, as rows are matched by id."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        dated = F.unix_micros(F.coalesce("published_at", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).cast("timestamp"))
+        newest = dedup.latest_by(batch, F.col("id"), -dated, F.to_json(F.struct("*")))
         if store.current_version(spark, path) is None:
-            store.save(batch, path)
+            store.save(newest, path)
         else:
             old = store.load(spark, path)
-            store.save(store.upsert(old, batch.select(*old.columns), as_of), path)
+            store.save(store.upsert(old, newest.select(*old.columns), as_of), path)
 
     return write
+
+
+def surviving(write: Callable[[DataFrame, int], None], failed: list[str]) -> Callable[[DataFrame, int], None]:
+    """A batch writer whose failure doesn't stop the stream: what it said is added to failed."""
+
+    def safe(batch: DataFrame, k: int) -> None:
+        try:
+            write(batch, k)
+        except Exception as e:  # the caller decides what a failed write means
+            failed.append(f"batch {k}: {str(e).splitlines()[0] if str(e) else type(e).__name__}")
+
+    return safe

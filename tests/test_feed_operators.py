@@ -179,6 +179,50 @@ def test_store(spark, tmp_path):
     assert ids(store.fresh_groups(cache, NOW)) == [1]
 
 
+def test_store_survives_a_writer_that_dies(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "t"), articles(spark, [{"id": 1}])
+    store.save(rows, path)
+    more = articles(spark, [{"id": 1}, {"id": 2}])
+
+    def dies(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:  # between the data and the pointer
+        m.setattr(type(spark), "createDataFrame", dies)
+        with pytest.raises(OSError):
+            store.save(more, path)
+    assert store.current_version(spark, path) == 1 and store.load(spark, path).count() == 1
+    for n in (2, 3, 4):
+        store.save(more, path)
+        assert store.current_version(spark, path) == n and store.load(spark, path).count() == 2
+    from pathlib import Path
+
+    assert len(list(Path(path, "data").iterdir())) == 3  # two versions and what the dead writer left
+
+
+def test_batches_are_merged_by_id(spark, tmp_path):
+    from gazette.streaming import events
+
+    path, failed = str(tmp_path / "t"), []
+    batch = articles(spark, [{"id": 1, "title": "old"}, {"id": 1, "title": "new", "published_at": NOW + timedelta(hours=1)}, {"id": 2}])
+    write = events.merge_into(path, NOW)
+    write(batch, 0)
+    write(batch, 1)
+    got = sorted((r.id, r.title) for r in store.load(spark, path).collect())
+    assert [i for i, _ in got] == [1, 2] and got[0][1] == "new"
+    events.surviving(write, failed)(batch.drop("title"), 2)
+    assert len(failed) == 1 and failed[0].startswith("batch 2: ") and store.load(spark, path).count() == 2
+
+
+def test_preferences_are_kept(spark, tmp_path):
+    path = str(tmp_path / "p")
+    assert store.load_preferences(spark, path) == store.DEFAULTS and store.current_version(spark, path) == 1
+    assert store.update_preferences(spark, path, {"preferred_language": None}) == store.DEFAULTS and store.current_version(spark, path) == 1
+    assert store.update_preferences(spark, path, {"hidden_sources": ["b", "a", "b"], "preferred_language": "it"})["hidden_sources"] == ["b", "a"]
+    assert store.load_preferences(spark, path)["preferred_language"] == "it" and store.current_version(spark, path) == 2
+    assert store.reset_preferences(spark, path) == store.DEFAULTS and store.load_preferences(spark, path) == store.DEFAULTS
+
+
 def test_purge(spark):
     allow = selection.allow_list(catalogue.sample(spark), selection.Preferences(hidden_sources=["src1"]))
     a = articles(spark, [{"id": 1, "source_id": "src1"}, {"id": 2, "source_id": "src1", "is_bookmarked": True}, {"id": 3, "source_name": "Outlet 02"}, {"id": 4, "source_name": "Outlet 01"}])

@@ -28,6 +28,20 @@ def test_refresh_and_persist(spark):
     assert pipelines.persisted(one, new.limit(0), NOW + timedelta(days=40)).count() == 0
 
 
+def test_a_failed_write_never_fails_the_read(spark, tmp_path, monkeypatch):
+    raw = spark.createDataFrame([("src0", RSS)], "source_id string, payload string")
+    page, path = spark.createDataFrame([], "url string, html string"), str(tmp_path / "store")
+    new, failed = pipelines.refreshed_and_kept(raw, catalogue.sample(spark), page, None, path, NOW)
+    assert failed is None and new.count() == 3 and store.load(spark, path).count() == 3
+
+    def full(*_):
+        raise OSError("no space left")
+
+    monkeypatch.setattr(store, "save", full)
+    new, failed = pipelines.refreshed_and_kept(raw, catalogue.sample(spark), page, None, path, NOW)
+    assert failed == "no space left" and new.count() == 3 and store.current_version(spark, path) == 1
+
+
 def test_topics_and_picks(spark):
     rows = [{"id": k, "title": t, "source_id": f"s{k % 3}", "published_at": NOW - timedelta(hours=k % 5)} for k, t in enumerate(["Harbour bridge closes", "Harbour bridge reopens", "Budget vote tonight", "Harbour bridge inspection", "Football final"])]
     a, mains = articles(spark, rows), spark.createDataFrame([("s1",)], "id string")

@@ -40,7 +40,7 @@ def test_texts(spark):
     assert one(spark, text.feed_complete, "feed_content", long, long) and not one(spark, text.feed_complete, "feed_summary", long, long) and not one(spark, text.feed_complete, "feed_content", long, long + "…") and not one(spark, text.feed_complete, "feed_content", long, long + "Read More") and not one(spark, text.page_complete, long + "sign in to continue")
     assert one(spark, text.page_text, "<h1>A</h1><p>b<br/>c &#8211; d</p>\r\n <i>e</i>") == "A\nb\nc - d\ne"
     assert one(spark, text.paragraphs_html, "a <b>\n\n c") == "<p>a &lt;b&gt;</p>\n<p>c</p>"
-    assert one(spark, text.cut_at_terminator, "Body. LEGGI ANCHE: more", "it-IT") == "Body." and one(spark, text.cut_at_terminator, "Body. Leggi anche", "xx") == "Body. Leggi anche" and one(spark, text.cut_at_terminator, "x", None) == "x"
+    assert one(spark, text.cut_at_terminator, "Body. RIPRODUZIONE riservata © more", "it-IT") == "Body." and one(spark, text.cut_at_terminator, "Body. © riproduzione riservata", "xx") == "Body. © riproduzione riservata" and one(spark, text.cut_at_terminator, "x", None) == "x"
     assert one(spark, text.tokens, "The Città of  AI, città-2024!", None) == ["citta", "citta", "2024"]
     assert one(spark, text.headline, "i", "a\nb" + "c" * 200) == "i\ta b" + "c" * 137
     assert one(spark, lambda x: text.dedup_ordered(x, 2), ["A", " a ", "", "b", "C"], kinds=["array<string>"]) == ["A", "b"]
@@ -79,7 +79,7 @@ LONG = "<p>" + "A sentence, with some words in it that say something. " * 6 + "<
 
 
 def test_distill():
-    page = f"<html><body><nav>menu</nav><div class='share-bar'>share me</div><article class='story-body'><h1>T</h1>{LONG * 3}<p>short</p><p><a href=1>one one one</a></p><p><a href=1>two two two</a></p><p><a href=1>three three</a></p><figure><img src='https://c.example/hero-800w.jpg'></figure><p>Leggi anche: altro.</p><p>After words, all gone.</p></article><footer>f</footer></body></html>"
+    page = f"<html><body><nav>menu</nav><div class='share-bar'>share me</div><article class='story-body'><h1>T</h1>{LONG * 3}<p>short</p><p><a href=1>one one one</a></p><p><a href=1>two two two</a></p><p><a href=1>three three</a></p><figure><img src='https://c.example/hero-800w.jpg'></figure><p>Leggi anche: altro.</p><p>© Riproduzione riservata</p><p>After words, all gone.</p></article><footer>f</footer></body></html>"
     out = distill.distill(page, None, "it", "https://x.example/hero.png")
     assert out["method"] == "readable" and out["words"] > 150 and not any(x in out["text"] for x in ("menu", "share me", "short", "one one", "Leggi anche", "After words")) and "<img" not in out["html"]
     again = distill.distill(out["html"], None, "it")
@@ -116,6 +116,41 @@ def test_answers(spark):
     assert got["1"].category == "economy" and got["1"].summary.short == "First line here." and got["2"].summary is None and "words" in got["3"].tags
     with pytest.raises(NotImplementedError):
         enrich.Provider().tags("x")
+    assert [p["relevance"] for p in enrich.picks('{"picks": [{"id": "a", "interest": "x", "relevance": 1e999}, {"id": "b", "interest": "x", "relevance": NaN}, {"id": "c", "interest": "x", "relevance": 41.7}, {"id": "d", "interest": "x", "relevance": "9"}]}')] == [100, 1, 41, 1]
+
+
+def test_one_retry():
+    class Slow(enrich.Local):
+        def __init__(self, failures, error):
+            self.left, self.error, self.calls = failures, error, 0
+
+        def tags(self, content):
+            self.calls, self.left = self.calls + 1, self.left - 1
+            if self.left >= 0:
+                raise self.error("no answer")
+            return super().tags(content)
+
+    once, twice, other = Slow(1, enrich.Timeout), Slow(2, TimeoutError), Slow(1, ValueError)
+    assert enrich.tags(enrich.Retrying(once, 0).tags("words words")) == ["words"] and once.calls == 2
+    for p, error, calls in ((twice, TimeoutError, 2), (other, ValueError, 1)):
+        with pytest.raises(error):
+            enrich.Retrying(p, 0).tags("x")
+        assert p.calls == calls
+    with pytest.raises(NotImplementedError):
+        enrich.Retrying(enrich.Provider(), 0).group([])
+
+
+def test_decoded(spark):
+    rows = spark.createDataFrame([(b"\x93hi\x94 \x80", "text/html; charset=windows-1252"), (b"\x93hi\x94", "iso-8859-1"), (b"\xe9", None), ("é€".encode(), "UTF-8"), (b"\xe9", "utf-8"), (b"x" * 2_000_001, None), (None, None)], "body binary, charset string")
+    assert [r.x for r in rows.select(pages.decoded(F.col("body"), F.col("charset")).alias("x")).collect()] == ["“hi” €", "\x93hi\x94", "é", "é€", "é", None, None]
+
+
+def test_readable_takes_the_prose():
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>Section {k} of the site</a></li>" for k in range(15)) + "</ul>"
+    prose = "<p>A sentence, with some words in it that say something more than nothing.</p>"
+    for page in (f"<body>{menu}<div id=a>{prose * 6}</div>{menu}</body>", f"<body>{menu}<section><div id=a>{prose * 3}<div>{prose * 3}</div></div>{menu}</section></body>", f"<body><div id=a><div>{prose * 2}</div><div>{prose * 4}</div></div>{menu}</body>"):
+        assert distill.readable(dom.parse(page)).attrs.get("id") == "a"
+    assert distill.readable(dom.parse(menu)) is None and distill.readable(dom.parse("")) is None and distill.readable(dom.parse("<p>short</p>")) is None
 
 
 def test_pages(spark):
