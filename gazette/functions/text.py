@@ -247,10 +247,15 @@ def cached_summary(short: Column, bullets: Column) -> Column:
 def dedup_ordered(values: Column, most: int | None = None, ignore_case: bool = True) -> Column:
     """Sanitised distinct values in order of first appearance; blanks go; at most so many."""
     key = (lambda v: F.lower(v)) if ignore_case else (lambda v: v)
-    clean = F.filter(F.transform(values, sanitize), lambda v: v != "")
     start = F.array().cast("array<string>")
-    out = F.aggregate(clean, start, lambda acc, v: F.when(F.exists(acc, lambda a: key(a) == key(v)), acc).otherwise(F.concat(acc, F.array(v))))
-    return F.slice(out, 1, most) if most else out
+
+    def step(acc, raw):
+        # once the list is full, nothing is looked at any more
+        v = sanitize(raw)
+        more = F.when((v == "") | F.exists(acc, lambda a: key(a) == key(v)), acc).otherwise(F.concat(acc, F.array(v)))
+        return F.when(F.size(acc) < most, more).otherwise(acc) if most else more
+
+    return F.aggregate(values, start, step)
 
 
 # Marks of a paywall.

@@ -84,7 +84,45 @@ def sanitize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", text.safe_html(dirty).alias("safe"))
 
 
-@register()
+PAGE_SIGNS = [("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#8211;", "-"), ("&#8212;", "-"), ("&#8220;", '"'), ("&#8221;", '"'), ("&amp;", "&")]
+WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _lines(x: str) -> str:
+    """A page's lines in SQL."""
+    out = f"regexp_replace(regexp_replace(regexp_replace({x}, '(?i)<\\s*br\\s*/?\\s*>', chr(10), 'g'), '(?i)</\\s*(?:p|div|section|article|main|h[1-6]|li|blockquote)\\s*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+    for entity, sign in PAGE_SIGNS:
+        out = "replace({}, '{}', '{}')".format(out, entity, sign.replace("'", "''"))
+    return f"array_to_string(list_filter(list_transform(string_split_regex({out}, '\\r\\n|\\r|\\n'), lambda l: trim(regexp_replace(l, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lambda l: l <> ''), chr(10))"
+
+
+def _bare(x: str) -> str:
+    """A page without code, forms and embedded documents, in SQL."""
+    for tag in ("script", "style", "noscript", "svg", "canvas", "iframe", "form"):
+        x = f"regexp_replace({x}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    return x
+
+
+def _signs(x: str) -> str:
+    for entity, sign in PAGE_SIGNS:
+        x = "replace({}, '{}', '{}')".format(x, entity, sign.replace("'", "''"))
+    return x
+
+
+_META = "(?:property|name)\\s*=\\s*[''\"](?:og:image|twitter:image|twitter:image:src)[''\"]"
+
+
+@register(f"""WITH s AS (SELECT page_id, {_bare(f"trim(coalesce(html, ''), {WHITE_SQL})")} AS s FROM pages),
+b AS (SELECT *, coalesce(nullif(regexp_extract(s, '(?is)<body\\b[^>]*>(.*?)</body>', 1), ''), s) AS body, list_filter(list_transform(regexp_extract_all(s, '(?is)<article\\b[^>]*>(.*?)</article>', 1) || regexp_extract_all(s, '(?is)<main\\b[^>]*>(.*?)</main>', 1)
+  || regexp_extract_all(s, '(?is)<(?:section|div)\\b[^>]*(?:id|class)\\s*=\\s*[''"][^''"]*(?:article|story|post|entry|content|body)[^''"]*[''"][^>]*>(.*?)</(?:section|div)>', 1), lambda x: trim(x, {WHITE_SQL})), lambda x: x <> '') AS found FROM s),
+c AS (SELECT page_id, s, body, unnest(found) AS html, unnest(range(len(found))) AS i FROM b), n AS (SELECT *, {WORDS.format(x=f"({_lines('html')})")} AS n FROM c),
+o AS (SELECT page_id, arg_max(html, (n, -i)) AS html FROM n GROUP BY page_id), t AS (SELECT b.page_id, s, {_lines('coalesce(o.html, body)')} AS c, {_lines('body')} AS f FROM b LEFT JOIN o USING (page_id)),
+w AS (SELECT *, {WORDS.format(x='c')} AS cw, {WORDS.format(x='f')} AS fw, lower(c) AS low FROM t),
+u AS (SELECT *, substr(CASE WHEN fw > cw AND fw >= 60 AND (cw < 80 OR (cw < 140 AND fw - cw >= 40) OR (fw >= 2 * cw AND fw - cw >= 100) OR (fw - cw >= 20 AND (low LIKE '%read more%' OR low LIKE '%continue reading%' OR low LIKE '%subscribe to continue%' OR low LIKE '%sign in to continue%' OR low LIKE '%view the full article%'))) THEN f ELSE c END, 1, 250000) AS said FROM w),
+k AS (SELECT *, {WORDS.format(x='said')} AS words, lower(said) AS l2 FROM u)
+SELECT page_id, said AS cleaned_text, words::INT AS words, words >= 160 AND NOT (l2 LIKE '%read more%' OR l2 LIKE '%continue reading%' OR l2 LIKE '%subscribe to continue%' OR l2 LIKE '%sign in to continue%') AND NOT (said LIKE '%...' OR said LIKE '%…' OR said LIKE '%[…]') AS complete,
+  coalesce(nullif({_signs(f"regexp_extract(s, '(?is)<meta\\b[^>]*{_META}[^>]*\\bcontent\\s*=\\s*[''\"]([^''\"]+)[''\"][^>]*>', 1)")}, ''), nullif({_signs(f"regexp_extract(s, '(?is)<meta\\b[^>]*\\bcontent\\s*=\\s*[''\"]([^''\"]+)[''\"][^>]*{_META}[^>]*>', 1)")}, ''),
+    nullif({_signs("regexp_extract(s, '(?is)<img\\b[^>]*\\bsrc\\s*=\\s*[''\"]([^''\"]+)[''\"][^>]*>', 1)")}, '')) AS hero FROM k""")
 def main_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of each page's container, or body."""
     return pages.extracted(read(spark, sf_dir, "pages")).select("page_id", "cleaned_text", "words", "complete", "hero")
@@ -102,13 +140,13 @@ def image_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", urls.image_key(url).alias("key"))
 
 
-@register(f"""WITH t AS (SELECT doc_id, unnest(list_slice(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), 1, 20)) AS raw, unnest(range(1, len(list_slice(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), 1, 20)) + 1)) AS i FROM documents),
+@register(f"""WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')) AS raw, unnest(range(1, len(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')) + 1)) AS i FROM documents),
 c AS (SELECT doc_id, {SANITIZED.format(x="raw")} AS v, i FROM t), f AS (SELECT doc_id, arg_min(v, i) AS v, min(i) AS i FROM c WHERE v <> '' GROUP BY doc_id, lower(v)),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f)
 SELECT doc_id, coalesce(string_agg(v, '|' ORDER BY i) FILTER (r <= 8), '') AS tags FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""")
 def tag_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight distinct of a document's first twenty words."""
-    words = F.slice(F.split("text", text.WS), 1, 20)
+    """The first eight distinct of a document's words."""
+    words = F.split("text", text.WS)
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(text.dedup_ordered(words, 8), "|").alias("tags"))
 
 
@@ -151,7 +189,7 @@ def block_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.blocks(read(spark, sf_dir, "pages"))
 
 
-@register()
+@register(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN trim(html, {WHITE_SQL}) END AS body, CASE WHEN page_id % 3 = 0 THEN 'h' END AS headline, CASE WHEN page_id % 3 = 0 THEN false END AS is_free FROM pages")
 def jsonld_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON-LD articles of pages, a third of which are given one."""
     article = F.struct(F.array(F.lit("NewsArticle")).alias("@type"), F.lit("h").alias("headline"), F.lit("False").alias("isAccessibleForFree"), F.col("html").alias("articleBody"))

@@ -53,7 +53,20 @@ def tfidf_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.similar_pairs(topics.vectors(document_articles(spark, sf_dir))).withColumn("similarity", F.round("similarity", 6))
 
 
-@register()
+# articles in turn, newest first; each joins the cluster of its most similar earlier article, equal ones the older cluster
+CLUSTERED = f"""{VECTORS.replace("FROM dc)", "FROM tc)", 1).replace("count(*)::DOUBLE AS n FROM dc", "count(*)::DOUBLE AS n FROM tc").replace("tk AS (", "nw AS (SELECT max(published_at) AS now FROM dc), tc AS (SELECT * EXCLUDE (cap) FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(source_id, source_name) ORDER BY published_at DESC, id) AS cap FROM dc) x, nw WHERE cap <= 20 AND published_at >= now - INTERVAL 1 DAY AND published_at <= now + INTERVAL 300 SECOND), tk AS (", 1)},
+no AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM vw GROUP BY id), tn AS (SELECT id, row_number() OVER (ORDER BY published_at DESC, id) AS turn FROM tc),
+pr AS (SELECT i.turn AS i, j.turn AS j, sum(a.weight * b.weight) / (any_value(x.norm) * any_value(y.norm)) AS sim FROM vw a JOIN vw b USING (token) JOIN tn i ON i.id = a.id JOIN tn j ON j.id = b.id AND j.turn < i.turn JOIN no x ON x.id = a.id JOIN no y ON y.id = b.id GROUP BY 1, 2 HAVING sim >= 0.3),
+near AS (SELECT i, list({{'j': j, 'sim': sim}}) AS js FROM pr GROUP BY i), steps AS (SELECT turn, coalesce(js, []) AS js FROM tn LEFT JOIN near ON i = turn),
+fold AS (SELECT 0::BIGINT AS turn, []::BIGINT[] AS of UNION ALL SELECT s.turn, list_append(f.of, CASE WHEN len(s.js) = 0 THEN s.turn ELSE list_sort(list_transform(s.js, lambda x: {{'less': -x.sim, 'c': f.of[x.j]}}))[1].c END) FROM fold f JOIN steps s ON s.turn = f.turn + 1),
+of AS (SELECT unnest(of) AS c, unnest(range(1, len(of) + 1)) AS turn FROM (SELECT of FROM fold ORDER BY turn DESC LIMIT 1)),
+mb AS (SELECT tc.*, NULL::VARCHAR AS hero_image_url, c AS cluster FROM tc JOIN tn USING (id) JOIN of USING (turn))"""
+BUILT_OF = """md AS (SELECT *, CASE WHEN hero_image_url IS NULL THEN 2 ELSE 0 END + CASE WHEN source_id IN (SELECT 'src' || k FROM range(0, 20, 4) r(k)) THEN 0 ELSE 1 END AS grade FROM mb),
+ld AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY grade, published_at DESC, id) AS k FROM md),
+bl AS (SELECT cluster, max(id) FILTER (k = 1) AS lead_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY published_at DESC, id) FILTER (k > 1), '') AS member_ids, count(DISTINCT coalesce(source_id, source_name))::INT AS source_count, count(*) > 1 AS is_aggregated, max(grade) FILTER (k = 1) % 2 AS side, max(published_at) FILTER (k = 1) AS late FROM ld GROUP BY cluster)"""
+
+
+@register(f"WITH RECURSIVE {CLUSTERED}, {BUILT_OF} SELECT lead_id, member_ids, source_count, is_aggregated, row_number() OVER (ORDER BY source_count DESC, side, late DESC, lead_id)::INT AS pos FROM bl")
 def topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of the newest articles, capped by source."""
     articles = document_articles(spark, sf_dir)
