@@ -9,11 +9,16 @@ shares of shingles make equal registers. Then
 2. the likelihood of registers that are larger, smaller and equal, jointly with both set sizes, estimates each pair's
    similarity; pairs near enough that a common neighbour is possible make coarse groups;
 3. where a bucket still spans several coarse groups, the nodes left are estimated against each other, in blocks;
-4. inside a coarse group all links are confirmed on full sets, in blocks of bounded size; a block emits a spanning forest;
-5. components of confirmed links, and the smallest doc_id of each, go back to the rows.
+4. each node is compared, on full sets, with the one of its centres that looks most like it, then, for two rounds, each
+   component with the one that looks most like it; so most of a group of copies is linked, each set having been sent once;
+5. where a bucket still spans several components of those links, its nodes are compared on full sets across components, inside
+   their coarse group: nodes outside its largest component meet all others, in pairs of blocks; a block emits a spanning forest;
+6. components of confirmed links, and the smallest doc_id of each, go back to the rows.
 
 With 36 bands of 6 registers a pair at similarity 0.85 (0.8) shares no bucket in 4e-8 (2e-5) of cases. Blocks are processed
-apart, so a group of any size is spread over tasks; nothing is capped and no set of links passes through the driver.
+apart, so a group of any size is spread over tasks; nothing is capped and no set of links passes through the driver. Sets that
+are sent more than once are those of nodes that share a bucket, but no link so far, with others: of n such nodes of a group, m
+of them outside the largest component, a set is sent once for every 800 of the m, and those of the m once for every 800 of n.
 
 Defined results: null and empty texts (and those of white space) have no shingles, are linked with nothing and kept; texts
 with fewer words than a shingle are one shingle; rows with a null doc_id take part, a group of only such rows has a null
@@ -23,6 +28,7 @@ component_id; repeated rows share a node, and deduplicate() keeps one row of eac
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +43,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Nodes, and shingles, of a block that is verified in one piece.
 BLOCK_NODES, BLOCK_SHINGLES = 800, 2_000_000
+#: Rounds in which likely links are confirmed before blocks are paired.
+LIKELY_ROUNDS = 3
 _rng = np.random.default_rng(8)
 _MUL = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -149,13 +157,17 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, by: str, sizes: DataFrame) -> DataFrame:
-    """Deal the members of each group into blocks, and pair blocks: members (by, node, ...) get `key`, one for each pair of
-    blocks that they are in, and `side` (0, 1, or 2 where a block meets itself). sizes: by, blocks."""
-    m = members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    """Deal the members of each group into blocks, and pair blocks: members (by, node, outer, ...) get `key`, one for each pair
+    of blocks that they are in, and `side` (0, 1, or 2 where a block meets itself). sizes: by, outer_blocks, inner_blocks. Blocks
+    of members that aren't outer (numbered from outer_blocks on) meet outer blocks only."""
+    m = members.join(sizes, by)
+    at = lambda many: F.pmod(F.xxhash64("node"), many).cast("int")
+    block = F.when(F.col("outer"), at(F.greatest("outer_blocks", F.lit(1)))).otherwise(F.col("outer_blocks") + at(F.greatest("inner_blocks", F.lit(1))))
+    last = F.col("outer_blocks") - 1 + F.when(F.col("outer"), F.col("inner_blocks")).otherwise(0)
+    dealt = m.withColumn("block", block.cast("int")).where(last >= 0).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    return other.withColumn("key", F.xxhash64(by, low, high)).withColumn("side", side.cast("int")).withColumn("unit", F.struct(by, low, high)).drop("block", "other", "blocks")
+    return dealt.withColumn("key", F.xxhash64(by, low, high)).withColumn("side", side.cast("int")).drop("block", "other", "outer_blocks", "inner_blocks")
 
 
 class Forest:
@@ -200,13 +212,13 @@ def near_in_buckets(left: DataFrame, least: float) -> DataFrame:
 
 
 def confirmed(sets: DataFrame, similarity: int) -> DataFrame:
-    """a, b: a spanning forest of the links of a block, on full sets: 100 x intersection >= similarity x union.
-    sets: key, side, node, shingles (sorted distinct uint64 as bytes)."""
+    """a, b: a spanning forest of the links of a block, on full sets: 100 x intersection >= similarity x union, between nodes of
+    different components. sets: key, side, node, component, shingles (sorted distinct uint64 as bytes)."""
     import pyarrow as pa
 
     def run(batches):
-        for _, t in by_key(batches, ("node", "side", "shingles")):
-            node, side = t["node"].to_numpy(), t["side"].to_numpy()
+        for _, t in by_key(batches, ("node", "side", "component", "shingles")):
+            node, side, component = (t[c].to_numpy() for c in ("node", "side", "component"))
             each = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
             n, forest = np.array([len(x) for x in each]), Forest(len(node))
             values, ids = np.unique(np.concatenate(each), return_inverse=True)
@@ -222,14 +234,14 @@ def confirmed(sets: DataFrame, similarity: int) -> DataFrame:
                 lengths = ends - starts
                 where = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
                 common = np.bincount(owner[where], minlength=len(each))
-                fits = (100 * common >= similarity * (n[i] + n - common)) & (np.arange(len(each)) > i if side[i] == 2 else side == 1)
+                fits = (100 * common >= similarity * (n[i] + n - common)) & (component != component[i]) & (np.arange(len(each)) > i if side[i] == 2 else side == 1)
                 for k in np.flatnonzero(fits):
                     forest.join(i, int(k))
             if forest.links:
                 x, y = np.array(forest.links).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
-    return sets.select("key", "side", "node", "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return sets.select("key", "side", "node", "component", "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def with_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -248,6 +260,37 @@ def with_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
+def likely(near: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """key, side, node, component: of each node, or component of parts (node, label), the pair of near (a, b, similarity) that
+    looks most alike and leaves it. side 0 is b, side 1 a; a key holds one b and some BLOCK_NODES of its a."""
+    if parts is None:
+        pairs = near.select("a", "b", "similarity", F.col("a").alias("of"), F.col("b").alias("to"))
+    else:
+        one, two = (parts.select(F.col("node").alias(f"n{k}"), F.col("label").alias(f"l{k}")) for k in "ab")
+        pairs = near.join(one, F.col("a") == F.col("na"), "left").join(two, F.col("b") == F.col("nb"), "left").select("a", "b", "similarity", F.coalesce("la", "a").alias("of"), F.coalesce("lb", "b").alias("to")).where("of <> to")
+    best = pairs.groupBy("of").agg(F.max(F.struct("similarity", "b", "a", "to")).alias("best")).select("of", "best.a", "best.b", "best.to")
+    many = best.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
+    keyed = best.join(many, "b").select("a", "b", "of", "to", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("key"))
+    centres = keyed.select("key", F.lit(0).alias("side"), F.col("b").alias("node"), F.col("to").alias("component")).distinct()
+    return keyed.select("key", F.lit(1).alias("side"), F.col("a").alias("node"), F.col("of").alias("component")).unionByName(centres)
+
+
+def still_open(members: DataFrame, stars: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """label, node, component, outer of the members that share a bucket with a node of another component, and label,
+    outer_blocks, inner_blocks. outer: outside the largest component of the coarse group."""
+    own = F.coalesce("component", F.col("node"))
+    parts = linked.select("node", F.col("label").alias("component"))
+    across = stars.join(parts, "node", "left").groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("key")
+    active = stars.join(across, "key", "left_semi").select("node").distinct()
+    rows = materialize(members.join(active, "node", "left_semi").join(parts, "node", "left").select("label", "node", own.alias("component"), "n"), "active")
+    counts = rows.groupBy("label", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = counts.groupBy("label").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rows = rows.join(largest, "label").withColumn("outer", F.col("component") != F.col("largest")).drop("largest", "parts")
+    blocks = lambda of: F.ceil(F.greatest(F.count_if(of) / BLOCK_NODES, F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES))
+    sizes = rows.groupBy("label").agg(blocks(F.col("outer")).alias("outer_blocks"), blocks(~F.col("outer")).alias("inner_blocks"))
+    return rows, sizes
+
+
 def groups(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
     """Of every row: doc_id, text_hash, n (shingles of its set), label (of its component; null where the set is empty),
     component_id (smallest doc_id that links reach; the row's own where the set is empty). similarity: percent of the union that the intersection has at least."""
@@ -268,18 +311,26 @@ def groups(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
     several = stars.join(grouped, "node", "left").groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select("key")
     alike = near.where(F.col("similarity") >= link).select(F.col("a").alias("node"), F.col("b").alias("centre"))
     left = stars.where("node <> centre").join(several, "key", "left_semi").join(alike, ["node", "centre"], "left_anti").select("key", "node")
-    blocks = left.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(F.col("key").alias("bucket"), F.ceil(F.col("many") / BLOCK_NODES).alias("blocks"))
-    dealt = in_blocks(left.withColumnRenamed("key", "bucket"), "bucket", blocks).join(nodes.select("node", "n", "regs"), "node")
+    blocks = left.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(F.col("key").alias("bucket"), F.ceil(F.col("many") / BLOCK_NODES).alias("outer_blocks"), F.lit(0).alias("inner_blocks"))
+    dealt = in_blocks(left.withColumnRenamed("key", "bucket").withColumn("outer", F.lit(True)), "bucket", blocks).join(nodes.select("node", "n", "regs"), "node")
     more = materialize(near_in_buckets(dealt, coarse), "more")
     if not more.isEmpty():
         grouped = components(near.select("a", "b").unionByName(more))
 
-    members = grouped.join(nodes, "node").select("label", "node", "doc_id", "text_hash", "n")
-    sizes = members.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = in_blocks(members.select("label", "node"), "label", sizes)
-    sets = with_sets(members, docs, width)
-    links = confirmed(dealt.join(sets, "node"), similarity)
-    joined = components(materialize(links, "links"))
+    members = materialize(grouped.join(nodes, "node").select("label", "node", "doc_id", "text_hash", "n"), "members")
+    sets = materialize(with_sets(members, docs, width), "sets")
+    found, parts = [], None
+    for k in range(LIKELY_ROUNDS):
+        picked = likely(near, parts)
+        found.append(materialize(confirmed(picked.join(sets, "node"), similarity), f"likely{k}"))
+        if k and found[-1].isEmpty():
+            break
+        one = reduce(DataFrame.unionByName, found)
+        parts = materialize(components(one), f"parts{k}")
+    open_, sizes = still_open(members, stars, parts)
+    dealt = in_blocks(open_.select("label", "node", "component", "outer"), "label", sizes)
+    two = materialize(confirmed(dealt.join(sets, "node"), similarity), "links")
+    joined = components(one.unionByName(two))
 
     whole = nodes.select("node", "digest", "least_doc").join(joined, "node", "left").select("digest", "least_doc", F.coalesce("label", "node").alias("label"))
     whole = materialize(whole, "labels")

@@ -72,6 +72,32 @@ def test_near_groups(spark, monkeypatch, width, percent):
     assert got == brute_groups(rows, width, percent)
 
 
+def test_sets_of_large_groups_are_sent_few_times(spark, monkeypatch):
+    """A group of thousands of near copies, and one of strangers that look alike: how often a node is dealt."""
+    rng = random.Random(9)
+    base = [rng.choice(VOCAB) + str(k % 9) for k in range(120)]
+    rows = []
+    for k in range(3000):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    seen, real = [], near_dedup.confirmed
+
+    def watched(sets, similarity):
+        seen.append(sets.count())
+        return real(sets, similarity)
+
+    monkeypatch.setattr(near_dedup, "confirmed", watched)
+    got = near_dedup.groups(docs, 3, 85)
+    assert got.select("component_id").distinct().count() == 1 and got.where("component_id = 0").count() == 3000
+    assert 3000 < sum(seen) < 2 * 3000
+    members = spark.createDataFrame([(1, k, k % 100 == 0) for k in range(20000)], "label long, node long, outer boolean")
+    sizes = spark.createDataFrame([(1, 1, 25)], "label long, outer_blocks long, inner_blocks long")
+    pairs = near_dedup.in_blocks(members, "label", sizes)
+    assert pairs.count() == 19800 + 200 * 26 and pairs.groupBy("key").agg({"side": "min"}).count() == 26
+
+
 def test_deduplicate_keeps_one(spark):
     rows = near_rows()[:140]
     docs = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, n int")
