@@ -1,28 +1,30 @@
 """Exact top-k search by inner product over norm-sorted vectors.
 
 Vectors are packed, by falling length, into blocks; queries are packed too. The longest vectors alone give each query a first
-k-th score. A query block then meets, by falling length, those vector blocks whose longest vector can still reach a k-th
+k-th score. A query block then meets, by falling length, those runs of vector blocks whose longest vector can still reach a k-th
 score: a prefix, as lengths fall. In a block, the first coordinates after rotation by the singular vectors of the data give a
 partial product; with the product of the residual lengths (Cauchy-Schwarz) it bounds the whole, and only vectors whose bound
-reaches the k-th score so far are scored exactly. Runs of blocks are processed apart and merged by rank.
+reaches the k-th score so far are scored exactly. Runs are processed apart and merged by rank.
 
-The query set is stated; all vectors are candidates. Tasks hold one query block and one vector block at a time.
+The query set is stated; all vectors are candidates. A task holds QUERY_RUN query blocks and reads a run of RUN vector blocks one
+by one; so a vector is sent once for every 8192 queries that may reach it, a query once for every 65536 vectors.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; missing trailing components count
-as 0; rows with the query's own vec_id are the query's own and no candidates; repeated candidates are ranked each; repeated
-query rows give their results once each; a null vec_id is a candidate but no query; with fewer than k candidates all return.
-Scores beyond 64 bits are cut off at the ends of the range.
+as 0; a query's own row is no candidate, other rows with its vec_id are; repeated candidates are ranked each; repeated query
+rows give their results once each; a null vec_id is a candidate but no query; with fewer than k candidates all return. Scores
+beyond 64 bits are cut off at the ends of the range.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BATCH, materialize, only, setting
 
-QUERY_BLOCK, VECTOR_BLOCK, RUN, HEAD = 1024, 4096, 16, 16
+QUERY_BLOCK, VECTOR_BLOCK, QUERY_RUN, RUN, HEAD = 1024, 4096, 8, 16, 16
 
 
 def usable(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -47,14 +49,18 @@ def _dense(column, width: int) -> np.ndarray:
     return out
 
 
+BLOCK = "part int, seq int, top double, n int, ids binary, known binary, row binary, rows binary"
+
+
 def packed(vectors: DataFrame, width: int, size: int) -> DataFrame:
-    """part, seq, top (greatest norm), n, ids, rows (doubles as bytes): blocks of at most `size` vectors by falling norm."""
+    """BLOCK rows: at most `size` vectors each, by falling norm, numbered by part and seq; top: the greatest norm."""
     import pyarrow as pa
 
-    def block(seq, ids, known, rows):
+    def block(seq, ids, known, row, rows):
+        blobs = (ids, known, row, rows)
         return pa.RecordBatch.from_arrays(
-            [pa.array([seq], pa.int32()), pa.array([float(np.sqrt((rows * rows).sum(1)).max())]), pa.array([len(rows)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([known.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())],
-            ["seq", "top", "n", "ids", "known", "rows"],
+            [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seq], pa.int32()), pa.array([float(np.sqrt((rows * rows).sum(1)).max())]), pa.array([len(rows)], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]],
+            ["part", "seq", "top", "n", "ids", "known", "row", "rows"],
         )
 
     def run(batches):
@@ -62,18 +68,18 @@ def packed(vectors: DataFrame, width: int, size: int) -> DataFrame:
         for batch in batches:
             if len(batch):
                 ids = batch.column(0)
-                held.append((np.asarray(ids.fill_null(0)), ~np.asarray(ids.is_null()), _dense(batch.column(1), width)))
+                held.append((np.asarray(ids.fill_null(0)), ~np.asarray(ids.is_null()), np.asarray(batch.column(1)), _dense(batch.column(2), width)))
                 waiting += len(batch)
             while waiting >= size:
-                ids, known, rows = (np.concatenate(x) for x in zip(*held, strict=True))
-                yield block(seq, ids[:size], known[:size], rows[:size])
-                held, waiting, seq = [(ids[size:], known[size:], rows[size:])], waiting - size, seq + 1
+                every = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                yield block(seq, *(x[:size] for x in every))
+                held, waiting, seq = [tuple(x[size:] for x in every)], waiting - size, seq + 1
         if waiting:
             yield block(seq, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    parts = max(1, -(-vectors.count() // (4 * size)))
+    parts = max(1, -(-vectors.count() // (RUN * size)))
     ordered = vectors.withColumn("norm", norm(F.col("v"))).repartitionByRange(parts, F.desc("norm"), F.col("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id")
-    return ordered.select(F.col("vec_id").cast("long"), "v").mapInArrow(run, "seq int, top double, n int, ids binary, known binary, rows binary").select(F.spark_partition_id().alias("part"), "*")
+    return ordered.select(F.col("vec_id").cast("long"), "row", "v").mapInArrow(run, BLOCK)
 
 
 def rotation(vectors: DataFrame, width: int) -> np.ndarray:
@@ -105,18 +111,17 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 class Best:
     """The k best of each query of a block so far."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray):
-        self.ids, self.rows, self.k, self.floor = ids, rows, k, floor.copy()
+    def __init__(self, ids: np.ndarray, row: np.ndarray, rows: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray):
+        self.ids, self.row, self.rows, self.k, self.floor = ids, row, rows, k, floor.copy()
         self.turned, self.norm = rows @ turn, np.sqrt((rows * rows).sum(1))
         self.rest = np.sqrt((self.turned[:, HEAD:] ** 2).sum(1))
         self.found: list[list[tuple[int, int, bool]]] = [[] for _ in ids]
 
-    def meet(self, ids: np.ndarray, known: np.ndarray, rows: np.ndarray, turn: np.ndarray) -> None:
+    def meet(self, ids: np.ndarray, known: np.ndarray, row: np.ndarray, rows: np.ndarray, turned: np.ndarray) -> None:
         longest = float(np.sqrt((rows * rows).sum(1)).max()) if len(rows) else 0.0
         live = np.flatnonzero(self.norm * longest * (1 + 1e-9) + 1e-6 >= self.floor)
         if not len(live):
             return
-        turned = rows @ turn
         rest, slack = np.sqrt((turned[:, HEAD:] ** 2).sum(1)), 1e-9 * self.norm[live, None] * longest + 1e-6
         able = self.turned[live, :HEAD] @ turned[:, :HEAD].T + self.rest[live, None] * rest + slack >= self.floor[live, None]
         columns = np.flatnonzero(able.any(0))
@@ -125,7 +130,7 @@ class Best:
         score = _exact(self.rows[live], rows[columns])
         able = able[:, columns] & (score >= self.floor[live, None])
         for i, q in enumerate(live):
-            at = np.flatnonzero(able[i] & ((ids[columns] != self.ids[q]) | ~known[columns]))
+            at = np.flatnonzero(able[i] & (row[columns] != self.row[q]))
             if len(at):
                 if len(at) > self.k:  # what lies under the k-th of these can go at once
                     at = at[score[i, at] >= np.partition(score[i, at], -self.k)[-self.k]]
@@ -140,54 +145,69 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     import pyarrow as pa
 
     spark = vectors.sparkSession
-    vectors = materialize(vectors, "vectors")
+    vectors = materialize(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
     width = max(1, vectors.agg(F.max(F.size("v"))).first()[0] or 1)
     blocks, asked = (materialize(packed(x, width, size), name) for x, size, name in ((vectors, VECTOR_BLOCK, "blocks"), (vectors.where(f"vec_id % {every} = 0"), QUERY_BLOCK, "queries")))
-    # one number for each block of vectors
-    order = blocks.select("part", "seq", "top").orderBy(F.desc("top"), "part", "seq").collect()
+    # a number for each run of blocks: blocks are numbered by falling norm
+    run = F.floor(F.col("seq") / RUN).cast("int")
+    order = blocks.groupBy("part", run.alias("r")).agg(F.max("top").alias("top")).orderBy("part", "r").collect()
     tops = np.array([r.top for r in order])
-    place = spark.createDataFrame([(r.part, r.seq, i) for i, r in enumerate(order)], "part int, seq int, place int")
+    runs = spark.createDataFrame([(r.part, r.r, i) for i, r in enumerate(order)], "part int, r int, run int")
     turn = rotation(vectors, width)
-    head = [(np.frombuffer(r.ids, np.int64), np.frombuffer(r.known, bool), np.frombuffer(r.rows).reshape(r.n, width)) for r in blocks.orderBy(F.desc("top"), "part", "seq").limit(1).collect()]
+
+    def unpacked(r) -> list[np.ndarray]:
+        return [np.frombuffer(r["ids"], np.int64), np.frombuffer(r["known"], bool), np.frombuffer(r["row"], np.int64), np.frombuffer(r["rows"]).reshape(r["n"], width)]
+
+    head = [unpacked(r) for r in blocks.orderBy("part", "seq").limit(1).collect()]
 
     def first(batches):
+        """Query blocks with the k-th scores that the longest vectors give them, and how many runs they reach."""
         for batch in batches:
-            for q in batch.to_pylist():
-                rows = np.frombuffer(q["rows"]).reshape(q["n"], width)
-                best = Best(np.frombuffer(q["ids"], np.int64), rows, turn, k, np.full(q["n"], -np.inf))
+            for r in batch.to_pylist():
+                ids, _, row, rows = unpacked(r)
+                best = Best(ids, row, rows, turn, k, np.full(r["n"], -np.inf))
                 for h in head:
-                    best.meet(*h, turn)
+                    best.meet(*h, h[-1] @ turn)
                 reach = (best.norm[:, None] * tops * (1 + 1e-9) + 1e-6 >= best.floor[:, None]).any(0)
-                yield pa.RecordBatch.from_arrays([pa.array([q["part"]], pa.int32()), pa.array([q["seq"]], pa.int32()), pa.array([best.floor.tobytes()], pa.binary()), pa.array([int(reach.sum())], pa.int32())], ["part", "seq", "floor", "blocks"])
+                r |= {"floor": best.floor.tobytes(), "runs": int(reach.sum())}
+                yield pa.RecordBatch.from_pylist([r], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("top", pa.float64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("ids", "known", "row", "rows", "floor")], ("runs", pa.int32())]))
 
-    floors = asked.mapInArrow(first, "part int, seq int, floor binary, blocks int")
-    q = asked.join(floors, ["part", "seq"]).select(F.struct("part", "seq").alias("q"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "floor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("place"))
-    pairs = q.join(blocks.join(place, ["part", "seq"]).select("place", "ids", "known", "rows"), "place").withColumn("run", (F.col("place") / RUN).cast("int"))
+    with setting(spark, BATCH, "8"):
+        asked = materialize(asked.mapInArrow(first, BLOCK + ", floor binary, runs int"), "asked").withColumn("group", F.shiftleft(F.col("part").cast("long"), 32) + F.floor(F.col("seq") / QUERY_RUN))
+    reached = lambda rows: rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    columns = ["group", "run", "part", "seq", "n", "ids", "known", "row", "rows"]
+    queries = reached(asked.where("runs > 0")).select(*columns, "floor")
+    groups = reached(asked.groupBy("group").agg(F.max("runs").alias("runs")).where("runs > 0")).select("group", "run")
+    sent = blocks.withColumn("r", run).join(F.broadcast(runs), ["part", "r"]).join(groups, "run").select(*columns, F.lit(None).cast("binary").alias("floor"))
 
     def meet(batches):
-        now, best = None, None
+        """Query blocks of a group come first (they have a floor), then the vector blocks of a run."""
+        now, waiting = None, []
 
         def out():
-            rows = [(now[0] * (1 << 24) + now[1] * QUERY_BLOCK + i, int(best.ids[i]), v if some else None, -s) for i, found in enumerate(best.found) for s, v, some in found]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["asked", "query_id", "vec_id", "score"])
+            rows = [(part * (1 << 40) + seq * QUERY_BLOCK + i, int(best.ids[i]), v if some else None, -s) for part, seq, best in waiting for i, found in enumerate(best.found) for s, v, some in found]
+            parts = list(zip(*rows, strict=True)) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in parts], ["asked", "query_id", "vec_id", "score"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                key = (r["q"]["part"], r["q"]["seq"], r["run"])
-                if key != now:
-                    if best:
+                if (r["group"], r["run"]) != now:
+                    if waiting:
                         yield out()
-                    ids = np.frombuffer(r["q_ids"], np.int64)
-                    now, best = key, Best(ids, np.frombuffer(r["q_rows"]).reshape(len(ids), width), turn, k, np.frombuffer(r["floor"]))
-                ids = np.frombuffer(r["ids"], np.int64)
-                best.meet(ids, np.frombuffer(r["known"], bool), np.frombuffer(r["rows"]).reshape(len(ids), width), turn)
-        if best:
+                    now, waiting = (r["group"], r["run"]), []
+                ids, known, row, rows = unpacked(r)
+                if r["floor"] is not None:
+                    waiting.append((r["part"], r["seq"], Best(ids, row, rows, turn, k, np.frombuffer(r["floor"]))))
+                else:
+                    turned = rows @ turn
+                    for _, _, best in waiting:
+                        best.meet(ids, known, row, rows, turned)
+        if waiting:
             yield out()
 
-    met = pairs.repartition("q", "run").sortWithinPartitions("q", "run", "place").select("q", "run", "q_ids", "q_rows", "floor", "ids", "known", "rows").mapInArrow(meet, "asked long, query_id long, vec_id long, score long")
+    both = queries.unionByName(sent).repartition("group", "run").sortWithinPartitions("group", "run", F.col("floor").isNull(), "part", "seq")
     with setting(spark, BATCH, "8"):
-        met = materialize(met, "met")
+        met = materialize(both.mapInArrow(meet, "asked long, query_id long, vec_id long, score long"), "met")
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -199,9 +219,9 @@ def op5_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {
     "op5_norm_sorted_topk": r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+s AS (SELECT q.own, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }

@@ -147,9 +147,9 @@ def vectors():
 def brute_topk(rows, k=20):
     good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, v in good:
+    for at, (i, v) in enumerate(good):
         if i is not None and i % 20 == 0:
-            scores = sorted(((-sum(a * b for a, b in zip(v, w)), j is None, j or 0) for j, w in good if j != i))[:k]
+            scores = sorted(((-sum(a * b for a, b in zip(v, w)), j is None, j or 0) for n, (j, w) in enumerate(good) if n != at))[:k]
             out += [(i, r, None if none else j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, none, j) in enumerate(scores, 1)]
     return sorted(out, key=repr)
 
@@ -157,9 +157,9 @@ def brute_topk(rows, k=20):
 def test_topk(spark, monkeypatch):
     rows = vectors()
     df = spark.createDataFrame([(i, v, 1, "q") for i, v in rows], "vec_id long, embedding array<double>, rank int, score string")
-    for blocks in ((1024, 4096), (7, 16)):
-        monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[0])
-        monkeypatch.setattr(topk, "VECTOR_BLOCK", blocks[1])
+    for names in ({}, {"QUERY_BLOCK": 7, "VECTOR_BLOCK": 16}, {"QUERY_BLOCK": 2, "VECTOR_BLOCK": 9, "RUN": 3, "QUERY_RUN": 2}):
+        for name, value in names.items():
+            monkeypatch.setattr(topk, name, value)
         got = sorted(map(tuple, topk.search(topk.usable(df)).collect()), key=repr)
         assert got == brute_topk(rows)
 
