@@ -5,8 +5,9 @@ of an item; an item of fewer words is one window. Every corpus window that holds
 that word's place is hashed, the hash is looked up, and a hit is verified word by word; only hits and one row a document
 leave the scan.
 
-The set of windows is broadcast while the benchmark weighs at most `broadcast_bytes`; beyond that it is joined by a shuffle
-on the window's hash (and AQE splits hot windows).
+The set of windows is broadcast while the benchmark weighs at most `broadcast_bytes`; beyond that, corpus windows go out as
+places and hashes, of fixed size each, to meet it by a shuffle (and AQE splits hot windows), and texts are looked at again only
+where a hash was met. Both ways give the same rows.
 
 Defined results: null and empty texts have no words, no hits and aren't contaminated; an item without words has no window;
 equal items all count; repeated rows each get a row; an empty benchmark hits nothing.
@@ -53,6 +54,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
 
     text = F.coalesce(F.col("text"), F.lit(""))
     base = only(docs, "doc_id", "text").select("doc_id", F.xxhash64(text, F.length(text)).alias("text_hash"), words(F.col("text")).alias("w"))
+    per = at_anchors(base, anchors, distinct) if small else by_hash(base, distinct)
+    per = materialize(per, "hits")
+    owners = found.groupBy("said").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    owners = F.broadcast(owners) if small else owners
+    items = per.where(F.size("saids") > 0).select("doc_id", "text_hash", F.explode("saids").alias("said")).join(owners, "said").groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
+    zero = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
+    merged = F.aggregate("hits", zero, lambda a, h: F.struct(F.greatest(a["upto"], h["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), h["end"] - F.greatest(a["upto"], h["pos"]))).alias("n")))
+    clean = per.where(F.size("saids") == 0).withColumn("items", F.array().cast("array<string>"))
+    dirty = per.where(F.size("saids") > 0).join(items.withColumnsRenamed({"doc_id": "i_doc", "text_hash": "i_hash"}), F.col("doc_id").eqNullSafe(F.col("i_doc")) & (F.col("text_hash") == F.col("i_hash"))).select(*clean.columns)
+    out = clean.unionByName(dirty).withColumn("n_hit", merged["n"].cast("long"))
+    return out.select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), "hits", "items", "n_hit", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
+
+
+def at_anchors(base: DataFrame, anchors: DataFrame, distinct: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_words, times (rows of the same doc_id and text), hits, saids of each document of base (doc_id,
+    text_hash, w), by broadcast tables of anchors and windows."""
     # the document itself is a word of its own, '', at 0
     every = base.select("doc_id", "text_hash", F.size("w").alias("n_words"), "w", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("i", "word"))
     own = F.array(F.struct(F.lit(0).alias("off"), F.lit(0).alias("n")))
@@ -63,21 +80,34 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     hit = tried.join(distinct, (F.xxhash64(F.transform(part, lambda x: F.xxhash64(x))) == F.col("hash")) & (F.col("wn") == F.col("n")) & (F.array_join(part, " ") == F.col("said")), "left")
     hit = hit.where(F.col("said").isNotNull() | (F.col("pos") == 0)).select("doc_id", "text_hash", "n_words", "pos", (F.col("pos") + F.col("wn")).alias("end"), "said")
     # windows to items: the benchmark's own size bounds both sides of a document
-    per = hit.groupBy("doc_id", "text_hash", "n_words").agg(
+    return hit.groupBy("doc_id", "text_hash", "n_words").agg(
         F.count_if(F.col("pos") == 0).alias("times"),
         F.array_sort(F.collect_set(F.when(F.col("said").isNotNull(), F.struct("pos", "end")))).alias("hits"),
         F.collect_set("said").alias("saids"),
     )
-    per = materialize(per, "hits")
-    owners = found.groupBy("said").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    owners = F.broadcast(owners) if small else owners
-    items = per.where(F.size("saids") > 0).select("doc_id", "text_hash", F.explode("saids").alias("said")).join(owners, "said").groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
-    zero = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
-    merged = F.aggregate("hits", zero, lambda a, h: F.struct(F.greatest(a["upto"], h["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), h["end"] - F.greatest(a["upto"], h["pos"]))).alias("n")))
-    clean = per.where(F.size("saids") == 0).withColumn("items", F.array().cast("array<string>"))
-    dirty = per.where(F.size("saids") > 0).join(items.withColumnsRenamed({"doc_id": "i_doc", "text_hash": "i_hash"}), F.col("doc_id").eqNullSafe(F.col("i_doc")) & (F.col("text_hash") == F.col("i_hash"))).select(*clean.columns)
-    out = clean.unionByName(dirty).withColumn("n_hit", merged["n"].cast("long"))
-    return out.select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), "hits", "items", "n_hit", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
+
+
+def by_hash(base: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The same by a shuffle: what goes out is a row of fixed size for each window of each document."""
+    lengths = sorted(r.n for r in distinct.select("n").distinct().collect())  # WINDOW of them at most
+    keys = base.groupBy("doc_id", "text_hash", F.size("w").alias("n_words")).agg(F.count(F.lit(1)).alias("times"))
+    if not lengths:
+        return keys.select("*", F.array().cast("array<struct<pos:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("saids"))
+    hashed = base.select("doc_id", "text_hash", F.transform("w", lambda x: F.xxhash64(x)).alias("hs")).dropDuplicates(["doc_id", "text_hash"])
+
+    def at(n: int) -> Column:
+        places = F.when(F.size("hs") >= n, F.sequence(F.lit(1), F.size("hs") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda p: F.struct(p.alias("pos"), F.lit(n).alias("wn"), F.xxhash64(F.slice("hs", p, F.lit(n))).alias("h")))
+
+    sent = hashed.select("doc_id", "text_hash", F.explode(F.concat(*map(at, lengths))).alias("x")).select("doc_id", "text_hash", "x.*")
+    met = sent.join(distinct, (F.col("h") == F.col("hash")) & (F.col("wn") == F.col("n"))).select(F.col("doc_id").alias("m_doc"), F.col("text_hash").alias("m_hash"), F.struct("pos", (F.col("pos") + F.col("wn")).alias("end"), "said").alias("x"))
+    met = met.groupBy("m_doc", "m_hash").agg(F.array_sort(F.collect_set("x")).alias("met"))
+    same = F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_hash") == F.col("m_hash"))
+    true = F.filter("met", lambda x: F.array_join(F.slice("w", x["pos"], x["end"] - x["pos"]), " ") == x["said"])
+    sure = base.join(met.hint("shuffle_hash"), same).select("m_doc", "m_hash", true.alias("met")).dropDuplicates(["m_doc", "m_hash"])
+    pair = F.array_sort(F.array_distinct(F.transform(F.coalesce("met", F.array().cast("array<struct<pos:int,end:int,said:string>>")), lambda x: F.struct(x["pos"].alias("pos"), x["end"].alias("end")))))
+    saids = F.array_distinct(F.transform(F.coalesce("met", F.array().cast("array<struct<pos:int,end:int,said:string>>")), lambda x: x["said"]))
+    return keys.join(sure, same, "left").select("doc_id", "text_hash", "n_words", "times", pair.alias("hits"), saids.alias("saids"))
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words", share: int = 20) -> Column:

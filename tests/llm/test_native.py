@@ -130,6 +130,15 @@ def test_decontamination(spark, items, limit):
     assert sorted(map(tuple, out.collect()), key=repr) == brute2(BIG, items)
 
 
+def test_long_documents_by_shuffle(spark):
+    """What is shuffled grows with the words of a document, not with their square."""
+    text = " ".join(f"w{k % 97}" for k in range(60_000)) + f" {BENCH} end"
+    docs, bench = table(spark, [(1, text, "a"), (1, text, "a"), (2, "w1 w2 w3", "a")]), spark.createDataFrame([(5, BENCH), (6, "w1 w2 w3")], "item_id long, text string")
+    found = decontamination.scan(docs, bench, broadcast_bytes=0).select("doc_id", "n_words", "n_hit", "items").collect()
+    hits = sum(text.split()[k : k + 3] == ["w1", "w2", "w3"] for k in range(60_000))
+    assert sorted(map(tuple, found)) == [(1, 60_021, 3 * hits + 20, ["5", "6"])] * 2 + [(2, 3, 3, ["6"])]
+
+
 def test_decontaminated_documents_and_spans(spark):
     docs, bench = table(spark, ODD), spark.createDataFrame(ITEMS[:1], "item_id long, text string")
     whole = decontamination.decontaminate(docs, bench)
