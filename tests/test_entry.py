@@ -25,3 +25,11 @@ def test_nothing_outside_imports_the_corpus_operators():
             assert "gazette.llm" not in p.read_text() and "from .llm" not in p.read_text()
     code = "import sys; sys.modules['gazette.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.queries()) >= 51; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_a_broken_import_of_the_corpus_operators_is_no_absence():
+    if not (ROOT / "gazette" / "llm").exists():
+        return
+    code = "import sys; sys.modules['hashlib'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode and "hashlib" in done.stderr
