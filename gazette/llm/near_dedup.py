@@ -7,12 +7,14 @@ shares of shingles make equal registers. Then
 1. bands of registers are bucket keys; every node of a bucket pairs with one node of it, another one for each band (the
    nearest to the key by exclusive or), so a bucket of n nodes makes n - 1 pairs;
 2. the likelihood of registers that are larger, smaller and equal, jointly with both set sizes, estimates each pair's
-   similarity; pairs near enough that a common neighbour is possible make coarse groups;
-3. where a bucket still spans several coarse groups, the nodes left are estimated against each other, in blocks;
-4. each node is compared, on full sets, with the one of its centres that looks most like it, then, for two rounds, each
-   component with the one that looks most like it; so most of a group of copies is linked, each set having been sent once;
-5. where a bucket still spans several components of those links, its nodes are compared on full sets across components, inside
-   their coarse group: nodes outside its largest component meet all others, in pairs of blocks; a block emits a spanning forest;
+   similarity;
+3. each node is compared, on full sets, with the one of its centres that looks most like it, then each component with the one
+   that looks most like it; so most of a group of copies is linked already, each set having been sent once;
+4. nodes that share a bucket with a node of another component stay open: pairs of them that are estimated near enough for a
+   common neighbour make coarse groups, and where a bucket spans several of those, the nodes left are estimated against each
+   other, in blocks;
+5. inside a coarse group the open nodes are compared on full sets across components: those outside its largest component meet
+   all others, in pairs of blocks; a block emits a spanning forest;
 6. components of confirmed links, and the smallest doc_id of each, go back to the rows.
 
 With 36 bands of 6 registers a pair at similarity 0.85 (0.8) shares no bucket in 4e-8 (2e-5) of cases. Blocks are processed
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_key, materialize, mix64, only, slices, text_buffer, tokens
-from .graph import components
+from .graph import Forest, components
 
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
@@ -44,7 +46,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Nodes, and shingles, of a block that is verified in one piece.
 BLOCK_NODES, BLOCK_SHINGLES = 800, 2_000_000
 #: Rounds in which likely links are confirmed before blocks are paired.
-LIKELY_ROUNDS = 3
+LIKELY_ROUNDS = 4
 _rng = np.random.default_rng(8)
 _MUL = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -170,25 +172,6 @@ def in_blocks(members: DataFrame, by: str, sizes: DataFrame) -> DataFrame:
     return dealt.withColumn("key", F.xxhash64(by, low, high)).withColumn("side", side.cast("int")).drop("block", "other", "outer_blocks", "inner_blocks")
 
 
-class Forest:
-    """Union by smaller root; keeps the links that joined two trees."""
-
-    def __init__(self, n: int):
-        self.of, self.links = list(range(n)), []
-
-    def root(self, x: int) -> int:
-        while self.of[x] != x:
-            self.of[x] = self.of[self.of[x]]
-            x = self.of[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        p, q = self.root(x), self.root(y)
-        if p != q:
-            self.of[max(p, q)] = min(p, q)
-            self.links.append((x, y))
-
-
 def near_in_buckets(left: DataFrame, least: float) -> DataFrame:
     """a, b: a spanning forest of the pairs of a block that are estimated at `least` or more. left: key, side, node, n, regs."""
     import pyarrow as pa
@@ -275,20 +258,53 @@ def likely(near: DataFrame, parts: DataFrame | None) -> DataFrame:
     return keyed.select("key", F.lit(1).alias("side"), F.col("a").alias("node"), F.col("of").alias("component")).unionByName(centres)
 
 
-def still_open(members: DataFrame, stars: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """label, node, component, outer of the members that share a bucket with a node of another component, and label,
-    outer_blocks, inner_blocks. outer: outside the largest component of the coarse group."""
-    own = F.coalesce("component", F.col("node"))
-    parts = linked.select("node", F.col("label").alias("component"))
-    across = stars.join(parts, "node", "left").groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("key")
-    active = stars.join(across, "key", "left_semi").select("node").distinct()
-    rows = materialize(members.join(active, "node", "left_semi").join(parts, "node", "left").select("label", "node", own.alias("component"), "n"), "active")
+def merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label of every node of parts (node, label) and links (a, b), a label being the smallest node that both together
+    reach. Links are looked at between labels, so only what is new is joined up."""
+    if parts is None:
+        return materialize(components(links), "parts")
+    one, two = (parts.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
+    short = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    new = components(short).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    old = parts.join(new, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
+    alone = new.join(parts.select("node"), F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+    return materialize(old.unionByName(alone), "parts")
+
+
+def still_open(stars: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, node, centre, component: the entries of buckets that span several components."""
+    known = stars.join(parts.select("node", F.col("label").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    across = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return materialize(known.join(across, "key", "left_semi"), "open")
+
+
+def coarse_groups(entry: DataFrame, near: DataFrame, nodes: DataFrame, link: float, coarse: float) -> DataFrame:
+    """node, label of the open nodes that may be linked with others. entry: still_open(); near: a, b, similarity."""
+    active = materialize(entry.select("node").distinct(), "active")
+    both = near.join(active.withColumnRenamed("node", "a"), "a", "left_semi").join(active.withColumnRenamed("node", "b"), "b", "left_semi")
+    both = materialize(both.select("a", "b", "similarity"), "near_open")
+    grouped = components(both.select("a", "b"))
+    label = F.coalesce("label", F.col("node"))
+    several = entry.join(grouped, "node", "left").groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select("key")
+    alike = both.where(F.col("similarity") >= link).select(F.col("a").alias("node"), F.col("b").alias("centre"))
+    left = entry.where("node <> centre").join(several, "key", "left_semi").join(alike, ["node", "centre"], "left_anti").select(F.col("key").alias("bucket"), "node")
+    blocks = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("bucket", F.ceil(F.col("many") / BLOCK_NODES).alias("outer_blocks"), F.lit(0).alias("inner_blocks"))
+    dealt = in_blocks(left.withColumn("outer", F.lit(True)), "bucket", blocks).join(nodes.select("node", "n", "regs"), "node")
+    more = materialize(near_in_buckets(dealt, coarse), "more")
+    return grouped if more.isEmpty() else components(both.select("a", "b").unionByName(more))
+
+
+def dealt_across(grouped: DataFrame, nodes: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of coarse groups (label, node, component, outer: outside the group's largest component), and label, outer_blocks,
+    inner_blocks; groups of one component need nothing."""
+    own = parts.select("node", F.col("label").alias("component"))
+    rows = grouped.join(nodes.select("node", "n"), "node").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = materialize(rows.select("label", "node", "component", "n"), "members")
     counts = rows.groupBy("label", "component").agg(F.count(F.lit(1)).alias("k"))
     largest = counts.groupBy("label").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     rows = rows.join(largest, "label").withColumn("outer", F.col("component") != F.col("largest")).drop("largest", "parts")
     blocks = lambda of: F.ceil(F.greatest(F.count_if(of) / BLOCK_NODES, F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES))
-    sizes = rows.groupBy("label").agg(blocks(F.col("outer")).alias("outer_blocks"), blocks(~F.col("outer")).alias("inner_blocks"))
-    return rows, sizes
+    return rows, rows.groupBy("label").agg(blocks(F.col("outer")).alias("outer_blocks"), blocks(~F.col("outer")).alias("inner_blocks"))
 
 
 def groups(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
@@ -305,32 +321,21 @@ def groups(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
     stars = materialize(entry.join(centres, "key").select("key", "node", F.col("x").bitwiseXOR(F.col("key")).alias("centre")), "stars")
     pairs = stars.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     near = materialize(estimated(pairs, nodes).where(F.col("similarity") >= coarse), "near")
-    grouped = components(near.select("a", "b"))
-
-    label = F.coalesce("label", F.col("node"))
-    several = stars.join(grouped, "node", "left").groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select("key")
-    alike = near.where(F.col("similarity") >= link).select(F.col("a").alias("node"), F.col("b").alias("centre"))
-    left = stars.where("node <> centre").join(several, "key", "left_semi").join(alike, ["node", "centre"], "left_anti").select("key", "node")
-    blocks = left.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(F.col("key").alias("bucket"), F.ceil(F.col("many") / BLOCK_NODES).alias("outer_blocks"), F.lit(0).alias("inner_blocks"))
-    dealt = in_blocks(left.withColumnRenamed("key", "bucket").withColumn("outer", F.lit(True)), "bucket", blocks).join(nodes.select("node", "n", "regs"), "node")
-    more = materialize(near_in_buckets(dealt, coarse), "more")
-    if not more.isEmpty():
-        grouped = components(near.select("a", "b").unionByName(more))
-
-    members = materialize(grouped.join(nodes, "node").select("label", "node", "doc_id", "text_hash", "n"), "members")
-    sets = materialize(with_sets(members, docs, width), "sets")
-    found, parts = [], None
+    wanted = lambda rows: nodes.join(rows.select("node").distinct(), "node", "left_semi")
+    sets = materialize(with_sets(wanted(near.select(F.explode(F.array("a", "b")).alias("node"))), docs, width), "sets")
+    parts = None
     for k in range(LIKELY_ROUNDS):
-        picked = likely(near, parts)
-        found.append(materialize(confirmed(picked.join(sets, "node"), similarity), f"likely{k}"))
-        if k and found[-1].isEmpty():
+        links = materialize(confirmed(likely(near, parts).join(sets, "node"), similarity), f"likely{k}")
+        if k and links.isEmpty():
             break
-        one = reduce(DataFrame.unionByName, found)
-        parts = materialize(components(one), f"parts{k}")
-    open_, sizes = still_open(members, stars, parts)
-    dealt = in_blocks(open_.select("label", "node", "component", "outer"), "label", sizes)
-    two = materialize(confirmed(dealt.join(sets, "node"), similarity), "links")
-    joined = components(one.unionByName(two))
+        parts = merged(parts, links)
+    grouped = coarse_groups(still_open(stars, parts), near, nodes, link, coarse)
+    members, sizes = dealt_across(grouped, nodes, parts)
+    if not members.isEmpty():
+        rest = with_sets(wanted(members.join(sets.select("node"), "node", "left_anti")), docs, width)
+        links = confirmed(in_blocks(members, "label", sizes).join(sets.unionByName(rest), "node"), similarity)
+        parts = merged(parts, materialize(links, "links"))
+    joined = parts
 
     whole = nodes.select("node", "digest", "least_doc").join(joined, "node", "left").select("digest", "least_doc", F.coalesce("label", "node").alias("label"))
     whole = materialize(whole, "labels")

@@ -63,8 +63,9 @@ def brute_groups(rows, width, percent):
     return sorted(((i, len(s), least.get(root(k)) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))), key=repr)
 
 
-@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_near_groups(spark, monkeypatch, width, percent):
+@pytest.mark.parametrize("width,percent,few", [(3, 85, 1 << 16), (5, 80, 0)])
+def test_near_groups(spark, monkeypatch, width, percent, few):
+    monkeypatch.setattr(graph, "FEW", few)  # components in one task, and by rounds
     monkeypatch.setattr(near_dedup, "BLOCK_NODES", 30)  # so that groups meet in several blocks
     rows = near_rows()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, digest string, label int").repartition(5)
@@ -117,7 +118,9 @@ def test_registers_merge_and_estimate():
     assert abs(got - 2400 / 3600) < 0.13
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500 + k, 501 + k) for k in range(60)] + [(9, 9)]
     of = {}
