@@ -8,9 +8,41 @@ from pyspark.sql import functions as F
 from gazette.sources.tables import materialize
 
 
+#: So few pairs are joined up in one task; more of them by rounds.
+FEW = 1 << 16
+
+
+def joined_up(pairs: DataFrame) -> DataFrame:
+    """pieces() of a few pairs, in one task."""
+    import pyarrow as pa
+
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(batches):
+        of: dict = {}
+
+        def root(x):
+            while of.setdefault(x, x) != x:
+                of[x] = x = of[of[x]]
+            return x
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema.field(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((root(a), root(b)))
+                of[high] = low
+        if of:
+            yield pa.RecordBatch.from_arrays([pa.array(list(of), schema), pa.array([root(x) for x in of], schema)], ["id", "piece"])
+
+    return pairs.select("a", "b").coalesce(1).mapInArrow(run, f"id {kind}, piece {kind}")
+
+
 def pieces(pairs: DataFrame) -> DataFrame:
-    """id, piece (the smallest id that it reaches) for every id in pairs (a, b). Every round takes the smallest label among
+    """id, piece (the smallest id that it reaches) for every id in pairs (a, b). Beyond FEW pairs, every round takes the smallest label among
     neighbours and then the label's own label, and is written, so that plans stay short."""
+    if pairs.limit(FEW + 1).count() <= FEW:
+        return joined_up(pairs)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "links")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("piece"), F.lit(True).alias("changed")), "labels")

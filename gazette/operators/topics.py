@@ -38,32 +38,32 @@ def vectors(articles: DataFrame) -> DataFrame:
 
 def similar_pairs(weights: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """a, b (a < b), similarity: cosines of `least` or more, from an equality join on tokens. Common tokens would make most of
-    the pairs, so the side of a leaves out, commonest first, as many of its tokens as can't reach `least` by themselves: their
-    share of a cosine is at most their length, and at most the sum of their weights times each token's greatest weight
-    anywhere. A pair that shares only those is no pair; one whose other tokens fall short by more than that share is none
-    either; the rest is scored on all tokens."""
+    the pairs, so every article leaves out of the join, commonest first, as many of its tokens as can't reach `least` by
+    themselves: their share of a cosine is at most their length, and at most the sum of their weights times each token's
+    greatest weight anywhere. As all leave out in one order of tokens, a pair that shares no token in the join shares only such
+    ones of one side, and is none. A pair whose joined tokens fall short by more than both sides' shares is none either; the
+    rest is scored on whole vectors, each fetched once a pair."""
     norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     unit = weights.join(norms, "id").select("id", "token", (F.col("weight") / F.col("norm")).alias("u"))
     stats = unit.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("u").alias("most"))
     common = Window.partitionBy("id").orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0)
     bound = F.least(F.sqrt(F.sum(F.col("u") * F.col("u")).over(common)), F.sum(F.col("u") * F.col("most")).over(common))
-    marked = materialize(unit.join(stats, "token").withColumn("upto", bound).select("id", "token", "u", "upto", (F.col("upto") < least).alias("rest")), "units")
-    slack = marked.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("rest"), F.col("upto"))), F.lit(0.0)).alias("slack"))
-    x = marked.where("not rest").join(slack, "id").select(F.col("id").alias("a"), "token", F.col("u").alias("ua"), "slack")
-    y = marked.select(F.col("id").alias("b"), "token", F.col("u").alias("ub"))
-    part = x.join(y, "token").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("dot"), F.first("slack").alias("slack"))
-    able = materialize(part.where(F.col("dot") + F.col("slack") >= least - 1e-9).select("a", "b", "dot"), "candidates")
-    rest = marked.where("rest").select(F.col("id").alias("a"), "token", F.col("u").alias("ua"))
-    more = able.select("a", "b").join(rest, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("more"))
-    total = F.col("dot") + F.coalesce("more", F.lit(0.0))
-    return able.join(more, ["a", "b"], "left").select("a", "b", total.alias("similarity")).where(F.col("similarity") >= least)
+    marked = materialize(unit.join(stats, "token").withColumn("upto", bound).select("id", "token", "u", "upto", (F.col("upto") < least - 1e-9).alias("rest")), "units")
+    whole = marked.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "u"))).alias("v"), F.coalesce(F.max(F.when(F.col("rest"), F.col("upto"))), F.lit(0.0)).alias("slack"))
+    joined = marked.where("not rest").join(whole.select("id", "slack"), "id")
+    x, y = (joined.select(F.col("id").alias(k), "token", F.col("u").alias(f"u{k}"), F.col("slack").alias(f"s{k}")) for k in "ab")
+    part = x.join(y, "token").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("dot"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
+    able = part.where(F.col("dot") + F.col("sa") + F.col("sb") >= least - 1e-9).select("a", "b")
+    one, two = (whole.select(F.col("id").alias(k), F.col("v").alias(f"v{k}")) for k in "ab")
+    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
+    return able.join(one, "a").join(two, "b").select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def greedy(articles: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, cluster. Newest first, an article joins the cluster with its most similar member, or starts one; equal similarities
     go to the older cluster. The order makes this one fold, so it runs over connected pieces of the pairs: articles of different
     pieces never meet. A piece is folded in one task; the corpus is bounded by windowed() and capped() before it gets here."""
-    ordered = articles.select("id", F.row_number().over(Window.orderBy(F.desc("published_at"), "id")).alias("turn"))
+    ordered = articles.select("id", (-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("late"))
     linked = pieces(pairs.select("a", "b"))
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity"))
     rows = ordered.join(linked, "id").join(both.groupBy("id").agg(F.collect_list(F.struct("other", "similarity")).alias("near")), "id")
@@ -71,7 +71,7 @@ def greedy(articles: DataFrame, pairs: DataFrame) -> DataFrame:
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         of: dict = {}
         size = 0
-        for row in pdf.sort_values("turn").itertuples():
+        for row in pdf.sort_values(["late", "id"]).itertuples():
             best: dict = {}
             for near in row.near:
                 if near["other"] in of:
@@ -83,7 +83,7 @@ def greedy(articles: DataFrame, pairs: DataFrame) -> DataFrame:
                 of[row.id] = size
                 size += 1
         first: dict = {}
-        for i in pdf.sort_values("turn")["id"]:
+        for i in pdf.sort_values(["late", "id"])["id"]:
             first.setdefault(of[i], i)
         return pd.DataFrame({"id": list(of), "cluster": [first[of[i]] for i in of]})
 
@@ -160,8 +160,10 @@ def story_input(members: DataFrame, each: int = 1_200, total: int = 10_000) -> D
     """cluster, story: members (cluster, place, source_name, title, cleaned_content, summary_short) in order as blocks, each
     with at most `each` characters of text, until the blocks have `total` characters."""
     body = F.coalesce("cleaned_content", "summary_short", F.lit(""))
-    # texts are cut before they are gathered: a block never holds more of one
-    rows = members.select("cluster", F.struct("place", F.col("source_name").alias("source"), "title", F.substring(body, 1, each).alias("body")).alias("m"))
+    # texts are cut, and members beyond those that empty blocks would leave room for go, before any are gathered
+    most = -(-total // len("SOURCE: \nTITLE: \n"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("place"))
+    rows = members.withColumn("_turn", place).where(F.col("_turn") <= most).select("cluster", F.struct("place", F.col("source_name").alias("source"), "title", F.substring(body, 1, each).alias("body")).alias("m"))
     gathered = rows.groupBy("cluster").agg(F.array_sort(F.collect_list("m")).alias("ms"))
     start = F.struct(F.lit(total).alias("left"), F.array().cast("array<string>").alias("blocks"))
 

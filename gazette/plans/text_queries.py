@@ -177,6 +177,37 @@ def single_link_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.drop_link_runs(rows).select("page_id", F.col("pos").cast("int").alias("pos"), "said")
 
 
+@register(f"""WITH d AS (SELECT doc_id, 'Prose of page ' || doc_id || ', that goes on for a while and says some things.' AS said, doc_id % 4 AS kind FROM documents)
+SELECT doc_id AS page_id, CASE kind WHEN 0 THEN 'jsonld' WHEN 1 THEN 'readable' WHEN 2 THEN 'fallback' ELSE 'readable' END AS method, CASE kind WHEN 2 THEN 90 WHEN 3 THEN 56 ELSE 140 END::INT AS words,
+  CASE kind WHEN 0 THEN rtrim(repeat(said || ' ', 10)) WHEN 1 THEN rtrim(repeat(said || ' ', 10)) WHEN 2 THEN rtrim(repeat('fall ', 90)) ELSE rtrim(repeat(said || ' ', 4)) END AS said, kind = 3 AS paywalled FROM d""")
+def distill_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of four kinds: with a JSON-LD body, with prose among furniture, with too little of it, and of a paywall."""
+    k, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    prose = F.concat(F.lit("Prose of page "), n, F.lit(", that goes on for a while and says some things. "))
+    several = lambda x, times: F.repeat(x, times)
+    menu = "<nav>menu</nav><ul>" + "".join(f"<li><a href='/{i}'>Section {i}</a></li>" for i in range(9)) + "</ul>"
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@type": "NewsArticle", "articleBody": "'), several(prose, 10), F.lit('"}</script>'))
+    body = lambda times: F.concat(F.lit(f"<body>{menu}<div class='share'>share it</div><div>"), several(F.concat(F.lit("<p>"), prose, F.lit("</p>")), times), F.lit(f"<p><a href='/n'>one link</a></p></div>{menu}</body>"))
+    html = F.when(k % 4 == 0, F.concat(ld, body(2))).when(k % 4 == 1, body(10)).when(k % 4 == 2, F.lit(f"<body>{menu}<p>Too little.</p></body>")).otherwise(F.concat(body(4), F.lit('{"isAccessibleForFree": false}')))
+    fallback = F.when(k % 4 == 2, several(F.lit("fall "), 90)).when(k % 4 == 3, "few words")
+    rows = read(spark, sf_dir, "documents").select(k.alias("page_id"), F.lit("https://a.example/").alias("url"), html.alias("html"), fallback.alias("fallback_text"))
+    return pages.distilled(rows).select("page_id", "method", "words", F.col("text").alias("said"), "paywalled")
+
+
+@register(f"""WITH d AS (SELECT doc_id, doc_id % 30 AS old, text, CASE WHEN doc_id % 2 = 0 THEN {_lines("'<p>' || text || '</p>'")} END AS page FROM documents), w AS (SELECT *, {WORDS.format(x="coalesce(page, '')")} AS n FROM d), b AS (SELECT *, n > 0 AND (old = 0 OR n >= old + 15) AS better FROM w)
+SELECT doc_id AS id, CASE WHEN better THEN 'article_page' ELSE 'feed_summary' END AS content_source, CASE WHEN better THEN n ELSE old END::INT AS content_word_count, CASE WHEN better THEN page ELSE 'old' END AS cleaned_content FROM b""")
+def page_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles after their pages were read, which every second one has."""
+    d = read(spark, sf_dir, "documents")
+    url, none = F.concat(F.lit("https://a.example/"), F.col("doc_id").cast("string")), F.lit(None).cast("string")
+    articles = d.select(
+        F.col("doc_id").alias("id"), url.alias("article_url"), F.lit("feed_summary").alias("content_source"), (F.col("doc_id") % 30).cast("int").alias("content_word_count"), F.lit(False).alias("is_content_likely_complete"),
+        none.alias("raw_content"), F.lit("old").alias("cleaned_content"), none.alias("hero_image_url"), none.alias("summary_short"),
+    )
+    page_table = d.where("doc_id % 2 = 0").select(url.alias("url"), F.concat(F.lit("<article><p>"), "text", F.lit("</p></article>")).alias("html"))
+    return pages.enriched(articles, page_table).select("id", "content_source", "content_word_count", "cleaned_content")
+
+
 @register()
 def distill_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distilled articles of pages."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,16 +117,28 @@ def headline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_articles(spark, sf_dir).select("id", text.headline(F.col("id").cast("string"), F.col("title")).alias("line"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The table of events as a stream, and a folder for what comes of it. A single file is streamed by a pattern that only its
+    name fits, as streams read folders or patterns."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/event[s].parquet")
+    return rows, tables.scratch(spark, "stream")
+
+
+@register("SELECT event_id, event_type FROM events")
+def stream_unique_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive twice, each kept once within the watermark."""
+    rows, folder = event_stream(spark, sf_dir)
+    again, _ = event_stream(spark, sf_dir)
+    once = stream.unique(rows.unionByName(again), "event_id", "ts")
+    stream.run_available(once, lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}"), f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").select("event_id", "event_type")
+
+
 @register("SELECT user_id, event_type, count(*) AS n, min(ts) AS first_ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS k FROM events) WHERE k = 1 GROUP BY 1, 2")
 def stream_dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user, kind and day, as a stream over the table, then summed."""
-    table = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(table).schema
-    folder = f"{tables.shared_dir(spark)}/gazette-stream-{uuid.uuid4().hex}"
-    # a single file is streamed by its name, a folder as it is
-    at, name = table.rsplit("/", 1)
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
-    rows = reader.parquet(f"{at}/{name[:-8]}*.parquet")
+    rows, folder = event_stream(spark, sf_dir)
     keyed = rows.withColumn("day", F.to_date("ts"))
     first = keyed.groupBy("user_id", "event_type", "day").agg(F.min(F.struct("ts", "event_id")).alias("first"))
     stream.run_available(first, lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/state", "complete")
@@ -173,6 +184,26 @@ def topics_rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lead_id", F.array_join("member_ids", ",").alias("member_ids"), "source_count", "is_aggregated")
 
 
+@register(f"""WITH {EVENT_ARTICLES}, nw AS (SELECT max(published_at) AS now FROM ev), cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(source_id, source_name) ORDER BY published_at DESC, id) AS cap FROM (SELECT ev.* FROM ev, nw WHERE published_at >= now - INTERVAL 3 HOUR - INTERVAL 1 DAY ORDER BY published_at DESC, id LIMIT 800)) x WHERE cap <= 20),
+pk AS (SELECT event_id AS id, event_id AS pick_pos, (user_id % 100)::INT AS relevance FROM events WHERE event_id % 5 = 0) SELECT id, relevance, title FROM cp JOIN pk USING (id) ORDER BY relevance DESC, pick_pos LIMIT 30""")
+def picks_rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks that were saved three hours ago, with their articles."""
+    now = as_of(spark, sf_dir)
+    saved = times.at(now - timedelta(hours=3)).alias("saved_at")
+    cache = read(spark, sf_dir, "events").where("event_id % 5 = 0").select(F.col("event_id").alias("pos"), F.col("event_id").alias("id"), F.lit("x").alias("interest"), (F.col("user_id") % 100).cast("int").alias("relevance"), saved)
+    return pipelines.rehydrated_picks(cache, event_articles(spark, sf_dir), now, None).select("id", "relevance", "title")
+
+
+@register(f"""WITH {EVENT_ARTICLES}, n AS (SELECT * FROM ev ORDER BY published_at DESC, id LIMIT 150),
+a AS (SELECT * FROM n WHERE coalesce(source_id, 'src' || right(source_name, 2)::INT) IN (SELECT 'src' || k FROM range(1, 20) r(k) WHERE k % 6 < 2))
+SELECT id, (CASE WHEN lower(category) = 'purchase' THEN 3 ELSE 0 END + CASE WHEN lower(language) = 'en' THEN 1 ELSE 0 END)::INT AS score FROM a WHERE lower(source_name) <> 'outlet 01' ORDER BY score DESC, published_at DESC, id LIMIT 50""")
+def feed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown from the store: the newest, those of enabled sources, ranked and cut."""
+    allow = catalogue.sample(spark).where("region in ('italy', 'germany') and id <> 'src0'")
+    reader = Preferences(preferred_categories=["Purchase"], hidden_sources=["outlet 01"], preferred_language="EN")
+    return pipelines.shown(event_articles(spark, sf_dir), reader, allow).select("id", F.col("score").cast("int").alias("score"))
+
+
 @register()
 def home_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refresh: documents as feed items of their sources, parsed, deduplicated, enriched from pages, ranked."""

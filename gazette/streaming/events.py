@@ -24,15 +24,17 @@ def plausible(rows: DataFrame, as_of, column: str = "published_at") -> DataFrame
 
 
 def unique(rows: DataFrame, key: str = "id", column: str = "published_at", late: str = "24 hours") -> DataFrame:
-    """The first row of each key within the watermark; state of older ones is dropped."""
-    return rows.withWatermark(column, late).dropDuplicatesWithinWatermark([key])
+    """The first row of each key within the watermark; state of older ones is dropped. Watermarks need a time with a zone, so
+    that is made of the column and left out again."""
+    return rows.withColumn("_at", F.col(column).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark([key]).drop("_at")
 
 
 def counts(rows: DataFrame, column: str, by: str, length: str = "24 hours", slide: str | None = "1 hour", late: str = "1 hour") -> DataFrame:
-    """window start, end, by, n over sliding windows."""
-    window = F.window(column, length, slide) if slide else F.window(column, length)
-    out = rows.withWatermark(column, late).groupBy(window.alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
-    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
+    """window start, end, by, n over sliding windows; start and end are of the column's type."""
+    kind = rows.schema[column].dataType
+    window = F.window("_at", length, slide) if slide else F.window("_at", length)
+    out = rows.withColumn("_at", F.col(column).cast("timestamp")).withWatermark("_at", late).groupBy(window.alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("w.start").cast(kind).alias("start"), F.col("w.end").cast(kind).alias("end"), by, "n")
 
 
 def run_available(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

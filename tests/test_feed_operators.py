@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.operators import dedup, query, ranking, reports, selection, store, topics
+from gazette.operators import pieces as pieces_module
 from gazette.operators.pieces import pieces
 from gazette.schemas import CHECKS
 from gazette.sources import catalogue, rules
@@ -116,11 +117,14 @@ def test_large_clusters_are_dealt_out(spark):
         spark.conf.set("spark.sql.adaptive.enabled", held)
 
 
-def test_greedy_takes_the_best_cluster(spark):
+def test_greedy_takes_the_best_cluster(spark, monkeypatch):
     a = articles(spark, [{"id": k, "published_at": NOW - timedelta(minutes=k)} for k in range(5)])
     pairs = spark.createDataFrame([(0, 2, 0.4), (1, 2, 0.5), (2, 3, 0.31), (0, 3, 0.31)], "a long, b long, similarity double")
     assert {r.id: r.cluster for r in topics.greedy(a, pairs).collect()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 4}
-    assert {r.id: r.piece for r in pieces(spark.createDataFrame([(5, 4), (4, 3), (9, 8)], "a long, b long")).collect()} == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8}
+    links = spark.createDataFrame([(5, 4), (4, 3), (9, 8)], "a long, b long")
+    for few in (1 << 16, 0):
+        monkeypatch.setattr(pieces_module, "FEW", few)
+        assert {r.id: r.piece for r in pieces(links).collect()} == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8} and pieces(links.limit(0)).count() == 0
 
 
 def test_similar_pairs_loses_nothing(spark):
