@@ -8,11 +8,11 @@ shares of shingles make equal registers. Then
    nearest to the key by exclusive or), so a bucket of n nodes makes n - 1 pairs;
 2. the likelihood of registers that are larger, smaller and equal, jointly with both set sizes, estimates each pair's
    similarity;
-3. each node is compared, on full sets, with the one of its centres that looks most like it, then each component with the one
-   that looks most like it; so most of a group of copies is linked already, each set having been sent once;
+3. each node is compared, on full sets, with one of its centres, the smallest that looks linked, then each component with the
+   one that looks most like it; so most of a group of copies is linked already, each set having been sent once;
 4. nodes that share a bucket with a node of another component stay open: pairs of them that are estimated near enough for a
-   common neighbour make coarse groups, and where a bucket spans several of those, the nodes left are estimated against each
-   other, in blocks;
+   common neighbour join their components to coarse groups, and where a bucket spans several of those, the nodes left are
+   estimated against each other, in blocks;
 5. inside a coarse group the open nodes are compared on full sets across components: those outside its largest component meet
    all others, in pairs of blocks; a block emits a spanning forest;
 6. components of confirmed links, and the smallest doc_id of each, go back to the rows.
@@ -46,7 +46,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Nodes, and shingles, of a block that is verified in one piece.
 BLOCK_NODES, BLOCK_SHINGLES = 800, 2_000_000
 #: Rounds in which likely links are confirmed before blocks are paired.
-LIKELY_ROUNDS = 4
+LIKELY_ROUNDS = 2
 _rng = np.random.default_rng(8)
 _MUL = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -243,11 +243,12 @@ def with_sets(members: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def likely(near: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """key, side, node, component: of each node, or component of parts (node, label), the pair of near (a, b, similarity) that
-    looks most alike and leaves it. side 0 is b, side 1 a; a key holds one b and some BLOCK_NODES of its a."""
+def likely(near: DataFrame, parts: DataFrame | None, link: float) -> DataFrame:
+    """key, side, node, component: of each node, the pair of near (a, b, similarity) with the smallest b that looks linked, so
+    that a group meets around few centres; or of each component of parts (node, label) the pair that looks most alike and leaves
+    it. side 0 is b, side 1 a; a key holds one b and some BLOCK_NODES of its a."""
     if parts is None:
-        pairs = near.select("a", "b", "similarity", F.col("a").alias("of"), F.col("b").alias("to"))
+        pairs = near.select("a", "b", F.when(F.col("similarity") >= link, 2 - F.col("b") / float(1 << 60)).otherwise(F.col("similarity")).alias("similarity"), F.col("a").alias("of"), F.col("b").alias("to"))
     else:
         one, two = (parts.select(F.col("node").alias(f"n{k}"), F.col("label").alias(f"l{k}")) for k in "ab")
         pairs = near.join(one, F.col("a") == F.col("na"), "left").join(two, F.col("b") == F.col("nb"), "left").select("a", "b", "similarity", F.coalesce("la", "a").alias("of"), F.coalesce("lb", "b").alias("to")).where("of <> to")
@@ -279,27 +280,31 @@ def still_open(stars: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def coarse_groups(entry: DataFrame, near: DataFrame, nodes: DataFrame, link: float, coarse: float) -> DataFrame:
-    """node, label of the open nodes that may be linked with others. entry: still_open(); near: a, b, similarity."""
-    active = materialize(entry.select("node").distinct(), "active")
-    both = near.join(active.withColumnRenamed("node", "a"), "a", "left_semi").join(active.withColumnRenamed("node", "b"), "b", "left_semi")
-    both = materialize(both.select("a", "b", "similarity"), "near_open")
-    grouped = components(both.select("a", "b"))
-    label = F.coalesce("label", F.col("node"))
-    several = entry.join(grouped, "node", "left").groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select("key")
-    alike = both.where(F.col("similarity") >= link).select(F.col("a").alias("node"), F.col("b").alias("centre"))
+    """label, node, component, n of the open nodes whose components may be linked with others: components between which a pair of
+    open nodes is near make a group. entry: still_open(); near: a, b, similarity."""
+    active = materialize(entry.select("node", "component").distinct(), "active")
+    one, two = (active.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+    between = lambda pairs: pairs.join(one, "a").join(two, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    both = materialize(between(near), "near_open")
+    of = lambda found: found.select(F.col("node").alias("component"), "label")
+    grouped = of(components(both))
+    label = F.coalesce("label", "component")
+    several = entry.join(grouped, "component", "left").groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select("key")
+    alike = near.where(F.col("similarity") >= link).select(F.col("a").alias("node"), F.col("b").alias("centre"))
     left = entry.where("node <> centre").join(several, "key", "left_semi").join(alike, ["node", "centre"], "left_anti").select(F.col("key").alias("bucket"), "node")
-    blocks = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("bucket", F.ceil(F.col("many") / BLOCK_NODES).alias("outer_blocks"), F.lit(0).alias("inner_blocks"))
-    dealt = in_blocks(left.withColumn("outer", F.lit(True)), "bucket", blocks).join(nodes.select("node", "n", "regs"), "node")
-    more = materialize(near_in_buckets(dealt, coarse), "more")
-    return grouped if more.isEmpty() else components(both.select("a", "b").unionByName(more))
-
-
-def dealt_across(grouped: DataFrame, nodes: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of coarse groups (label, node, component, outer: outside the group's largest component), and label, outer_blocks,
-    inner_blocks; groups of one component need nothing."""
-    own = parts.select("node", F.col("label").alias("component"))
-    rows = grouped.join(nodes.select("node", "n"), "node").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = materialize(rows.select("label", "node", "component", "n"), "members")
+    left = materialize(left, "left")
+    if not left.isEmpty():
+        blocks = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("bucket", F.ceil(F.col("many") / BLOCK_NODES).alias("outer_blocks"), F.lit(0).alias("inner_blocks"))
+        dealt = in_blocks(left.withColumn("outer", F.lit(True)), "bucket", blocks).join(nodes.select("node", "n", "regs"), "node")
+        more = materialize(between(near_in_buckets(dealt, coarse)), "more")
+        if not more.isEmpty():
+            grouped = of(components(both.unionByName(more)))
+    return materialize(active.join(grouped, "component").join(nodes.select("node", "n"), "node").select("label", "node", "component", "n"), "members")
+
+
+def dealt_across(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (label, node, component, n) with `outer`: outside the largest component of their group; and label, outer_blocks,
+    inner_blocks."""
     counts = rows.groupBy("label", "component").agg(F.count(F.lit(1)).alias("k"))
     largest = counts.groupBy("label").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     rows = rows.join(largest, "label").withColumn("outer", F.col("component") != F.col("largest")).drop("largest", "parts")
@@ -325,13 +330,13 @@ def groups(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
     sets = materialize(with_sets(wanted(near.select(F.explode(F.array("a", "b")).alias("node"))), docs, width), "sets")
     parts = None
     for k in range(LIKELY_ROUNDS):
-        links = materialize(confirmed(likely(near, parts).join(sets, "node"), similarity), f"likely{k}")
+        links = materialize(confirmed(likely(near, parts, link).join(sets, "node"), similarity), f"likely{k}")
         if k and links.isEmpty():
             break
         parts = merged(parts, links)
-    grouped = coarse_groups(still_open(stars, parts), near, nodes, link, coarse)
-    members, sizes = dealt_across(grouped, nodes, parts)
+    members = coarse_groups(still_open(stars, parts), near, nodes, link, coarse)
     if not members.isEmpty():
+        members, sizes = dealt_across(members)
         rest = with_sets(wanted(members.join(sets.select("node"), "node", "left_anti")), docs, width)
         links = confirmed(in_blocks(members, "label", sizes).join(sets.unionByName(rest), "node"), similarity)
         parts = merged(parts, materialize(links, "links"))
