@@ -58,13 +58,13 @@ def balanced(articles: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def within_budget(articles: DataFrame, eligible: Column, n: int = 3) -> DataFrame:
-    """`enriched` for the first n eligible rows of each source in order (pos, each once a source). Only eligible rows are ranked,
+    """`enriched` for the first n eligible rows of each source in order (pos, then id). Only eligible rows are ranked,
     n of a source in each task, so a source with most rows costs no more than others."""
-    turn = F.row_number().over(Window.partitionBy("_source").orderBy("pos"))
-    first = articles.where(eligible).select(source_key().alias("_source"), "pos").withColumn("_turn", turn).where(F.col("_turn") <= n)
-    last = first.groupBy("_source").agg(F.max("pos").alias("_last"))
+    turn = F.row_number().over(Window.partitionBy("_source").orderBy("pos", "id"))
+    first = articles.where(eligible).select(source_key().alias("_source"), "pos", "id").withColumn("_turn", turn).where(F.col("_turn") <= n)
+    last = first.groupBy("_source").agg(F.max(F.struct("pos", "id")).alias("_last"))
     rows = articles.join(last, source_key().eqNullSafe(F.col("_source")), "left")
-    return rows.withColumn("enriched", F.coalesce(eligible & (F.col("pos") <= F.col("_last")), F.lit(False))).drop("_source", "_last")
+    return rows.withColumn("enriched", F.coalesce(eligible & (F.struct("pos", "id") <= F.col("_last")), F.lit(False))).drop("_source", "_last")
 
 
 def drop_link_runs(paragraphs: DataFrame, share: float = 0.85, run: int = 3) -> DataFrame:

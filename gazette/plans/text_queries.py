@@ -33,8 +33,8 @@ ENDS = "(suffix(trim({x}), '...') OR suffix(trim({x}), '…') OR suffix(trim({x}
 
 
 @register(f"""WITH w AS (SELECT doc_id, text, {WORDS.format(x="text")} AS words FROM documents)
-SELECT doc_id, words::INT AS words, words >= 120 AND NOT ({_hints("text", text.FEED_HINTS)}) AND NOT {ENDS.format(x="text")} AND NOT (contains(lower(text), 'href') AND contains(lower(text), 'read more')) AS feed_complete,
-  words >= 160 AND NOT ({_hints("text", text.PAGE_HINTS)}) AND NOT {ENDS.format(x="text")} AS page_complete FROM w""")
+SELECT doc_id, words::INT AS words, words >= 120 AND NOT ({_hints("text", ("read more", "continue reading"))}) AND NOT {ENDS.format(x="text")} AND NOT (contains(lower(text), 'href') AND contains(lower(text), 'read more')) AS feed_complete,
+  words >= 160 AND NOT ({_hints("text", ("read more", "continue reading", "subscribe to continue", "sign in to continue"))}) AND NOT {ENDS.format(x="text")} AS page_complete FROM w""")
 def word_count_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, and whether a text would be complete from a feed and from a page."""
     x = F.col("text")
@@ -59,18 +59,19 @@ def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", text.sanitize(F.col("html")).alias("clean"))
 
 
-def _decode(x: str) -> str:
-    for entity, sign in [*text.ENTITIES, *text.PAGE_ENTITIES, ("&amp;", "&")]:
-        x = "replace({}, '{}', '{}')".format(x, entity, sign.replace("'", "''"))
-    return x
+PAGE_SIGNS = [("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#8211;", "-"), ("&#8212;", "-"), ("&#8220;", '"'), ("&#8221;", '"'), ("&amp;", "&")]
+WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-PAGE_TEXT = "array_to_string(list_filter(list_transform(string_split(replace(replace({d}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda l: trim(regexp_replace(l, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lambda l: l <> ''), chr(10))".format(
-    d=_decode("regexp_replace(regexp_replace(regexp_replace(html, '(?i)<\\s*br\\s*/?\\s*>', chr(10), 'g'), '(?i)</\\s*(p|div|section|article|main|h[1-6]|li|blockquote)\\s*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')")
-)
+def _lines(x: str) -> str:
+    """A page's lines in SQL."""
+    out = f"regexp_replace(regexp_replace(regexp_replace({x}, '(?i)<\\s*br\\s*/?\\s*>', chr(10), 'g'), '(?i)</\\s*(?:p|div|section|article|main|h[1-6]|li|blockquote)\\s*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+    for entity, sign in PAGE_SIGNS:
+        out = "replace({}, '{}', '{}')".format(out, entity, sign.replace("'", "''"))
+    return f"array_to_string(list_filter(list_transform(string_split_regex({out}, '\\r\\n|\\r|\\n'), lambda l: trim(regexp_replace(l, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lambda l: l <> ''), chr(10))"
 
 
-@register(f"SELECT page_id, {PAGE_TEXT} AS said FROM pages")
+@register(f"SELECT page_id, {_lines('html')} AS said FROM pages")
 def page_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of pages."""
     return read(spark, sf_dir, "pages").select("page_id", text.page_text(F.col("html")).alias("said"))
@@ -84,18 +85,6 @@ def sanitize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", text.safe_html(dirty).alias("safe"))
 
 
-PAGE_SIGNS = [("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#8211;", "-"), ("&#8212;", "-"), ("&#8220;", '"'), ("&#8221;", '"'), ("&amp;", "&")]
-WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-
-
-def _lines(x: str) -> str:
-    """A page's lines in SQL."""
-    out = f"regexp_replace(regexp_replace(regexp_replace({x}, '(?i)<\\s*br\\s*/?\\s*>', chr(10), 'g'), '(?i)</\\s*(?:p|div|section|article|main|h[1-6]|li|blockquote)\\s*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
-    for entity, sign in PAGE_SIGNS:
-        out = "replace({}, '{}', '{}')".format(out, entity, sign.replace("'", "''"))
-    return f"array_to_string(list_filter(list_transform(string_split_regex({out}, '\\r\\n|\\r|\\n'), lambda l: trim(regexp_replace(l, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lambda l: l <> ''), chr(10))"
-
-
 def _bare(x: str) -> str:
     """A page without code, forms and embedded documents, in SQL."""
     for tag in ("script", "style", "noscript", "svg", "canvas", "iframe", "form"):
@@ -239,7 +228,17 @@ def llm_json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.repaired(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), said.alias("model_output")))
 
 
-@register()
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@register(rf"""WITH d AS (SELECT doc_id AS id, nullif(trim(text, {WHITE_SQL}), '') AS said FROM documents),
+l AS (SELECT id, lower(said) AS low, list_filter(list_transform(string_split(regexp_replace(regexp_replace(said, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x, {WHITE_SQL})), lambda x: x <> '') AS ls FROM d),
+b AS (SELECT *, regexp_replace(trim(substr(ls[1], 1, 280), {WHITE_SQL}), '\s+', ' ', 'g') AS first, len(list_distinct(list_transform(CASE WHEN len(ls) > 1 THEN list_transform(ls[2:6], lambda x: substr(x, 1, 140)) ELSE ls[1:1] END, lambda x: lower(regexp_replace(trim(x, {WHITE_SQL}), '\s+', ' ', 'g'))))) AS n FROM l),
+w AS (SELECT id, unnest(regexp_extract_all(low, '[\p{{L}}\p{{N}}_]{{4,}}')) AS w FROM l), k AS (SELECT id, w, count(*) AS c FROM w WHERE w NOT IN ({_STOP}) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, w) AS pl FROM k),
+t AS (SELECT id, string_agg(w, ',' ORDER BY pl) AS tags FROM r WHERE pl <= 8 GROUP BY id),
+g AS (SELECT id, c.i, c.name, (length(low) - length(replace(low, c.name, ''))) // length(c.name) AS hits FROM l, (VALUES (1, 'politics'), (2, 'economy'), (3, 'world'), (4, 'technology'), (5, 'science'), (6, 'health'), (7, 'sport'), (8, 'culture'), (9, 'other')) c(i, name) WHERE low IS NOT NULL),
+e AS (SELECT id, name AS category, row_number() OVER (PARTITION BY id ORDER BY hits DESC, name = 'other' DESC, i) AS pl FROM g)
+SELECT b.id, CASE WHEN first <> '' AND n > 0 THEN first END AS short, CASE WHEN first <> '' AND n > 0 THEN n END::INT AS bullets, category, tags FROM b LEFT JOIN t USING (id) LEFT JOIN (SELECT id, category FROM e WHERE pl = 1) q USING (id)""")
 def ai_enrich_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary, category and tags of documents by the local provider."""
     rows = enrich.enriched(document_articles(spark, sf_dir))
