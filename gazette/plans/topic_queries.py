@@ -11,7 +11,7 @@ from gazette.functions import text, times, urls
 from gazette.operators import dedup, enrich, ranking, topics
 from gazette.operators.selection import Preferences
 from gazette.plans import pipelines
-from gazette.plans.bindings import DOCUMENT_ARTICLES, EVENT_ARTICLES, as_of, document_articles, event_articles, read
+from gazette.plans.bindings import CATALOGUE, DOCUMENT_ARTICLES, EVENT_ARTICLES, as_of, document_articles, event_articles, read
 from gazette.sources import catalogue, tables
 from gazette.streaming import events as stream
 
@@ -204,7 +204,8 @@ def feed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.shown(event_articles(spark, sf_dir), reader, allow).select("id", F.col("score").cast("int").alias("score"))
 
 
-@register()
+@register(f"""WITH {CATALOGUE}, d AS (SELECT doc_id, md5(text) AS title, outlet_name AS source_name, CASE WHEN regexp_matches(text, '[^\\x00-\\x20]') THEN 'feed_summary' ELSE 'none' END AS content_source, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents JOIN cat ON cat.id = source)
+SELECT title, source_name, content_source, (CASE WHEN source_name = 'Outlet 03' THEN 4 ELSE 0 END)::INT AS score FROM d WHERE k <= 30 ORDER BY score DESC, doc_id DESC LIMIT 50""")
 def home_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refresh: documents as feed items of their sources, parsed, deduplicated, enriched from pages, ranked."""
     d = read(spark, sf_dir, "documents")
@@ -215,4 +216,4 @@ def home_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw.select(F.col("source").alias("source_id"), F.concat(F.lit("<rss><channel>"), "all", F.lit("</channel></rss>")).alias("payload"))
     page_table = d.select(F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("<article><p>"), "text", F.lit("</p></article>")).alias("html"))
     new = pipelines.refreshed(raw, catalogue.sample(spark), page_table, Preferences())
-    return ranking.rank(new, Preferences(favorite_sources=["outlet 03"]), 50).select("title", "source_name", "content_source", "score")
+    return ranking.rank(new, Preferences(favorite_sources=["outlet 03"]), 50).select("title", "source_name", "content_source", F.col("score").cast("int").alias("score"))
