@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_model, licenses, mixing, near_dedup, pii, quality, sharding, topk
+from . import decontamination, html_text, language_model, licenses, mixing, near_dedup, pii, quality, sharding, token_files, topk
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,8 @@ QUERIES = {
         near_dedup.op8_setsketch_near_dedup,
         language_model.op9_pitman_yor_scores,
         licenses.op10_license_digests,
+        token_files.op11_ranked_token_files,
     )
 }
-#: Without SQL: 1 (crc32), 3, 7 and 9.
+#: Without SQL: 1 (crc32), 3, 7, 9 and 11.
 ORACLE_SQL = {**decontamination.ORACLE, **pii.ORACLE, **topk.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE, **licenses.ORACLE}
