@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_model, licenses, mixing, near_dedup, pii, quality, sharding, token_files, topk
+from . import decontamination, html_text, language_model, licenses, mixing, near_dedup, pii, quality, sharding, token_files, topk, vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -18,7 +18,8 @@ QUERIES = {
         language_model.op9_pitman_yor_scores,
         licenses.op10_license_digests,
         token_files.op11_ranked_token_files,
+        vector_codes.op12_va_file_codes,
     )
 }
 #: Without SQL: 1 (crc32), 3, 7, 9 and 11.
-ORACLE_SQL = {**decontamination.ORACLE, **pii.ORACLE, **topk.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE, **licenses.ORACLE}
+ORACLE_SQL = {**decontamination.ORACLE, **pii.ORACLE, **topk.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE, **licenses.ORACLE, **vector_codes.ORACLE}
