@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_model, licenses, mixing, near_dedup, pii, quality, sharding, token_files, topk, vector_codes
+from . import decontamination, html_text, language_model, licenses, mixing, near_dedup, pii, prefix_trie, quality, sharding, token_files, topk, vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -19,7 +19,8 @@ QUERIES = {
         licenses.op10_license_digests,
         token_files.op11_ranked_token_files,
         vector_codes.op12_va_file_codes,
+        prefix_trie.op13_conversation_prefix_trie,
     )
 }
 #: Without SQL: 1 (crc32), 3, 7, 9 and 11.
-ORACLE_SQL = {**decontamination.ORACLE, **pii.ORACLE, **topk.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE, **licenses.ORACLE, **vector_codes.ORACLE}
+ORACLE_SQL = {**decontamination.ORACLE, **pii.ORACLE, **topk.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE, **licenses.ORACLE, **vector_codes.ORACLE, **prefix_trie.ORACLE}
