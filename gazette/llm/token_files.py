@@ -11,7 +11,7 @@ by doc_id in ranges, and each range is one file. A file is a row of blocks:
 
 A reader needs no bit twiddling for a rank: a table of 256 rows gives the four lengths that a control byte stands for, sums of
 lengths give where each rank begins, and the frequency table turns ranks into ids. Blocks hold some 262,144 ids (one document at
-least), files some 32 MB, so neither side ever holds more than a file (JVM) or a block (Python).
+least), files some 16 MB, so neither side ever holds more than a file (JVM) or a block (Python).
 
 Files are written by Spark's own writer and committer, so a task that is lost writes again and any file system of Spark's will do;
 `ranks` (Parquet: rank, id, n) stands beside them. What goes to the driver is the frequency table, as long as the vocabulary.
@@ -32,6 +32,7 @@ import string
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
+from typing import TYPE_CHECKING
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,11 +40,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, only, scratch, setting, slices, text_buffer
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 MAGIC, HEADER = b"RKT1", np.dtype([("magic", "S4"), ("docs", "<u4"), ("ids", "<u8"), ("data", "<u8"), ("crc", "<u4"), ("none", "<u4")])
-BLOCK_IDS, FILE_BYTES = 1 << 18, 32 << 20
-#: Words that a task remembers before it begins anew.
-KNOWN = 1 << 20
-MARKS = string.punctuation.encode()
+BLOCK_IDS, FILE_BYTES = 1 << 18, 16 << 20
+#: Bytes of text that a task cuts into words at once; words that it remembers before it begins anew.
+AT_ONCE, KNOWN = 8 << 20, 1 << 19
+MARKS = string.punctuation
 #: The four lengths of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
@@ -93,8 +97,14 @@ def blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         at += HEADER.itemsize + len(body) + 1
 
 
+def strings(column) -> list[str]:
+    """An Arrow column of strings without nulls as a list, faster than by its scalars."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Words:
-    """Ids of words, for a tokenizer whose words end in a mark; remembers the words that it has met."""
+    """Ids of words, for a tokenizer whose words end in a mark; remembers the words that it has met, without the marks that follow
+    them. Words are cut, counted and stripped as Arrow columns; Python only sees those that are new."""
 
     def __init__(self, tokenizer, suffix: str):
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
@@ -103,65 +113,72 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.cores, self.pool, self.begin, self.size, self.used = {}, {}, np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    def plain(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of_letters(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of letters. Many are encoded as one text, which is cut where a word ends; if that isn't once for each
-        word (a letter may turn into two characters, one no letter), each is encoded by itself."""
-        out, chunks = [], [words[i : i + 256] for i in range(0, len(words), 256)]
-        for chunk, ids in zip(chunks, self.plain([" ".join(c) for c in chunks]), strict=True):
-            ends = np.flatnonzero(self.ends[ids]).tolist() if ids else []
-            out += [ids[a + 1 : b + 1] for a, b in zip([-1, *ends[:-1]], ends, strict=True)] if len(ends) == len(chunk) else self.plain(chunk)
-        return out
-
-    def learn(self, words: list[bytes]) -> None:
-        parts, letters, others = [], {}, {}
-        for w in words:
-            core = w.rstrip(MARKS)
-            tail = w[len(core) :]
-            core = core.lower()
-            if core.decode(errors="replace").isalpha():
-                parts.append((core, tail))
-                if core not in self.cores:
-                    letters[core] = None
-                if tail and tail not in self.cores:
-                    others[tail] = None
+        self.known, self.pool, self.begin, self.size, self.used = {"": 0}, np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the words' ids, which follow one another in ids."""
+        n = len(self.known)
+        self.pool, self.begin, self.size = (x if len(x) >= least else np.resize(x, 2 * least) for x, least in ((self.pool, self.used + len(ids)), (self.begin, n + len(words)), (self.size, n + len(words))))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.begin[n : n + len(words)], self.size[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def plain(self, words: list[str]) -> None:
+        """Learn words by themselves."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.keep(words, np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def of_letters(self, words: list[str]) -> None:
+        """Learn words of letters. Many are encoded as one text, which is cut where a word ends; if that isn't once for each word
+        (a letter may turn into two characters, one no letter), each is encoded by itself."""
+        chunks = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for chunk, x in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(chunk):
+                self.keep(chunk, ids, np.diff(ends, prepend=-1))
             else:
-                parts.append((w, b""))
-                if w not in self.cores:
-                    others[w] = None
-        for new, encode in ((letters, self.of_letters), (others, self.plain)):
-            if new:
-                self.cores.update(zip(new, encode([x.decode(errors="replace") for x in new]), strict=True))
-        ids = [self.cores[core] + self.cores[tail] if tail else self.cores[core] for core, tail in parts]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.known), int(sizes.sum())
-        self.pool, self.begin, self.size = (x if len(x) >= least else np.resize(x, 2 * least) for x, least in ((self.pool, self.used + total), (self.begin, n + len(ids)), (self.size, n + len(ids))))
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.begin[n : n + len(ids)], self.size[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used += total
-        self.known.update(zip(words, range(n, n + len(ids)), strict=True))
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+                self.plain(chunk)
+
+    def places(self, words, learn) -> np.ndarray:
+        """Where each of an Arrow column's words is remembered."""
+        coded = words.dictionary_encode()
+        distinct = strings(coded.dictionary)
+        if new := [w for w in distinct if w not in self.known]:
+            learn(new)
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids and how many each text has."""
-        rows = [t.split() for t in texts]
-        words = list(chain.from_iterable(rows))
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if len(self.known) > KNOWN:
             self.forget()
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        rows = pc.ascii_split_whitespace(texts)
+        offsets = np.asarray(rows.offsets).astype(np.int64)
+        coded = rows.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        words = coded.dictionary
+        cores = pc.ascii_rtrim(words, MARKS)
+        letters = pc.utf8_is_alpha(cores)
+        marked = np.flatnonzero(np.asarray(pc.and_(letters, pc.less(pc.binary_length(cores), pc.binary_length(words)))))
+        # a word is a core and a tail, which may be empty; other words are cores as they are
+        core, tail = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        core[np.asarray(letters)] = self.places(pc.ascii_lower(cores.filter(letters)), self.of_letters)
+        core[~np.asarray(letters)] = self.places(words.filter(pc.invert(letters)), self.plain)
+        tails = [w[len(c) :] for w, c in zip(*(strings(x.take(pa.array(marked))) for x in (words, cores)), strict=True)]
+        tail[marked] = self.places(pa.array(tails, words.type), self.plain)
+        at = np.stack([core, tail], 1)[np.asarray(coded.indices)].reshape(-1)
         sizes = self.size[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.begin[at] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum([len(r) for r in rows])])])
+        return ids, np.diff(ends[2 * (offsets - offsets[0])])
 
 
-def encoder(file: str, ordinary: bool) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
-    """From texts to ids, by the tokenizer whose file has this text. ordinary: the names of special tokens are text like any other."""
+def encoder(file: str, ordinary: bool) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """From an Arrow column of texts to all ids and each text's number of them, by the tokenizer whose file has this text.
+    ordinary: the names of special tokens are text like any other."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(file)
@@ -170,8 +187,8 @@ def encoder(file: str, ordinary: bool) -> Callable[[list[bytes]], tuple[np.ndarr
     if (suffix := spec["model"].get("end_of_word_suffix")) and "Removed" in json.dumps(spec["pre_tokenizer"]):
         return Words(tokenizer, suffix)
 
-    def whole(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in tokenizer.encode_batch_fast([t.decode(errors="replace") for t in texts], add_special_tokens=False)]
+    def whole(texts) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
 
     return whole
@@ -192,16 +209,16 @@ def tokenized(docs: DataFrame, path: str, end: int, ordinary: bool = False) -> D
         encode = None
         for batch in batches:
             encode = encode or encoder(sent.value, ordinary)
-            raw, offsets = text_buffer(batch.column(1))
-            for a, b in slices(offsets):
-                ids, sizes = encode([raw[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)])
+            texts = batch.column(1).cast(pa.large_string()).fill_null("")
+            for a, b in slices(text_buffer(texts)[1], AT_ONCE):
+                ids, sizes = encode(texts.slice(a, b - a))
                 stops = np.cumsum(sizes + 1)
                 out = np.full(len(ids) + b - a, end, kind)
                 out[np.delete(np.arange(len(out)), stops - 1)] = ids
                 where = pa.py_buffer(np.concatenate([[0], stops * kind.itemsize]).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(sizes + 1), pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, where, pa.py_buffer(out)]).cast(pa.binary())], ["doc_id", "n", "ids"])
 
-    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.make_valid_utf8("text")).mapInArrow(run, "doc_id long, n long, ids binary")
     with setting(spark, "spark.sql.parquet.compression.codec", "zstd"):
         return materialize(rows, "tokens")
 
