@@ -28,6 +28,7 @@ result; a text of any length is one document of one block; further columns play
 from __future__ import annotations
 
 import json
+import os
 import string
 import zlib
 from collections.abc import Callable, Iterator
@@ -46,7 +47,7 @@ if TYPE_CHECKING:
 MAGIC, HEADER = b"RKT1", np.dtype([("magic", "S4"), ("docs", "<u4"), ("ids", "<u8"), ("data", "<u8"), ("crc", "<u4"), ("none", "<u4")])
 BLOCK_IDS, FILE_BYTES = 1 << 18, 16 << 20
 #: Bytes of text that a task cuts into words at once; words that it remembers before it begins anew.
-AT_ONCE, KNOWN = 8 << 20, 1 << 19
+AT_ONCE, KNOWN = 3 << 20, 1 << 19
 MARKS = string.punctuation
 #: The four lengths of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -106,10 +107,8 @@ class Words:
     """Ids of words, for a tokenizer whose words end in a mark; remembers the words that it has met, without the marks that follow
     them. Words are cut, counted and stripped as Arrow columns; Python only sees those that are new."""
 
-    def __init__(self, tokenizer, suffix: str):
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-        self.tokenizer, self.ends = tokenizer, np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+    def __init__(self, tokenizer, ends: np.ndarray):
+        self.tokenizer, self.ends = tokenizer, ends
         self.forget()
 
     def forget(self) -> None:
@@ -176,16 +175,29 @@ class Words:
         return ids, np.diff(ends[2 * (offsets - offsets[0])])
 
 
-def encoder(file: str, ordinary: bool) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+def word_ends(file: str) -> tuple[int, np.ndarray | None]:
+    """Of a tokenizer's file: the greatest id, and which ids end a word, where words have such a mark and white space is dropped."""
+    from tokenizers import Tokenizer
+
+    spec, vocabulary = json.loads(file), Tokenizer.from_str(file).get_vocab(with_added_tokens=True)
+    most, suffix = max(vocabulary.values(), default=0), spec["model"].get("end_of_word_suffix")
+    if not suffix or "Removed" not in json.dumps(spec["pre_tokenizer"]):
+        return most, None
+    ends = np.zeros(most + 1, bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+    return most, ends
+
+
+def encoder(file: str, ends: np.ndarray | None, ordinary: bool) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """From an Arrow column of texts to all ids and each text's number of them, by the tokenizer whose file has this text.
     ordinary: the names of special tokens are text like any other."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(file)
     tokenizer.encode_special_tokens = ordinary
-    spec = json.loads(file)
-    if (suffix := spec["model"].get("end_of_word_suffix")) and "Removed" in json.dumps(spec["pre_tokenizer"]):
-        return Words(tokenizer, suffix)
+    if ends is not None:
+        return Words(tokenizer, ends)
 
     def whole(texts) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
@@ -197,18 +209,18 @@ def encoder(file: str, ordinary: bool) -> Callable[[pa.Array], tuple[np.ndarray,
 def tokenized(docs: DataFrame, path: str, end: int, ordinary: bool = False) -> DataFrame:
     """doc_id, n and ids (unsigned 16- or 32-bit, little-endian, as the vocabulary needs) of every document, in a stored table."""
     import pyarrow as pa
-    from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
         file = f.read()
-    kind = id_type(max(Tokenizer.from_str(file).get_vocab().values(), default=0), end)
-    sent = spark.sparkContext.broadcast(file)
+    most, ends = word_ends(file)
+    kind = id_type(most, end)
+    sent = spark.sparkContext.broadcast((file, ends))
 
     def run(batches):
         encode = None
         for batch in batches:
-            encode = encode or encoder(sent.value, ordinary)
+            encode = encode or encoder(*sent.value, ordinary)
             texts = batch.column(1).cast(pa.large_string()).fill_null("")
             for a, b in slices(text_buffer(texts)[1], AT_ONCE):
                 ids, sizes = encode(texts.slice(a, b - a))

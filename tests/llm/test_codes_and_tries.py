@@ -56,7 +56,8 @@ ODD_TEXTS = [
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_are_the_librarys(name, ordinary):
     with open(P.path(name), encoding="utf-8") as f:
-        encode = token_files.encoder(f.read(), ordinary)
+        file = f.read()
+    encode = token_files.encoder(file, token_files.word_ends(file)[1], ordinary)
     t, rng = library(name, ordinary), random.Random(3)
     letters = string.ascii_letters + "éßñüİΣσς'’.,!?-_ \t\n0123456789́🙂日"
     texts = ODD_TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(400)]
@@ -76,7 +77,7 @@ def test_any_text(texts):
 
 
 LIBRARY = library()
-WORDS = token_files.encoder(LIBRARY.to_str(), False)
+WORDS = token_files.encoder(LIBRARY.to_str(), token_files.word_ends(LIBRARY.to_str())[1], False)
 
 
 def test_token_files(spark, monkeypatch):
