@@ -26,6 +26,17 @@ def only(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def packed(docs: DataFrame, **own: Column) -> DataFrame:
+    """The caller's rows as one column `row` beside columns of an operator's own, so that no names can clash; unpacked() undoes it."""
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in own.items()])
+
+
+def unpacked(rows: DataFrame, text: Column | None = None) -> DataFrame:
+    """The caller's columns as they were, or with another text."""
+    names = rows.schema["row"].dataType.names
+    return rows.select(*[(text if text is not None and c.lower() == "text" else F.col("row").getField(c)).alias(c) for c in names])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -10,7 +10,8 @@ places and hashes, of fixed size each, to meet it by a shuffle (and AQE splits h
 where a hash was met. Both ways give the same rows.
 
 Defined results: null and empty texts have no words, no hits and aren't contaminated; an item without words has no window;
-equal items all count; repeated rows each get a row; an empty benchmark hits nothing.
+equal items all count; an item without item_id hits words like any other, but is in no list of items; repeated rows each get a row;
+an empty benchmark hits nothing. Rows that stay keep all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, only
+from .common import ascii_lower, materialize, only, packed, unpacked
 
 WINDOW = 13
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -120,20 +121,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     remove="spans": documents stay, without the words in any occurrence of a window and what stands between such words."""
     found = scan(docs, benchmark, window)
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("*", F.col("doc_id").alias("_key_doc"), F.xxhash64(text, F.length(text)).alias("_key_hash"))
-    bad = found.where(contaminated() if remove == "documents" else "n_hit > 0").groupBy("doc_id", "text_hash").agg(F.first("hits").alias("_hits")).withColumnsRenamed({"doc_id": "_bad_doc", "text_hash": "_bad_hash"})
-    on = F.col("_key_doc").eqNullSafe(F.col("_bad_doc")) & (F.col("_key_hash") == F.col("_bad_hash"))
+    keyed = packed(docs, doc=F.col("doc_id"), hash=F.xxhash64(text, F.length(text)))
+    bad = found.where(contaminated() if remove == "documents" else "n_hit > 0").groupBy("doc_id", "text_hash").agg(F.first("hits").alias("hits")).withColumnsRenamed({"doc_id": "bad_doc", "text_hash": "bad_hash"})
+    on = F.col("doc").eqNullSafe(F.col("bad_doc")) & (F.col("hash") == F.col("bad_hash"))
     if remove == "documents":
-        bad = materialize(bad.drop("_hits"), "contaminated")  # its size is known before texts are joined
-        return keyed.join(bad, on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    pieces = F.regexp_extract_all("text", F.lit(f"[^{GAP}]+|[{GAP}]+"), F.lit(0))
-    lead = F.when(F.col("text").rlike(f"^[^{GAP}]"), 0).otherwise(1)  # the place of the first word
-    even = lambda i: (i - F.col("_lead")) % 2 == 0
-    first = lambda i: F.floor((i - F.col("_lead")) / 2).cast("int") + 1  # noqa: E731  the word at i, or the one before the gap at i
-    gone = lambda i: F.exists("_hits", lambda h: (h["pos"] <= first(i)) & (h["end"] > F.when(even(i), first(i)).otherwise(first(i) + 1)))
-    kept = F.array_join(F.filter("_pieces", lambda p, i: ~gone(i)), "")
-    out = keyed.join(bad, on, "left").withColumn("_lead", lead).withColumn("_pieces", F.when(F.col("_hits").isNotNull(), pieces))
-    return out.select(*[F.when(F.col("_hits").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+        bad = materialize(bad.drop("hits"), "contaminated")  # its size is known before texts are joined
+        return unpacked(keyed.join(bad, on, "left_anti"))
+    said = F.col("row.text")
+    pieces = F.regexp_extract_all(said, F.lit(f"[^{GAP}]+|[{GAP}]+"), F.lit(0))
+    lead = F.when(said.rlike(f"^[^{GAP}]"), 0).otherwise(1)  # the place of the first word
+    even = lambda i: (i - F.col("lead")) % 2 == 0
+    first = lambda i: F.floor((i - F.col("lead")) / 2).cast("int") + 1  # noqa: E731  the word at i, or the one before the gap at i
+    gone = lambda i: F.exists("hits", lambda h: (h["pos"] <= first(i)) & (h["end"] > F.when(even(i), first(i)).otherwise(first(i) + 1)))
+    kept = F.array_join(F.filter("pieces", lambda p, i: ~gone(i)), "")
+    out = keyed.join(bad, on, "left").withColumn("lead", lead).withColumn("pieces", F.when(F.col("hits").isNotNull(), pieces))
+    return unpacked(out, F.when(F.col("hits").isNotNull(), kept).otherwise(said))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

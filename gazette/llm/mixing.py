@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_WHITE, materialize, only
+from .common import NOT_WHITE, materialize, only, packed, unpacked
 
 #: Bits of a histogram's buckets; two histograms are made, then hashes are summed as they are.
 BITS, HASH_BITS = 12, 60
@@ -73,7 +73,7 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def _source_id():
     """A key that holds for a null source too."""
-    return F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("source_id")
+    return F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
 
 
 def limits(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -81,8 +81,8 @@ def limits(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     left = F.col("target") - F.col("whole") * F.col("source_size")
-    plan = materialize(plan.withColumn("whole", whole).select(_source_id(), "source_size", "target", "whole", left.alias("left")), "plan")
-    cuts = thresholds(rows.select(_source_id(), "size", "h"), plan.select("source_id", "left").where("left > 0"))
+    plan = materialize(plan.withColumn("whole", whole).select(_source_id().alias("source_id"), "source_size", "target", "whole", left.alias("left")), "plan")
+    cuts = thresholds(rows.select(_source_id().alias("source_id"), "size", "h"), plan.select("source_id", "left").where("left > 0"))
     return materialize(plan.join(cuts, "source_id", "left").drop("left"), "limits")
 
 
@@ -100,10 +100,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of docs as often as the mix takes them, columns unchanged: a filter by hash, where they are read."""
-    at = limits(materialize(records(docs), "records"), weights, most).select(F.col("source_id").alias("_id"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
-    joined = docs.withColumn("_hash", record_hash()).withColumn("_source", _source_id()).join(at, F.col("_source") == F.col("_id"))
-    times = F.col("_whole") + (F.col("_hash") <= F.coalesce("_threshold", F.lit(-1))).cast("long")
-    return joined.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = limits(materialize(records(docs), "records"), weights, most)
+    joined = packed(docs, h=record_hash(), source_id=_source_id()).join(at, "source_id")
+    return unpacked(joined.where(repeats() > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), repeats()))))
 
 
 def op6_hash_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

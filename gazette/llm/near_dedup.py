@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, materialize, mix64, only, slices, text_buffer, tokens
+from .common import by_key, materialize, mix64, only, packed, slices, text_buffer, tokens, unpacked
 from .graph import Forest, components
 
 BANDS, ROWS = 36, 6
@@ -358,12 +358,13 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFr
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     marked = keys.join(keys.groupBy("label").agg(first), "label")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    marked = materialize(marked.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "times").where("not stays or times > 1"), "verdicts")
-    gone, again = (materialize(marked.where(x).select("_doc", "_hash"), name) for x, name in (("not stays", "gone"), ("stays", "again")))
-    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    once = docs.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"])
+    marked = materialize(marked.select(F.col("doc_id").alias("gone_doc"), F.col("text_hash").alias("gone_hash"), stays.alias("stays"), "times").where("not stays or times > 1"), "verdicts")
+    gone, again = (materialize(marked.where(x).select("gone_doc", "gone_hash"), name) for x, name in (("not stays", "gone"), ("stays", "again")))
+    rows = packed(docs, doc=F.col("doc_id"), hash=F.xxhash64("text"))
+    on = F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("hash") == F.col("gone_hash"))
+    once = rows.join(again, on, "left_semi").withColumn("text", F.col("row.text")).dropDuplicates(["doc", "text"]).drop("text")
     # one strategy at every size: what goes is the built side, texts aren't sorted
-    return docs.join(again, on, "left_anti").join(gone.hint("shuffle_hash"), on, "left_anti").unionByName(once)
+    return unpacked(rows.join(again, on, "left_anti").join(gone.hint("shuffle_hash"), on, "left_anti").unionByName(once))
 
 
 def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

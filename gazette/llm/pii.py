@@ -2,7 +2,7 @@
 
 Kinds email, ip, card and phone are the base: each leftmost, without overlaps within the kind, dropped when its check fails
 (parts up to 255, Luhn, number of digits). The method adds iban, confirmed by mod 97, and secret, a long run of letters and
-digits. A span's score is its kind's own, raised by a fifth when a word that names the kind stands shortly before it (after
+digits of any length, dots between such runs included. A span's score is its kind's own, raised by a fifth when a word that names the kind stands shortly before it (after
 the last span of that kind) and lowered by a fifth when one does that names something else; base spans are reported whatever
 their score, added ones from `least` on: an iban needs no word but is dropped by a wrong one, a secret needs one.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, packed, unpacked
 
 SPAN = "array<struct<kind:string,start:int,end:int,said:string,score:double>>"
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -27,7 +27,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-SECRET = r"[A-Za-z0-9+/_-]{20,}+"
+SECRET = r"[A-Za-z0-9+/_-]{20,}+(?:\.[A-Za-z0-9+/_-]{10,}+)*+"
 #: Reach of the words nearby, in code points; matches folded at once.
 NEAR, PART = 40, 256
 
@@ -51,7 +51,7 @@ KINDS = {
     "card": (lambda t: t.rlike(r"(?:[0-9][\x20-]?){15}[0-9]"), CARD, lambda s: F.length(_digits(s)).between(16, 19) & F.call_function("luhn_check", _digits(s)), 0.7, "card|karte|carte|tarjeta|visa|credit|kredit|pay", "order|isbn|serial|tracking|bestell"),
     "phone": (lambda t: F.contains(t, F.lit("+")), PHONE, lambda s: F.length(_digits(s)).between(8, 15), 0.6, "phone|tel|call|fax|mobil|anruf|appel|llam", "formula|score|sum"),
     "iban": (lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), IBAN, lambda s: F.length(F.replace(s, F.lit(" "), F.lit(""))).between(15, 34) & mod97(s), 0.7, "iban|bank|account|konto|compte|cuenta", "serial|part no"),
-    "secret": (lambda t: t.rlike("[A-Za-z0-9+/_-]{20}"), SECRET, lambda s: (F.length(s) <= 200) & s.rlike("[0-9]") & s.rlike("[A-Za-z]"), 0.5, "token|secret|passw|api.?key|access.?key|private.?key|bearer|credential", "commit|checksum|digest|sha[0-9]|md5"),
+    "secret": (lambda t: t.rlike("[A-Za-z0-9+/_-]{20}"), SECRET, lambda s: s.rlike("[0-9]") & s.rlike("[A-Za-z]"), 0.5, "token|secret|passw|api.?key|access.?key|private.?key|bearer|credential", "commit|checksum|digest|sha[0-9]|md5"),
 }
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "secret")
@@ -109,15 +109,16 @@ def redact(docs: DataFrame, least: float = 0.7) -> DataFrame:
     every = F.filter(F.concat(*[spans_of(text, k) for k in KINDS]), lambda s: s["kind"].isin(*BASE) | (s["score"] >= least))
     order = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    said = F.col("row.text")
 
     def step(acc, s):
         free = s["start"] >= acc["pos"]
-        part = F.array(F.substring(F.col("_text"), acc["pos"] + 1, s["start"] - acc["pos"]), F.concat(F.lit("<"), s["kind"], F.lit(">")))
+        part = F.array(F.substring(said, acc["pos"] + 1, s["start"] - acc["pos"]), F.concat(F.lit("<"), s["kind"], F.lit(">")))
         return F.struct(F.when(free, -s["neg"]).otherwise(acc["pos"]).alias("pos"), F.when(free, F.concat(acc["out"], part)).otherwise(acc["out"]).alias("out"))
 
-    done = docs.withColumn("_text", text).withColumn("_order", order).withColumn("_done", F.aggregate("_order", start, step))
-    new = F.when(F.size("_order") > 0, F.concat(F.array_join(F.col("_done")["out"], ""), F.substring(F.col("_text"), F.col("_done")["pos"] + 1, F.length("_text")))).otherwise(F.col("text"))
-    return done.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    done = packed(docs, order=order).withColumn("done", F.aggregate("order", start, step))
+    new = F.concat(F.array_join(F.col("done.out"), ""), F.substring(said, F.col("done.pos") + 1, F.length(said)))
+    return unpacked(done, F.when(F.size("order") > 0, new).otherwise(said))
 
 
 def op4_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +135,7 @@ p AS (SELECT k, 1 AS o, 'email' AS kind, string_split_regex(t, '[A-Za-z0-9._%+-]
   UNION ALL SELECT k, 3, 'card', string_split_regex(t, '[0-9](?:[\x20-]?[0-9])+'), regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+') FROM d
   UNION ALL SELECT k, 4, 'phone', string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
   UNION ALL SELECT k, 5, 'iban', string_split_regex(t, '\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b'), regexp_extract_all(t, '\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b') FROM d
-  UNION ALL SELECT k, 6, 'secret', string_split_regex(t, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{20,}') FROM d),
+  UNION ALL SELECT k, 6, 'secret', string_split_regex(t, '[A-Za-z0-9+/_-]{20,}(?:\.[A-Za-z0-9+/_-]{10,})*'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{20,}(?:\.[A-Za-z0-9+/_-]{10,})*') FROM d),
 x AS (SELECT * FROM (VALUES
   ('email', 80, 'mail|contact|kontakt|correo|courriel|write|reply', 'example|sample'), ('ip', 60, 'ip|host|server|address|adresse|direcci', 'version|release|section|kapitel'),
   ('card', 70, 'card|karte|carte|tarjeta|visa|credit|kredit|pay', 'order|isbn|serial|tracking|bestell'), ('phone', 60, 'phone|tel|call|fax|mobil|anruf|appel|llam', 'formula|score|sum'),
@@ -146,7 +147,7 @@ c AS (SELECT k, o, kind, (e - length(m))::BIGINT AS st, e::BIGINT AS en, score F
   WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INT), 0) <= 255)) = 4
   WHEN 'card' THEN length(dg) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, length(dg)), lambda j: CASE WHEN j % 2 = 0 THEN substr(reverse(dg), j + 1, 1)::INT WHEN substr(reverse(dg), j + 1, 1)::INT > 4 THEN 2 * substr(reverse(dg), j + 1, 1)::INT - 9 ELSE 2 * substr(reverse(dg), j + 1, 1)::INT END)) % 10 = 0
   WHEN 'phone' THEN length(dg) BETWEEN 8 AND 15
-  WHEN 'secret' THEN length(m) <= 200 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
+  WHEN 'secret' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
   ELSE length(flat) BETWEEN 15 AND 34 AND array_to_string(list_transform(string_split(substr(flat, 5) || substr(flat, 1, 4), ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x ELSE (ascii(x) - 55)::VARCHAR END), '')::HUGEINT % 97 = 1 END),
 g AS (SELECT k, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2, count(*) FILTER (o = 3) AS n3, count(*) FILTER (o = 4) AS n4, count(*) FILTER (o = 5) AS n5, count(*) FILTER (o = 6) AS n6, count(*) AS n, string_agg(score::VARCHAR, ',' ORDER BY o, st) AS scores,
   string_agg(kind || ':' || st || ':' || en, ',' ORDER BY o, st) FILTER (o < 5) AS base, string_agg(kind || ':' || st || ':' || en, ',' ORDER BY o, st) AS every FROM c GROUP BY k)

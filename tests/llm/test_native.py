@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from gazette.llm import decontamination, licenses, mixing, pii, sharding
+from gazette.llm import decontamination, licenses, mixing, near_dedup, pii, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, vslot string, h string, hits int"
 BENCH = " ".join(f"bench{k}" for k in range(20))
@@ -216,7 +216,7 @@ def test_pii(spark):
     got = [(r.doc_id, [s for s in r.base.split(",") if s], r.more) for r in out.select("doc_id", pii.listed(*pii.BASE).alias("base"), pii.listed(*pii.ADDED).alias("more")).collect()]
     assert sorted(((i, b) for i, b, _ in got), key=repr) == sorted(((i, brute4(t)) for i, t in PII), key=repr)
     more = {i: m for i, _, m in got}
-    assert more[12] == "iban:6:33,iban:35:57" and more[16] == "iban:41:68" and more[17] == "secret:11:31" and more[18] == "secret:18007:18031"
+    assert more[12] == "iban:6:33,iban:35:57" and more[16] == "iban:41:68" and more[17] == "secret:11:31,secret:69:369" and more[18] == "secret:18007:18031"
     assert pii.find(docs.limit(0)).count() == 0
     red = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert red[6].startswith("call <phone> or +12 or") and red[1] is None and red[2] == "" and "<iban>, <iban> DE89370400440532013001" in red[12]
@@ -273,3 +273,51 @@ def test_whole_licenses_and_notices(spark):
         got = {r.doc_id: r for r in licenses.scan(docs, broadcast_bytes=limit).collect()}
         assert [got[n].license or "" for n in range(len(want))] == [k for k, _ in want]
         assert [got[1000 + n].line_licenses for n in range(len(lines))] == [[k] for k in lines.values()]
+
+
+#: Names that row-keeping operators use, or used, beside the caller's columns.
+TAKEN = "row doc hash copy h whole threshold source_id label stays times gone_doc gone_hash text_hash bad_doc bad_hash hits lead pieces order done said size n kept component_id score w".split()
+CLASHING = [f"{under}{name}" for name in TAKEN for under in ("", "_")] + ["_ID", "_Source", "_KEY_DOC", "_key_hash", "Two words", "a.b", "back`tick"]
+
+
+def clashing(spark, upper):
+    """Documents with a column of every such name, whose values tell the rows apart."""
+    names = [c.upper() if upper else c for c in CLASHING]
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    texts = {1: words(1), 2: words(1), 3: words(3), 4: f"a {BENCH} b", 5: "write to a.b@example.org or +49 30 1234567", 6: None, 7: "", 8: words(8) + " end"}
+    rows = [(i, t, "s1" if i % 2 else None) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in names]), names
+
+
+@pytest.mark.parametrize("upper", [False, True])
+def test_rows_keep_columns_of_any_name(spark, upper):
+    docs, names = clashing(spark, upper)
+    before = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    bench = spark.createDataFrame([(1, BENCH)], "item_id long, text string")
+    same = lambda out: [before[r["doc_id"]] == tuple(r) for r in out]
+    unique = near_dedup.deduplicate(docs, 5, 80)
+    assert unique.columns == docs.columns and all(same(got := unique.collect())) and sorted(r["doc_id"] for r in got) == [1, 3, 4, 5, 6, 7, 8]
+    clean = decontamination.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and all(same(got := clean.collect())) and sorted(r["doc_id"] for r in got) == [1, 2, 3, 5, 6, 7, 8]
+    mixed = mixing.repeated(docs)
+    assert mixed.columns == docs.columns and all(same(mixed.collect()))
+    for out, changed in ((decontamination.decontaminate(docs, bench, "spans"), {4: "a  b"}), (pii.redact(docs), {5: "write to <email> or <phone>"})):
+        assert out.columns == docs.columns
+        got = {r["doc_id"]: tuple(r) for r in out.collect()}
+        for i, r in before.items():
+            assert got[i][2:] == r[2:] and got[i][0] == i and got[i][1] == changed.get(i, r[1])
+
+
+def test_items_without_id_hit_but_are_not_listed(spark):
+    docs, bench = table(spark, [(1, f"x {BENCH}", "a")]), spark.createDataFrame([(None, BENCH), (5, "other words here")], "item_id long, text string")
+    for limit in (64 << 20, 0):
+        (r,) = decontamination.scan(docs, bench, broadcast_bytes=limit).collect()
+        assert (r.n_hit, r.n_words, list(r["items"])) == (20, 21, [])
+
+
+def test_secrets_of_any_length(spark):
+    long, jwt = "aB3" * 5000, "eyJhbGciOiJIUzI1NiJ9abc.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    docs = table(spark, [(1, f"token {long} end", "a"), (2, f"secret: {jwt} end", "a"), (3, f"commit {long}", "a")])
+    got = {r.doc_id: [(s.start, s.end) for s in r.secret] for r in pii.find(docs).collect()}
+    assert got == {1: [(6, 6 + len(long))], 2: [(8, 8 + len(jwt))], 3: []}
