@@ -396,7 +396,7 @@ def test_language_model_finds_the_discount():
 def test_contexts_of_common_words_are_their_own(spark):
     text = " ".join(f"w{k % 40}" for k in range(4000))
     docs = spark.createDataFrame([(k, text + f" rare{k}") for k in range(30)], "doc_id long, text string")
-    common = language_model.common_words(docs, 40)
+    common = language_model.common_words(docs, 3, 40)
     raw = np.frombuffer(text.encode(), np.uint8)
     word, context, _ = language_model.histories(raw, np.array([0, len(raw)]), common)
     assert len(common) == 40 and context[0] == 0 and len(set(context[1:])) == 40 and max(context) <= 40
