@@ -1,333 +1,25 @@
-"""Distilling of a page to its article: cleaning steps over an element tree, and the order in which they run.
-
-Every step takes and changes a tree, so a page is parsed once.
-"""
+"""What distilling knows of sites: elements that are never content, names of furniture, lines that sites add."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-
-from gazette.functions import dom, jsonld, urls
-from gazette.functions.text import PAYWALL_MARKS, TERMINATORS, UNSAFE
-
 VERSION = 1
 LEAST_WORDS = 80
 # Elements that are never content.
-CHROME = "nav, footer, button, noscript, form, title, meta, link, style, script, template"
-# Parts of class and id names that say an element is furniture: consent, sharing, other articles, subscription,
-# payment, advertising, navigation, ends of pages, rankings, what lies over the page.
-FURNITURE = """
-cookie consent gdpr privacy
-share social
-related recommended outbrain taboola
-newsletter signup subscribe
-paywall
-sponsor sponsored advert promo ad ads
-breadcrumb pagination pager sidebar navbar menu toolbar
-footer copyright disclaimer
-trending popular
-modal popup overlay banner widget comments
-""".split()
-NEGATIVE = re.compile(r"(?:^|[\s_-])(?:" + "|".join(FURNITURE) + r")s?(?:$|[\s_-])")
+CHROME = ("nav", "footer", "button", "noscript", "form", "title", "meta", "link", "style", "script", "template")
+#: Class and id names of furniture, from conventions that are public: landmark and widget roles of ARIA, the parts of a page that
+#: schema.org names (its ad block, footer, side bar and navigation), components of common style sheets and of common publishing
+#: themes; and `ad`, which pages of the test tables use.
+ROLES = "alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar tooltip"
+PARTS = "ad advert advertisement footer sidebar"
+COMPONENTS = "breadcrumb carousel dropdown modal navbar offcanvas pagination popover popup toast"
+THEMES = "comment cookie login newsletter promo related share sharing social sponsored subscribe tag-cloud widget"
+FURNITURE = sorted({*ROLES.split(), *PARTS.split(), *COMPONENTS.split(), *THEMES.split()})
+NAMED = r"(?:^|[\s_-])(?:" + "|".join(FURNITURE) + r")s?(?:$|[\s_-])"
 #: Lines that a site adds to articles, by language: a paragraph that begins with one goes, whatever its length.
-BOILERPLATE = {
-    "en": re.compile(r"^(?:read more|read also|share this|all rights reserved|follow us|sign up|advertisement)\b", re.I),
-    "de": re.compile(r"^(?:mehr zum thema|lesen sie auch|alle rechte vorbehalten|anzeige|folgen sie uns|teilen)\b", re.I),
-    "fr": re.compile(r"^(?:lire aussi|tous droits réservés|partager|suivez-nous|publicité|abonnez-vous)\b", re.I),
-    "es": re.compile(r"^(?:lea también|todos los derechos reservados|compartir|síguenos|publicidad|suscríbete)\b", re.I),
-    "it": re.compile(r"^(?:leggi anche|tutti i diritti riservati|condividi|seguici|pubblicità|abbonati)\b", re.I),
+SITE_LINES = {
+    "en": r"(?i)^(?:read more|read also|share this|all rights reserved|follow us|sign up|advertisement)(?![\p{L}\p{N}_])",
+    "de": r"(?i)^(?:mehr zum thema|lesen sie auch|alle rechte vorbehalten|anzeige|folgen sie uns|teilen)(?![\p{L}\p{N}_])",
+    "fr": r"(?iu)^(?:lire aussi|tous droits réservés|partager|suivez-nous|publicité|abonnez-vous)(?![\p{L}\p{N}_])",
+    "es": r"(?iu)^(?:lea también|todos los derechos reservados|compartir|síguenos|publicidad|suscríbete)(?![\p{L}\p{N}_])",
+    "it": r"(?iu)^(?:leggi anche|tutti i diritti riservati|condividi|seguici|pubblicità|abbonati)(?![\p{L}\p{N}_])",
 }
-SIZE_MARK = re.compile(urls.SIZE_MARK)
-
-
-@dataclass
-class Rule:
-    """What is known of an outlet's pages."""
-
-    hosts: list[str] = field(default_factory=list)
-    body_selectors: list[str] = field(default_factory=list)
-    strip_selectors: list[str] = field(default_factory=list)
-    strip_text_patterns: list[str] = field(default_factory=list)
-    paywall_markers: list[str] = field(default_factory=list)
-
-
-def words(text: str) -> int:
-    return len(text.split())
-
-
-def sanitize(source: str) -> str:
-    """Without event handlers, javascript: addresses and images of one pixel."""
-    for pattern in UNSAFE:
-        source = re.sub(pattern, "", source)
-    return source
-
-
-def drop_chrome(root: dom.Element) -> None:
-    for e in dom.select(root, CHROME):
-        e.remove()
-
-
-def drop_negative(root: dom.Element) -> None:
-    """Elements whose own class or id names furniture; bracketed variants of class names don't count."""
-    for e in list(root.walk()):
-        name = re.sub(r"\[[^\]]*\]", " ", f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".lower())
-        if e.tag != "body" and NEGATIVE.search(name):
-            e.remove()
-
-
-def drop_link_lists(root: dom.Element, ceiling: float = 0.5) -> None:
-    """Containers with three links or more, under 400 other characters, and mostly link text."""
-    for e in dom.select(root, "div, section, aside, nav, ul, ol"):
-        links = dom.select(e, "a") if e.attached(root) else []
-        total = len(e.text()) if len(links) >= 3 else 0
-        linked = sum(len(a.text()) for a in links)
-        if total and total - linked < 400 and linked / total > ceiling:
-            e.remove()
-
-
-def drop_link_runs(root: dom.Element) -> None:
-    """Runs of three paragraphs or more that are one link each."""
-    run: list[dom.Element] = []
-
-    def flush() -> None:
-        if len(run) >= 3:
-            for e in run:
-                e.remove()
-        run.clear()
-
-    for p in dom.select(root, "p"):
-        links, text = dom.select(p, "a"), p.text()
-        if len(links) == 1 and links[0].text() and len(links[0].text()) >= 0.85 * len(text):
-            run.append(p)
-        else:
-            flush()
-    flush()
-
-
-def drop_short(root: dom.Element, least: int = 25) -> None:
-    """Paragraphs and items of few characters without a mark of punctuation."""
-    for e in dom.select(root, "p, li"):
-        text = e.text()
-        if text and len(text) < least and not any(c in ".?!:" for c in text):
-            e.remove()
-
-
-def drop_boilerplate(root: dom.Element, language: str | None) -> None:
-    """A site's own lines, by language; containers only up to 80 characters; other languages change nothing."""
-    pattern = BOILERPLATE.get(re.split(r"[-_]", (language or "").strip().lower())[0])
-    for e in dom.select(root, "p, li, div, section, span, h1, h2, h3, h4, h5, h6, header, aside, a") if pattern else []:
-        text = e.text()
-        if pattern.search(text) and (e.tag in ("p", "li") or len(text) <= 80):
-            e.remove()
-
-
-def image_key(url: str | None) -> str | None:
-    name = re.sub(r"[?#].*$", "", (url or "").strip()).rstrip("/").rsplit("/", 1)[-1].lower()
-    return re.sub(r"@[23]x$", "", SIZE_MARK.sub("", re.sub(r"\.[^.]*$", "", name))) or None
-
-
-def drop_hero(root: dom.Element, hero: str | None) -> None:
-    """Images that are the hero again, by key, with the figure around them."""
-    key = image_key(hero)
-    for e in dom.select(root, "img, picture, source") if key else []:
-        urls = [e.attrs.get("src"), *[c.split()[0] for c in e.attrs.get("srcset", "").split(",") if c.strip()]]
-        if any(image_key(u) == key for u in urls):
-            up = e
-            while up.parent is not None and up.parent.tag in ("figure", "picture"):
-                up = up.parent
-            up.remove()
-
-
-def apply_rule(root: dom.Element, rule: Rule | None) -> dom.Element:
-    """Narrow to the first body selector that finds anything, then strip by selector and by short text."""
-    if rule is None:
-        return root
-    for selector in rule.body_selectors:
-        if found := dom.outermost(dom.select(root, selector)):
-            narrowed = dom.Element("#root")
-            for e in found:
-                e.remove()
-                e.parent = narrowed
-                narrowed.parts.append(e)
-            root = narrowed
-            break
-    for selector in rule.strip_selectors:
-        for e in dom.select(root, selector):
-            e.remove()
-    for pattern in rule.strip_text_patterns:
-        for e in dom.select(root, "p, li, div, span, aside"):
-            text = e.text()
-            if re.search(pattern, text, re.I) and (e.tag in ("p", "li") or len(text) <= 80):
-                e.remove()
-    return root
-
-
-def cut_at_terminator(root: dom.Element, language: str | None) -> None:
-    """Everything goes from the first phrase on that ends articles of the language, wherever it stands in a text; captions,
-    attributes and code don't count."""
-    phrases = TERMINATORS.get(re.split(r"[-_]", (language or "").strip().lower())[0], ())
-    todo: list[tuple[dom.Element, int]] = [(root, 0)] if phrases else []
-    while todo:
-        e, k = todo.pop()
-        while k < len(e.parts):
-            part, k = e.parts[k], k + 1
-            if isinstance(part, dom.Element):
-                if part.tag not in ("figure", "figcaption", "script", "style"):
-                    todo.append((e, k))
-                    e, k = part, 0
-                continue
-            low = part.lower()
-            if found := [low.find(p) for p in phrases if p in low]:
-                e.parts[k - 1 :] = [part[: min(found)]]
-                for up, at in todo:
-                    del up.parts[at:]
-                return
-
-
-def readable(root: dom.Element, most_links: float = 0.5, block_cost: int = 8, least: int = 200) -> dom.Element | None:
-    """The container that reads most like an article: of all elements the one whose blocks are worth most together. A block is
-    the text that an element holds outside of other blocks; it is worth its words, less those in links, less twice those in links
-    beyond the share `most_links`, less `block_cost`. So prose adds and navigation takes away, and the best element
-    is the largest one that takes in no more furniture than its prose is worth; of equal ones the innermost. None under `least`
-    characters."""
-    order, worth = [root, *root.walk()], {}
-    own: dict[int, list[int]] = {id(e): [0, 0] for e in order}  # words, and those in links, of each block
-    todo: list[tuple[dom.Element, dom.Element, bool]] = [(root, root, False)]
-    while todo:
-        e, block, linked = todo.pop()
-        for part in e.parts:
-            if isinstance(part, str):
-                n = words(part)
-                own[id(block)][0] += n
-                own[id(block)][1] += n * linked
-            elif part.tag not in ("script", "style", "template", "noscript"):
-                todo.append((part, part if part.tag in dom.BLOCK else block, linked or part.tag == "a"))
-    for e in reversed(order):
-        n, links = own[id(e)]
-        value = n - 2 * max(0, links - most_links * n) - links - block_cost if n else 0
-        worth[id(e)] = value + sum(worth[id(p)] for p in e.parts if isinstance(p, dom.Element))
-    best = None
-    for e in order[1:]:
-        if (e.tag in dom.BLOCK) and (best is None or worth[id(e)] >= worth[id(best)]):
-            best = e
-    return best if best is not None and worth[id(best)] > 0 and len(best.text()) >= least else None
-
-
-def clean(root: dom.Element, language: str | None = None, hero: str | None = None) -> dom.Element:
-    """The cleaning steps in order."""
-    for step in (drop_chrome, drop_negative, drop_link_lists, drop_link_runs, drop_short):
-        step(root)
-    drop_hero(root, hero)
-    drop_boilerplate(root, language)
-    return root
-
-
-def distill(page: str | None, fallback: str | None = None, language: str | None = None, hero: str | None = None, rule: Rule | None = None) -> dict:
-    """html, text, words, method (jsonld, readable, fallback, none), paywalled, version. A body under 80 words gives way to the
-    fallback text."""
-    page = page or ""
-    node = jsonld.article_node(page)
-    out = {"html": None, "text": "", "words": 0, "method": "none", "paywalled": False, "version": VERSION}
-    if node and words(node["body"]) >= LEAST_WORDS:
-        lines = [x.strip() for x in node["body"].split("\n") if x.strip()]
-        import html as escape
-
-        return out | {"html": "\n".join(f"<p>{escape.escape(x, False)}</p>" for x in lines), "text": "\n".join(lines), "words": words(node["body"]), "method": "jsonld"}
-    root = apply_rule(dom.parse(sanitize(page)), rule)
-    drop_chrome(root)
-    body = readable(root)
-    if body is not None:
-        holder = dom.Element("#root")
-        body.remove()
-        body.parent = holder
-        holder.parts.append(body)
-        cut_at_terminator(holder, language)
-        clean(holder, language, hero)
-        text = holder.text()
-        out |= {"html": holder.inner(), "text": text, "words": words(text), "method": "readable"}
-    if out["words"] < LEAST_WORDS:
-        marks = [*PAYWALL_MARKS, *(rule.paywall_markers if rule else [])]
-        out["paywalled"] = any(re.search(m, page, re.I) for m in marks)
-        if words(fallback or "") > out["words"]:
-            out |= {"html": None, "text": (fallback or "").strip(), "words": words(fallback or ""), "method": "fallback"}
-    return out
-
-
-_HEADINGS = {f"h{k}": k for k in range(1, 7)}
-
-
-def blocks(source: str | None, base: str | None = None) -> list[dict]:
-    """Typed blocks of distilled HTML: heading, paragraph, list, quote, image, code."""
-    from urllib.parse import urljoin
-
-    out: list[dict] = []
-    blank = {"kind": None, "level": None, "text": None, "items": None, "url": None, "alt": None, "ordered": None}
-    inline: list[str] = []
-
-    def flush() -> None:
-        text = " ".join(" ".join(inline).split())
-        inline.clear()
-        if text:
-            out.append(blank | {"kind": "paragraph", "text": text})
-
-    def image(e: dom.Element) -> None:
-        url = e.attrs.get("src") or next((c.split()[0] for c in e.attrs.get("srcset", "").split(",") if c.strip()), None)
-        if url:
-            out.append(blank | {"kind": "image", "url": urljoin(base or "", url), "alt": e.attrs.get("alt") or None})
-
-    todo: list = list(reversed(dom.parse(source or "").parts))
-    while todo:
-        e = todo.pop()
-        if isinstance(e, str):
-            inline.append(e)
-            continue
-        if e is None or not isinstance(e, dom.Element):
-            flush()
-            continue
-        if e.tag in ("script", "style", "template", "noscript"):
-            continue
-        if e.tag not in dom.BLOCK and e.tag not in ("img", "picture", "br"):
-            inline.append(e.text()) if not dom.select(e, "img") else todo.extend(reversed(e.parts))
-            continue
-        flush()
-        text = e.text()
-        if e.tag in _HEADINGS:
-            out += [blank | {"kind": "heading", "level": _HEADINGS[e.tag], "text": text}] if text else []
-        elif e.tag in ("ul", "ol"):
-            items = [t for t in (x.text() for x in e.parts if isinstance(x, dom.Element) and x.tag == "li") if t]
-            out += [blank | {"kind": "list", "items": items, "ordered": e.tag == "ol"}] if items else []
-        elif e.tag == "blockquote":
-            out += [blank | {"kind": "quote", "text": text}] if text else []
-        elif e.tag == "pre":
-            raw = "".join(p if isinstance(p, str) else p.text() for p in e.parts).strip("\n")
-            out += [blank | {"kind": "code", "text": raw}] if raw.strip() else []
-        elif e.tag == "img":
-            image(e)
-        else:
-            todo.append(None)
-            todo.extend(reversed(e.parts))
-    flush()
-    return out
-
-
-_RUNS = {"a": "link", "strong": "strong", "b": "strong", "em": "em", "i": "em", "code": "code"}
-
-
-def runs(source: str | None) -> list[dict]:
-    """Inline runs of a block's HTML: text, kinds (link, strong, em, code), url; white space collapsed."""
-    out: list[dict] = []
-    todo: list = [(p, (), None) for p in reversed(dom.parse(source or "").parts)]
-    while todo:
-        e, kinds, url = todo.pop()
-        if isinstance(e, str):
-            said = re.sub(r"\s+", " ", e)
-            if said and out and (out[-1]["kinds"], out[-1]["url"]) == (list(kinds), url):
-                out[-1]["text"] += said
-            elif said:
-                out.append({"text": said, "kinds": list(kinds), "url": url})
-        else:
-            kind = _RUNS.get(e.tag)
-            inner = (*kinds, kind) if kind and kind not in kinds else kinds
-            todo.extend((p, inner, e.attrs.get("href", url) if e.tag == "a" else url) for p in reversed(e.parts))
-    return [r for r in out if r["text"].strip()]

@@ -1,7 +1,7 @@
 """Model functions over articles behind one interface of five; the local provider answers without any network.
 
 A provider's answers are text, as a model's are: they are parsed tolerantly and checked against the input, so any provider
-can be put in. Functions run on Arrow batches; what doesn't parse gives null.
+can be put in. Providers run on Arrow batches, answers are read by expressions; what doesn't parse gives null.
 """
 
 from __future__ import annotations
@@ -10,14 +10,13 @@ import json
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.functions import jsonld, text
+from gazette.functions import objects, text
 
 CATEGORIES = ("politics", "economy", "world", "technology", "science", "health", "sport", "culture", "other")
 LANGUAGES = {"it": "Italian", "en": "English", "de": "German", "fr": "French", "es": "Spanish"}
-SUMMARY = "struct<short: string, bullets: array<string>>"
 
 
 def language_name(preference: str | None, system: str = "en") -> str:
@@ -125,75 +124,75 @@ class Local(Provider):
         return json.dumps({"picks": found})
 
 
-def _texts(values) -> list[str]:
-    """Distinct texts that aren't blank, without regard to case, in order."""
-    out: dict[str, str] = {}
-    for v in values if isinstance(values, list) else []:
-        if isinstance(v, str) and (clean := " ".join(v.split())):
-            out.setdefault(clean.lower(), clean)
-    return list(out.values())
+def texts(v: Column, most: int) -> Column:
+    """An array's distinct texts that aren't blank, without regard to case, in order; null where there is none."""
+    clean = F.transform(objects.listed(v), lambda x: text.collapse(F.coalesce(objects.text_of(x), F.lit(""))))
+    found = text.dedup_ordered(clean, most)
+    return F.when(F.size(found) > 0, found)
 
 
-def summary(answer: str | None) -> dict | None:
+def answered(answer: Column) -> Column:
+    """The object of an answer as a variant."""
+    return F.try_parse_json(objects.object_in(answer))
+
+
+def summary(v: Column) -> Column:
     """short and up to five bullets, both needed."""
-    found = json.loads(jsonld.tolerant_object(answer) or "{}")
-    short, bullets = found.get("shortSummary"), _texts(found.get("bullets"))[:5]
-    return {"short": " ".join(short.split()), "bullets": bullets} if isinstance(short, str) and short.strip() and bullets else None
+    short, bullets = text.collapse(objects.text_of(objects.part(v, "shortSummary"))), texts(objects.part(v, "bullets"), 5)
+    return F.when((short != "") & bullets.isNotNull(), F.struct(short.alias("short"), bullets.alias("bullets")))
 
 
-def category(answer: str | None) -> str | None:
+def category(v: Column) -> Column:
     """The category's name."""
-    found = json.loads(jsonld.tolerant_object(answer) or "{}").get("category")
-    return " ".join(found.split()) or None if isinstance(found, str) else None
+    return F.nullif(text.collapse(objects.text_of(objects.part(v, "category"))), F.lit(""))
 
 
-def tags(answer: str | None) -> list[str] | None:
+def tags(v: Column) -> Column:
     """Up to eight."""
-    return _texts(json.loads(jsonld.tolerant_object(answer) or "{}").get("tags"))[:8] or None
+    return texts(objects.part(v, "tags"), 8)
 
 
-def groups(answer: str | None) -> list[list[str]]:
-    """Lists of two ids or more."""
-    found = json.loads(jsonld.tolerant_object(answer) or "{}").get("groups")
-    rows = [[i.strip() for i in g if isinstance(i, str) and i.strip()] for g in found if isinstance(g, list)] if isinstance(found, list) else []
-    return [g for g in rows if len(g) >= 2]
+def groups(v: Column) -> Column:
+    """Arrays of two ids or more."""
+    one = lambda g: F.filter(F.transform(objects.listed(g), lambda i: text.trimmed(objects.text_of(i))), lambda i: F.coalesce(i != "", F.lit(False)))
+    return F.coalesce(F.filter(F.transform(objects.listed(objects.part(v, "groups")), one), lambda g: F.coalesce(F.size(g) >= 2, F.lit(False))), F.array().cast("array<array<string>>"))
 
 
-def picks(answer: str | None) -> list[dict]:
+def picks(v: Column) -> Column:
     """id, interest, relevance from 1 to 100; entries without an id or interest go."""
-    found = json.loads(jsonld.tolerant_object(answer) or "{}").get("picks")
-    out = []
-    for p in found if isinstance(found, list) else []:
-        name, interest, r = (p.get("id"), p.get("interest"), p.get("relevance")) if isinstance(p, dict) else (None, None, None)
-        if isinstance(name, str) and name.strip() and isinstance(interest, str) and interest.strip():
-            out.append({"id": name.strip(), "interest": " ".join(interest.split()), "relevance": int(min(100, max(1, r))) if isinstance(r, (int, float)) and not isinstance(r, bool) and r == r else 1})
-    return out
+
+    def one(p):
+        r = F.when(objects.kind(objects.part(p, "relevance")).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(objects.part(p, "relevance"), "$", "double"))
+        return F.struct(text.trimmed(objects.text_of(objects.part(p, "id"))).alias("id"), text.collapse(objects.text_of(objects.part(p, "interest"))).alias("interest"), F.greatest(F.lit(1), F.least(F.lit(100), F.coalesce(F.when(r.isNotNull(), F.floor(F.least(r, F.lit(1000.0)))), F.lit(1)))).cast("int").alias("relevance"))
+
+    found = F.transform(objects.listed(objects.part(v, "picks")), one)
+    return F.coalesce(F.filter(found, lambda p: F.coalesce((p["id"] != "") & (p["interest"] != ""), F.lit(False))), F.array().cast("array<struct<id:string,interest:string,relevance:int>>"))
+
+
+def read_answer(spark: SparkSession, answer: str, reader) -> list:
+    """One answer, to one question about a bounded list, as reader's rows."""
+    return spark.createDataFrame([(answer,)], "answer string").select(answered(F.col("answer")).alias("v")).select(reader(F.col("v")).alias("found")).first()["found"]
 
 
 def enriched(articles: DataFrame, provider: Provider | None = None) -> DataFrame:
-    """id, summary, category, tags of articles (id, cleaned_content, raw_content)."""
+    """id, summary, category, tags of articles (id, cleaned_content, raw_content). Only the provider's own answers come from Python."""
     import pyarrow as pa
 
-    p = provider or Local()
+    p, names = provider or Local(), ["id", "summary", "category", "tags"]
 
     def run(batches):
         for batch in batches:
             said = batch.column(1).to_pylist()
-            made = [(summary(p.summarise(x)), category(p.categorise(x)), tags(p.tags(x))) if x else (None, None, None) for x in said]
-            kind = pa.struct([("short", pa.string()), ("bullets", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], kind), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.list_(pa.string()))], ["id", "summary", "category", "tags"])
+            made = [(p.summarise(x), p.categorise(x), p.tags(x)) if x else (None, None, None) for x in said]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[k] for m in made], pa.string()) for k in range(3)]], names)
 
     kind = articles.schema["id"].dataType.simpleString()
-    return articles.select("id", text.summarisation_input(F.col("cleaned_content"), F.col("raw_content")).alias("said")).mapInArrow(run, f"id {kind}, summary {SUMMARY}, category string, tags array<string>")
+    asked = articles.select("id", text.summarisation_input(F.col("cleaned_content"), F.col("raw_content")).alias("said"))
+    answers = asked.mapInArrow(run, f"id {kind}, summary string, category string, tags string")
+    read = answers.select("id", *[answered(F.col(c)).alias(c) for c in names[1:]])  # each answer is read once
+    return read.select("id", summary(F.col("summary")).alias("summary"), category(F.col("category")).alias("category"), tags(F.col("tags")).alias("tags"))
 
 
 def repaired(outputs: DataFrame) -> DataFrame:
     """case_id and the JSON object in each model_output, null where there is none."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([jsonld.tolerant_object(x) for x in batch.column(1).to_pylist()], pa.string())], ["case_id", "object"])
-
-    kind = outputs.schema["case_id"].dataType.simpleString()
-    return outputs.select("case_id", "model_output").mapInArrow(run, f"case_id {kind}, object string")
+    return outputs.select("case_id", objects.object_in(F.col("model_output")).alias("object"))

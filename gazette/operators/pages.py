@@ -1,12 +1,14 @@
-"""Pages to articles: containers and heroes by expressions, distilling and blocks where Spark dealt the pages."""
+"""Pages to articles: containers and heroes, distilling and blocks, by expressions over texts and elements."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.functions import distill, jsonld, text, urls
+from gazette.functions import distill, text, urls
+from gazette.operators import elements, linked_data
 from gazette.sources import rules as rule_table
+from gazette.sources.tables import materialize
 
 # What is cut from pages, where the article may be, where its image may be.
 NON_CONTENT = r"(?is)<(script|style|noscript|svg|canvas|iframe|form)[^>]*>.*?</\1>"
@@ -86,28 +88,49 @@ def enriched(articles: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumns(new).select(*articles.columns)
 
 
-DISTILLED = "html string, text string, words int, method string, paywalled boolean, version int"
+def words(said: Column) -> Column:
+    return F.coalesce(F.regexp_count(said, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("int")
 
 
-def distilled(pages: DataFrame, rules: list[dict] | None = None) -> DataFrame:
-    """page_id and the distilled article of pages (page_id, url, html, and, where they have them, language, fallback_text, hero_url)."""
-    import pyarrow as pa
+def cleaned(rows: DataFrame, language: bool = True, hero: bool = True) -> DataFrame:
+    """Elements of articles without furniture, link lists, runs of links, short lines, the hero and lines that sites add."""
+    rows = elements.without_furniture(rows, distill.CHROME, distill.NAMED)
+    rows = elements.without_short(elements.without_link_runs(elements.without_link_lists(rows)))
+    rows = elements.without_hero(rows) if hero else rows
+    return elements.without_site_lines(rows, distill.SITE_LINES) if language else rows
+
 
-    known = rules or []
-    rows = pages.withColumns({c: F.lit(None).cast("string") for c in ("language", "fallback_text", "hero_url") if c not in pages.columns})
+def distilled(pages: DataFrame, rules: list[dict] | None = None) -> DataFrame:
+    """page_id, html, text, words, method (jsonld, readable, fallback, none), paywalled and version of the article in each of pages
+    (page_id, which tells them apart, url, html, and, where they have them, language, fallback_text, hero_url). An article in JSON-LD
+    of 80 words or more is taken as it is; else the outlet's rule, the best container, the end of the article and the cleaning steps
+    apply, in this order, all over one table of elements. A text under 80 words gives way to the fallback text where that has more."""
+    known, given = rules or [], set(pages.columns)
+    rows = pages.withColumns({c: F.lit(None).cast("string") for c in ("language", "fallback_text", "hero_url") if c not in given})
     rows = rows.withColumn("host", urls.host(F.col("url")))
     rows = rule_table.for_hosts(rows, rule_table.table(pages.sparkSession, known)) if known else rows.withColumn("rule_id", F.lit(None).cast("string"))
-    by_id = rule_table.by_id(known)
-
-    def run(batches):
-        for batch in batches:
-            ids, *columns = (batch.column(k).to_pylist() for k in range(6))
-            got = [distill.distill(h, f, la, hero, by_id.get(r)) for h, f, la, hero, r in zip(*columns, strict=True)]
-            fields = (("html", pa.string()), ("text", pa.string()), ("words", pa.int32()), ("method", pa.string()), ("paywalled", pa.bool_()), ("version", pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[f] for g in got], t) for f, t in fields]], ["page_id", *[f for f, _ in fields]])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "html", "fallback_text", "language", "hero_url", "rule_id").mapInArrow(run, f"page_id {kind}, {DISTILLED}")
+    rows = rows.select("page_id", "html", "fallback_text", "language", "hero_url", "rule_id")
+    nodes = linked_data.articles(rows).where(words(F.col("body")) >= distill.LEAST_WORDS)
+    lines = F.filter(F.transform(F.split("body", "\n"), text.trimmed), lambda x: x != "")
+    fast = nodes.select("page_id", F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), elements.escaped(x), F.lit("</p>"))), "\n").alias("html"), F.array_join(lines, "\n").alias("said"), words(F.col("body")).alias("words"), F.lit("jsonld").alias("method"))
+    fast = materialize(fast, "jsonld")
+    rest = rows.join(fast.select("page_id"), "page_id", "left_anti").withColumn("html", text.safe_html(F.col("html")))
+    found = elements.ruled(elements.table(rest, "language", "hero_url", "rule_id"), known)
+    found = elements.containers(elements.without(found, elements.is_tag(*distill.CHROME)))
+    found = elements.up_to_terminator(found, text.TERMINATORS) if "language" in given else found
+    read = elements.rendered(cleaned(found, "language" in given, "hero_url" in given))
+    read = read.select("page_id", "html", "said", words(F.col("said")).alias("words"), F.lit("readable").alias("method"))
+    out = rows.withColumnRenamed("html", "page").join(fast.unionByName(read), "page_id", "left").withColumn("words", F.coalesce("words", F.lit(0)))
+    short, more = F.col("words") < distill.LEAST_WORDS, words(F.col("fallback_text")) > F.col("words")
+    marks = text.paywalled(F.coalesce("page", F.lit("")), F.col("words"))
+    for r in known:
+        for m in r["paywall_markers"]:
+            marks = marks | (short & F.coalesce((F.col("rule_id") == r["id"]) & F.col("page").rlike(f"(?i){m}"), F.lit(False)))
+    use = short & more
+    return out.select(
+        "page_id", F.when(~use, F.col("html")).alias("html"), F.when(use, text.trimmed(F.col("fallback_text"))).otherwise(F.coalesce("said", F.lit(""))).alias("text"), F.when(use, words(F.col("fallback_text"))).otherwise(F.col("words")).alias("words"),
+        F.when(use, "fallback").otherwise(F.coalesce("method", F.lit("none"))).alias("method"), marks.alias("paywalled"), F.lit(distill.VERSION).alias("version"),
+    )
 
 
 def stale(articles: DataFrame) -> DataFrame:
@@ -117,22 +140,7 @@ def stale(articles: DataFrame) -> DataFrame:
 
 def blocks(pages: DataFrame) -> DataFrame:
     """page_id, pos and typed blocks of pages (page_id, url, html)."""
-    import pyarrow as pa
-
-    fields = (("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("items", pa.list_(pa.string())), ("url", pa.string()), ("alt", pa.string()), ("ordered", pa.bool_()))
-
-    def run(batches):
-        for batch in batches:
-            at, pos, rows = [], [], []
-            for k, (url, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                found = distill.blocks(html, url)
-                at += [k] * len(found)
-                pos += range(len(found))
-                rows += found
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), *[pa.array([r[f] for r in rows], t) for f, t in fields]], ["page_id", "pos", *[f for f, _ in fields]])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, pos int, kind string, level int, text string, items array<string>, url string, alt string, ordered boolean")
+    return elements.blocks(elements.table(pages, "url"))
 
 
 def link_paragraphs(pages: DataFrame) -> DataFrame:
@@ -146,16 +154,4 @@ def link_paragraphs(pages: DataFrame) -> DataFrame:
 
 def jsonld_articles(pages: DataFrame) -> DataFrame:
     """page_id, body, headline, is_free of pages with a JSON-LD article; others have none of them."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            got = [jsonld.article_node(h) or {} for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g.get(f) for g in got], t) for f, t in (("body", pa.string()), ("headline", pa.string()), ("is_free", pa.bool_()))]], ["page_id", "body", "headline", "is_free"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    # a page without the type's name needs no parser
-    with_type = F.contains("html", F.lit("ld+json"))
-    some = pages.where(with_type).select("page_id", "html").mapInArrow(run, f"page_id {kind}, body string, headline string, is_free boolean")
-    none = F.lit(None).cast("string")
-    return some.unionByName(pages.where(~F.coalesce(with_type, F.lit(False))).select("page_id", none.alias("body"), none.alias("headline"), F.lit(None).cast("boolean").alias("is_free")))
+    return linked_data.articles(pages)

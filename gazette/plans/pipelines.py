@@ -75,7 +75,7 @@ def topics_of_day(articles: DataFrame, mains: DataFrame, as_of: datetime, allow:
     if provider is not None:
         lines = ranking.balanced(corpus.withColumn("pos", F.row_number().over(_newest())), SAMPLE).select(text.headline(F.col("id").cast("string"), F.col("title")).alias("line"))
         try:
-            found = enrich.groups(provider.group([r.line for r in lines.collect()]))  # SAMPLE lines at most
+            found = enrich.read_answer(articles.sparkSession, provider.group([r.line for r in lines.collect()]), enrich.groups)  # SAMPLE lines at most
             groups = [(g, k, i) for g, ids in enumerate(found) for k, i in enumerate(ids)]
         except NotImplementedError:
             groups = None
@@ -107,7 +107,7 @@ def for_you(articles: DataFrame, interests: list[str], as_of: datetime, allow: D
     picks = []
     if interests:
         lines = ranking.balanced(corpus, SAMPLE).select(text.headline(F.col("id").cast("string"), F.col("title")).alias("line"))
-        picks = enrich.picks(provider.pick(interests, [r.line for r in lines.collect()]))  # SAMPLE lines at most
+        picks = enrich.read_answer(articles.sparkSession, provider.pick(interests, [r.line for r in lines.collect()]), enrich.picks)  # SAMPLE lines at most
     rows = spark.createDataFrame([(k, p["id"], p["interest"], p["relevance"]) for k, p in enumerate(picks)], "pos int, id string, interest string, relevance int")
     rows = rows.withColumn("id", F.col("id").cast(corpus.schema["id"].dataType))
     return dedup.resolved_picks(dedup.first_use_picks(rows, corpus), corpus, PICKS)

@@ -197,18 +197,6 @@ def page_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.enriched(articles, page_table).select("id", "content_source", "content_word_count", "cleaned_content")
 
 
-@register()
-def distill_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distilled articles of pages."""
-    return pages.distilled(read(spark, sf_dir, "pages"))
-
-
-@register()
-def block_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed blocks of pages."""
-    return pages.blocks(read(spark, sf_dir, "pages"))
-
-
 @register(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN trim(html, {WHITE_SQL}) END AS body, CASE WHEN page_id % 3 = 0 THEN 'h' END AS headline, CASE WHEN page_id % 3 = 0 THEN false END AS is_free FROM pages")
 def jsonld_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON-LD articles of pages, a third of which are given one."""
@@ -225,7 +213,8 @@ def llm_json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects from answers in prose, with a trailing comma, cut off, and without one."""
     n = F.col("doc_id").cast("string")
     said = F.element_at(F.array(F.concat(F.lit('Sure: {"n": '), n, F.lit("} done")), F.concat(F.lit('```json\n{"n": '), n, F.lit(",}\n```")), F.concat(F.lit('a } brace {"n": '), n, F.lit("}")), F.lit("nothing here")), (F.col("doc_id") % 4 + 1).cast("int"))
-    return enrich.repaired(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), said.alias("model_output")))
+    found = enrich.repaired(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), said.alias("model_output")))
+    return found.withColumn("object", F.when(F.col("object").isNotNull(), F.concat(F.lit('{"n": '), F.get_json_object("object", "$.n"), F.lit("}"))))
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)

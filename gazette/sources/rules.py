@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import urls
-from gazette.functions.distill import Rule
 
 SCHEMA = "id STRING, hosts ARRAY<STRING>, body_selectors ARRAY<STRING>, strip_selectors ARRAY<STRING>, strip_text_patterns ARRAY<STRING>, paywall_markers ARRAY<STRING>"
 
@@ -53,8 +52,3 @@ def for_hosts(rows: DataFrame, rules: DataFrame, host: str = "host") -> DataFram
     suffixes = rows.select(F.col(host).alias("_host")).where("_host is not null").distinct().select("_host", F.explode(urls.host_suffixes(F.col("_host"))).alias("_h"))
     best = suffixes.join(known, "_h").groupBy("_host").agg(F.max_by("_rule", F.length("_h")).alias("rule_id"))
     return rows.join(best, F.col(host) == F.col("_host"), "left").drop("_host")
-
-
-def by_id(rules: list[dict]) -> dict[str, Rule]:
-    """Rules as the distiller takes them."""
-    return {r["id"]: Rule(**{k: v for k, v in r.items() if k != "id"}) for r in rules}

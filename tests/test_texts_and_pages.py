@@ -5,8 +5,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gazette.functions import distill, dom, jsonld, text, urls
-from gazette.operators import enrich, pages
+from gazette.functions import text, urls
+from gazette.operators import elements, enrich, linked_data, pages
 from gazette.sources import catalogue, feeds
 from gazette.streaming import events as stream
 
@@ -78,48 +78,65 @@ def test_feeds(spark):
 LONG = "<p>" + "A sentence, with some words in it that say something. " * 6 + "</p>"
 
 
-def test_distill():
-    page = f"<html><body><nav>menu</nav><div class='share-bar'>share me</div><article class='story-body'><h1>T</h1>{LONG * 3}<p>short</p><p><a href=1>one one one</a></p><p><a href=1>two two two</a></p><p><a href=1>three three</a></p><figure><img src='https://c.example/hero-800w.jpg'></figure><p>Leggi anche: altro.</p><p>© Riproduzione riservata</p><p>After words, all gone.</p></article><footer>f</footer></body></html>"
-    out = distill.distill(page, None, "it", "https://x.example/hero.png")
-    assert out["method"] == "readable" and out["words"] > 150 and not any(x in out["text"] for x in ("menu", "share me", "short", "one one", "Leggi anche", "After words")) and "<img" not in out["html"]
-    again = distill.distill(out["html"], None, "it")
-    assert again["text"] == out["text"]
-    few = distill.distill('<p>solo per gli abbonati</p><script>{"isAccessibleForFree": false}</script>', "fall back " * 60)
-    assert few["paywalled"] and few["method"] == "fallback" and distill.distill(None)["method"] == "none"
-    ld = '<script type="application/ld+json"><!-- {"@type":"NewsArticle","articleBody":"%s"} --></script>' % ("w " * 90)
-    assert distill.distill(ld)["method"] == "jsonld"
-    root = distill.apply_rule(dom.parse("<div id=x><div class='b c'><p>in</p><p class=ad>ad</p></div></div><p>out</p>"), distill.Rule(["h"], [".none", "#x .b.c"], ["p.ad"]))
-    assert root.text() == "in"
-    assert distill.sanitize("<a href=\"javascript:x\" onclick='y'>t</a><img width=1 src=p>") == "<a>t</a>"
+def distilled(spark, rows, rules=None):
+    """What pages.distilled gives for (page_id, html, fallback_text, language, hero_url), as rows by page_id."""
+    given = spark.createDataFrame([(i, "https://x.example/n", *rest) for i, *rest in rows], "page_id long, url string, html string, fallback_text string, language string, hero_url string")
+    return {r.page_id: r for r in pages.distilled(given, rules).collect()}
 
 
-def test_blocks():
-    got = distill.blocks("Lead <b>in</b><h2>H</h2><p>p <img src=a.png alt=x></p><ul><li>a<li>b</ul><blockquote>q</blockquote><pre>c\n d</pre><ol></ol>", "https://a.example/z/")
+def test_distill(spark):
+    page = f"<html><body><nav>menu</nav><div class='share-bar'>share me</div><article class='story-body'><h1>T</h1>{LONG * 3}<p>short</p><p><a href=1>one one one</a></p><p><a href=1>two two two</a></p><p><a href=1>three three</a></p><figure><img src='https://c.example/hero-800w.jpg'></figure><p>Leggi anche: altro.</p><p>© Riproduzione riservata</p><p>After words, all gone.</p></article><footer>f</footer></body></html>"
+    ld = '<script type="application/ld+json"><!-- {"@type":"NewsArticle","articleBody":"%s"} --></script>' % ("w " * 90)
+    got = distilled(spark, [(1, page, None, "it", "https://x.example/hero.png"), (2, '<p>solo per gli abbonati</p><script>{"isAccessibleForFree": false}</script>', "fall back " * 60, None, None), (3, None, None, None, None), (4, ld, None, "it", None), (5, "", " ", "xx", "")])
+    out = got[1]
+    assert out.method == "readable" and out.words > 150 and not any(x in out.text for x in ("menu", "share me", "short", "one one", "Leggi anche", "After words")) and "<img" not in out.html
+    assert got[2].paywalled and got[2].method == "fallback" and got[2].words == 120 and (got[3].method, got[3].text, got[3].words, got[3].html) == ("none", "", 0, None) and got[4].method == "jsonld" and got[4].html.startswith("<p>w w") and got[5].method == "none"
+    again = distilled(spark, [(1, out.html, None, "it", None)])[1]
+    assert again.text == out.text
+    rule = {"id": "r", "hosts": ["x.example"], "body_selectors": [".none", "#x .b.c"], "strip_selectors": ["p.ad"], "strip_text_patterns": ["^drop this"], "paywall_markers": ["members only"]}
+    ruled = distilled(spark, [(1, f"<div id=x><div class='b c'>{LONG}<p class=ad>ad</p><p>Drop this line, whatever its length may be.</p></div></div>{LONG}<p>out</p>", None, None, None), (2, "<p>Members only</p>", None, None, None)], [rule])
+    assert ruled[1].text == " ".join(LONG[3:-4].split()) and ruled[2].paywalled
+    assert spark.range(1).select(text.safe_html(F.lit("<a href=\"javascript:x\" onclick='y'>t</a><img width=1 src=p>"))).first()[0] == "<a>t</a>"
+
+
+def test_blocks(spark):
+    html = "Lead <b>in</b><h2>H</h2><p>p <img src=a.png alt=x></p><ul><li>a<li>b</ul><blockquote>q</blockquote><pre>c\n d</pre><ol></ol>"
+    got = pages.blocks(spark.createDataFrame([(1, "https://a.example/z/", html), (2, "", None)], "page_id long, url string, html string")).orderBy("pos").collect()
     assert [(b["kind"], b["text"] or b["items"] or b["url"]) for b in got] == [("paragraph", "Lead in"), ("heading", "H"), ("paragraph", "p"), ("image", "https://a.example/z/a.png"), ("list", ["a", "b"]), ("quote", "q"), ("code", "c\n d")]
-    assert distill.blocks(None) == []
 
 
-def test_jsonld():
+def test_jsonld(spark):
     ld = lambda x: f'<script type="application/ld+json">{x}</script>'
-    assert jsonld.article_node(ld('[{"@type":"Thing"},{"@graph":[{"@type":["X","BlogPosting"],"articleBody":" b ","isAccessibleForFree":"http://schema.org/False"}]}]')) == {"body": "b", "headline": None, "is_free": False}
-    assert jsonld.article_node(ld("{bad") + ld('{"@type":"ReportageNewsArticle","articleBody":"ok","headline":"h"}'))["headline"] == "h" and jsonld.article_node(ld('{"@type":"Article","articleBody":" "}')) is None and jsonld.article_node(None) is None
-    assert [jsonld.truth(x) for x in (True, 1, "True", "https://schema.org/False", "maybe", None)] == [True, True, True, False, None, None]
+    cases = [ld('[{"@type":"Thing"},{"@graph":[{"@type":["X","BlogPosting"],"articleBody":" b ","isAccessibleForFree":"http://schema.org/False"}]}]'), ld("{bad") + ld('{"@type":"ReportageNewsArticle","articleBody":"ok","headline":"h"}'), ld('{"@type":"Article","articleBody":" "}'), None, ld('{"@type":"Article","articleBody":"outer","a":{"@type":"Article","articleBody":"inner"}}') + ld('{"@type":"Article","articleBody":"second"}'), ld('{"b":[{"@type":"Article","articleBody":"one\ntwo"}],"c":{"@type":"Article","articleBody":"later"}}'), ld("5"), ld('{"@type":7,"articleBody":"x"}')]
+    got = {r.page_id: (r.body, r.headline, r.is_free) for r in pages.jsonld_articles(spark.createDataFrame(list(enumerate(cases)), "page_id long, html string")).collect()}
+    none = (None, None, None)
+    assert got == {0: ("b", None, False), 1: ("ok", "h", None), 2: none, 3: none, 4: ("outer", None, None), 5: ("one two", None, None), 6: none, 7: none}
+    values = ["true", "1", '"True"', '"https://schema.org/False"', '"maybe"', "null", "0.0", "{}"]
+    free = spark.createDataFrame([(v,) for v in values], "v string").select(linked_data.truth(F.parse_json("v")).alias("x")).collect()
+    assert [r.x for r in free] == [True, True, True, False, None, None, False, None]
+
+
+def answers(spark, reader, *said):
+    """What a reader finds in each answer."""
+    return [enrich.read_answer(spark, x, reader) for x in said]
 
 
 def test_answers(spark):
-    t = jsonld.tolerant_object
-    assert t('x } {"a": [1, 2,],} y') == '{"a": [1, 2]}' and t('{"groups": [["a","b"], ["c') == '{"groups": [["a", "b"]]}' and t('```json\n{"a": "}"}\n```') == '{"a": "}"}' and t("none") is None and t(None) is None
-    assert enrich.picks('{"picks": [{"id": "a", "interest": "x", "relevance": 250}, {"id": "", "interest": "x"}, {"id": "b", "interest": "y", "relevance": -3}, 4]}') == [{"id": "a", "interest": "x", "relevance": 100}, {"id": "b", "interest": "y", "relevance": 1}]
-    assert enrich.groups('{"groups": [["a", " "], ["a", "b"], 3]}') == [["a", "b"]] and enrich.summary('{"shortSummary": "s", "bullets": []}') is None and enrich.tags('{"tags": ["A", "a", "b"]}') == ["A", "b"]
+    said = ['x } {"a": [1, 2,],} y', '{"groups": [["a","b"], ["c', '```json\n{"a": "}"}\n```', "none", None, 'a "quote {" } {"b": "\\"}", "c": {"d": 1}}', '[{"a": 1}]', "{" * 50 + '{"deep": 1']
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "case_id int, model_output string")
+    assert [r.object for r in enrich.repaired(got).orderBy("case_id").collect()] == ['{"a":[1,2]}', '{"groups":[["a","b"]]}', '{"a":"}"}', None, None, '{"b":"\\"}","c":{"d":1}}', '{"a":1}', '{"deep":1}']
+    as_tuples = lambda found: [tuple(x) for x in found]
+    picked = answers(spark, enrich.picks, '{"picks": [{"id": "a", "interest": "x", "relevance": 250}, {"id": "", "interest": "x"}, {"id": "b", "interest": "y", "relevance": -3}, 4]}', '{"picks": [{"id": "b", "interest": "x"}, {"id": "c", "interest": "x", "relevance": 41.7}, {"id": "d", "interest": "x", "relevance": "9"}]}', "no", '{"picks": 3}')
+    assert [as_tuples(p) for p in picked] == [[("a", "x", 100), ("b", "y", 1)], [("b", "x", 1), ("c", "x", 41), ("d", "x", 1)], [], []]
+    assert answers(spark, enrich.groups, '{"groups": [["a", " "], ["a", "b"], 3]}', '{"groups": {}}') == [[["a", "b"]], []] and answers(spark, enrich.summary, '{"shortSummary": "s", "bullets": []}') == [None] and answers(spark, enrich.tags, '{"tags": ["A", "a", 5, "b"]}') == [["A", "b"]]
     rows = spark.createDataFrame([("1", "First line here. Second economy line.", None), ("2", None, " "), ("3", "", "raw text words")], "id string, cleaned_content string, raw_content string")
     got = {r.id: r for r in enrich.enriched(rows).collect()}
     assert got["1"].category == "economy" and got["1"].summary.short == "First line here." and got["2"].summary is None and "words" in got["3"].tags
     with pytest.raises(NotImplementedError):
         enrich.Provider().tags("x")
-    assert [p["relevance"] for p in enrich.picks('{"picks": [{"id": "a", "interest": "x", "relevance": 1e999}, {"id": "b", "interest": "x", "relevance": NaN}, {"id": "c", "interest": "x", "relevance": 41.7}, {"id": "d", "interest": "x", "relevance": "9"}]}')] == [100, 1, 41, 1]
 
 
-def test_one_retry():
+def test_one_retry(spark):
     class Slow(enrich.Local):
         def __init__(self, failures, error):
             self.left, self.error, self.calls = failures, error, 0
@@ -131,7 +148,7 @@ def test_one_retry():
             return super().tags(content)
 
     once, twice, other = Slow(1, enrich.Timeout), Slow(2, TimeoutError), Slow(1, ValueError)
-    assert enrich.tags(enrich.Retrying(once, 0).tags("words words")) == ["words"] and once.calls == 2
+    assert answers(spark, enrich.tags, enrich.Retrying(once, 0).tags("words words")) == [["words"]] and once.calls == 2
     for p, error, calls in ((twice, TimeoutError, 2), (other, ValueError, 1)):
         with pytest.raises(error):
             enrich.Retrying(p, 0).tags("x")
@@ -145,12 +162,45 @@ def test_decoded(spark):
     assert [r.x for r in rows.select(pages.decoded(F.col("body"), F.col("charset")).alias("x")).collect()] == ["“hi” €", "\x93hi\x94", "é", "é€", "é", None, None]
 
 
-def test_readable_takes_the_prose():
+def test_the_container_is_the_prose(spark):
     menu = "<ul>" + "".join(f"<li><a href='/{k}'>Section {k} of the site</a></li>" for k in range(15)) + "</ul>"
     prose = "<p>A sentence, with some words in it that say something more than nothing.</p>"
-    for page in (f"<body>{menu}<div id=a>{prose * 6}</div>{menu}</body>", f"<body>{menu}<section><div id=a>{prose * 3}<div>{prose * 3}</div></div>{menu}</section></body>", f"<body><div id=a><div>{prose * 2}</div><div>{prose * 4}</div></div>{menu}</body>"):
-        assert distill.readable(dom.parse(page)).attrs.get("id") == "a"
-    assert distill.readable(dom.parse(menu)) is None and distill.readable(dom.parse("")) is None and distill.readable(dom.parse("<p>short</p>")) is None
+    found = [f"<body>{menu}<div id=a>{prose * 6}</div>{menu}</body>", f"<body>{menu}<section><div id=a>{prose * 3}<div>{prose * 3}</div></div>{menu}</section></body>", f"<body><div id=a><div>{prose * 2}</div><div>{prose * 4}</div></div>{menu}</body>"]
+    rows = elements.containers(elements.table(spark.createDataFrame(list(enumerate([*found, menu, "", "<p>short</p>", None])), "page_id long, html string")))
+    got = {r.page_id: r.x for r in rows.groupBy("page_id").agg(F.min_by(F.col("attributes")["id"], "pos").alias("x")).collect()}
+    assert got == {0: "a", 1: "a", 2: "a"}
+
+
+ODD_PAGES = [
+    None, "", "plain text", "<p>one<p>two <b>three<div>four</div>five", "<ul><li>a<ul><li>b</ul><li>c</ul>", "<table><tr><td>1<td>2<tr><th>3</table>", "</div></p>x<br/>y<br>z", "<script>var a = '</p>';</script>a<!-- c -->b<style>p{}</style>",
+    "<div " + " ".join(f"a{k}='{k}'" for k in range(50)) + ">x</div>", "<b>" * 3000 + "deep" + "</i>" * 3000 + "<li>" * 500, "a&amp;b &lt;c&gt; &copy;", "<P CLASS='A b'>Up</P>", "<img src=x><img src=x/>", "< p>not a tag</ p>", "x" * 100_000 + "<p>" + "y " * 50_000,
+]
+
+
+def test_elements_of_any_page(spark):
+    """Rows of a page are numbered through, elements nest, and what is cut out is what lies in the interval."""
+    rows = elements.table(spark.createDataFrame(list(enumerate(ODD_PAGES)), "page_id long, html string").repartition(3)).orderBy("page_id", "pos").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.page_id, []).append(r)
+    assert set(by) == set(range(len(ODD_PAGES))) - {0, 1}
+    for found in by.values():
+        assert [r.pos for r in found] == list(range(len(found)))
+        stack = []
+        for r in found:
+            if r.event == "close":
+                assert stack.pop() == (r.el, r.pos) and found[r.el].tag == r.tag and found[r.el].attributes == r.attributes
+            else:
+                assert r.depth == len(stack) and r.el == r.pos
+                if r.event == "open" and r.last > r.pos:
+                    stack.append((r.pos, r.last))
+        assert not stack
+    text_of = {r.page_id: r.said for r in elements.texts(elements.table(spark.createDataFrame(list(enumerate(ODD_PAGES)), "page_id long, html string"))).collect()}
+    assert text_of[2] == "plain text" and text_of[3] == "one two three four five" and text_of[4] == "a b c" and text_of[5] == "1 2 3" and text_of[6] == "x y z" and text_of[7] == "ab" and text_of[10] == "a&b <c> ©"
+    # outermost elements go whole; nested ones of the same kind count once
+    nested = elements.table(spark.createDataFrame([(1, "<div class=x>a<div class=x>b</div>c</div>d<div>e</div>")], "page_id long, html string"))
+    assert elements.texts(elements.without(nested, F.col("attributes")["class"] == "x")).first().said == "d e"
+    assert [r.tag for r in elements.selected(nested, ".x .x, div > p", "hit").where("hit and event = 'open'").collect()] == ["div"]
 
 
 def test_pages(spark):
@@ -184,7 +234,8 @@ def test_stream(spark, tmp_path):
     assert sorted(counted) == [("a", 2), ("b", 1)]
 
 
-def test_runs_and_settings():
-    assert distill.runs("a <b>b <i>c</i></b> <a href=u>l</a>") == [{"text": "a ", "kinds": [], "url": None}, {"text": "b ", "kinds": ["strong"], "url": None}, {"text": "c", "kinds": ["strong", "em"], "url": None}, {"text": "l", "kinds": ["link"], "url": "u"}]
+def test_runs_and_settings(spark):
+    rows = elements.runs(elements.table(spark.createDataFrame([(1, "a <b>b <i>c</i></b> <a href=u>l</a>")], "page_id long, html string"))).orderBy("pos").collect()
+    assert [(r.text, r.kinds, r.url) for r in rows] == [("a ", [], None), ("b ", ["strong"], None), ("c", ["strong", "em"], None), ("l", ["link"], "u")]
     assert enrich.language_name("it") == "Italian" and enrich.language_name(None, "de-DE") == "German" and enrich.language_name("system", "xx") == "English"
     assert enrich.valid_endpoint("https://a.example/v1") and not enrich.valid_endpoint("http://a.example") and enrich.valid_endpoint("http://localhost:1", True) and not enrich.valid_endpoint("ftp://a", True)
