@@ -16,24 +16,28 @@ from gazette.operators import selection
 KEPT = ("is_bookmarked", "is_read", "created_at")
 #: What enrichment adds: an incoming null doesn't erase it.
 COALESCED = ("source_id", "ai_summary_short", "ai_summary_bullets", "cluster_id")
+#: What the store's own upsert leaves to enrichment, once an article is there.
+DISTILLED = ("external_id", "author_name", "hero_image_url", "distilled_body_html", "distiller_version", "content_source", "content_word_count", "is_content_likely_complete")
+POLICIES = {"article": KEPT, "store": KEPT + DISTILLED}
 
 
-def upsert(old: DataFrame, new: DataFrame, as_of: datetime | Column) -> DataFrame:
-    """Rows of either side by id: an incoming article replaces all but KEPT, and COALESCED where it has a value; updated_at is
-    as_of. Columns are those of old."""
+def upsert(old: DataFrame, new: DataFrame, as_of: datetime | Column, policy: str = "article", key: str = "id") -> DataFrame:
+    """Rows of either side by key: an incoming article replaces all but KEPT, and COALESCED where it has a value; updated_at is
+    as_of. policy "store": it leaves DISTILLED as it is too. Columns are those of old."""
+    kept = POLICIES[policy]
     now = as_of if isinstance(as_of, Column) else times.at(as_of)
-    one, two = old.alias("o"), new.alias("n")
-    joined = one.join(two, F.col("o.id") == F.col("n.id"), "full_outer")
-    both, only_old = F.col("o.id").isNotNull() & F.col("n.id").isNotNull(), F.col("n.id").isNull()
+    one, two = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
+    joined = one.join(two, F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}")), "full_outer")
+    both, only_old = F.col("_old").isNotNull() & F.col("_new").isNotNull(), F.col("_new").isNull()
 
     def value(c: str) -> Column:
         was, comes = F.col(f"o.{c}"), F.col(f"n.{c}")
-        if c == "id":
-            return F.coalesce("o.id", "n.id")
+        if c == key:
+            return F.coalesce(was, comes)
         if c == "updated_at":
             return F.when(only_old, was).otherwise(now)
-        if c in KEPT:
-            return F.when(F.col("o.id").isNotNull(), was).otherwise(comes)
+        if c in kept:
+            return F.when(F.col("_old").isNotNull(), was).otherwise(comes)
         return F.when(only_old, was).when(both, F.coalesce(comes, was) if c in COALESCED else comes).otherwise(comes)
 
     return joined.select(*[value(c).alias(c) for c in old.columns])

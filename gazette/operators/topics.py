@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import text, times
-from gazette.operators.pieces import pieces
 from gazette.operators.ranking import source_key
 from gazette.sources.tables import materialize
 
 WINDOW_SECONDS, SKEW_SECONDS, THRESHOLD = 86_400, 300, 0.30
+#: Rounds grow with the logarithm of the longest chain; so many are never needed.
+MOST_ROUNDS = 100
+#: Rows of a token's list that meet at once.
+LIST = 256
 
 
 def _seconds(column: str | Column) -> Column:
@@ -36,6 +38,21 @@ def vectors(articles: DataFrame) -> DataFrame:
     return tf.join(df, "token").select("id", "token", (F.col("tf") * (F.log(F.lit(float(total)) / F.col("df")) + 1)).alias("weight"))
 
 
+def met_in_blocks(rows: DataFrame) -> DataFrame:
+    """a, b (a < b), dot, sa, sb of every two rows (id, token, u, slack) of a token. A token's list is cut into blocks of some
+    LIST rows by a hash of the id, and blocks meet in pairs, each pair in a place of its own; so a token that a tenth of all
+    articles have is many small products, not one task's."""
+    long = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("many")).where("many > 1")
+    dealt = rows.join(long, "token", "left").withColumn("many", F.coalesce("many", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("many")).cast("int"))
+    x = dealt.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("many") - 1)).alias("j"), F.col("id").alias("xi"), F.col("u").alias("xu"), F.col("slack").alias("xs"))
+    y = dealt.select("token", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("id").alias("yi"), F.col("u").alias("yu"), F.col("slack").alias("ys"))
+    met = x.join(y, ["token", "i", "j"]).where("i < j or xi < yi")
+    first = F.col("xi") < F.col("yi")
+    side = lambda of, other: F.when(first, F.col(of)).otherwise(F.col(other))
+    return met.select(side("xi", "yi").alias("a"), side("yi", "xi").alias("b"), (F.col("xu") * F.col("yu")).alias("dot"), side("xs", "ys").alias("sa"), side("ys", "xs").alias("sb"))
+
+
 def similar_pairs(weights: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """a, b (a < b), similarity: cosines of `least` or more, from an equality join on tokens. Common tokens would make most of
     the pairs, so every article leaves out of the join, commonest first, as many of its tokens as can't reach `least` by
@@ -51,8 +68,8 @@ def similar_pairs(weights: DataFrame, least: float = THRESHOLD) -> DataFrame:
     marked = materialize(unit.join(stats, "token").withColumn("upto", bound).select("id", "token", "u", "upto", (F.col("upto") < least - 1e-9).alias("rest")), "units")
     whole = marked.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "u"))).alias("v"), F.coalesce(F.max(F.when(F.col("rest"), F.col("upto"))), F.lit(0.0)).alias("slack"))
     joined = marked.where("not rest").join(whole.select("id", "slack"), "id")
-    x, y = (joined.select(F.col("id").alias(k), "token", F.col("u").alias(f"u{k}"), F.col("slack").alias(f"s{k}")) for k in "ab")
-    part = x.join(y, "token").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("dot"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
+    met = met_in_blocks(joined.select("id", "token", "u", "slack"))
+    part = met.groupBy("a", "b").agg(F.sum("dot").alias("dot"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
     able = part.where(F.col("dot") + F.col("sa") + F.col("sb") >= least - 1e-9).select("a", "b")
     one, two = (whole.select(F.col("id").alias(k), F.col("v").alias(f"v{k}")) for k in "ab")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
@@ -60,37 +77,32 @@ def similar_pairs(weights: DataFrame, least: float = THRESHOLD) -> DataFrame:
 
 
 def greedy(articles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, cluster. Newest first, an article joins the cluster with its most similar member, or starts one; equal similarities
-    go to the older cluster. The order makes this one fold, so it runs over connected pieces of the pairs: articles of different
-    pieces never meet. A piece is folded in one task; the corpus is bounded by windowed() and capped() before it gets here."""
-    ordered = articles.select("id", (-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("late"))
-    linked = pieces(pairs.select("a", "b"))
+    """id, cluster. Newest first, an article joins the cluster with its most similar member, or starts one; equal similarities go to
+    the older cluster; cluster is the id of the article that started it.
+
+    No fold is needed: an article's cluster is that of its most similar earlier neighbour, or, of several equally similar ones, the
+    oldest of theirs. With an edge from each article to those neighbours, its cluster is thus the earliest article that it reaches,
+    as that one has no edge itself. Each round takes the least of what an article's neighbours, and the least so far, reach; rounds
+    grow with the logarithm of a chain's length, not with a cluster's size, and each is written."""
+    order = F.struct((-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("late"), F.col("id").alias("who"))
+    turn = articles.select("id", order.alias("turn"))
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity"))
-    rows = ordered.join(linked, "id").join(both.groupBy("id").agg(F.collect_list(F.struct("other", "similarity")).alias("near")), "id")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        of: dict = {}
-        size = 0
-        for row in pdf.sort_values(["late", "id"]).itertuples():
-            best: dict = {}
-            for near in row.near:
-                if near["other"] in of:
-                    c = of[near["other"]]
-                    best[c] = max(best.get(c, 0.0), near["similarity"])
-            if best:
-                of[row.id] = max(best, key=lambda c: (best[c], -c))
-            else:
-                of[row.id] = size
-                size += 1
-        first: dict = {}
-        for i in pdf.sort_values(["late", "id"])["id"]:
-            first.setdefault(of[i], i)
-        return pd.DataFrame({"id": list(of), "cluster": [first[of[i]] for i in of]})
-
-    kind = articles.schema["id"].dataType.simpleString()
-    grouped = rows.groupBy("piece").applyInPandas(fold, f"id {kind}, cluster {kind}")
-    alone = ordered.join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("cluster"))
-    return grouped.unionByName(alone)
+    earlier = both.join(turn, "id").join(turn.select(F.col("id").alias("other"), F.col("turn").alias("least")), "other").where("least < turn")
+    nearest = earlier.withColumn("top", F.max("similarity").over(Window.partitionBy("id"))).where("similarity = top")
+    edges = materialize(nearest.select("id", F.col("other").alias("to"), "least"), "edges")
+    reach, before = materialize(edges.groupBy("id").agg(F.min("least").alias("least")), "reach0"), None
+    for k in range(1, MOST_ROUNDS + 1):
+        now = reach.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("id", "least"))).first()
+        if now == before or not now[0]:
+            break
+        if k == MOST_ROUNDS:
+            raise RuntimeError(f"greedy: clusters still change after {k} rounds")
+        before = now
+        further = reach.select(F.col("id").alias("to"), F.col("least").alias("further"))
+        steps = edges.select("id", "to").unionByName(reach.select("id", F.col("least.who").alias("to")))
+        found = steps.join(further, "to").select("id", F.col("further").alias("least"))
+        reach = materialize(reach.unionByName(found).groupBy("id").agg(F.min("least").alias("least")), f"reach{k}")
+    return turn.join(reach, "id", "left").select("id", F.coalesce("least.who", "id").alias("cluster"))
 
 
 def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:

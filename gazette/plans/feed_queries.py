@@ -7,12 +7,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.functions import text, urls
-from gazette.operators import dedup, query, ranking, reports, selection, store
+from gazette.functions import text, times, urls
+from gazette.operators import buckets, dedup, query, ranking, reports, selection, store
 from gazette.plans.bindings import (
     BUCKET, CANONICAL, CATALOGUE, CHECKS, DOCUMENT_ARTICLES, EVENT_ARTICLES, INTERACTIONS, PAGE_ARTICLES, as_of, checks, document_articles, event_articles, interactions, page_articles, read,
 )
-from gazette.sources import catalogue, rules
+from gazette.sources import catalogue, rules, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -267,6 +267,48 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(old, new, F.lit(None))
 
 
+STORED = ["id", "title", "source_name", "source_id", "content_source", "content_word_count", "hero_image_url", "cleaned_content", "is_bookmarked", "is_read", "created_at", "updated_at"]
+
+
+def bucketed(spark: SparkSession, sf_dir: str, many: int = 16) -> str:
+    """A bucketed store of articles made of events; its folder."""
+    path = tables.scratch(spark, "buckets")
+    buckets.create(stored_articles(spark, sf_dir), path, many)
+    return path
+
+
+def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_articles(spark, sf_dir).withColumns({"content_source": F.lit("article_page"), "content_word_count": F.lit(300), "is_read": F.lit(False), "updated_at": F.col("created_at")})
+    return rows.select(*STORED)
+
+
+STORED_SQL = "s AS (SELECT id, title, source_name, source_id, 'article_page' AS content_source, 300 AS content_word_count, hero_image_url, cleaned_content, is_bookmarked, false AS is_read, created_at, created_at AS updated_at FROM ev)"
+
+
+@register(f"""WITH {EVENT_ARTICLES}, {STORED_SQL}, now AS (SELECT max(ts) AS now FROM events), b AS (SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 10000000 END AS id, 'new ' || title AS title, source_name FROM s WHERE id % 100 < 3)
+SELECT coalesce(s.id, b.id) AS id, coalesce(b.title, s.title) AS title, coalesce(b.source_name, s.source_name) AS source_name, s.source_id, CASE WHEN s.id IS NULL THEN 'feed_summary' ELSE s.content_source END AS content_source, CASE WHEN s.id IS NULL THEN 20 ELSE s.content_word_count END::INT AS content_word_count, s.hero_image_url,
+  CASE WHEN b.id IS NULL THEN s.cleaned_content ELSE 'short' END AS cleaned_content, coalesce(s.is_bookmarked, false) AS is_bookmarked, coalesce(s.is_read, false) AS is_read, coalesce(s.created_at, now) AS created_at, CASE WHEN b.id IS NULL THEN s.updated_at ELSE now END AS updated_at FROM s FULL JOIN b ON s.id = b.id, now""")
+def bucketed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed store after a batch of known and new articles, by the rules of the store's own upsert."""
+    path, now = bucketed(spark, sf_dir), as_of(spark, sf_dir)
+    known = stored_articles(spark, sf_dir).where("id % 100 < 3")
+    batch = known.withColumns({"id": F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(10_000_000), "title": F.concat(F.lit("new "), "title"), "source_id": F.lit(None).cast("string"), "content_source": F.lit("feed_summary"), "content_word_count": F.lit(20), "hero_image_url": F.lit(None).cast("string"), "cleaned_content": F.lit("short"), "is_bookmarked": F.lit(False), "created_at": times.at(now)})
+    buckets.merge(batch, path, now, "store")
+    return buckets.load(spark, path)
+
+
+@register(f"""WITH {EVENT_ARTICLES}, {CATALOGUE}, {ALLOWED}, {STORED_SQL}, n AS (SELECT max(ts) AS now FROM events),
+g AS (SELECT *, CASE WHEN is_bookmarked THEN 0 WHEN created_at < now - INTERVAL 7 DAY THEN 1 WHEN CASE WHEN source_id IS NOT NULL THEN source_id IN (SELECT id FROM al) ELSE source_name IN (SELECT outlet_name FROM al) END THEN 0 ELSE 2 END AS gone FROM s, n)
+SELECT id, title, (SELECT count(*) FROM g WHERE gone = 1)::BIGINT AS too_old, (SELECT count(*) FROM g WHERE gone = 2)::BIGINT AS disabled FROM g WHERE gone = 0""")
+def bucketed_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a bucketed store after retention, a purge of disabled sources, and compaction; and how many went."""
+    path = bucketed(spark, sf_dir)
+    old = buckets.enforce_retention(spark, path, as_of(spark, sf_dir), 7)
+    disabled = buckets.purge_disabled(spark, path, selection.allow_list(catalogue.sample(spark), REGIONAL))
+    buckets.compact(spark, path)
+    return buckets.load(spark, path).select("id", "title", F.lit(old).cast("long").alias("too_old"), F.lit(disabled).cast("long").alias("disabled"))
+
+
 @register(f"WITH {CHECKS} SELECT {BUCKET} AS bucket, count(*) AS feeds FROM ck GROUP BY 1")
 def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds by folded status."""

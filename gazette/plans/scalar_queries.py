@@ -230,10 +230,10 @@ def cached_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRINGS = ['say "hi"', "back\\slash\nline", "plain", "", "\\n \"\\\""]
 
 
-@register(f"SELECT doc_id, replace(replace(replace({turns('doc_id', STRINGS)} || substr(text, 1, 200), chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n') AS line FROM documents")
+@register(f"SELECT doc_id, replace(replace(replace({turns('doc_id', STRINGS)} || coalesce(text, ''), chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n') AS line FROM documents")
 def report_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings on one line of a report."""
-    return read(spark, sf_dir, "documents").select("doc_id", text.report_escape(F.concat(pick("doc_id", STRINGS), F.substring("text", 1, 200))).alias("line"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.report_escape(F.concat(pick("doc_id", STRINGS), F.coalesce("text", F.lit("")))).alias("line"))
 
 
 @register("SELECT event_id FROM events, (SELECT max(ts) - INTERVAL 6 HOUR AS now FROM events) WHERE ts >= now - INTERVAL 86400 SECOND AND ts <= now + INTERVAL 300 SECOND")

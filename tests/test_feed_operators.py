@@ -6,8 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.operators import dedup, query, ranking, reports, selection, store, topics
-from gazette.operators import pieces as pieces_module
-from gazette.operators.pieces import pieces
 from gazette.schemas import CHECKS
 from gazette.sources import catalogue, rules
 
@@ -117,14 +115,46 @@ def test_large_clusters_are_dealt_out(spark):
         spark.conf.set("spark.sql.adaptive.enabled", held)
 
 
-def test_greedy_takes_the_best_cluster(spark, monkeypatch):
-    a = articles(spark, [{"id": k, "published_at": NOW - timedelta(minutes=k)} for k in range(5)])
-    pairs = spark.createDataFrame([(0, 2, 0.4), (1, 2, 0.5), (2, 3, 0.31), (0, 3, 0.31)], "a long, b long, similarity double")
-    assert {r.id: r.cluster for r in topics.greedy(a, pairs).collect()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 4}
-    links = spark.createDataFrame([(5, 4), (4, 3), (9, 8)], "a long, b long")
-    for few in (1 << 16, 0):
-        monkeypatch.setattr(pieces_module, "FEW", few)
-        assert {r.id: r.piece for r in pieces(links).collect()} == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8} and pieces(links.limit(0)).count() == 0
+def folded(order, pairs):
+    """Greedy clusters by going through the articles one after another."""
+    near, of, first = {}, {}, {}
+    for a, b, x in pairs:
+        near.setdefault(a, []).append((b, x))
+        near.setdefault(b, []).append((a, x))
+    for i in order:
+        best = {}
+        for j, x in near.get(i, ()):
+            if j in of:
+                best[of[j]] = max(best.get(of[j], 0), x)
+        of[i] = max(best, key=lambda c: (best[c], -c)) if best else len(first)
+        first.setdefault(of[i], i)
+    return {i: first[c] for i, c in of.items()}
+
+
+def test_greedy_takes_the_best_cluster(spark):
+    """Chains, cliques of equal similarity, and random graphs with many ties, against a fold."""
+    import random
+
+    rng, n = random.Random(4), 120
+    chain = [(k, k + 1, 0.5) for k in range(39)]
+    clique = [(a, b, 1.0) for a in range(40, 60) for b in range(a + 1, 60)]
+    wild = [(a, b, rng.choice([0.3, 0.4, 0.4, 0.9])) for a in range(60, n) for b in range(a + 1, n) if rng.random() < 0.08]
+    pairs = [(0, 39, 0.4), (20, 59, 0.7), *chain, *clique, *wild]
+    minutes = {k: rng.randrange(30) for k in range(n)}  # many at the same time
+    for dates in (minutes, {k: k for k in range(n)}):
+        a = articles(spark, [{"id": k, "published_at": NOW - timedelta(minutes=dates[k])} for k in range(n)])
+        got = {r.id: r.cluster for r in topics.greedy(a, spark.createDataFrame(pairs, "a long, b long, similarity double")).collect()}
+        assert got == folded(sorted(range(n), key=lambda k: (dates[k], k)), pairs)
+    none = topics.greedy(a, spark.createDataFrame([], "a long, b long, similarity double"))
+    assert {r.id: r.cluster for r in none.collect()} == {k: k for k in range(n)}
+
+
+def test_long_lists_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topics, "LIST", 4)
+    rows = [(k, "all", 1.0 + k, 0.1 * k) for k in range(50)] + [(k, "few", 2.0, 0.0) for k in (3, 9)]
+    got = topics.met_in_blocks(spark.createDataFrame(rows, "id long, token string, u double, slack double")).collect()
+    want = [(a, b, (1.0 + a) * (1.0 + b), 0.1 * a, 0.1 * b) for a in range(50) for b in range(a + 1, 50)] + [(3, 9, 4.0, 0.0, 0.0)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_similar_pairs_loses_nothing(spark):
@@ -250,3 +280,55 @@ def test_rules(spark):
     hosts = spark.createDataFrame([("www.example.com",), ("x.news.example.com",), ("badexample.com",), ("example.com",), (None,)], "host string")
     got = {r.host: r.rule_id for r in rules.for_hosts(hosts, rules.table(spark, known)).collect()}
     assert got == {"www.example.com": "a", "x.news.example.com": "b", "badexample.com": None, "example.com": "a", None: None}
+
+
+def files(path):
+    """Files of rows and deletes of a bucketed table."""
+    return {str(f.relative_to(path)) for kind in ("data", "deletes") for f in (path / kind).rglob("*.parquet")}
+
+
+def test_bucketed_store(spark, tmp_path):
+    """A small batch leaves all other files as they are; deletes write keys only; compaction rewrites what they touched."""
+    from gazette.operators import buckets
+
+    path, later = tmp_path / "t", NOW + timedelta(1)
+    old = articles(spark, [{"id": k, "title": f"t{k}", "created_at": NOW - timedelta(days=k % 60), "is_bookmarked": k % 10 == 0, "source_id": "s"} for k in range(400)]).withColumn("content_source", F.lit("article_page"))
+    buckets.create(old, str(path), 32)
+    rows = lambda: {r.id: r for r in buckets.load(spark, str(path)).collect()}
+    assert len(rows()) == 400 and buckets.load(spark, str(path)).columns == old.columns
+    before = files(path)
+    batch = articles(spark, [{"id": k, "title": "new", "source_id": None, "is_bookmarked": True} for k in (1, 2, 3, 1000)]).withColumn("content_source", F.lit("none"))
+    touched = buckets.merge(batch, str(path), later, "store")
+    after = files(path)
+    assert 1 <= len(touched) <= 4 and before < after and {f.split("/")[2] for f in after - before} == {f"bucket={b}" for b in touched}
+    got = rows()
+    assert len(got) == 401 and got[1].title == "new" and got[1].content_source == "article_page" and got[1].source_id == "s" and not got[1].is_bookmarked and got[1].updated_at == later and got[1000].is_bookmarked and got[4].title == "t4"
+    want = {r.id: r for r in store.upsert(old, batch, later, "store").collect()}
+    assert got == want
+    assert buckets.merge(batch.limit(0), str(path), later) == [] and files(path) == after
+    with pytest.raises(ValueError):
+        buckets.merge(batch.unionByName(batch), str(path), later)
+    buckets.merge(batch, str(path), later, "article")
+    assert rows()[1].content_source == "none"
+    data = {f for f in files(path) if f.startswith("data")}
+    gone = buckets.enforce_retention(spark, str(path), NOW, 30)
+    assert gone == sum(k % 60 > 30 and k % 10 != 0 and k not in (1, 2, 3) for k in range(400)) and {f for f in files(path) if f.startswith("data")} == data
+    kept = set(rows())
+    assert len(kept) == 401 - gone and buckets.enforce_retention(spark, str(path), NOW, 30) == 0
+    assert buckets.delete(spark.createDataFrame([(0,), (0,), (99999,)], "id long"), str(path)) == 1 and 0 not in rows()
+    again = articles(spark, [{"id": 0, "title": "back"}]).withColumn("content_source", F.lit("none"))
+    buckets.merge(again, str(path), later)
+    assert rows()[0].title == "back" and set(rows()) == kept
+    content = rows()
+    assert buckets.compact(spark, str(path)) and rows() == content and buckets.compact(spark, str(path)) == []
+    assert buckets.vacuum(spark, str(path), 1) > 0 and rows() == content and not {f for f in files(path) if f.startswith("deletes")}
+    # a writer that died before it named its manifest leaves the table as it was
+    buckets._written(batch, str(path), "data", 32, "id")
+    assert rows() == content
+    empty = tmp_path / "e"
+    buckets.create(old.limit(0), str(empty), 4)
+    assert buckets.load(spark, str(empty)).count() == 0 and buckets.merge(batch, str(empty), later) and buckets.load(spark, str(empty)).count() == 4
+    keyless = articles(spark, [{"id": None, "title": "none"}]).withColumn("content_source", F.lit("none"))
+    buckets.merge(keyless, str(empty), later)
+    buckets.merge(keyless, str(empty), later)
+    assert buckets.load(spark, str(empty)).count() == 5 and buckets.purge_disabled(spark, str(empty), None) == 0
