@@ -4,9 +4,15 @@ All visible text is emitted: blocks on lines of their own (paragraphs, headings,
 line), list items marked and indented, table cells in columns of equal width, preformatted text as it is. Nothing is judged
 to be boilerplate. Pages are rows; Spark deals them out, and a page is parsed in one pass over its tokens.
 
-Defined results: a null page is an empty text; an item that begins with a list shows that list's marks only; markup that never ends is text; unknown tags are inline; elements may be
-nested to any depth (each list item and quote indents its lines, so a page's text grows with depth times lines); annotations of
-formulas are not shown; repeated rows each get a row.
+Hidden are elements that are never shown, that have the attribute `hidden`, or whose display or visibility says so, in their own
+style or in the page's style sheets (rules for all media or screens, by tag, class and id; of several that fit, the most specific and
+last counts; rules with combinators, pseudo-classes or attributes hide nothing). What only assistive tools skip is shown. Buttons and
+fields show their values. Cells that span rows keep their place in the rows below.
+
+Defined results: a null page is an empty text; an item that begins with a list shows that list's marks only; markup that never ends is
+text; unknown tags are inline; white space that folds is that of style sheets, so no-break spaces stay; elements may be nested to any
+depth (each list item and quote indents its lines, so a page's text grows with depth times lines); annotations of formulas are not
+shown; repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -46,11 +52,19 @@ _CELL, _THROUGH = frozenset({"td", "th", "table"}), frozenset("table tr tbody th
 #: Parts of a formula that are not shown.
 _NOTES = frozenset({"annotation", "annotation-xml"})
 #: Bounds of the layout, see above.
-PADDED, SPARE, NESTED, INDENT = 4, 2000, 8, 400
+PADDED, SPARE, NESTED, INDENT, COLUMNS = 4, 2000, 8, 400, 1000
 _ZEROS, _LONG = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
+#: White space that folds.
+WHITE, _FOLDED = " \t\n\r\f", re.compile(r"[ \t\n\r\f]+")
+#: Fields that show their value.
+SHOWN = frozenset("submit reset button text search email url tel number date time".split())
+_COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+
+
 class Node:
     """An element: tag, attributes, parts (strings and elements)."""
 
@@ -61,7 +75,7 @@ class Node:
 
     def seen(self) -> bool:
         a = self.attributes
-        if self.tag in UNSEEN or "hidden" in a or a.get("aria-hidden") == "true" or (self.tag == "dialog" and "open" not in a):
+        if self.tag in UNSEEN or "hidden" in a or (self.tag == "dialog" and "open" not in a):
             return False
         return not ("style" in a and HIDDEN.search(a["style"]))
 
@@ -73,10 +87,66 @@ def unescaped(said: str) -> str:
     return html.unescape(_LONG.sub("\ufffd", _ZEROS.sub("&#", said)) if "&#" in said else said)
 
 
-def span(said: str) -> int:
-    """The value of a colspan, 1 to 1000."""
+def span(said: str, most: int = 1000) -> int:
+    """The value of a colspan or rowspan, 1 to `most`."""
     digits = re.match(r"[ \t\n\f\r]*\+?0*([0-9]*)", said)[1]
-    return max(1, min(int(digits[:5] or 0), 1000))
+    return max(1, min(int(digits[:6] or 0), most))
+
+
+def sheet(source: str) -> list[tuple[str, str]]:
+    """Selectors and declarations of a style sheet's rules that hold on screens: what stands in other at-rules is passed over."""
+    out, at, n, deep = [], 0, len(source), 0
+    source = re.sub(r"/\*.*?(?:\*/|\Z)", " ", source, flags=re.S)
+    while (begin := source.find("{", at)) >= 0:
+        close = source.find("}", at)
+        if 0 <= close < begin:  # the end of a media rule
+            at, deep = close + 1, max(0, deep - 1)
+            continue
+        head = source[at:begin].rpartition(";")[2].strip()
+        if head.startswith("@"):
+            if re.fullmatch(r"@media\s+(?:(?:only\s+)?screen|all)", head, re.I):
+                at, deep = begin + 1, deep + 1
+                continue
+            at, open_braces = begin + 1, 1
+            for m in re.compile(r"[{}]").finditer(source, at):
+                open_braces += 1 if m[0] == "{" else -1
+                at = m.end()
+                if not open_braces:
+                    break
+            else:
+                break
+            continue
+        end = source.find("}", begin)
+        out.append((head, source[begin + 1 : end if end >= 0 else n]))
+        if end < 0:
+            break
+        at = end + 1
+    return out
+
+
+class Rules:
+    """Which elements the page's style sheets hide."""
+
+    def __init__(self, sheets: list[str]):
+        self.by: dict[tuple[str, str], list] = defaultdict(list)  # by the class, id or tag that a selector names last
+        for order, (head, body) in enumerate(r for s in sheets for r in sheet(s)):
+            said = {k.lower(): v.lower() for k, v in _DECLARED.findall(body)}
+            for selector in head.split(",") if said else []:
+                m = _COMPOUND.match(selector.strip())
+                if m and m[0]:
+                    tag, names = (m[1] or "*").lower(), re.findall(r"[.#][\w-]+", m[2])
+                    key = ("name", names[-1]) if names else ("tag", tag)
+                    self.by[key].append(((sum(x[0] == "#" for x in names), len(names), tag != "*", order), tag, frozenset(names), said))
+
+    def hide(self, node: Node) -> bool:
+        a = node.attributes
+        names = {f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if a.get("id") else set())
+        found = [r for key in (("tag", "*"), ("tag", node.tag), *(("name", x) for x in names)) for r in self.by.get(key, ()) if r[1] in ("*", node.tag) and r[2] <= names]
+        said: dict[str, str] = {}
+        for *_, one in sorted(found, key=lambda r: r[0]):
+            said |= one
+        said |= {k.lower(): v.lower() for k, v in _DECLARED.findall(a.get("style", ""))}
+        return said.get("display") == "none" or said.get("visibility") in ("hidden", "collapse")
 
 
 class TagEnds:
@@ -126,7 +196,7 @@ def tree(source: str) -> Node:
     root = Node("#root", {})
     stack, at, n = [root], 0, len(source)
     places: dict[str, list[int]] = defaultdict(list)  # of the open elements by tag, rising
-    ends = None
+    ends, sheets = None, []
 
     def cut(to: int) -> None:
         while len(stack) > to:
@@ -167,7 +237,7 @@ def tree(source: str) -> Node:
             close(*IMPLIED[tag])
         if tag in _CLOSES_P:
             close(_P, _P_STOP)
-        node = Node(tag, attributes(m[3]) if m[3] and "=" in m[3] or "hidden" in m[3] or "open" in m[3] else {})
+        node = Node(tag, attributes(m[3]) if m[3] and ("=" in m[3] or "hidden" in m[3] or "open" in m[3]) else {})
         if tag in _NOTES and places.get("math"):
             node.attributes["hidden"] = ""
         stack[-1].parts.append(node)
@@ -176,10 +246,20 @@ def tree(source: str) -> Node:
             stop = end.start() if end else n
             if tag in ("textarea", "xmp"):
                 node.parts.append(unescaped(source[at:stop]))
+            elif tag == "style":
+                sheets.append(source[at:stop])
             at = source.find(">", stop) + 1 or n
         elif tag not in VOID and not m[3].endswith("/"):
             places[tag].append(len(stack))
             stack.append(node)
+    rules = Rules(sheets)
+    todo = [root] if rules.by else []
+    while todo:
+        node = todo.pop()
+        if rules.hide(node):
+            node.attributes["hidden"] = ""
+        else:
+            todo += [p for p in node.parts if isinstance(p, Node)]
     return root
 
 
@@ -202,14 +282,14 @@ class Page:
                 if line:
                     self.put(line.expandtabs(4))
             return
-        words = said.split()
+        words = _FOLDED.sub(" ", said).strip(" ")
         if not words:
             self.space = self.space or bool(said and self.now)
             return
-        if said[0].isspace() or self.space:
+        if said[0] in WHITE or self.space:
             self.space = bool(self.now)
-        self.put((" " if self.space and self.now else "") + " ".join(words))
-        self.space = said[-1].isspace()
+        self.put((" " if self.space and self.now else "") + words)
+        self.space = said[-1] in WHITE
 
     def put(self, said: str) -> None:
         if not self.now and self.gap and self.lines:
@@ -220,7 +300,7 @@ class Page:
     def line(self, always: bool = False) -> None:
         """End the line if there is one."""
         if self.now or always:
-            self.lines.append((self.first + "".join(self.now)).rstrip())
+            self.lines.append((self.first + "".join(self.now)).rstrip(WHITE))
             self.first, self.now = self.rest, []
         self.space = False
 
@@ -250,6 +330,9 @@ def lay(node: Node, page: Page, pre: bool = False) -> Generator:
             page.text(part, pre)
         elif part.tag == "br":
             page.line(True)
+        elif part.tag == "input":
+            if part.seen() and part.attributes.get("type", "text").lower() in SHOWN:
+                page.text(part.attributes.get("value", ""), False)
         elif part.seen():
             tag = part.tag
             if tag == "table" and page.tables < NESTED:
@@ -283,21 +366,35 @@ def lay(node: Node, page: Page, pre: bool = False) -> Generator:
 def table(node: Node, depth: int) -> Generator:
     """A job for the lines of a table: its caption, and rows with cells in columns of equal width. A cell's own lines stay apart."""
     rows, todo = [], [node]
+    below: dict[int, int] = {}  # columns that a cell above still takes up, and in how many rows
+
+    def free(cells: list) -> None:
+        """Blank cells where cells above reach down."""
+        while below.get(len(cells), 0) > 0 and len(cells) < COLUMNS:
+            below[len(cells)] -= 1
+            cells.append([""])
+
     while todo:
         at = todo.pop()
         if at.tag == "tr":
             cells = []
             for c in at.parts:
                 if isinstance(c, Node) and c.tag in ("td", "th") and c.seen():
+                    free(cells)
                     inner = Page(depth)
                     yield lay(c, inner)
-                    cells += [inner.out().split("\n")] + [[""]] * (span(c.attributes.get("colspan", "1")) - 1)
+                    wide, down = min(span(c.attributes.get("colspan", "1")), max(1, COLUMNS - len(cells))), span(c.attributes.get("rowspan", "1"), 65534)
+                    if down > 1:
+                        below |= {k: max(below.get(k, 0), down - 1) for k in range(len(cells), min(len(cells) + wide, COLUMNS))}
+                    cells += [inner.out().split("\n")] + [[""]] * (wide - 1)
                 elif isinstance(c, Node) and c.seen() or isinstance(c, str) and c.strip():
                     inner = Page(depth)  # what stands between cells
                     holder = Node("td", {})
                     holder.parts.append(c)
                     yield lay(holder, inner)
                     cells += [inner.out().split("\n")] if inner.lines else []
+            begun = len(cells)
+            below = {k: v - (k >= begun) for k, v in below.items() if v - (k >= begun) > 0}  # cells that reach past this row's end
             while len(cells) > 1 and cells[-1] == [""]:
                 cells.pop()
             rows.append(cells)

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gazette.llm import graph, html_text, language_model, near_dedup, quality, topk
+from gazette.llm import graph, html_text, language_model, near_dedup, quality, queries, topk
 
 VOCAB = [f"{a}{b}" for a in "ka lo mi tu re sa no".split() for b in "ban dor fil gus hem jot".split()]
 
@@ -180,7 +180,7 @@ def test_html():
     assert r("<p>a<p>b<div>c</div>d") == "a\n\nb\n\nc\nd"
     assert r("<ul><li>x<li>y<ol start=3><li>p<li>q</ol></ul>z") == "- x\n- y\n  3. p\n  4. q\n\nz"
     assert r("<table><tr><td>aa<td>b<tr><td>c<td>dd</table>") == "aa  b\nc   dd"
-    assert r("<p hidden>no<p style='DISPLAY : none'>no<p aria-hidden=true>no<script>if (a<b) '</p>'</script><p>yes") == "yes"
+    assert r("<p hidden>no<p style='DISPLAY : none'>no<script>if (a<b) '</p>'</script><p>yes") == "yes" and r("<p aria-hidden=true>shown") == "shown"
     assert r("<pre>a\n  b</pre>") == "a\n  b" and r("a<br>b") == "a\nb" and r("<b>un</b>broken <i> spaced </i>x") == "unbroken spaced x"
     assert r("a < b <3 <") == "a < b <3 <" and r("<!-- c --><!doctype html>x<!-- open") == "x"
     assert "deep" in r("<div>" * 5000 + "deep") and r("<td>loose</td>") == "loose"
@@ -393,6 +393,45 @@ def test_language_model_finds_the_discount():
     assert abs(s.levels[-1][0] * s.levels[-1][2] - 0.8) <= 0.1
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(300)], k=rng.randrange(60)))) for k in range(400)] + [(500 + k, f"once{k} w1 w2 once{k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts in (1, 3, 8):
+        dealt = docs.repartition(parts)
+        common = language_model.common_words(dealt, 2, 250)
+        found.append((common.tolist(), {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in language_model.score(dealt).collect()}))
+    (words, one), *others = found
+    assert 0 < len(words) <= 250
+    for common, scores in others:
+        assert common == words and set(scores) == set(one)
+        assert all(scores[i][:3] == one[i][:3] and scores[i][3:] == pytest.approx(one[i][3:], abs=1e-3) for i in one)
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Driver code alone knows where the package is: no PYTHONPATH, another working folder."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+for name in sys.argv[1:]:
+    print(name, e.queries()[name](spark, "/root/testdata/sf0.001").count())
+"""
+    names = [n for n in queries.QUERIES if n.split("_")[0] in ("op3", "op5", "op7", "op8", "op9", "op11", "op12", "op13")]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, *names], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0 and len(done.stdout.split("\n")) > len(names), done.stderr[-3000:]
+
+
 def test_contexts_of_common_words_are_their_own(spark):
     text = " ".join(f"w{k % 40}" for k in range(4000))
     docs = spark.createDataFrame([(k, text + f" rare{k}") for k in range(30)], "doc_id long, text string")
@@ -505,6 +544,26 @@ def test_html_against_paper():
         assert html_text.rendered(source) == on_paper(parts), source
 
 
+def test_html_that_style_sheets_hide():
+    r = html_text.rendered
+    css = "<style>/* .a{} */ .gone, p#x { color: red; DISPLAY: none } @media print { .b { display: none } } @media screen { .c { visibility:hidden } } @font-face { src: url(x) } div.d{display:none} .d.keep{display:block} .e p{display:none} .f:hover{display:none}</style>"
+    body = "<p class='z gone'>1<p id=x>2<div id=x>3</div><p class=b>4<p class=c>5<div class=d>6</div><div class='d keep'>7</div><div class=e><p>8</div><p class=f>9<p class=gone style='display:block'>10"
+    assert r(css + body).split() == ["3", "4", "7", "8", "9", "10"]
+    assert r("<p class=a>x</p><style>.a{display:none}") == "" and r("<style>.a{display:none</style><p class=a>x") == "" and r("<style>{}}}{</style>x") == "x"
+    hostile = "<style>" + "@media x {" * 20000 + "</style>y" + "<style>" + ".a{display:none}" * 20000 + "}" * 20000 + "</style><p class=b>z"
+    assert r(hostile).split() == ["y", "z"]
+
+
+def test_html_of_fields_and_spans():
+    r = html_text.rendered
+    assert r("<form><input type=submit value='Send it'> <input type=hidden value=no><input type=password value=no><input value=name><button>Go</button></form>") == "Send it nameGo"
+    assert r("<table><tr><td rowspan=2>x<td>1<tr><td>2</table>") == "x  1\n   2"
+    assert r("<table><tr><td>a<td rowspan=3 colspan=2>b<td>c<tr><td>d<td>e<tr><td rowspan=0>f<tr><td>g<td>h<td>i</table>") == "a  b     c\nd        e\nf\ng  h  i"
+    assert r("a\u00a0\u00a0b \n c\u2003d") == "a\u00a0\u00a0b c\u2003d"
+    many = "<table>" + "<tr><td rowspan=60000 colspan=1000>x" * 300 + "</table>"
+    assert r(many).count("x") == 300
+
+
 def test_html_of_hostile_pages():
     import time
 
