@@ -11,8 +11,9 @@ from gazette.functions import text, times, urls
 from gazette.operators import dedup, enrich, ranking, topics
 from gazette.operators.selection import Preferences
 from gazette.plans import pipelines
-from gazette.plans.bindings import CATALOGUE, DOCUMENT_ARTICLES, EVENT_ARTICLES, as_of, document_articles, event_articles, read
+from gazette.plans.bindings import CATALOGUE, DOCUMENT_ARTICLES, EVENT_ARTICLES, articles_of, as_of, document_articles, event_articles, read
 from gazette.sources import catalogue, tables
+from gazette.streaming import cache
 from gazette.streaming import events as stream
 
 QUERIES: dict = {}
@@ -117,11 +118,11 @@ def headline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_articles(spark, sf_dir).select("id", text.headline(F.col("id").cast("string"), F.col("title")).alias("line"))
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """The table of events as a stream, and a folder for what comes of it. A single file is streamed by a pattern that only its
-    name fits, as streams read folders or patterns."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/event[s].parquet")
+def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> tuple[DataFrame, str]:
+    """A table as a stream, and a folder for what comes of it. A single file is streamed by a pattern that only its name fits, as
+    streams read folders or patterns."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/{table[:-1]}[{table[-1]}].parquet")
     return rows, tables.scratch(spark, "stream")
 
 
@@ -139,10 +140,32 @@ def stream_unique_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user, kind and day, as a stream over the table, then summed."""
     rows, folder = event_stream(spark, sf_dir)
-    keyed = rows.withColumn("day", F.to_date("ts"))
-    first = keyed.groupBy("user_id", "event_type", "day").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    stream.run_available(first, lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/state", "complete")
-    return spark.read.parquet(f"{folder}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("first.ts").alias("first_ts"))
+    first = stream.first_of_day(rows, "ts", ["user_id", "event_type"], "event_id")
+    stream.run_available(first, stream.batches(f"{folder}/out"), f"{folder}/state", "update")
+    # a day that later batches changed is there once a batch
+    days = spark.read.parquet(f"{folder}/out").groupBy("user_id", "event_type", "day").agg(F.min("first").alias("first"))
+    return days.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("first.ts").alias("first_ts"))
+
+
+@register("""SELECT user_id AS reader, max(event_id) AS run, arg_max(ts, event_id) AS saved_at, arg_max(ts, event_id) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) AS expired FROM events GROUP BY user_id""")
+def stream_cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caches of readers as state: a newer run replaces an older one, a superseded run is dropped, and what is twelve hours old ends."""
+    rows, folder = event_stream(spark, sf_dir)
+    saved = rows.select(F.col("user_id").alias("reader"), F.col("event_id").alias("run"), F.col("ts").alias("saved_at"))
+    stream.run_available(cache.kept(saved), stream.batches(f"{folder}/out"), f"{folder}/state", "append", cache.CONF)
+    out = spark.read.parquet(f"{folder}/out").groupBy("reader", "run", "saved_at").agg(F.bool_or(F.col("status") == "expired").alias("expired"))
+    return out.groupBy("reader").agg(F.max_by(F.struct("run", "saved_at", "expired"), "run").alias("x")).select("reader", "x.run", "x.saved_at", "x.expired")
+
+
+@register(f"""WITH {DOCUMENT_ARTICLES}, w AS (SELECT *, date_trunc('hour', max(published_at) OVER ()) - INTERVAL 23 HOUR AS since FROM dc),
+tk AS (SELECT id, unnest(list_filter(string_split_regex(lower(strip_accents(coalesce(title, '') || ' ' || coalesce(summary_short, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 3 AND NOT (t IN ({STOP})))) AS token FROM w WHERE published_at >= since)
+SELECT token, count(DISTINCT id) AS df FROM tk GROUP BY token UNION ALL SELECT '' AS token, count(*) AS df FROM w WHERE published_at >= since""")
+def stream_pane_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many articles of the last 24 hours each token is, and how many there are (''), added up from panes of an hour that a
+    stream keeps."""
+    rows, folder = event_stream(spark, sf_dir, "documents")
+    stream.run_available(stream.panes(articles_of(rows)), stream.batches(f"{folder}/out"), f"{folder}/state", "update")
+    return stream.day_of_panes(spark.read.parquet(f"{folder}/out"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.functions import times
-
+from gazette.functions import text, times
 from gazette.operators import dedup, store
+from gazette.sources.tables import setting
 
 
 def read(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
@@ -37,10 +38,44 @@ def counts(rows: DataFrame, column: str, by: str, length: str = "24 hours", slid
     return out.select(F.col("w.start").cast(kind).alias("start"), F.col("w.end").cast(kind).alias("end"), by, "n")
 
 
-def run_available(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Process what is there, batch by batch, and stop."""
-    query = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+def first_of_day(rows: DataFrame, column: str, keys: list[str], order: str, late: str = "1 day") -> DataFrame:
+    """keys, day and first (column, order) of each key and day, to be written in update mode: a batch gives the days that it changed,
+    and days before the watermark leave the state."""
+    dated = rows.withColumn("_at", F.col(column).cast("timestamp")).withWatermark("_at", late)
+    out = dated.groupBy(F.window("_at", "1 day").alias("w"), *keys).agg(F.min(F.struct(column, order)).alias("first"))
+    return out.select(*keys, F.col("w.start").alias("day"), "first")
+
+
+def panes(articles: DataFrame, length: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """pane, token, df: in how many articles of each hour a token is, and, for '', how many articles there are; to be written in update
+    mode, as first_of_day()."""
+    words = F.array_distinct(F.concat(F.array(F.lit("")), text.tokens(F.col("title"), F.col("summary_short"))))
+    rows = articles.select(F.col("published_at").cast("timestamp").alias("_at"), words.alias("words")).withWatermark("_at", late)
+    counted = rows.select("_at", F.explode("words").alias("token")).groupBy(F.window("_at", length).alias("w"), "token").agg(F.count(F.lit(1)).alias("df"))
+    return counted.select(F.col("w.start").alias("pane"), "token", "df")
+
+
+def day_of_panes(written: DataFrame, many: int = 24) -> DataFrame:
+    """token, df over the last so many panes of an hour: sums of panes, so no article is counted again. Of a pane that several batches
+    changed the last state counts, which is the greatest."""
+    last = written.groupBy("pane", "token").agg(F.max("df").alias("df"))
+    newest = written.agg(F.max("pane").alias("newest"))
+    recent = last.join(F.broadcast(newest), F.col("pane") > F.col("newest") - F.make_dt_interval(hours=F.lit(many)))
+    return recent.groupBy("token").agg(F.sum("df").alias("df"))
+
+
+def batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer whose every batch has a folder, so that one that runs again replaces itself."""
+    return lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/batch={k}")
+
+
+def run_available(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", conf: dict[str, str] | None = None) -> None:
+    """Process what is there, batch by batch, and stop. conf: session settings that hold while the stream starts and runs."""
+    with contextlib.ExitStack() as held:
+        for key, value in (conf or {}).items():
+            held.enter_context(setting(rows.sparkSession, key, value))
+        query = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
 
 
 def merge_into(path: str, as_of) -> Callable[[DataFrame, int], None]:

@@ -1,6 +1,7 @@
 """Text and URL expressions, feeds, distilling, model answers, streams."""
 
-from datetime import datetime
+import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +240,33 @@ def test_runs_and_settings(spark):
     assert [(r.text, r.kinds, r.url) for r in rows] == [("a ", [], None), ("b ", ["strong"], None), ("c", ["strong", "em"], None), ("l", ["link"], "u")]
     assert enrich.language_name("it") == "Italian" and enrich.language_name(None, "de-DE") == "German" and enrich.language_name("system", "xx") == "English"
     assert enrich.valid_endpoint("https://a.example/v1") and not enrich.valid_endpoint("http://a.example") and enrich.valid_endpoint("http://localhost:1", True) and not enrich.valid_endpoint("ftp://a", True)
+
+
+def streamed(spark, folder, schema, batches):
+    """A stream of a folder, one file a batch, by the files' times."""
+    for rows in batches:
+        time.sleep(1.1)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return stream.read(spark, str(folder), schema, 1)
+
+
+def test_caches_end_and_are_superseded(spark, tmp_path):
+    from gazette.streaming import cache
+
+    at = lambda hour: datetime(2026, 4, 1) + timedelta(hours=hour)
+    schema = "reader long, run long, saved_at timestamp_ntz"
+    rows = streamed(spark, tmp_path / "in", schema, [[(1, 5, at(0)), (2, 1, at(1)), (2, 2, at(1))], [(1, 4, at(2)), (2, 3, at(6))], [(3, 1, at(14))], [(1, 9, at(15))], [(4, 7, at(26.5))]])
+    seen = []
+    stream.run_available(cache.kept(rows), lambda b, _: seen.extend((r.reader, r.run, r.saved_at, r.status) for r in b.collect()), str(tmp_path / "state"), "append", cache.CONF)
+    assert sorted(x for x in seen if x[3] != "superseded") == sorted([(1, 5, at(0), "saved"), (2, 2, at(1), "saved"), (2, 3, at(6), "saved"), (3, 1, at(14), "saved"), (1, 9, at(15), "saved"), (4, 7, at(26.5), "saved"), (2, 3, at(6), "expired"), (3, 1, at(14), "expired")])
+    assert {x[:2] for x in seen if x[3] == "superseded"} >= {(1, 4), (2, 1)}
+
+
+def test_panes_add_up_to_a_day(spark, tmp_path):
+    schema = "title string, summary_short string, published_at timestamp_ntz"
+    at = lambda hour: datetime(2026, 4, 1) + timedelta(hours=hour)
+    rows = streamed(spark, tmp_path / "in", schema, [[("bridge opens", None, at(0.5)), ("bridge bridge", "river", at(1.2))], [("river again", None, at(1.9)), ("bridge", None, at(2))], [("late river", None, at(24.5))]])
+    stream.run_available(stream.panes(rows), stream.batches(str(tmp_path / "out")), str(tmp_path / "state"), "update")
+    got = {r.token: r.df for r in stream.day_of_panes(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    assert got == {"": 4, "bridge": 2, "river": 3, "again": 1, "late": 1}
+    assert {r.token: r.df for r in stream.day_of_panes(spark.read.parquet(str(tmp_path / "out")), 1).collect()} == {"": 1, "late": 1, "river": 1}
