@@ -56,7 +56,7 @@ def image_key(url: Column) -> Column:
 
 def srcset(value: Column) -> Column:
     """The URLs of a source set, in order."""
-    return F.filter(F.transform(F.split(value, ","), lambda c: F.regexp_extract(F.trim(c), r"^(\S+)", 1)), lambda u: u != "")
+    return F.filter(F.transform(F.split(value, ","), lambda c: F.regexp_extract(c, r"^\s*(\S+)", 1)), lambda u: u != "")
 
 
 def undotted(url: Column) -> Column:

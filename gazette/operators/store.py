@@ -188,6 +188,12 @@ def without_reader(cache: DataFrame, readers: DataFrame) -> DataFrame:
     return cache.join(readers.select(F.col("reader").alias("_reader")).distinct(), F.col("reader") == F.col("_reader"), "left_anti")
 
 
+def decodable(cache: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """Rows of a cache whose payload is JSON, and those whose isn't, which are to be deleted."""
+    good = F.try_parse_json(payload).isNotNull()
+    return cache.where(good), cache.where(~good)
+
+
 def fresh_groups(cache: DataFrame, as_of: datetime, hours: int = 12) -> DataFrame:
     """Cached rows saved within so many hours before as_of; future ones are a miss too."""
     at = times.at(as_of)

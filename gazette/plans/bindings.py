@@ -112,3 +112,14 @@ CANONICAL = """(SELECT lower(CASE WHEN rest = '' THEN base ELSE base || '?' || r
 PAGE_ARTICLES = f"""pa0 AS (SELECT page_id * 2 AS id, url AS article_url, TIMESTAMP '2024-01-01' + to_seconds(page_id * 60) AS published_at FROM pages
   UNION ALL SELECT page_id * 2 + 1, regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'UTM_medium=feed#frag', TIMESTAMP '2024-01-01' + to_seconds(page_id * 60 + CASE WHEN page_id % 2 = 0 THEN 30 ELSE 0 END) FROM pages),
 pa AS (SELECT *, {HOST.format(x="article_url")} AS source_id, {CANONICAL.format(x="article_url")} AS canonical, string_split({HOST.format(x="article_url")}, '.')[-1] AS region FROM pa0)"""
+
+
+def supplier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a catalogue of sources: their regions are regions, those with a balance above 5000 are main outlets."""
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    rows = read(spark, sf_dir, "supplier").join(F.broadcast(n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))), F.col("s_nationkey") == F.col("n_nationkey"))
+    key = F.col("s_suppkey").cast("string")
+    return rows.select(F.concat(F.lit("s"), key).alias("id"), F.col("s_name").alias("outlet_name"), F.lower("r_name").alias("region"), F.concat(F.lit("https://feeds.example/"), key).alias("feed_url"), (F.col("s_acctbal") > 5000).alias("is_main"), F.lit("en").alias("language"), F.array().cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("note"))
+
+
+SUPPLIERS = "sup AS (SELECT 's' || s_suppkey AS id, s_name AS outlet_name, lower(r_name) AS region, s_acctbal > 5000 AS is_main FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gazette.functions import text, times, urls
 from gazette.operators import buckets, dedup, query, ranking, reports, selection, store
 from gazette.plans.bindings import (
-    BUCKET, CANONICAL, CATALOGUE, CHECKS, DOCUMENT_ARTICLES, EVENT_ARTICLES, INTERACTIONS, PAGE_ARTICLES, as_of, checks, document_articles, event_articles, interactions, page_articles, read,
+    BUCKET, CANONICAL, CATALOGUE, CHECKS, DOCUMENT_ARTICLES, EVENT_ARTICLES, INTERACTIONS, PAGE_ARTICLES, SUPPLIERS, as_of, checks, document_articles, event_articles, interactions, page_articles, read, supplier_sources,
 )
 from gazette.sources import catalogue, rules, tables
 
@@ -152,22 +152,23 @@ def replace_content_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", rule.alias("replaced"))
 
 
-@register(f"""WITH {CATALOGUE} SELECT id, outlet_name, region FROM cat WHERE is_main""")
+@register(f"WITH {SUPPLIERS} SELECT id, outlet_name, region FROM sup WHERE is_main")
 def main_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main outlets of the catalogue, which hold without preferences."""
-    return selection.resolve_sources(catalogue.sample(spark), None).select("id", "outlet_name", "region")
+    """Main outlets of the catalogue, which hold without preferences; suppliers are sources."""
+    return selection.resolve_sources(supplier_sources(spark, sf_dir), None).select("id", "outlet_name", "region")
 
 
-@register(f"""WITH {CATALOGUE} SELECT id, outlet_name FROM cat WHERE region = 'france' ORDER BY region, lower(outlet_name), id""")
+@register(f"""WITH {SUPPLIERS} SELECT id, outlet_name FROM sup WHERE region = 'europe' ORDER BY region, lower(outlet_name), id""")
 def sources_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of a region."""
-    return selection.sources(catalogue.sample(spark), "by_region", "france").select("id", "outlet_name")
+    return selection.sources(supplier_sources(spark, sf_dir), "by_region", "europe").select("id", "outlet_name")
 
 
-@register(f"""WITH {CATALOGUE} SELECT DISTINCT region FROM cat""")
+@register(f"""WITH {SUPPLIERS} SELECT DISTINCT region FROM sup""")
 def available_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions with a source."""
-    return selection.available_regions(catalogue.sample(spark), catalogue.regions(spark)).select("region")
+    """Regions with a source, by the table's order."""
+    regions = read(spark, sf_dir, "region").select(F.lower("r_name").alias("region"), F.col("r_regionkey").alias("ordinal"))
+    return selection.available_regions(supplier_sources(spark, sf_dir), regions).select("region")
 
 
 HOST_RULES = [("generic", ["example.com", "example.org"]), ("blogs", ["thertion.example.org", "blog.ththan.example.net"]), ("net", ["example.net"]), ("look", ["xample.net"]), ("spam", ["spam-farm.example.org"])]

@@ -3,14 +3,12 @@ what must come out, in its own words; it takes no table or pattern from the pack
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import text, urls
-from gazette.operators import pages, query, reports, selection, store, topics
-from gazette.plans.bindings import BUCKET, CATALOGUE, CHECKS, EVENT_ARTICLES, INTERACTIONS, SANITIZED, WORDS, as_of, checks, event_articles, interactions, read
+from gazette.operators import enrich, pages, query, reports, selection, store, topics
+from gazette.plans.bindings import BUCKET, CATALOGUE, CHECKS, EVENT_ARTICLES, INTERACTIONS, SANITIZED, SUPPLIERS, WORDS, as_of, checks, event_articles, interactions, read, supplier_sources
 from gazette.sources import catalogue, feeds, rules
 from gazette.streaming import events as stream
 
@@ -79,94 +77,82 @@ def page_summary_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.page_summary(pick("doc_id", EXISTING), cleaned).alias("summary"))
 
 
-@register("""WITH d AS (SELECT doc_id, doc_id % 8 AS form, (epoch_us(TIMESTAMP '2024-01-01') + doc_id * 61000000)::BIGINT AS us FROM documents)
-SELECT doc_id, CASE form WHEN 0 THEN us WHEN 1 THEN us + 500000 WHEN 2 THEN us - 7200000000 WHEN 3 THEN us // 60000000 * 60000000 + 18000000000 WHEN 4 THEN us WHEN 5 THEN us // 60000000 * 60000000 END::BIGINT AS us FROM d""")
+@register("""WITH d AS (SELECT event_id, event_id % 8 AS form, epoch_us(date_trunc('second', ts)) AS us FROM events)
+SELECT event_id, CASE form WHEN 0 THEN us WHEN 1 THEN us + 500000 WHEN 2 THEN us - 7200000000 WHEN 3 THEN us // 60000000 * 60000000 + 18000000000 WHEN 4 THEN us WHEN 5 THEN us // 60000000 * 60000000 END::BIGINT AS us FROM d""")
 def feed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates as feeds write them, some with a weekday that contradicts them, and two that are none."""
-    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("doc_id") * 61).cast("decimal(18,6)"))
-    form = lambda f: F.date_format(at, f)
+    """Dates of events as feeds write them, some with a weekday that contradicts them, and two that are none."""
+    form = lambda f: F.date_format("ts", f)
     forms = [
         F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.lit(".5Z")), F.concat(F.lit("Mon, "), form("dd MMM yyyy HH:mm:ss"), F.lit(" +0200")), F.concat(form("d MMM yyyy HH:mm"), F.lit(" EST")),
-        F.concat(F.lit(" Tue, "), form("d MMM yyyy HH:mm:ss"), F.lit(" gmt ")), F.concat(form("dd MMM yyyy HH:mm"), F.lit(" UTC")), F.lit("soon"), F.lit(None).cast("string"),
+        F.concat(F.lit(" Tue, "), form("d MMM yyyy HH:mm:ss"), F.lit(" gmt ")), F.concat(form("dd MMM yyyy HH:mm"), F.lit(" UTC")), F.col("props"), F.lit(None).cast("string"),
     ]
-    raw = F.element_at(F.array(*forms), (F.col("doc_id") % 8 + 1).cast("int"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.unix_micros(text.feed_date(raw)).alias("us"))
-
-
-ITEM_LINKS = ["https://a.example/1", " HTTP://b.example/2 ", "/n/3", "n/4", "?p=5", "", None, "//c.example/6", "../up/7", "./8/../9", "/a/./b/../c", "mailto:x@y"]
-FEEDS = ["https://feeds.example/dir/feed.xml", None, "http://feeds.example"]
+    raw = F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", F.unix_micros(text.feed_date(raw)).alias("us"))
 
 
-def _absolute(value: str | None, base: str | None) -> str | None:
-    """What a link or image address stands for, by the standard library."""
-    x, base = (value or "").strip(), base or ""
-    if x.lower().startswith(("http://", "https://")):
-        return x
-    if x.startswith("//"):
-        return ("http:" if base.lower().startswith("http:") else "https:") + x
-    if x.lower().startswith("www."):
-        return "https://" + x
-    return urljoin(base, x) if x and base.startswith("http") and ":" not in x.split("/")[0] else None
+@register(r"""WITH l AS (SELECT page_id, url, unnest(hs) AS h, unnest(range(0, len(hs))) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages)),
+o AS (SELECT *, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, regexp_replace(url, '[?#].*$', '') AS bare FROM l)
+SELECT page_id, pos::INT AS pos, CASE pos % 5 WHEN 0 THEN origin || h WHEN 1 THEN regexp_replace(bare, '[^/]*$', '') || h[2:] WHEN 2 THEN regexp_extract(url, '^(https?:)', 1) || '//x.example' || h WHEN 3 THEN 'https://y.example' || h ELSE url END AS link FROM o""")
+def article_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages against their addresses: paths, names in a folder, without a scheme, whole, and none."""
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "h"))
+    k, h = F.col("pos") % 5, F.col("h")
+    link = F.when(k == 0, F.concat(F.lit(" "), h)).when(k == 1, F.substring(h, F.lit(2), F.length(h))).when(k == 2, F.concat(F.lit("//x.example"), h)).when(k == 3, F.concat(F.lit("https://y.example"), h))
+    return rows.select("page_id", "pos", urls.article_link(link, F.col("url")).alias("link"))
 
 
-def _golden(rows: list[tuple], names: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows) + f") g({names})"
+#: A name for an image out of a text, and markup around the text with that image, with or without one, quoted or not.
+NAMED = "coalesce(nullif(lower(regexp_extract(text, '([A-Za-z]+)', 1)), ''), 'x')"
+FRAMED = f"CASE doc_id % 3 WHEN 0 THEN '<p>' || text || '</p><img alt=x data-src=no src=i/' || {NAMED} || '.png>' WHEN 1 THEN '<p><IMG class=\"a\" SRC=\"/i/' || {NAMED} || '.jpg?w=1\"></p>' || text ELSE '<p>' || text || '</p>' END"
 
 
-@register(f"SELECT doc_id, link FROM documents JOIN {_golden([(a, b, _absolute(x, f) or f or 'https://example.invalid/') for a, x in enumerate(ITEM_LINKS) for b, f in enumerate(FEEDS)], 'a, b, link')} ON a = doc_id % {len(ITEM_LINKS)} AND b = doc_id // {len(ITEM_LINKS)} % {len(FEEDS)}")
-def article_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of items against their feeds' addresses."""
-    d = read(spark, sf_dir, "documents").withColumn("k", F.floor(F.col("doc_id") / len(ITEM_LINKS)))
-    return d.select("doc_id", urls.article_link(pick("doc_id", ITEM_LINKS), pick("k", FEEDS)).alias("link"))
+def named() -> Column:
+    return F.coalesce(F.nullif(F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1)), F.lit("")), F.lit("x"))
 
 
-MEDIA, INNER, BASES = [None, "", "//img.example/m.png", "data:x", "www.i.example/w.png"], ["<p>none", "<p><img alt='x'><IMG class=a SRC='/c.png'>", "<img data-src=no src=d/e.png>", '<img src="http://z.example/f.png?x=1" >'], ["https://a.example/n/1", "http://b.example/n/x/"]
-FOUND = [None, "/c.png", "d/e.png", "http://z.example/f.png?x=1"]
-HEROES = [(a, b, c, next((u for v in (MEDIA[a], FOUND[b], FOUND[(b + 1) % 4]) for u in (_absolute(v, BASES[c]), _absolute(v, "https://feeds.example/f.xml")) if u), None)) for a in range(5) for b in range(4) for c in range(2)]
+def framed() -> Column:
+    k = F.col("doc_id") % 3
+    first, second = F.concat(F.lit("<p>"), "text", F.lit("</p><img alt=x data-src=no src=i/"), named(), F.lit(".png>")), F.concat(F.lit('<p><IMG class="a" SRC="/i/'), named(), F.lit('.jpg?w=1"></p>'), "text")
+    return F.when(k == 0, first).when(k == 1, second).otherwise(F.concat(F.lit("<p>"), "text", F.lit("</p>")))
 
 
-@register(f"SELECT doc_id, hero FROM documents JOIN {_golden(HEROES, 'a, b, c, hero')} ON a = doc_id % 5 AND b = doc_id // 5 % 4 AND c = doc_id // 20 % 2")
+@register(f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'https://' || lang || '.example/m/' || {NAMED} || '.gif' WHEN doc_id % 3 = 0 THEN 'https://a.example/' || source || '/i/' || {NAMED} || '.png' WHEN doc_id % 3 = 1 THEN 'https://a.example/i/' || {NAMED} || '.jpg?w=1' END AS hero FROM documents""")
 def hero_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The image of an item: its media, else of its content, else of its summary."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 5).alias("k"), F.floor(F.col("doc_id") / 20).alias("m"))
-    d = d.withColumn("k2", F.col("k") + 1)
-    return d.select("doc_id", urls.hero_image(pick("doc_id", MEDIA), pick("k", INNER), pick("k2", INNER), pick("m", BASES), F.lit("https://feeds.example/f.xml")).alias("hero"))
+    """The image of a document as an item: its media, else of its content; against its address."""
+    media = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("//"), "lang", F.lit(".example/m/"), named(), F.lit(".gif"))).otherwise(" ")
+    address = F.concat(F.lit("https://a.example/"), "source", F.lit("/n"))
+    return read(spark, sf_dir, "documents").select("doc_id", urls.hero_image(media, framed(), F.col("text"), address, F.lit("https://feeds.example/f.xml")).alias("hero"))
 
 
-@register(f"SELECT doc_id, {turns('doc_id', FOUND)} AS src FROM documents")
+@register(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'i/' || {NAMED} || '.png' WHEN 1 THEN '/i/' || {NAMED} || '.jpg?w=1' END AS src FROM documents")
 def first_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first image's address in markup."""
-    return read(spark, sf_dir, "documents").select("doc_id", urls.first_image(pick("doc_id", INNER)).alias("src"))
+    """The first image's address in markup of whole texts."""
+    return read(spark, sf_dir, "documents").select("doc_id", urls.first_image(framed()).alias("src"))
 
 
-CONTENTS, SHORTS = [None, "", " \n\t", "<p>c</p>"], [None, "", "s", "\n"]
-
-
-@register(f"""WITH d AS (SELECT doc_id, {turns('doc_id', CONTENTS)} AS c, {turns('doc_id // 4', SHORTS)} AS s FROM documents)
-SELECT doc_id, CASE WHEN {TRIM.format(x="coalesce(c, '')")} <> '' THEN c WHEN {TRIM.format(x="coalesce(s, '')")} <> '' THEN s END AS raw, CASE WHEN {TRIM.format(x="coalesce(c, '')")} <> '' THEN 'feed_content' WHEN {TRIM.format(x="coalesce(s, '')")} <> '' THEN 'feed_summary' ELSE 'none' END AS content_source FROM d""")
+@register("""WITH d AS (SELECT doc_id, CASE length(text) % 3 WHEN 0 THEN text WHEN 1 THEN chr(10) || ' ' END AS c, CASE WHEN length(text) % 2 = 0 THEN lang || ' ' || source ELSE ' ' END AS s FROM documents)
+SELECT doc_id, CASE WHEN trim(c, ' ' || chr(10)) <> '' THEN c WHEN trim(s) <> '' THEN s END AS raw, CASE WHEN trim(c, ' ' || chr(10)) <> '' THEN 'feed_content' WHEN trim(s) <> '' THEN 'feed_summary' ELSE 'none' END AS content_source FROM d""")
 def content_source_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content before summary."""
-    d = read(spark, sf_dir, "documents").withColumn("k", F.floor(F.col("doc_id") / 4))
-    raw, source = text.content_choice(pick("doc_id", CONTENTS), pick("k", SHORTS))
-    return d.select("doc_id", raw.alias("raw"), source.alias("content_source"))
-
-
-SETS = ["a.png 1x, b.png 2x", " c.png ", "", None, "d.png,e.png 100w,", ",,f.png  3x"]
+    """Content before summary: texts, blanks or nothing, by their length."""
+    n = F.length("text")
+    raw, source = text.content_choice(F.when(n % 3 == 0, F.col("text")).when(n % 3 == 1, "\n "), F.when(n % 2 == 0, F.concat("lang", F.lit(" "), "source")).otherwise(" "))
+    return read(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"), source.alias("content_source"))
 
 
-@register(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split({turns('doc_id', SETS)}, ','), lambda x: string_split(trim(x), ' ')[1]), lambda x: x <> ''), '|') AS found FROM documents")
+@register(r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w) || '.png'), '|') AS found FROM documents""")
 def srcset_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of source sets."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(urls.srcset(pick("doc_id", SETS)), "|").alias("found"))
+    """Addresses of source sets that name an image for each word of a text."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    value = F.concat(F.lit(" ,"), F.array_join(F.transform(words, lambda w, i: F.concat(F.lit("\n "), F.lower(w), F.lit(".png  "), (i + 1).cast("string"), F.lit("x "))), ","), F.lit(","))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(urls.srcset(value), "|").alias("found"))
 
 
-LANGUAGES, SUBTAGS = [" IT-it", "en_US", "", None, "de", "zh-Hans-CN", "42", "\tFR\n"], ["it", "en", None, None, "de", "zh", None, "fr"]
-
-
-@register(f"SELECT doc_id, {turns('doc_id', SUBTAGS)} AS primary_language FROM documents")
+@register("SELECT page_id, CASE WHEN page_id % 5 < 4 THEN regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) END AS primary_language FROM pages")
 def language_subtags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Primary subtags."""
-    return read(spark, sf_dir, "documents").select("doc_id", text.primary_language(pick("doc_id", LANGUAGES)).alias("primary_language"))
+    """Primary subtags of pages' languages, as they are, with a region, in capitals, with a script, and of a number."""
+    la, k = F.regexp_extract("html", '<html lang="([a-z]+)"', 1), F.col("page_id") % 5
+    said = F.when(k == 0, la).when(k == 1, F.concat(F.lit(" "), F.upper(la), F.lit("-"), F.upper(la))).when(k == 2, F.concat(F.upper(la), F.lit("_xx\n"))).when(k == 3, F.concat(la, F.lit("-Latn-CH"))).otherwise(F.length("html").cast("string"))
+    return read(spark, sf_dir, "pages").select("page_id", text.primary_language(said).alias("primary_language"))
 
 
 MARKUP = ["", "a < b & c > d\n\n  \t\n", "\n<p>&amp;</p>\n"]
@@ -192,14 +178,15 @@ def terminator_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.cut_at_terminator(F.concat("text", pick("doc_id", ENDINGS), F.lit(" more")), pick("k", TONGUES)).alias("kept"))
 
 
-HEADLINES = ["Ελληνικά νέα στην Αθήνα", "Новости България сегодня", "Łódź, Erdoğan & škola", "日本語のニュース 2024年", "café café CAFÉ ÇA", "x1 2y ab3", ""]
-HEADLINE_TOKENS = ["ελληνικα|νεα|στην|αθηνα", "новости|българия|сегодня", "łodz|erdogan|skola", "日本語のニュース|2024年", "cafe|cafe|cafe", "ab3", ""]
+HEADLINES = ["Ελληνικά νέα στην Αθήνα", "Новости България сегодня", "Łódź, Erdoğan & škola", "日本語のニュース 2024年", "café café CAFÉ ÇA", "x1 2y ab3", ""]
+HEADLINE_TOKENS = ["ελληνικα|νεα|στην|αθηνα|", "новости|българия|сегодня|", "łodz|erdogan|skola|", "日本語のニュース|2024年|", "cafe|cafe|cafe|", "ab3|", ""]
+STOPS = ", ".join(map(said, text.STOP_WORDS))
 
 
-@register(f"SELECT doc_id, {turns('doc_id', HEADLINE_TOKENS)} AS tokens FROM documents")
+@register(rf"""SELECT doc_id, rtrim({turns('doc_id', HEADLINE_TOKENS)} || array_to_string(list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 3 AND NOT (t IN ({STOPS}))), '|'), '|') AS tokens FROM documents""")
 def tokens_any_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of headlines in several scripts, composed and not."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(text.tokens(pick("doc_id", HEADLINES), F.lit(None).cast("string")), "|").alias("tokens"))
+    """Tokens of whole texts under headlines in several scripts, composed and not."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(text.tokens(pick("doc_id", HEADLINES), F.col("text")), "|").alias("tokens"))
 
 
 @register("WITH d AS (SELECT doc_id, text || (['', ' Αθήνα', ' Българйя', ' ŁÓDŹ', ' café'])[doc_id % 5 + 1] AS t FROM documents) SELECT doc_id, contains(lower(strip_accents(t)), 'αθηνα') AS greek, contains(lower(strip_accents(t)), 'cafe') AS latin, contains(lower(strip_accents(t)), 'łodz') AS polish FROM d")
@@ -210,20 +197,20 @@ def search_any_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", has("ΑΘΉΝΑ").alias("greek"), has("Café").alias("latin"), has("Łódź").alias("polish"))
 
 
-CLEANED, RAW = ["\n\t ", " a ", None, ""], [None, " b\n", "", "c"]
-
-
-@register(f"SELECT doc_id, coalesce(nullif({TRIM.format(x=turns('doc_id', CLEANED))}, ''), nullif({TRIM.format(x=turns('doc_id // 4', RAW))}, '')) AS input FROM documents")
+@register(f"""WITH d AS (SELECT doc_id, CASE length(text) % 3 WHEN 0 THEN chr(9) || text || ' ' WHEN 1 THEN chr(10) END AS c, CASE WHEN length(text) % 2 = 0 THEN '<p>' || text || '</p> ' ELSE '' END AS r FROM documents)
+SELECT doc_id, coalesce(nullif({TRIM.format(x='c')}, ''), nullif({TRIM.format(x='r')}, '')) AS input FROM d""")
 def summarisation_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a summary is made of."""
-    d = read(spark, sf_dir, "documents").withColumn("k", F.floor(F.col("doc_id") / 4))
-    return d.select("doc_id", text.summarisation_input(pick("doc_id", CLEANED), pick("k", RAW)).alias("input"))
+    """What a summary is made of: cleaned texts, else raw ones, by their length."""
+    n = F.length("text")
+    cleaned, raw = F.when(n % 3 == 0, F.concat(F.lit("\t"), "text", F.lit(" "))).when(n % 3 == 1, "\n"), F.when(n % 2 == 0, F.concat(F.lit("<p>"), "text", F.lit("</p> "))).otherwise("")
+    return read(spark, sf_dir, "documents").select("doc_id", text.summarisation_input(cleaned, raw).alias("input"))
 
 
-@register(f"WITH d AS (SELECT doc_id, {turns('doc_id', CLEANED)} AS s FROM documents) SELECT doc_id, CASE WHEN {TRIM.format(x='s')} <> '' THEN s END AS short, CASE WHEN {TRIM.format(x='s')} <> '' THEN 2 END::INT AS bullets FROM d")
+@register("WITH d AS (SELECT doc_id, CASE length(text) % 4 WHEN 0 THEN chr(10) || ' ' WHEN 1 THEN NULL ELSE text END AS s FROM documents) SELECT doc_id, CASE WHEN length(s) > 2 THEN s END AS short, CASE WHEN length(s) > 2 THEN 2 END::INT AS bullets FROM d")
 def cached_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored summaries that aren't blank."""
-    found = text.cached_summary(pick("doc_id", CLEANED), F.array(F.lit("b"), F.lit("c")))
+    """Stored summaries that aren't blank; texts stand for them."""
+    n = F.length("text")
+    found = text.cached_summary(F.when(n % 4 == 0, "\n ").when(n % 4 > 1, F.col("text")), F.array("lang", "source"))
     return read(spark, sf_dir, "documents").select("doc_id", found.alias("s")).select("doc_id", "s.short", F.when(F.col("s").isNotNull(), F.size("s.bullets")).alias("bullets"))
 
 
@@ -262,40 +249,40 @@ def article_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 BODIES = ["plain", "Read More", "please SUBSCRIBE to continue", "view the full article", ""]
 
 
-@register(f"""WITH d AS (SELECT doc_id, doc_id % 260 AS c, doc_id * 7 % 401 AS f, lower({turns('doc_id', BODIES)}) AS t FROM documents)
+@register(f"""WITH d AS (SELECT doc_id, {WORDS.format(x='text')} % 260 AS c, length(text) % 401 AS f, lower(text || {turns('doc_id', BODIES)}) AS t FROM documents)
 SELECT doc_id, f > c AND f >= 60 AND (c < 80 OR (c < 140 AND f - c >= 40) OR (f >= 2 * c AND f - c >= 100) OR (f - c >= 20 AND (t LIKE '%read more%' OR t LIKE '%continue reading%' OR t LIKE '%subscribe to continue%' OR t LIKE '%sign in to continue%' OR t LIKE '%view the full article%'))) AS fallback FROM d""")
 def fallback_body_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the whole body is the better text."""
-    k = F.col("doc_id")
-    return read(spark, sf_dir, "documents").select("doc_id", text.prefer_fallback(k % 260, k * 7 % 401, pick("doc_id", BODIES)).alias("fallback"))
+    """Whether the whole body is the better text, by words and characters of texts."""
+    words, chars = text.word_count(F.col("text")) % 260, F.length("text") % 401
+    return read(spark, sf_dir, "documents").select("doc_id", text.prefer_fallback(words, chars, F.concat("text", pick("doc_id", BODIES))).alias("fallback"))
 
 
-@register("SELECT doc_id, doc_id % 50 > doc_id % 37 OR doc_id % 3 <> doc_id % 2 AS better FROM documents")
+@register(f"SELECT doc_id, {WORDS.format(x='text')} % 50 > length(text) % 37 OR source <> 'src' || (length(text) % 20) AS better FROM documents")
 def improvement_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether what came back is worth storing."""
-    k = F.col("doc_id")
-    return read(spark, sf_dir, "documents").select("doc_id", text.improved(k % 50, k % 37, k % 3, k % 2).alias("better"))
+    """Whether what came back is worth storing: more words than characters, or another source, by remainders."""
+    n = F.length("text")
+    return read(spark, sf_dir, "documents").select("doc_id", text.improved(text.word_count(F.col("text")) % 50, n % 37, F.col("source"), F.concat(F.lit("src"), (n % 20).cast("string"))).alias("better"))
 
 
-@register("SELECT doc_id, NOT (doc_id % 2 = 0 AND doc_id % 440 >= 220) AS wanted FROM documents")
+@register(f"SELECT doc_id, NOT (text LIKE '%.' AND {WORDS.format(x='text')} >= 220) AS wanted FROM documents")
 def detail_enrichment_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether opening an article enriches it."""
-    return read(spark, sf_dir, "documents").select("doc_id", text.wants_detail_enrichment(F.col("doc_id") % 440, F.col("doc_id") % 2 == 0).alias("wanted"))
+    """Whether opening an article enriches it: texts that end in a stop count as complete."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.wants_detail_enrichment(text.word_count(F.col("text")), F.endswith("text", F.lit("."))).alias("wanted"))
 
 
-@register(f"WITH {CATALOGUE} SELECT id, region, multi FROM cat, (VALUES (false), (true)) v(multi) WHERE multi OR region = 'italy'")
+@register(f"WITH {SUPPLIERS} SELECT id, region, multi FROM sup, (VALUES (false), (true)) v(multi) WHERE multi OR region = 'europe'")
 def catalogue_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources of both builds."""
-    c = catalogue.sample(spark)
-    one, many = (catalogue.build(c, multi).select("id", "region", F.lit(multi).alias("multi")) for multi in (False, True))
+    """The sources of both builds; suppliers are sources."""
+    c = supplier_sources(spark, sf_dir)
+    one, many = (catalogue.build(c, multi, "europe").select("id", "region", F.lit(multi).alias("multi")) for multi in (False, True))
     return one.unionByName(many)
 
 
-@register(f"WITH {CATALOGUE} SELECT id, region FROM cat WHERE region IN ('italy', 'france', 'world') UNION ALL SELECT id, region FROM cat WHERE region = 'italy'")
+@register(f"WITH {SUPPLIERS} SELECT id, region FROM sup WHERE region IN ('europe', 'asia', 'africa') UNION ALL SELECT id, region FROM sup WHERE region = 'europe'")
 def catalogue_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of regions one after another, one of them twice."""
-    c = catalogue.sample(spark)
-    return catalogue.union(*[c.where(F.col("region") == r) for r in ("italy", "france", "world", "italy")]).select("id", "region")
+    c = supplier_sources(spark, sf_dir)
+    return catalogue.union(*[c.where(F.col("region") == r) for r in ("europe", "asia", "africa", "europe")]).select("id", "region")
 
 
 CODES, SCHEMES = [200, 204, 301, 404, None, 299], ["https://a.example/", "http://a.example/", "HTTPS://a.example/", None]
@@ -311,36 +298,37 @@ def feed_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.landed(raw).select("source_id", "fetch_status", "payload")
 
 
-KINDS = ["text/html; charset=utf-8", "text/html; charset=ISO-8859-1", "text/html; charset=windows-1252", "application/json", None, "application/xhtml+xml"]
-SIGNS = "é € “quoted” ñ"
+KINDS = ["text/html; charset=utf-8", "text/html; charset=ISO-8859-1", None, "application/json", "application/xhtml+xml"]
 
 
-@register(f"""WITH d AS (SELECT doc_id, {turns('doc_id', KINDS)} AS kind, doc_id // 6 % 3 AS code, {turns('doc_id // 18', CODES)} AS status FROM documents), s AS (SELECT *, CASE WHEN status IS NULL OR status < 200 OR status > 299 THEN 'http_status' WHEN kind LIKE '%json' THEN 'non_html' ELSE 'success' END AS said FROM d)
-SELECT doc_id, said AS status, CASE WHEN said = 'success' THEN CASE
-  WHEN code = 0 THEN CASE WHEN kind LIKE '%8859%' THEN 'Ã©' WHEN kind LIKE '%1252%' THEN 'Ã©' ELSE 'é' END
-  WHEN code = 1 THEN 'é'
-  ELSE CASE WHEN kind LIKE '%1252%' THEN 'é€' ELSE 'é' || chr(128) END END END AS html FROM s""")
+@register(f"""WITH d AS (SELECT page_id, {turns('page_id', KINDS)} AS kind, {turns('page_id // 5', CODES)} AS code, regexp_replace(html, '[^\\x00-\\xFF]', '', 'g') AS html, lower(url) LIKE 'https://%' AS safe FROM pages),
+s AS (SELECT *, CASE WHEN NOT safe THEN 'insecure_transport' WHEN code IS NULL OR code < 200 OR code > 299 THEN 'http_status' WHEN kind LIKE '%json' THEN 'non_html' WHEN page_id % 7 = 0 THEN 'empty_response' ELSE 'success' END AS status FROM d)
+SELECT page_id, status, CASE WHEN status = 'success' THEN html END AS html FROM s""")
 def page_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What landed of pages, decoded as they declare themselves, or as their bytes allow."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 6).alias("k"), F.floor(F.col("doc_id") / 18).alias("m"))
-    body = F.element_at(F.array(F.unhex(F.lit("C3A9")), F.unhex(F.lit("E9")), F.unhex(F.lit("E980"))), (F.col("k") % 3 + 1).cast("int"))
-    landed = pages.landed(d.select("doc_id", F.lit("https://a.example/").alias("url"), pick("m", CODES).alias("http_status"), pick("doc_id", KINDS).alias("content_type"), body.alias("body")))
-    return landed.select("doc_id", "status", "html")
+    """What landed of pages, decoded as they declare themselves, or as their bytes allow; half of them are in latin-1."""
+    latin = F.regexp_replace("html", "[^\\x00-\\xFF]", "")
+    kind = pick("page_id", KINDS)
+    p = read(spark, sf_dir, "pages").withColumns({"latin": latin, "kind": kind, "k": F.floor(F.col("page_id") / 5)})
+    utf8 = F.contains(F.coalesce("kind", F.lit("")), F.lit("utf-8")) | (F.col("kind").isNull() & (F.col("page_id") % 2 == 0))
+    body = F.when(F.col("page_id") % 7 == 0, F.encode(F.lit(""), "UTF-8")).when(utf8, F.encode("latin", "UTF-8")).otherwise(F.encode("latin", "ISO-8859-1"))
+    landed = pages.landed(p.select("page_id", "url", pick("k", CODES).alias("http_status"), F.col("kind").alias("content_type"), body.alias("body")))
+    return landed.select("page_id", "status", "html")
 
 
-@register("""WITH d AS (SELECT doc_id, ['r0', 'r1', 'r' || (doc_id % 5)] AS s, 'r' || (doc_id % 4) AS v FROM documents)
+@register("""WITH d AS (SELECT doc_id, [lang, 'x', source] AS s, CASE length(text) % 3 WHEN 0 THEN lang WHEN 1 THEN source ELSE 'new' END AS v FROM documents)
 SELECT doc_id, array_to_string(CASE WHEN list_contains(s, v) THEN list_filter(s, lambda x: x <> v) ELSE list_append(s, v) END, ',') AS toggled FROM d""")
 def set_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists without a value, or with it."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.array(F.lit("r0"), F.lit("r1"), F.concat(F.lit("r"), (F.col("doc_id") % 5).cast("string"))).alias("s"), F.concat(F.lit("r"), (F.col("doc_id") % 4).cast("string")).alias("v"))
+    """Lists of a document's language and source without a value, or with it."""
+    n = F.length("text") % 3
+    d = read(spark, sf_dir, "documents").select("doc_id", F.array("lang", F.lit("x"), "source").alias("s"), F.when(n == 0, F.col("lang")).when(n == 1, F.col("source")).otherwise("new").alias("v"))
     return d.select("doc_id", F.array_join(selection.toggled(F.col("s"), F.col("v")), ",").alias("toggled"))
 
 
-@register("SELECT doc_id, array_to_string(list_filter(['Sport', 'own ' || doc_id, 'POLITICS', 'économie'], lambda x: NOT (lower(x) IN ('sport', 'politics', 'culture'))), ',') AS custom FROM documents")
+@register(r"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: NOT (lower(x) IN ('the', 'und', 'que', lang))), ',') AS custom FROM documents""")
 def custom_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interests that nobody suggested."""
-    chosen = F.array(F.lit("Sport"), F.concat(F.lit("own "), F.col("doc_id").cast("string")), F.lit("POLITICS"), F.lit("économie"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(selection.custom_interests(chosen, F.array(*map(F.lit, ("sport", "Politics", "culture")))), ",").alias("custom"))
+    """Words of texts as interests that nobody suggested."""
+    chosen = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(selection.custom_interests(chosen, F.array(F.lit("The"), F.lit("UND"), F.lit("que"), "lang")), ",").alias("custom"))
 
 
 @register(f"""WITH {CHECKS} SELECT '{{"source_id":"' || source_id || '","outlet":"' || outlet || '","region":"' || region || '","is_main":' || (source_id::INT % 4 = 0) || ',"feed_url":"https://feeds.example/' || source_id || '","status":"' || ({BUCKET}) || '","articles_count":' || articles_count || ',"articles_with_image":' || articles_with_image || ',"articles_with_body":' || articles_with_body || ',"elapsed_ms":' || (source_id::INT % 900) || '}}' AS value FROM ck""")
@@ -355,13 +343,15 @@ def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.text_report(checks(spark, sf_dir))
 
 
-RULES = '{"rules": [{"id": "a", "hosts": ["Example.com.", " "], "strip_text_patterns": ["ok", "("]}, {"id": "b", "hosts": ["news.example.com", "x.org"], "paywall_markers": ["[", "pay"]}, {"hosts": []}, {"id": "c"}, 3]}'
-
-
-@register("SELECT * FROM (VALUES ('a', 'example.com', 'ok', ''), ('b', 'news.example.com,x.org', '', 'pay')) v(id, hosts, patterns, markers)")
+@register(f"""WITH {SUPPLIERS} SELECT id, lower(replace(outlet_name, '#', '-')) || '.example' AS hosts, CASE WHEN is_main THEN '' ELSE 'from ' || region END AS patterns, CASE WHEN is_main THEN region || ' only' ELSE '' END AS markers FROM sup WHERE region <> 'asia'""")
 def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that a file of rules leaves, and none from a broken one."""
-    table = rules.table(spark, rules.load(RULES) + rules.load(RULES[:-3]))
+    """Rules of a file that suppliers make, some without a host, some with patterns that don't compile; and none from a broken file."""
+    c = supplier_sources(spark, sf_dir)
+    host = F.when(F.col("region") != "asia", F.concat(F.upper(F.replace("outlet_name", F.lit("#"), F.lit("-"))), F.lit(".example."))).otherwise(" ")
+    pattern, marker = F.when(F.col("is_main"), "(").otherwise(F.concat(F.lit("from "), "region")), F.when(F.col("is_main"), F.concat("region", F.lit(" only"))).otherwise("[")
+    rule = F.struct("id", F.array(host).alias("hosts"), F.array(pattern).alias("strip_text_patterns"), F.array(marker).alias("paywall_markers"))
+    file = c.agg(F.to_json(F.struct(F.array_sort(F.collect_list(rule)).alias("rules"))).alias("x")).first().x  # a catalogue, not a corpus
+    table = rules.table(spark, rules.load(file) + rules.load(file[:-3]))
     return table.select("id", F.array_join("hosts", ",").alias("hosts"), F.array_join("strip_text_patterns", ",").alias("patterns"), F.array_join("paywall_markers", ",").alias("markers"))
 
 
@@ -424,3 +414,23 @@ def feed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw.select(F.concat(F.lit("src"), F.col("s").cast("string")).alias("source_id"), F.concat(F.lit('<rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><language>it</language>'), "all", F.lit("</channel></rss>")).alias("payload"))
     out = feeds.articles(feeds.items(raw), catalogue.sample(spark))
     return out.select("id", "title", "source_name", "article_url", "published_at", "content_source", "content_word_count", "cleaned_content", "category", F.array_join("tags", ",").alias("tags"), "language")
+
+
+@register(r"""SELECT event_id, coalesce(json_valid(props), false) AND event_id % 6 <> 0 AS kept FROM events""")
+def cache_undecodable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached rows that can be read, and those that go: events' properties stand for groups, every sixth is cut off."""
+    rows = read(spark, sf_dir, "events").withColumn("payload", F.when(F.col("event_id") % 6 == 0, F.substring("props", F.lit(1), F.length("props") - 1)).otherwise(F.col("props")))
+    good, bad = store.decodable(rows, "payload")
+    return good.select("event_id", F.lit(True).alias("kept")).unionByName(bad.select("event_id", F.lit(False).alias("kept")))
+
+
+@register("SELECT doc_id, doc_id AS n, text AS t FROM documents")
+def objects_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that hold a whole text, planted after it as models answer: in prose, in a fence with a trailing comma, or cut off."""
+    d = read(spark, sf_dir, "documents")
+    planted = F.to_json(F.struct(F.col("doc_id").alias("n"), F.col("text").alias("t")))
+    cut, k = F.substring(planted, F.lit(1), F.length(planted) - 1), F.col("doc_id") % 3
+    plain = F.replace(F.col("text"), F.lit('"'), F.lit("'"))
+    said = F.when(k == 0, F.concat(plain, F.lit(" Sure: "), planted, F.lit(" done"))).when(k == 1, F.concat(plain, F.lit("\n```json\n"), cut, F.lit(",}\n```"))).otherwise(F.concat(plain, F.lit(" "), cut))
+    found = enrich.repaired(d.select(F.col("doc_id").alias("case_id"), said.alias("model_output")))
+    return found.select(F.col("case_id").alias("doc_id"), F.get_json_object("object", "$.n").cast("long").alias("n"), F.get_json_object("object", "$.t").alias("t"))

@@ -117,15 +117,15 @@ def main_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extracted(read(spark, sf_dir, "pages")).select("page_id", "cleaned_text", "words", "complete", "hero")
 
 
-IMAGES = ("/a/Hero-1024x768.JPG?w=1", "/b/photo_large-800w.webp#x", "/c/pic@2x.png", "/d/plain", "/e/x-thumb_main.jpeg", "/f/.png")
+MARKS = ("", "-1024x768.JPG?w=1", "_large-800w.webp#x", "@2x.png", "/Hero-thumb_main.jpeg", "/.png")
 
 
-@register(r"""WITH u AS (SELECT page_id, 'https://cdn.example' || (['/a/Hero-1024x768.JPG?w=1', '/b/photo_large-800w.webp#x', '/c/pic@2x.png', '/d/plain', '/e/x-thumb_main.jpeg', '/f/.png'])[page_id % 6 + 1] AS url FROM pages),
+@register(rf"""WITH u AS (SELECT page_id, url || ([{", ".join(f"'{m}'" for m in MARKS)}])[page_id % 6 + 1] AS url FROM pages),
 n AS (SELECT page_id, regexp_replace(lower(regexp_extract(regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1)), '\.[^.]*$', '') AS name FROM u)
-SELECT page_id, nullif(regexp_replace(regexp_replace(name, '([-_](?:[0-9]{2,4}x[0-9]{2,4}|[0-9]{2,5}w|large|medium|small|mobile|desktop|tablet|thumb|thumbnail|hero|main))+$', ''), '@[23]x$', ''), '') AS key FROM n""")
+SELECT page_id, nullif(regexp_replace(regexp_replace(name, '([-_](?:[0-9]{{2,4}}x[0-9]{{2,4}}|[0-9]{{2,5}}w|large|medium|small|mobile|desktop|tablet|thumb|thumbnail|hero|main))+$', ''), '@[23]x$', ''), '') AS key FROM n""")
 def image_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of image addresses."""
-    url = F.concat(F.lit("https://cdn.example"), F.element_at(F.array(*map(F.lit, IMAGES)), (F.col("page_id") % 6 + 1).cast("int")))
+    """Keys of image addresses that pages' addresses make."""
+    url = F.concat("url", F.element_at(F.array(*map(F.lit, MARKS)), (F.col("page_id") % 6 + 1).cast("int")))
     return read(spark, sf_dir, "pages").select("page_id", urls.image_key(url).alias("key"))
 
 
