@@ -19,16 +19,17 @@ CATEGORIES = ("politics", "economy", "world", "technology", "science", "health",
 LANGUAGES = {"it": "Italian", "en": "English", "de": "German", "fr": "French", "es": "Spanish"}
 
 
-def language_name(preference: str | None, system: str = "en") -> str:
+def language_name(preference: Column, system: Column) -> Column:
     """The language that a summary is asked for: the reader's, or the system's; English where neither is known."""
-    code = (preference or "system").lower()
-    return LANGUAGES.get((system if code == "system" else code).split("-")[0].split("_")[0].lower(), "English")
+    chosen = F.lower(F.coalesce(preference, F.lit("system")))
+    code = F.lower(F.split(F.when(chosen == "system", system).otherwise(chosen), "[-_]")[0])
+    return F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in LANGUAGES.items()], F.lit("English"))
 
 
-def valid_endpoint(url: str, local: bool = False) -> bool:
+def valid_endpoint(url: Column, local: Column) -> Column:
     """Endpoints take https; a local one takes http too."""
-    m = re.fullmatch(r"(https?)://[^/\s]+(?:/\S*)?", url.strip(), re.I)
-    return bool(m) and (local or m[1].lower() == "https")
+    said = F.trim(url)
+    return F.coalesce(said.rlike(r"(?i)^https?://[^/\s]+(?:/\S*)?$") & (local | said.rlike("(?i)^https")), F.lit(False))
 
 
 class Provider:

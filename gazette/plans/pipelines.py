@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions import text, times
-from gazette.operators import dedup, enrich, pages, query, ranking, selection, store, topics
+from gazette.operators import dedup, enrich, pages, query, ranking, selection, store
+from gazette.operators import topics as clustering
 from gazette.operators.selection import Preferences
 from gazette.sources import feeds
 from gazette.sources.tables import materialize
@@ -64,7 +65,7 @@ def _newest():
 
 def topic_corpus(articles: DataFrame, as_of: datetime, allow: DataFrame | None) -> DataFrame:
     """The newest 800 of a day, allowed, twenty of a source."""
-    newest = topics.windowed(articles, as_of, False).orderBy(F.desc("published_at"), "id").limit(CORPUS)
+    newest = clustering.windowed(articles, as_of, False).orderBy(F.desc("published_at"), "id").limit(CORPUS)
     return ranking.top_by_date(selection.allowed(newest, allow), PER_SOURCE)
 
 
@@ -80,9 +81,9 @@ def topics_of_day(articles: DataFrame, mains: DataFrame, as_of: datetime, allow:
         except NotImplementedError:
             groups = None
     if groups is None:
-        return topics.aggregate(corpus, mains, as_of)
+        return clustering.aggregate(corpus, mains, as_of)
     rows = corpus.sparkSession.createDataFrame(groups, "group_pos int, item_pos int, id string").withColumn("id", F.col("id").cast(corpus.schema["id"].dataType))
-    return topics.from_groups(dedup.first_use_groups(rows, corpus).select("group_pos", "id").distinct(), corpus, mains, as_of)
+    return clustering.from_groups(dedup.first_use_groups(rows, corpus).select("group_pos", "id").distinct(), corpus, mains, as_of)
 
 
 def saved_groups(clusters: DataFrame, as_of: datetime) -> DataFrame:
@@ -97,7 +98,17 @@ def rehydrated_topics(cache: DataFrame, articles: DataFrame, mains: DataFrame, a
     saved = fresh.agg(F.max("saved_at")).first()[0]
     if saved is None:
         return None
-    return topics.from_groups(fresh.where(F.col("saved_at") == times.at(saved)).select("group_pos", "id"), topic_corpus(articles, saved, allow), mains, saved)
+    return clustering.from_groups(fresh.where(F.col("saved_at") == times.at(saved)).select("group_pos", "id"), topic_corpus(articles, saved, allow), mains, saved)
+
+
+def topics(cache: DataFrame, articles: DataFrame, mains: DataFrame, as_of: datetime, allow: DataFrame | None, provider: enrich.Provider | None = None) -> DataFrame:
+    """Clusters of saved groups; made anew where these are stale, or none of their articles is there any more."""
+    saved = rehydrated_topics(cache, articles, mains, as_of, allow)
+    if saved is not None:
+        saved = materialize(saved, "saved")
+        if not saved.where("is_aggregated").isEmpty():
+            return saved
+    return topics_of_day(articles, mains, as_of, allow, provider)
 
 
 def for_you(articles: DataFrame, interests: list[str], as_of: datetime, allow: DataFrame | None, provider: enrich.Provider) -> DataFrame:

@@ -434,3 +434,16 @@ def objects_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(k == 0, F.concat(plain, F.lit(" Sure: "), planted, F.lit(" done"))).when(k == 1, F.concat(plain, F.lit("\n```json\n"), cut, F.lit(",}\n```"))).otherwise(F.concat(plain, F.lit(" "), cut))
     found = enrich.repaired(d.select(F.col("doc_id").alias("case_id"), said.alias("model_output")))
     return found.select(F.col("case_id").alias("doc_id"), F.get_json_object("object", "$.n").cast("long").alias("n"), F.get_json_object("object", "$.t").alias("t"))
+
+
+@register("""SELECT doc_id, CASE CASE WHEN length(text) % 3 = 0 THEN 'en' ELSE lang END WHEN 'it' THEN 'Italian' WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE 'English' END AS language FROM documents""")
+def summary_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language that a summary of each document is asked for: its own with a region, or, for a third, the system's."""
+    preference = F.when(F.length("text") % 3 == 0, "System").otherwise(F.concat(F.upper("lang"), F.lit("-XX")))
+    return read(spark, sf_dir, "documents").select("doc_id", enrich.language_name(preference, F.lit("en_GB")).alias("language"))
+
+
+@register("""SELECT page_id, url LIKE 'https://%' OR url LIKE 'http://%' AND page_id % 2 = 0 AS valid FROM pages""")
+def valid_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether pages' addresses could be a provider's; every second is local."""
+    return read(spark, sf_dir, "pages").select("page_id", enrich.valid_endpoint(F.concat(F.lit(" "), "url"), F.col("page_id") % 2 == 0).alias("valid"))

@@ -240,3 +240,27 @@ def home_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     page_table = d.select(F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("<article><p>"), "text", F.lit("</p></article>")).alias("html"))
     new = pipelines.refreshed(raw, catalogue.sample(spark), page_table, Preferences())
     return ranking.rank(new, Preferences(favorite_sources=["outlet 03"]), 50).select("title", "source_name", "content_source", F.col("score").cast("int").alias("score"))
+
+
+#: As CLUSTERED, over the newest 800 of a day, twenty of a source.
+OF_DAY = CLUSTERED.replace("FROM dc) x, nw WHERE cap <= 20", "FROM (SELECT dc.* FROM dc, nw WHERE published_at >= now - INTERVAL 1 DAY ORDER BY published_at DESC, id LIMIT 800) dc) x, nw WHERE cap <= 20")
+
+
+@register(f"WITH RECURSIVE {OF_DAY}, {BUILT_OF} SELECT lead_id, member_ids, source_count, is_aggregated FROM bl")
+def topics_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics where the saved groups are thirteen hours old: made anew."""
+    articles = document_articles(spark, sf_dir)
+    now = articles.agg(F.max("published_at")).first()[0]
+    stale = articles.select((F.col("id") % 15).cast("int").alias("group_pos"), "id", times.at(now - timedelta(hours=13)).alias("saved_at"))
+    out = pipelines.topics(stale, articles, catalogue.sample(spark).where("is_main").select("id"), now, None)
+    return out.select("lead_id", F.array_join("member_ids", ",").alias("member_ids"), "source_count", "is_aggregated")
+
+
+@register(rf"""WITH {DAY}, sm AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, id) AS p FROM cp), rr AS (SELECT *, row_number() OVER (PARTITION BY coalesce(source_id, source_name) ORDER BY p) AS k, min(p) OVER (PARTITION BY coalesce(source_id, source_name)) AS f FROM sm),
+hd AS (SELECT id, list_sort(list_transform(list_filter(regexp_extract_all(lower(title), '\w{{4,}}'), lambda w: NOT (w IN ({STOP}))), lambda w: {{'n': -length(w), 'w': w}}))[1].w AS word FROM (SELECT * FROM rr ORDER BY k, f LIMIT 100)),
+gg AS (SELECT id, word, count(*) OVER (PARTITION BY word) AS n FROM hd WHERE word IS NOT NULL),
+mb AS (SELECT cp.*, coalesce('g' || word, 'a' || cp.id) AS cluster FROM cp LEFT JOIN (SELECT * FROM gg WHERE n >= 2) gg ON gg.id = cp.id), {BUILT} SELECT lead_id, member_ids, source_count, is_aggregated FROM bl""")
+def topics_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of a day's articles by the groups that the local provider makes of a balanced sample."""
+    out = pipelines.topics_of_day(event_articles(spark, sf_dir), catalogue.sample(spark).where("is_main").select("id"), as_of(spark, sf_dir), None, enrich.Local())
+    return out.select("lead_id", F.array_join("member_ids", ",").alias("member_ids"), "source_count", "is_aggregated")

@@ -54,6 +54,10 @@ def test_topics_and_picks(spark):
     again = pipelines.rehydrated_topics(cache, a, mains, NOW + timedelta(hours=11), None)
     assert sorted((r.lead_id, r.source_count) for r in again.collect()) == sorted((r.lead_id, r.source_count) for r in by_words.collect())
     assert pipelines.rehydrated_topics(cache, a, mains, NOW + timedelta(hours=13), None) is None
+    stale = pipelines.topics(cache, a, mains, NOW + timedelta(hours=13), None)
+    assert sorted(r.lead_id for r in stale.collect()) == sorted(r.lead_id for r in pipelines.topics_of_day(a, mains, NOW + timedelta(hours=13), None).collect())
+    gone = pipelines.topics(cache, a.where("id > 3"), mains, NOW + timedelta(hours=1), None)
+    assert [r.lead_id for r in gone.collect()] == [4] and pipelines.topics(cache, a, mains, NOW, None).where("is_aggregated").count() == 1
     picks = pipelines.for_you(a, ["bridge"], NOW, None, enrich.Local())
     assert [(r.id, r.relevance) for r in picks.collect()] == [(0, 40), (1, 40), (3, 40)] and pipelines.for_you(a, [], NOW, None, enrich.Local()).count() == 0
     saved = spark.createDataFrame([(0, 1, "x", 50, NOW), (1, 99, "x", 90, NOW)], "pos int, id long, interest string, relevance int, saved_at timestamp_ntz")

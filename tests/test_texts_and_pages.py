@@ -238,8 +238,10 @@ def test_stream(spark, tmp_path):
 def test_runs_and_settings(spark):
     rows = elements.runs(elements.table(spark.createDataFrame([(1, "a <b>b <i>c</i></b> <a href=u>l</a>")], "page_id long, html string"))).orderBy("pos").collect()
     assert [(r.text, r.kinds, r.url) for r in rows] == [("a ", [], None), ("b ", ["strong"], None), ("c", ["strong", "em"], None), ("l", ["link"], "u")]
-    assert enrich.language_name("it") == "Italian" and enrich.language_name(None, "de-DE") == "German" and enrich.language_name("system", "xx") == "English"
-    assert enrich.valid_endpoint("https://a.example/v1") and not enrich.valid_endpoint("http://a.example") and enrich.valid_endpoint("http://localhost:1", True) and not enrich.valid_endpoint("ftp://a", True)
+    asked = spark.createDataFrame([("it", "en"), (None, "de-DE"), ("system", "xx"), ("FR_ca", None), (None, None)], "p string, s string")
+    assert [r.x for r in asked.select(enrich.language_name(F.col("p"), F.col("s")).alias("x")).collect()] == ["Italian", "German", "English", "French", "English"]
+    ends = spark.createDataFrame([("https://a.example/v1", False), ("http://a.example", False), ("http://localhost:1", True), ("ftp://a", True), ("https://a b", True), (None, True)], "u string, l boolean")
+    assert [r.x for r in ends.select(enrich.valid_endpoint(F.col("u"), F.col("l")).alias("x")).collect()] == [True, False, True, False, False, False]
 
 
 def streamed(spark, folder, schema, batches):
