@@ -4,13 +4,14 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gazette.llm import mixing, quality
 from gazette.llm.common import shared_dir
 
 from .test_models import VOCAB, brute_groups
-from .test_native import BENCH, brute2, size, words6
+from .test_native import BENCH, TAKEN, brute2, size, words6
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +76,18 @@ def test_stages(spark, tables):
                 assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
         docs, kept[name] = after_df, len(before)
     assert kept["sharding"] > 0 and corpus_pipeline.run(spark, at).count() == docs.count()
+
+
+def test_further_columns_of_any_name_pass_through(spark, tables, tmp_path):
+    at, docs = tables
+    names = [f"{under}{n}" for n in TAKEN for under in ("", "_")]
+    wide = docs.select("*", *[F.concat_ws("-", F.lit(c), F.col("doc_id").cast("string"), F.md5("text")).alias(c.upper()) for c in names])
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{at}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = {tuple(r) for r in wide.collect()}
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = corpus_pipeline.materialize(stage(spark, rows, str(tmp_path)), name)
+        assert rows.columns == wide.columns and {tuple(r) for r in rows.collect()} <= before
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == corpus_pipeline.run(spark, at).count() == rows.count()
