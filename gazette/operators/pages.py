@@ -61,15 +61,18 @@ def extracted(pages: DataFrame) -> DataFrame:
     body = F.nullif(F.regexp_extract("_s", BODY, 1), F.lit(""))
     found = F.concat(*[F.regexp_extract_all("_s", F.lit(p), F.lit(1)) for p in (ARTICLE, MAIN, KEYWORD)])
     rows = rows.withColumn("_body", F.coalesce(body, "_s")).withColumn("_found", F.filter(F.transform(found, text.trimmed), lambda x: x != ""))
-    counted = F.transform("_found", lambda x: F.struct(text.word_count(text.page_text(x)).alias("n"), x.alias("html")))
-    rows = rows.withColumn("_all", counted).withColumn("_most", F.array_max(F.transform("_all", lambda x: x["n"])))
-    rows = rows.withColumn("_one", F.coalesce(F.get(F.filter("_all", lambda x: x["n"] == F.col("_most")), 0)["html"], F.col("_body")))
-    rows = rows.withColumn("_c", text.page_text(F.col("_one"))).withColumn("_f", text.page_text(F.col("_body")))
+    # each candidate's text is made once, and the body's once
+    said = F.transform("_found", lambda x: F.struct(x.alias("html"), text.page_text(x).alias("said")))
+    rows = rows.withColumn("_said", said).withColumn("_f", text.page_text(F.col("_body")))
+    rows = rows.withColumn("_all", F.transform("_said", lambda x: F.struct(text.word_count(x["said"]).alias("n"), x["html"].alias("html"), x["said"].alias("said"))))
+    rows = rows.withColumn("_most", F.array_max(F.transform("_all", lambda x: x["n"])))
+    rows = rows.withColumn("_best", F.get(F.filter("_all", lambda x: x["n"] == F.col("_most")), 0))
+    rows = rows.withColumn("_one", F.coalesce("_best.html", "_body")).withColumn("_c", F.coalesce("_best.said", "_f"))
     rows = rows.withColumn("_use", text.prefer_fallback(text.word_count(F.col("_c")), text.word_count(F.col("_f")), F.col("_c")))
     clean = F.when(F.col("_use"), F.col("_f")).otherwise(F.col("_c"))
     hero = F.coalesce(*[F.nullif(text.decode(F.regexp_extract("_s", p, 1), True), F.lit("")) for p in HERO])
     out = rows.withColumns({"raw_html": text.clip(F.when(F.col("_use"), F.col("_body")).otherwise(F.col("_one"))), "cleaned_text": text.clip(clean), "hero": hero})
-    return out.withColumns({"words": text.word_count(F.col("cleaned_text")), "complete": text.page_complete(F.col("cleaned_text"))}).drop("_s", "_body", "_found", "_all", "_most", "_one", "_c", "_f", "_use")
+    return out.withColumns({"words": text.word_count(F.col("cleaned_text")), "complete": text.page_complete(F.col("cleaned_text"))}).drop("_s", "_body", "_found", "_said", "_all", "_most", "_best", "_one", "_c", "_f", "_use")
 
 
 def enriched(articles: DataFrame, pages: DataFrame) -> DataFrame:

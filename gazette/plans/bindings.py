@@ -53,9 +53,9 @@ def document_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles_of(documents: DataFrame) -> DataFrame:
     """Documents, a table or a stream, as articles: the first line is the title, a minute passes between ids."""
     at = _after(F.col("doc_id") * 60)
-    return documents.select(
+    return documents.withColumn("_clean", text.sanitize(F.col("text"))).select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 120).alias("title"), F.col("source").alias("source_name"), F.col("source").alias("source_id"), F.col("text").alias("cleaned_content"), F.lit(None).cast("string").alias("raw_content"),
-        F.col("lang").alias("language"), at.alias("published_at"), F.lit(None).cast("string").alias("hero_image_url"), text.feed_summary(F.lit(None).cast("string"), text.sanitize(F.col("text"))).alias("summary_short"),
+        F.col("lang").alias("language"), at.alias("published_at"), F.lit(None).cast("string").alias("hero_image_url"), text.feed_summary(F.lit(None).cast("string"), F.col("_clean")).alias("summary_short"),
     )
 
 
