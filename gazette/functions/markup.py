@@ -13,25 +13,27 @@ CODE = frozenset("script style template noscript".split())
 #: What a start tag ends, as far up as the nearest of what it stops at.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS, PARAGRAPH_STOPS = frozenset("ul ol table dl select".split()), frozenset("ul ol table dl select div section article blockquote".split())
-WHITE = " \t\n\x0b\f\r"
+WHITE, WORD = " \t\n\x0b\f\r", re.compile(r"[^ \t\n\x0b\f\r]+")
 OPEN, TEXT, CLOSE = "open", "text", "close"
 
 
 class Reader(HTMLParser):
-    """Rows of a page: [event, pos, el, last, home, depth, tag, attributes, said, sep].
+    """Rows of a page: [event, pos, el, last, home, depth, tag, attributes, said, sep, letters, parts, begun, linked].
 
     pos numbers all rows; el is the pos at which the row's element begins (a text is its own), last the one at which it ends; home is
     the el of the nearest block around (-1: none); sep counts what separates words before a text: white space, edges of blocks,
-    line breaks. Close rows repeat the attributes; void elements have none. Elements left open end where the page does."""
+    line breaks. letters (characters but white space) and parts (runs of them) are a text's; begun are the words that begin in it, which
+    are its parts but for a first one that goes on with the text before; linked says that it stands in a link. Close rows repeat the attributes; void elements have none. Elements left open end where the page does."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows, self.stack, self.held, self.sep = [], [], [], 0
         self.blocks, self.open = [-1], Counter()  # blocks around, innermost last; open elements by tag
+        self.ended = -1  # sep of the last text that isn't blank
 
     def add(self, event: str, tag: str, attributes=None, said=None) -> list:
         pos = len(self.rows)
-        row = [event, pos, pos, pos, self.blocks[-1], len(self.stack), tag, attributes, said, self.sep]
+        row = [event, pos, pos, pos, self.blocks[-1], len(self.stack), tag, attributes, said, self.sep, 0, 0, 0, False]
         self.rows.append(row)
         return row
 
@@ -40,7 +42,12 @@ class Reader(HTMLParser):
         self.held.clear()
         if said:
             self.sep += said[0] in WHITE
-            self.add(TEXT, "#code" if any(self.open[t] for t in CODE) else "#text", None, said)
+            code = any(self.open[t] for t in CODE)
+            row = self.add(TEXT, "#code" if code else "#text", None, said)
+            words = [] if code else WORD.findall(said)
+            if words:
+                row[10:] = sum(map(len, words)), len(words), len(words) - (self.ended == self.sep), self.open["a"] > 0
+                self.ended = self.sep
             self.sep += said[-1] in WHITE
 
     def end(self, many: int) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import markup, text, urls
 
-ROW = "event string, pos int, el int, last int, home int, depth int, tag string, attributes map<string,string>, said string, sep int"
+ROW = "event string, pos int, el int, last int, home int, depth int, tag string, attributes map<string,string>, said string, sep int, letters int, parts int, begun int, linked boolean"
 #: Rows of an Arrow batch.
 ROWS = 16384
 SPACE = r"[ \t\n\x0B\f\r]+"
@@ -31,7 +31,7 @@ def table(pages: DataFrame, *keep: str) -> DataFrame:
     """page_id, the columns to keep (of strings) and ROW of every element and text of pages (page_id, html)."""
     import pyarrow as pa
 
-    fields = (("event", pa.string()), ("pos", pa.int32()), ("el", pa.int32()), ("last", pa.int32()), ("home", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("said", pa.string()), ("sep", pa.int32()))
+    fields = (("event", pa.string()), ("pos", pa.int32()), ("el", pa.int32()), ("last", pa.int32()), ("home", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("said", pa.string()), ("sep", pa.int32()), ("letters", pa.int32()), ("parts", pa.int32()), ("begun", pa.int32()), ("linked", pa.bool_()))
     names = ["page_id", *keep, *[n for n, _ in fields]]
 
     def run(batches):
@@ -108,17 +108,6 @@ def totals(rows: DataFrame, **values: Column) -> DataFrame:
     return out.drop(*running)
 
 
-def measured(rows: DataFrame) -> DataFrame:
-    """rows with letters (characters but white space), begun (words that begin in a text) and linked (inside a link)."""
-    said = F.when(F.col("tag") == "#text", F.regexp_replace("said", SPACE, ""))
-    many = F.when(F.length("_flat") > 0, F.regexp_count("said", F.lit(r"[^ \t\n\x0B\f\r]+"))).otherwise(0)
-    known = F.last(F.when(F.length("_flat") > 0, F.col("sep")), True).over(before())
-    rows = rows.withColumn("_flat", F.coalesce(said, F.lit(""))).withColumn("_known", known)
-    glued = F.coalesce(F.col("_known") == F.col("sep"), F.lit(False)) & (F.length("_flat") > 0)
-    out = rows.withColumns({"letters": F.length("_flat"), "parts": many, "begun": many - glued.cast("int"), "linked": inside(is_tag("a"))})
-    return out.drop("_flat", "_known")
-
-
 def length(letters: str, begun: str) -> Column:
     """Characters of a text with one space between words."""
     return F.greatest(F.col(letters) + F.col(begun) - 1, F.lit(0))
@@ -131,30 +120,49 @@ def without_furniture(rows: DataFrame, chrome: tuple[str, ...], named: str) -> D
     return without(rows, is_tag(*chrome) | ((F.col("tag") != "body") & names.rlike(named)))
 
 
-def without_link_lists(rows: DataFrame, ceiling: float = 0.5, least: int = 3, other: int = 400) -> DataFrame:
-    """Containers with three links or more, under 400 other characters, and mostly link text go."""
-    link = opens(is_tag("a"))
-    rows = totals(measured(rows), n_links=link.cast("int"), n_letters=F.col("letters"), n_words=F.col("begun"), l_letters=F.when(F.col("linked"), F.col("letters")), l_words=F.when(F.col("linked"), F.col("begun")))
-    rows = rows.withColumn("_all", length("n_letters", "n_words")).withColumn("_linked", F.greatest(F.col("l_letters") + F.col("l_words") - F.col("n_links"), F.lit(0)))
-    mostly = (F.col("n_links") >= least) & (F.col("_all") > 0) & (F.col("_all") - F.col("_linked") < other) & (F.col("_linked") > F.col("_all") * ceiling)
-    return without(rows, is_tag("div", "section", "aside", "nav", "ul", "ol") & mostly).drop("letters", "parts", "begun", "linked", "n_links", "n_letters", "n_words", "l_letters", "l_words", "_all", "_linked")
+def with_links(rows: DataFrame) -> DataFrame:
+    """rows with the sums of an element's links, and of letters and words in it and in its links."""
+    return totals(rows, n_links=opens(is_tag("a")).cast("int"), n_letters=F.col("letters"), n_words=F.col("begun"), l_letters=F.when(F.col("linked"), F.col("letters")), l_words=F.when(F.col("linked"), F.col("begun")))
 
 
-def without_link_runs(rows: DataFrame, share: float = 0.85, least: int = 3) -> DataFrame:
-    """Runs of three paragraphs or more that are one link each go."""
-    rows = totals(measured(rows), n_links=opens(is_tag("a")).cast("int"), n_letters=F.col("letters"), n_words=F.col("begun"), l_letters=F.when(F.col("linked"), F.col("letters")), l_words=F.when(F.col("linked"), F.col("begun")))
+LINKS = ("n_links", "n_letters", "n_words", "l_letters", "l_words")
+
+
+def link_lists(ceiling: float = 0.5, least: int = 3, other: int = 400) -> Column:
+    """Containers with three links or more, under 400 other characters, and mostly link text."""
+    every, linked = length("n_letters", "n_words"), F.greatest(F.col("l_letters") + F.col("l_words") - F.col("n_links"), F.lit(0))
+    return is_tag("div", "section", "aside", "nav", "ul", "ol") & (F.col("n_links") >= least) & (every > 0) & (every - linked < other) & (linked > every * ceiling)
+
+
+def without_link_lists(rows: DataFrame) -> DataFrame:
+    """Containers that are mostly links go."""
+    return without(with_links(rows), link_lists()).drop(*LINKS)
+
+
+def without_runs(rows: DataFrame, share: float = 0.85, least: int = 3) -> DataFrame:
+    """with_links() rows without runs of three paragraphs or more that are one link each."""
     paragraph = opens(is_tag("p"))
     single = paragraph & (F.col("n_links") == 1) & (F.col("l_letters") > 0) & (length("l_letters", "l_words") >= length("n_letters", "n_words") * share)
     rows = rows.withColumn("_single", single).withColumn("_run", F.sum((paragraph & ~F.col("_single")).cast("int")).over(upto()))
     rows = rows.withColumn("_many", F.sum(F.col("_single").cast("int")).over(Window.partitionBy("page_id", "_run")))
-    return without(rows, F.col("_single") & (F.col("_many") >= least)).drop("letters", "parts", "begun", "linked", "n_links", "n_letters", "n_words", "l_letters", "l_words", "_single", "_run", "_many")
+    return without(rows, F.col("_single") & (F.col("_many") >= least)).drop("_single", "_run", "_many")
+
+
+def without_link_runs(rows: DataFrame) -> DataFrame:
+    """Runs of three paragraphs or more that are one link each go."""
+    return without_runs(with_links(rows)).drop(*LINKS)
+
+
+def without_links(rows: DataFrame) -> DataFrame:
+    """Both, on one set of sums: no container stands in a paragraph, so paragraphs' sums outlast the lists."""
+    return without_runs(without(with_links(rows), link_lists())).drop(*LINKS)
 
 
 def without_short(rows: DataFrame, least: int = 25) -> DataFrame:
     """Paragraphs and items of few characters without a mark of punctuation go; empty ones stay."""
-    rows = totals(measured(rows), n_letters=F.col("letters"), n_words=F.col("begun"), n_marks=F.when(F.col("tag") == "#text", F.regexp_count("said", F.lit("[.?!:]"))))
+    rows = totals(rows, n_letters=F.col("letters"), n_words=F.col("begun"), n_marks=F.when(F.col("tag") == "#text", F.regexp_count("said", F.lit("[.?!:]"))))
     short = is_tag("p", "li") & (F.col("n_letters") > 0) & (length("n_letters", "n_words") < least) & (F.col("n_marks") == 0)
-    return without(rows, short).drop("letters", "parts", "begun", "linked", "n_letters", "n_words", "n_marks")
+    return without(rows, short).drop("n_letters", "n_words", "n_marks")
 
 
 def pieces() -> Column:
@@ -184,17 +192,14 @@ def containers(rows: DataFrame, most_links: float = 0.5, block_cost: int = 8, le
     largest one that takes in no more furniture than its prose is worth; of equal ones the last to begin. Pages whose best one is
     worth nothing, or has under `least` characters, have no rows."""
     block = opens(is_tag(*sorted(markup.BLOCK)))
-    rows = totals(measured(rows), n_letters=F.col("letters"), n_words=F.col("begun"))
     of = Window.partitionBy("page_id", F.when(F.col("event") == markup.TEXT, F.col("home")).when(block, F.col("el")))
-    n, links = F.sum(F.when(F.col("event") == markup.TEXT, F.col("parts"))).over(of), F.sum(F.when((F.col("event") == markup.TEXT) & F.col("linked"), F.col("parts"))).over(of)
-    rows = rows.withColumns({"_n": n, "_links": F.coalesce(links, F.lit(0))})
+    rows = rows.withColumns({"_n": F.sum("parts").over(of), "_links": F.sum(F.when(F.col("linked"), F.col("parts")).otherwise(0)).over(of)})
     value = F.when(block & (F.col("_n") > 0), F.col("_n") - 2 * F.greatest(F.lit(0), F.col("_links") - most_links * F.col("_n")) - F.col("_links") - block_cost)
     rows = totals(rows.withColumn("_value", F.coalesce(value, F.lit(0.0))), _below=F.col("_value"))
-    rows = rows.withColumn("_worth", F.when(block, F.col("_below") + F.col("_value")))
-    best = F.max(F.when(block, F.struct("_worth", "pos", length("n_letters", "n_words").alias("chars")))).over(of_page())
-    rows = rows.withColumn("_best", best)
-    chosen = (F.col("pos") == F.col("_best.pos")) & (F.col("_best._worth") > 0) & (F.col("_best.chars") >= least)
-    return covered(rows, chosen, "_in").where("_in").drop("letters", "parts", "begun", "linked", "n_letters", "n_words", "_n", "_links", "_value", "_below", "_worth", "_best", "_in")
+    rows = rows.withColumn("_best", F.max(F.when(block, F.struct((F.col("_below") + F.col("_value")).alias("worth"), "pos"))).over(of_page()))
+    found = covered(rows, (F.col("pos") == F.col("_best.pos")) & (F.col("_best.worth") > 0), "_in").where("_in")
+    chars = F.sum(F.col("letters") + F.col("begun")).over(of_page()) - 1
+    return found.withColumn("_chars", chars).where(F.col("_chars") >= least).drop("_n", "_links", "_value", "_below", "_best", "_in", "_chars")
 
 
 # ---- selectors
@@ -266,7 +271,7 @@ def in_order_over(piece: str, window, which: Column) -> Column:
 def beginnings(rows: DataFrame, most: int) -> DataFrame:
     """rows with _piece (a text with a space before it if it begins a word), chars (of an element's text) and begins: its first
     `most` characters. Texts that aren't blank have a character each, so as many texts hold them."""
-    rows = totals(measured(rows), n_letters=F.col("letters"), n_words=F.col("begun"))
+    rows = totals(rows, n_letters=F.col("letters"), n_words=F.col("begun"))
     some = F.col("letters") > 0
     leaves = Window.partitionBy("page_id", some).orderBy("pos")
     rows = rows.withColumn("_piece", F.when(some & (F.lag("sep").over(leaves) == F.col("sep")), F.col("said")).otherwise(F.concat(F.lit(" "), F.col("said"))))
@@ -275,7 +280,7 @@ def beginnings(rows: DataFrame, most: int) -> DataFrame:
     rows = rows.withColumn("_ahead", ahead).withColumn("chars", length("n_letters", "n_words"))
     nearest = F.last("_ahead", True).over(Window.partitionBy("page_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
     begins = F.when((F.col("event") == markup.OPEN) & (F.col("chars") > 0), F.substring(nearest, F.lit(1), F.least(F.col("chars"), F.lit(most)).cast("int")))
-    return rows.withColumn("begins", begins).drop("letters", "parts", "begun", "linked", "n_letters", "n_words", "_ahead")
+    return rows.withColumn("begins", begins).drop("n_letters", "n_words", "_ahead")
 
 
 def without_site_lines(rows: DataFrame, patterns: dict[str, str], most: int = 80) -> DataFrame:

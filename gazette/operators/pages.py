@@ -98,7 +98,7 @@ def words(said: Column) -> Column:
 def cleaned(rows: DataFrame, language: bool = True, hero: bool = True) -> DataFrame:
     """Elements of articles without furniture, link lists, runs of links, short lines, the hero and lines that sites add."""
     rows = elements.without_furniture(rows, distill.CHROME, distill.NAMED)
-    rows = elements.without_short(elements.without_link_runs(elements.without_link_lists(rows)))
+    rows = elements.without_short(elements.without_links(rows))
     rows = elements.without_hero(rows) if hero else rows
     return elements.without_site_lines(rows, distill.SITE_LINES) if language else rows
 
