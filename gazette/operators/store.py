@@ -109,6 +109,20 @@ def patched(preferences: dict, patch: dict) -> tuple[dict, bool]:
     return ({**preferences, **clean}, True) if clean else (preferences, False)
 
 
+def patched_rows(preferences: DataFrame, patches: DataFrame) -> DataFrame:
+    """patched() for the preferences of many readers: rows of preferences (id, ...) with what their patch (id and some of the columns)
+    has that isn't null, lists in order without repeats, and `changed`."""
+    fields = [c for c in patches.columns if c != "id"]
+    p = patches.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in fields])
+    kinds = dict(preferences.dtypes)
+    clean = lambda c: F.array_distinct(f"_{c}") if kinds[c].startswith("array") else F.col(f"_{c}")
+    changed = F.lit(False)
+    for c in fields:
+        changed = changed | F.col(f"_{c}").isNotNull()
+    out = preferences.join(p, F.col("id") == F.col("_id"), "left").withColumn("changed", F.coalesce(changed, F.lit(False)))
+    return out.select(*[F.coalesce(clean(c), F.col(c)).alias(c) if c in fields else c for c in preferences.columns], "changed")
+
+
 DEFAULTS = {"preferred_categories": [], "preferred_topics": [], "hidden_sources": [], "favorite_sources": [], "preferred_language": None, "enabled_regions": [], "has_completed_onboarding": False}
 
 

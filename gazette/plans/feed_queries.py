@@ -345,3 +345,14 @@ def outlets_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlets (nations) of each region."""
     rows = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return reports.outlets_per_region(rows)
+
+
+@register("""WITH n AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS st, arg_max(o_orderpriority, o_orderkey) AS pr, max(o_orderkey) AS k, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN k IS NULL THEN c_mktsegment ELSE st || ',' || pr END AS categories, CASE WHEN k % 2 = 0 THEN 'n1' ELSE 'n' || c_nationkey END AS favorites, CASE WHEN price > 100000 THEN 'de' ELSE 'en' END AS language, k IS NOT NULL AS changed FROM customer LEFT JOIN n ON o_custkey = c_custkey""")
+def preference_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readers' preferences after a patch each: customers' segments and nations, patched by their newest orders."""
+    readers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array("c_mktsegment").alias("preferred_categories"), F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("favorite_sources"), F.lit("en").alias("preferred_language"))
+    newest = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max_by(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"), "o_orderkey").alias("o"))
+    patches = newest.select("id", F.array("o.o_orderstatus", "o.o_orderpriority", "o.o_orderstatus").alias("preferred_categories"), F.when(F.col("o.o_orderkey") % 2 == 0, F.array(F.lit("n1"), F.lit("n1"))).alias("favorite_sources"), F.when(F.col("o.o_totalprice") > 100000, "de").alias("preferred_language"))
+    out = store.patched_rows(readers, patches)
+    return out.select("id", F.array_join("preferred_categories", ",").alias("categories"), F.array_join("favorite_sources", ",").alias("favorites"), F.col("preferred_language").alias("language"), "changed")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import text, times, urls
-from gazette.operators import dedup, enrich, ranking, topics
+from gazette.operators import buckets, dedup, enrich, ranking, topics
 from gazette.operators.selection import Preferences
 from gazette.plans import pipelines
 from gazette.plans.bindings import CATALOGUE, DOCUMENT_ARTICLES, EVENT_ARTICLES, articles_of, as_of, document_articles, event_articles, read
@@ -264,3 +264,13 @@ def topics_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of a day's articles by the groups that the local provider makes of a balanced sample."""
     out = pipelines.topics_of_day(event_articles(spark, sf_dir), catalogue.sample(spark).where("is_main").select("id"), as_of(spark, sf_dir), None, enrich.Local())
     return out.select("lead_id", F.array_join("member_ids", ",").alias("member_ids"), "source_count", "is_aggregated")
+
+
+@register("SELECT event_id % 500 AS id, arg_max(event_type, (ts, event_id)) AS title, max(ts) AS published_at, arg_max(value > 90, (ts, event_id)) AS is_bookmarked FROM events GROUP BY 1")
+def stream_store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of articles, events by the remainder of their id, merged batch by batch into a bucketed store."""
+    rows, folder = event_stream(spark, sf_dir)
+    now = as_of(spark, sf_dir)
+    found = rows.select((F.col("event_id") % 500).alias("id"), F.col("event_type").alias("title"), F.col("ts").alias("published_at"), F.lit(None).cast("string").alias("source_id"), (F.col("value") > 90).alias("is_bookmarked"), F.lit(False).alias("is_read"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+    stream.run_available(found, stream.merge_into_buckets(f"{folder}/store", now, 8), f"{folder}/state")
+    return buckets.load(spark, f"{folder}/store").select("id", "title", "published_at", "is_bookmarked")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import text, times
-from gazette.operators import dedup, store
+from gazette.operators import buckets, dedup, store
 from gazette.sources.tables import setting
 
 
@@ -84,8 +84,7 @@ def merge_into(path: str, as_of) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        dated = F.unix_micros(F.coalesce("published_at", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).cast("timestamp"))
-        newest = dedup.latest_by(batch, F.col("id"), -dated, F.to_json(F.struct("*")))
+        newest = newest_of(batch)
         if store.current_version(spark, path) is None:
             store.save(newest, path)
         else:
@@ -95,6 +94,25 @@ def merge_into(path: str, as_of) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def merge_into_buckets(path: str, as_of, many: int = 64, policy: str = "article") -> Callable[[DataFrame, int], None]:
+    """As merge_into(), for a bucketed store: a batch rewrites only the buckets that it has ids in. A batch that was merged already
+    changes nothing but updated_at."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        if store.current_version(spark, path) is None:
+            buckets.create(batch.limit(0), path, many)
+        buckets.merge(newest_of(batch), path, as_of, policy)
+
+    return write
+
+
+def newest_of(batch: DataFrame) -> DataFrame:
+    """Of each id the newest row."""
+    dated = F.unix_micros(F.coalesce(F.col("published_at").cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).cast("timestamp"))
+    return dedup.latest_by(batch, F.col("id"), -dated, F.to_json(F.struct("*")))
+
+
 def surviving(write: Callable[[DataFrame, int], None], failed: list[str]) -> Callable[[DataFrame, int], None]:
     """A batch writer whose failure doesn't stop the stream: what it said is added to failed."""
 
