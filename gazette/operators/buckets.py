@@ -76,7 +76,8 @@ def _live(spark: SparkSession, path: str, parts: list, key: str) -> DataFrame:
 
 
 def create(rows: DataFrame, path: str, many: int = 64, key: str = "id") -> None:
-    """Write rows, one a key, as a new table of so many buckets. Buckets that have no rows yet have no part."""
+    """Write rows, one a key, as a new table of so many buckets: a bucket is a file and a task's work, so there should be as many as
+    make it some hundred megabytes once the table is large. Buckets that have no rows yet have no part."""
     spark = rows.sparkSession
     spark.createDataFrame([(many, key)], "many int, key string").coalesce(1).write.json(f"{path}/layout")
     rows.limit(0).coalesce(1).write.parquet(f"{path}/schema")
