@@ -272,3 +272,12 @@ def test_panes_add_up_to_a_day(spark, tmp_path):
     got = {r.token: r.df for r in stream.day_of_panes(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got == {"": 4, "bridge": 2, "river": 3, "again": 1, "late": 1}
     assert {r.token: r.df for r in stream.day_of_panes(spark.read.parquet(str(tmp_path / "out")), 1).collect()} == {"": 1, "late": 1, "river": 1}
+
+
+def test_references_end_in_a_semicolon(spark):
+    """As the SQL of the queries over pages reads them: what no semicolon ends, or no name is, stays as it is, in texts, addresses and code."""
+    html = "<p>a&amp;&amp;&amp</p><a href='/x?b=1&copy=2&amp;c=&lt'>&ampd; &foo; &lt;&#65;&#x42;&copy;</a><script>if(a&&b)&amp;</script>﷐"
+    rows = elements.table(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    found = rows.collect()
+    assert elements.texts(rows).first().said == "a&&&amp &ampd; &foo; <AB©﷐"
+    assert next(r.attributes["href"] for r in found if r.tag == "a") == "/x?b=1&copy=2&c=&lt" and next(r.said for r in found if r.tag == "#code") == "if(a&&b)&amp;"
