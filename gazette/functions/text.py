@@ -239,9 +239,9 @@ def summarisation_input(cleaned: Column, raw: Column) -> Column:
     return F.coalesce(F.nullif(trimmed(cleaned), F.lit("")), F.nullif(trimmed(raw), F.lit("")))
 
 
-def cached_summary(short: Column, bullets: Column) -> Column:
-    """The stored summary where it isn't blank."""
-    return F.when(trimmed(short) != "", F.struct(short.alias("short"), bullets.alias("bullets")))
+def cached_summary(short: Column, bullets: Column, least: int | None = None) -> Column:
+    """The stored summary where it isn't blank, or, if `least` is given, where it has so many characters."""
+    return F.when(trimmed(short) != "" if least is None else F.length(short) >= least, F.struct(short.alias("short"), bullets.alias("bullets")))
 
 
 def dedup_ordered(values: Column, most: int | None = None, ignore_case: bool = True) -> Column:

@@ -281,3 +281,8 @@ def test_references_end_in_a_semicolon(spark):
     found = rows.collect()
     assert elements.texts(rows).first().said == "a&&&amp &ampd; &foo; <AB©﷐"
     assert next(r.attributes["href"] for r in found if r.tag == "a") == "/x?b=1&copy=2&c=&lt" and next(r.said for r in found if r.tag == "#code") == "if(a&&b)&amp;"
+
+
+def test_cached_summaries_by_length(spark):
+    stored = lambda x: one(spark, lambda s, b: text.cached_summary(s, b, 3), x, ["b"], kinds=["string", "array<string>"])
+    assert [stored(x) and stored(x).short for x in ("A.", "A.b", "\n ", None)] == [None, "A.b", None, None]
