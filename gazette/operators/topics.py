@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.functions import text, times
+from gazette.functions import cosines, text, times
 from gazette.operators.ranking import source_key
 from gazette.sources.tables import materialize
 
@@ -16,6 +16,8 @@ WINDOW_SECONDS, SKEW_SECONDS, THRESHOLD = 86_400, 300, 0.30
 MOST_ROUNDS = 100
 #: Rows of a token's list that meet at once.
 LIST = 256
+#: Articles of a group, of which every two meet in a place, and the least number of groups.
+GROUP, GROUPS = 32_768, 8
 
 
 def _seconds(column: str | Column) -> Column:
@@ -54,26 +56,28 @@ def met_in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def similar_pairs(weights: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """a, b (a < b), similarity: cosines of `least` or more, from an equality join on tokens. Common tokens would make most of
-    the pairs, so every article leaves out of the join, commonest first, as many of its tokens as can't reach `least` by
-    themselves: their share of a cosine is at most their length, and at most the sum of their weights times each token's
-    greatest weight anywhere. As all leave out in one order of tokens, a pair that shares no token in the join shares only such
-    ones of one side, and is none. A pair whose joined tokens fall short by more than both sides' shares is none either; the
-    rest is scored on whole vectors, each fetched once a pair."""
+    """a, b (a < b), similarity: cosines of `least` or more, from equal tokens. Common tokens would make most of the pairs, so
+    every article leaves out, commonest first, as many of its tokens as can't reach `least` by themselves: their share of a cosine
+    is at most their length, and at most the sum of their weights times each token's greatest weight anywhere. As all leave out in
+    one order of tokens, what a pair shares outside of the rest is left out by whichever of both leaves out more: a pair whose
+    other tokens fall short by more than the larger share of both is none, and one without any is none either; the rest is
+    scored on whole vectors. Articles are dealt by a hash of the id into groups of some GROUP, every two groups meet in a place of
+    their own, and so does a pair of articles: what its tokens add up to is summed there and is shuffled nowhere."""
     norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     unit = weights.join(norms, "id").select("id", "token", (F.col("weight") / F.col("norm")).alias("u"))
     stats = unit.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("u").alias("most"))
+    stats = materialize(stats.withColumn("t", F.monotonically_increasing_id()), "tokens")
     common = Window.partitionBy("id").orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0)
     bound = F.least(F.sqrt(F.sum(F.col("u") * F.col("u")).over(common)), F.sum(F.col("u") * F.col("most")).over(common))
-    marked = materialize(unit.join(stats, "token").withColumn("upto", bound).select("id", "token", "u", "upto", (F.col("upto") < least - 1e-9).alias("rest")), "units")
-    whole = marked.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "u"))).alias("v"), F.coalesce(F.max(F.when(F.col("rest"), F.col("upto"))), F.lit(0.0)).alias("slack"))
-    joined = marked.where("not rest").join(whole.select("id", "slack"), "id")
-    met = met_in_blocks(joined.select("id", "token", "u", "slack"))
-    part = met.groupBy("a", "b").agg(F.sum("dot").alias("dot"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
-    able = part.where(F.col("dot") + F.col("sa") + F.col("sb") >= least - 1e-9).select("a", "b")
-    one, two = (whole.select(F.col("id").alias(k), F.col("v").alias(f"v{k}")) for k in "ab")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    return able.join(one, "a").join(two, "b").select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= least)
+    marked = unit.join(stats, "token").withColumn("upto", bound).withColumn("rest", F.col("upto") < least - 1e-9)
+    whole = marked.groupBy("id").agg(F.collect_list(F.struct("t", "u", "rest")).alias("v"), F.coalesce(F.max(F.when(F.col("rest"), F.col("upto"))), F.lit(0.0)).alias("slack"))
+    whole = materialize(whole, "whole")
+    many = max(GROUPS, -(-whole.count() // GROUP))
+    own = F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")
+    dealt = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"), "id", "slack", *[F.col(f"v.{c}").alias(c) for c in ("t", "u", "rest")])
+    kind = weights.schema["id"].dataType.simpleString()
+    return dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(lambda batches: cosines.of_places(batches, least), f"a {kind}, b {kind}, similarity double")
 
 
 def greedy(articles: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -332,3 +332,14 @@ def test_bucketed_store(spark, tmp_path):
     buckets.merge(keyless, str(empty), later)
     buckets.merge(keyless, str(empty), later)
     assert buckets.load(spark, str(empty)).count() == 5 and buckets.purge_disabled(spark, str(empty), None) == 0
+
+
+def test_similar_pairs_meet_in_places_of_two_groups(spark, monkeypatch):
+    """Every pair meets once, in whatever groups, copies and text ids too, and pairs aren't shuffled by what they add up to."""
+    monkeypatch.setattr(topics, "GROUP", 7)
+    rows = [(f"d{k}", t, 1.0) for k in range(60) for t in ("all", f"t{k % 3}", f"u{k % 5}")] + [("alone", "x", 2.0)]
+    found = topics.similar_pairs(spark.createDataFrame(rows, "id string, token string, weight double"), 0.5)
+    shared = lambda a, b: 1 + (a % 3 == b % 3) + (a % 5 == b % 5)
+    want = sorted((*sorted((f"d{a}", f"d{b}")), round(shared(a, b) / 3, 9)) for a in range(60) for b in range(a) if shared(a, b) > 1)
+    assert sorted((r.a, r.b, round(r.similarity, 9)) for r in found.collect()) == want
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
