@@ -286,3 +286,10 @@ def test_references_end_in_a_semicolon(spark):
 def test_cached_summaries_by_length(spark):
     stored = lambda x: one(spark, lambda s, b: text.cached_summary(s, b, 3), x, ["b"], kinds=["string", "array<string>"])
     assert [stored(x) and stored(x).short for x in ("A.", "A.b", "\n ", None)] == [None, "A.b", None, None]
+
+
+def test_element_tasks_grow_in_number(spark, monkeypatch):
+    """Whatever the number of shuffle partitions, a task has some TASK_ROWS rows of elements."""
+    monkeypatch.setattr(elements, "TASK_ROWS", 64)
+    rows = elements.table(spark.range(100).select(F.col("id").alias("page_id"), F.repeat(F.lit("<p>x</p>"), 20).alias("html")))
+    assert rows.rdd.getNumPartitions() == 2 * 100 * 40 // 64
