@@ -517,13 +517,21 @@ def score(docs: DataFrame) -> DataFrame:
         common, pairs, counts, logs = fast.value
         at = TaskContext.get().partitionId() << 33
         for table in flushes(batches, 1):
-            word, context, owner = read_tokens(table, 1, common)
-            texts, key = len(table), pair_key(word, context)
-            place = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
-            here = pairs[place] == key if len(pairs) else np.zeros(len(word), bool)
-            total = sums(owner[here], texts, counts[place[here]], np.ones(int(here.sum()), bool), logs[place[here]])
-            tokens_in = np.bincount(owner, minlength=texts)
-            word, context, owner = word[~here], context[~here], owner[~here]
+            # a slice at a time, so that only tokens that are sent are held for all texts of a flush
+            texts, parts, told, done = len(table), [], [], 0
+            for chunk in table.column(1).chunks:
+                raw, offsets = text_buffer(chunk)
+                for a, b in slices(offsets):
+                    word, context, owner = histories(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], common)
+                    key = pair_key(word, context)
+                    place = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
+                    here = pairs[place] == key if len(pairs) else np.zeros(len(word), bool)
+                    told.append((np.bincount(owner, minlength=b - a), *sums(owner[here], b - a, counts[place[here]], np.ones(int(here.sum()), bool), logs[place[here]])))
+                    parts.append((word[~here], context[~here], (owner[~here] + done + a).astype(np.uint16)))
+                done += len(chunk)
+            tokens_in, *total = (np.concatenate(x) for x in zip(*told, strict=True))
+            word, context, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts, told
             order = np.argsort(word, kind="stable")
             word, context, owner = word[order], context[order], owner[order]
             cuts = np.searchsorted(ranges(word, many), np.arange(many + 1))
@@ -532,7 +540,7 @@ def score(docs: DataFrame) -> DataFrame:
                 a, b = cuts[k], cuts[k + 1]
                 new = np.flatnonzero(np.concatenate([[True], word[a + 1 : b] != word[a : b - 1]]))
                 keys.append(k)
-                blobs.append((word[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), context[a:b].tobytes(), owner[a:b].astype(np.uint16).tobytes()))
+                blobs.append((word[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), context[a:b].tobytes(), owner[a:b].tobytes()))
             blobs.append((tokens_in.astype(np.int64).tobytes(), total[0].tobytes(), total[1].tobytes(), total[2].tobytes()))
             keys.append(-1)
             ids = table.column(0).combine_chunks()
