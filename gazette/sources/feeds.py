@@ -121,15 +121,14 @@ def items(raw: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for source, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k in range(len(batch)):  # a payload at a time is read, and gone before the next
+                source, payload = (batch.column(c)[k].as_py() for c in range(2))
                 try:
                     found = parse(payload or "")
                     status = "success" if found else "empty"
                 except xml.sax.SAXException:
                     found, status = [], "parse_failed"
-                rows += [{**r, "source_id": source, "pos": k, "status": status} for k, r in enumerate(found)] or [{"source_id": source, "status": status}]
-            if rows:
+                rows = [{**r, "source_id": source, "pos": k, "status": status} for k, r in enumerate(found)] or [{"source_id": source, "status": status}]
                 columns = [[r.get(n) for r in rows] for n in names]
                 kinds = {"pos": pa.int32(), "categories": pa.list_(pa.string())}
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, columns, strict=True)], names)
