@@ -1,9 +1,9 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
 Every context has a restaurant, its customers are the training tokens that follow it, and all contexts share one parent, the
-root, over a uniform base. A token's context is the word before it: each of the EXACT_CONTEXTS commonest words has a restaurant
-of its own, all other words share the rest by hash (the README says what share of tokens that is, and what it costs). Tables of
-a restaurant are customers of the root. Numbers of tables are sampled by Gibbs, a dish of a restaurant at a time, from their
+root, over a uniform base. A token's context is the word before it, and every word has a restaurant of its own. Totals of the
+EXACT_CONTEXTS commonest words' restaurants are known to all tasks; those of all others, which are without bound, are summed where
+their words' parts meet and sent back to the ranges that hold dishes of them. Tables of a restaurant are customers of the root. Numbers of tables are sampled by Gibbs, a dish of a restaurant at a time, from their
 conditional given all else (by generalised Stirling numbers up to EXACT customers, by seating one group of customers after the
 other beyond). Between sweeps restaurants' totals are exchanged, and each level's discount and strength are sampled from their
 posterior on a grid. Predictive probabilities are averaged over the last sweeps.
@@ -28,16 +28,17 @@ from pyspark.sql import functions as F
 
 from .common import BATCH, by_key, free, mark, materialize, mix64, only, setting, slices, text_buffer, tokens
 
-#: Restaurants by context: 0 is the beginning of a text, then come the commonest words, then shared ones.
-CONTEXTS, EXACT_CONTEXTS = 1 << 16, 60_000
-CONTEXT = np.dtype(np.uint16 if CONTEXTS <= 1 << 16 else np.uint32)
+#: Contexts: 0 is the beginning of a text, then come the commonest words; all others are the hash of their word. In rows the latter
+#: are RARE, and their hashes stand beside.
+EXACT_CONTEXTS = 60_000
+CONTEXTS, CONTEXT, RARE = EXACT_CONTEXTS + 1, np.dtype(np.uint16), 65535
 #: Sweeps; the first of them are burn-in.
 SWEEPS, BURN_IN = 5, 2
 EXACT, SEED = 24, 9
 #: The grid of discounts and strengths.
 DISCOUNTS, STRENGTHS = np.round(np.arange(0.05, 1, 0.05), 2), np.array([0.1, 0.3, 1, 3, 10, 30, 100, 300, 1000.0])
 #: Bytes of text for each range of words, bytes of a flush, pairs that are scored where they are read, words counted in one go.
-RANGE_BYTES, FLUSH_BYTES, HOT_PAIRS, MERGED_WORDS = 12 << 20, 8 << 20, 600_000, 1 << 19
+RANGE_BYTES, FLUSH_BYTES, HOT_PAIRS, MERGED_WORDS = 8 << 20, 4 << 20, 600_000, 1 << 19
 END = np.uint64(0xD1B54A32D192ED03)
 #: Places of the totals in one list: of all restaurants, of the root, and what the posterior of both levels needs.
 SQUARE = (EXACT + 1) ** 2
@@ -54,11 +55,10 @@ def histories(raw: np.ndarray, offsets: np.ndarray, common: np.ndarray) -> tuple
     owner = np.repeat(np.arange(texts), np.diff(first))
     place = np.minimum(np.searchsorted(common, hashed), max(len(common) - 1, 0))
     own = common[place] == hashed if len(common) else np.zeros(n, bool)
-    shared = EXACT_CONTEXTS + 1 + (hashed >> np.uint64(8)) % np.uint64(CONTEXTS - EXACT_CONTEXTS - 1)
-    word, context = np.empty(n + texts, np.uint64), np.zeros(n + texts, CONTEXT)
+    word, context = np.empty(n + texts, np.uint64), np.zeros(n + texts, np.uint64)
     at = np.arange(n) + owner
     word[at], word[first[1:] + np.arange(texts)] = hashed, END
-    context[at + 1] = np.where(own, place + 1, shared)
+    context[at + 1] = np.where(own, (place + 1).astype(np.uint64), hashed)
     return word, context, np.repeat(np.arange(texts), np.diff(first) + 1)
 
 
@@ -67,6 +67,19 @@ def ranges(word: np.ndarray, many: int) -> np.ndarray:
     return ((word >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
 
 
+def narrow(context: np.ndarray) -> tuple[bytes, bytes]:
+    """Contexts for a row: two bytes each, and the hashes of rare ones."""
+    rare = context >= CONTEXTS
+    return np.where(rare, RARE, context).astype(CONTEXT).tobytes(), context[rare].astype(np.uint64).tobytes()
+
+
+def wide(context: bytes, rare) -> np.ndarray:
+    """The contexts of narrow(), or, with places for hashes, of a range."""
+    out = np.frombuffer(context, CONTEXT).astype(np.uint64 if isinstance(rare, bytes) else np.int64)
+    out[out == RARE] = np.frombuffer(rare, np.uint64) if isinstance(rare, bytes) else rare
+    return out
+
+
 def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
     """64 bits for a word in a context."""
     return mix64(word) + context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -88,10 +101,10 @@ def flushes(batches, text: int):
             held.append(part)
             size += part.column(text).nbytes
             if size >= FLUSH_BYTES or sum(map(len, held)) >= 32768:
-                yield pa.Table.from_batches(held)
+                yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def read_tokens(table, text: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,43 +193,69 @@ def common_words(docs: DataFrame, many: int, most: int | None = None) -> np.ndar
 
 
 def counted(docs: DataFrame, many: int, common: np.ndarray) -> DataFrame:
-    """range, words, runs, context, n: the training tokens of each range of words, a row each. words: sorted distinct hashes;
-    runs: how many contexts each has; context, n: contexts, sorted, and tokens of the word there."""
+    """range, words, runs, context, n, rare, places: the training tokens of each range of words, a row each. words: sorted distinct
+    hashes; runs: how many contexts each has; context, n: contexts, sorted, and tokens of the word there. rare: sorted hashes of rare
+    contexts of the range's tokens, of texts that aren't learnt from too; places: which of them the RARE contexts are."""
     import pyarrow as pa
 
     given = docs.sparkSession.sparkContext.broadcast(common)
 
-    def packed(key, word, context, n):
-        """word and context are sorted."""
-        new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    def packed(key, word, context, n, rare, final=False):
+        """word is sorted, and in the end context."""
+        new = np.flatnonzero(np.concatenate([np.ones(min(len(word), 1), bool), word[1:] != word[:-1]]))
         runs = np.diff(np.append(new, len(word))).astype(np.uint32)
-        return key, word[new].tobytes(), runs.tobytes(), context.astype(CONTEXT).tobytes(), whole(n)
+        small, mine = narrow(context)
+        if final:
+            mine = whole(np.searchsorted(rare, np.frombuffer(mine, np.uint64)))
+        return key, word[new].tobytes(), runs.tobytes(), small, whole(n), rare.tobytes(), mine
 
-    names, types = ["key", "words", "runs", "context", "n"], [pa.int32(), *[pa.binary()] * 4]
+    names, types = ["key", "words", "runs", "context", "n", "rare", "places"], [pa.int32(), *[pa.binary()] * 6]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def count(batches):
         for table in flushes(batches, 0):
-            word, context, _ = read_tokens(table, 0, given.value)
-            _, at, n = np.unique(pair_key(word, context), return_index=True, return_counts=True)
+            word, context, owner = read_tokens(table, 0, given.value)
+            held = table.column(1).to_numpy()[owner]
+            del owner
+            # of texts that aren't learnt from, the rare contexts in each range
+            asked = held & (context >= CONTEXTS)
+            where, hashes = ranges(word[asked], many), context[asked]
+            order = np.lexsort((hashes, where))
+            where, hashes = where[order], hashes[order]
+            new = np.concatenate([np.ones(min(len(where), 1), bool), (where[1:] != where[:-1]) | (hashes[1:] != hashes[:-1])])
+            where, hashes = where[new], hashes[new]
+            word, context = word[~held], context[~held]
+            del held, asked, order, new
+            key = pair_key(word, context)
+            order = np.argsort(key)
+            key = key[order]
+            new = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+            at, n = order[new], np.diff(np.append(new, len(key)))
+            del key, new
+            order = np.argsort(word[at])
+            at, n = at[order], n[order]
             word, context = word[at], context[at]
-            order = np.lexsort((context, word))
-            word, context, n = word[order], context[order], n[order]
-            cuts = np.searchsorted(ranges(word, many), np.arange(many + 1))
-            rows = [packed(k, word[cuts[k] : cuts[k + 1]], context[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts)).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            cuts, more = (np.searchsorted(x, np.arange(many + 1)) for x in (ranges(word, many), where))
+            some = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(more) > 0)).tolist()
+            if some:
+                yield batch_of([packed(k, word[cuts[k] : cuts[k + 1]], context[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]], hashes[more[k] : more[k + 1]]) for k in some])
 
     def merge(batches):
         for key, t in by_key(batches, tuple(names[1:])):
-            parts = [unpack(*row) for row in zip(*(t[c].to_pylist() for c in names[1:]), strict=True)]
-            word, context, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            rows = t.to_pylist()
+            asked = np.unique(np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows for c in ("rare", "places")]))
+            parts = [(*unpack(r["words"], r["runs"], r["n"]), wide(r["context"], r["places"])) for r in rows]
+            word, n, context = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((context, word))
             word, context, n = word[order], context[order], n[order]
-            new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])]))
-            row = packed(key, word[new], context[new], np.add.reduceat(n, new))
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names)
+            new = np.flatnonzero(np.concatenate([np.ones(min(len(word), 1), bool), (word[1:] != word[:-1]) | (context[1:] != context[:-1])]))
+            yield batch_of([packed(key, word[new], context[new], np.add.reduceat(n, new) if len(new) else n, asked, True)])
 
-    schema = "key int, words binary, runs binary, context binary, n binary"
-    return trained(docs).mapInArrow(count, schema).repartition("key").sortWithinPartitions("key").mapInArrow(merge, schema)
+    schema = "key int, words binary, runs binary, context binary, n binary, rare binary, places binary"
+    texts = docs.select("text", (fold() == 2).alias("held"))
+    return texts.mapInArrow(count, schema).repartition("key").sortWithinPartitions("key").mapInArrow(merge, schema)
 
 
 def whole(x: np.ndarray) -> bytes:
@@ -229,10 +268,15 @@ def numbers(blob: bytes, many: int) -> np.ndarray:
     return np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(blob) // many]) if many else np.zeros(0, np.uint8)
 
 
-def unpack(words: bytes, runs: bytes, context: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """word, context, n of each entry."""
-    context = np.frombuffer(context, CONTEXT)
-    return np.repeat(np.frombuffer(words, np.uint64), np.frombuffer(runs, np.uint32)), context, numbers(n, len(context)).astype(np.int64)
+def unpack_words(words: bytes, runs: bytes) -> np.ndarray:
+    """The word of each entry."""
+    return np.repeat(np.frombuffer(words, np.uint64), numbers(runs, len(words) // 8))
+
+
+def unpack(words: bytes, runs: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """word and n of each entry."""
+    word = np.repeat(np.frombuffer(words, np.uint64), np.frombuffer(runs, np.uint32))
+    return word, numbers(n, len(word)).astype(np.int64)
 
 
 def stirling(discount: float) -> np.ndarray:
@@ -281,6 +325,10 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return series - sum(np.log(x + k) for k in range(8))
 
 
+#: As Setting.add() takes them.
+NO_RARE = (np.zeros(0),) * 4
+
+
 @dataclass
 class Setting:
     """What all ranges share before each sweep: the totals, and discount and strength of the root and of the contexts."""
@@ -291,15 +339,17 @@ class Setting:
     def base(self) -> float:
         return 1 / (self.totals[0][V_ALL] + 1)
 
-    def add(self, totals: np.ndarray) -> None:
+    def add(self, totals: np.ndarray, rare: tuple[np.ndarray, ...] = NO_RARE) -> None:
         """Take the totals after a sweep and sample the levels that go with them: each pair of the grid has the likelihood of
-        all seatings of its level."""
+        all seatings of its level. rare: tables, how many rare restaurants have so many, customers, and how many have those."""
         rng = np.random.default_rng([SEED, 1 << 31, len(self.totals)])
         self.totals.append(totals)
         found = []
         for level, (t, c) in enumerate(((totals[T_ROOT : T_ROOT + 1], totals[C_ROOT : C_ROOT + 1]), (totals[T_CHILD:C_CHILD], totals[C_CHILD:T_ROOT]))):
             seats = totals[DISHES + level * SQUARE : DISHES + (level + 1) * SQUARE].reshape(EXACT + 1, EXACT + 1)
             (t, many_t), (c, many_c) = (np.unique(x[c > 0], return_counts=True) for x in (t, c))
+            if level:
+                t, many_t, c, many_c = (np.concatenate(x) for x in zip((t, many_t, c, many_c), rare, strict=True))
             weight = np.zeros((len(DISCOUNTS), len(STRENGTHS)))
             for i, d in enumerate(DISCOUNTS):
                 weight[i] += totals[PATHS + level * len(DISCOUNTS) + i] + (seats[seats > 0] * stirling(d)[seats > 0]).sum()
@@ -317,10 +367,14 @@ class Setting:
 class Range:
     """The dishes of a range of words, in the root and in their contexts."""
 
-    def __init__(self, words: bytes, runs: bytes, context: bytes, n: bytes):
+    def __init__(self, words: bytes, runs: bytes, context: bytes, n: bytes, rare: bytes = b"", places: bytes = b"", crowd: list[bytes] | None = None):
+        """crowd: customers and, of one sweep or several, tables of rare contexts."""
         self.words, runs = np.frombuffer(words, np.uint64), np.frombuffer(runs, np.uint32)
-        _, self.child, self.c2 = unpack(words, runs.tobytes(), context, n)
-        self.child = self.child.astype(np.int32)
+        _, self.c2 = unpack(words, runs.tobytes(), n)
+        self.rare = np.frombuffer(rare, np.uint64)
+        at = np.frombuffer(context, CONTEXT) == RARE
+        self.child = wide(context, numbers(places, int(at.sum())).astype(np.int64) + CONTEXTS).astype(np.int32)
+        self.crowd = [numbers(x, len(self.rare)).astype(np.float64) for x in crowd or []] or [np.zeros(len(self.rare))] * 2
         self.word2 = np.repeat(np.arange(len(self.words), dtype=np.int32), runs)
         self.count = np.bincount(self.word2, self.c2, len(self.words))
         self.t2, self.t0 = np.ones(len(self.c2), np.int64), np.ones(len(self.words), np.int64)
@@ -331,9 +385,18 @@ class Range:
         """Tables are customers of the root."""
         self.c0 = np.bincount(self.word2, self.t2, len(self.words)).astype(np.int64)
 
+    def rare_sums(self, x: np.ndarray) -> np.ndarray:
+        """Sums of the range's dishes by rare context."""
+        return np.bincount(self.child, x, CONTEXTS + len(self.rare))[CONTEXTS:].astype(np.int64)
+
+    def open(self, s: Setting, k: int, crowd: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Tables and customers of all contexts, under the totals number k; the last place is an empty restaurant."""
+        x = s.totals[k]
+        return tuple(np.concatenate([x[a : a + CONTEXTS], self.crowd[j], [0]]) for a, j in ((T_CHILD, crowd), (C_CHILD, 0)))
+
     def totals(self) -> np.ndarray:
         out = np.zeros(PLACES)
-        out[T_CHILD:C_CHILD], out[C_CHILD:T_ROOT] = np.bincount(self.child, self.t2, CONTEXTS), np.bincount(self.child, self.c2, CONTEXTS)
+        out[T_CHILD:C_CHILD], out[C_CHILD:T_ROOT] = (np.bincount(self.child, v, CONTEXTS)[:CONTEXTS] for v in (self.t2, self.c2))
         out[T_ROOT], out[C_ROOT], out[N_ALL], out[V_ALL] = self.t0.sum(), self.c0.sum(), self.c2.sum(), len(self.words)
         for k, (c, t) in enumerate(((self.c0, self.t0), (self.c2, self.t2))):
             some = c <= EXACT
@@ -341,11 +404,12 @@ class Range:
         out[PATHS:] = self.paths.ravel()
         return out
 
-    def predictive(self, s: Setting, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def predictive(self, s: Setting, k: int, crowd: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Predictive probabilities of every dish in the root and in its contexts, under the totals and levels number k."""
         (d0, s0, d1, s1), x = s.levels[k], s.totals[k]
         p0 = (self.c0 - d0 * self.t0 + (s0 + d0 * x[T_ROOT]) * s.base()) / (s0 + x[C_ROOT])
-        return p0, (self.c2 - d1 * self.t2 + (s1 + d1 * x[T_CHILD + self.child]) * p0[self.word2]) / (s1 + x[C_CHILD + self.child])
+        t, c = self.open(s, k, crowd)
+        return p0, (self.c2 - d1 * self.t2 + (s1 + d1 * t[self.child]) * p0[self.word2]) / (s1 + c[self.child])
 
     def sweep(self, s: Setting, k: int, rng) -> None:
         """Sample all numbers of tables, contexts first. A dish's own tables count nowhere while it is sampled."""
@@ -353,7 +417,7 @@ class Range:
         some = np.flatnonzero(self.c2 > 1)  # one customer has one table
         w, t = self.word2[some], self.t2[some]
         others, had, rest = self.c0[w] - t, self.t0[w], np.maximum(x[C_ROOT] - t, 0)
-        free, fresh0 = s1 + d1 * np.maximum(x[T_CHILD + self.child[some]] - t, 0), (s0 + d0 * x[T_ROOT]) * s.base()
+        free, fresh0 = s1 + d1 * np.maximum(self.open(s, k)[0][self.child[some]] - t, 0), (s0 + d0 * x[T_ROOT]) * s.base()
 
         def fresh(at):
             f, o, h, r = free[at], others[at], d0 * np.where(others[at] > 0, had[at], 1), s0 + rest[at]
@@ -382,59 +446,144 @@ class Scorer:
         for k in range(SWEEPS - BURN_IN):
             if seats:
                 dishes.seated(seats[2 * k : 2 * k + 2])
-            p0, p1 = dishes.predictive(s, BURN_IN + k + 1)
-            self.samples.append((BURN_IN + k + 1, p0))
+            crowd = min(k + 1, len(dishes.crowd) - 1)
+            p0, p1 = dishes.predictive(s, BURN_IN + k + 1, crowd)
+            self.samples.append((BURN_IN + k + 1, p0, crowd))
             seen = seen + p1
         self.words, self.count, self.seen = dishes.words, dishes.count, seen
         self.n, self.child, self.word2 = dishes.c2, dishes.child, dishes.word2
-        self.keys = dishes.word2.astype(np.int64) * CONTEXTS + dishes.child
+        self.dishes, self.width = dishes, CONTEXTS + len(dishes.rare) + 1
+        self.keys = dishes.word2.astype(np.int64) * self.width + dishes.child
 
     def __call__(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: its training count, and whether it has one, and log10 of its averaged probability."""
-        context = context.astype(np.int64)
 
         def find(keys, wanted):
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
             return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
+        context = context.astype(np.uint64)
+        place, asked = find(self.dishes.rare, context)
+        context = np.where(context < CONTEXTS, context.astype(np.int64), np.where(asked, CONTEXTS + place, self.width - 1))
         w, known = find(self.words, word)
-        at, there = find(self.keys, w * CONTEXTS + context)
+        at, there = find(self.keys, w * self.width + context)
         there = there & known
         pick = lambda values, at, there, other: np.where(there, values[at] if len(values) else 0, other)
         p = np.zeros(len(word))
-        for k, p0 in self.samples:
+        for k, p0, crowd in self.samples:
             (d0, s0, d1, s1), x = self.s.levels[k], self.s.totals[k]
+            t, c = self.dishes.open(self.s, k, crowd)
             above = pick(p0, w, known, (s0 + d0 * x[T_ROOT]) * self.s.base() / (s0 + x[C_ROOT]))
-            p += (s1 + d1 * x[T_CHILD + context]) * above / (s1 + x[C_CHILD + context])
+            p += (s1 + d1 * t[context]) * above / (s1 + c[context])
         return pick(self.count, w, known, 0), known, np.log10(pick(self.seen, at, there, p) / len(self.samples))
 
 
-STATE = "key int, words binary, runs binary, context binary, n binary, seats array<binary>, place binary, x binary"
+MODEL = ("words", "runs", "context", "n", "rare", "places")
+#: A row a range (words to crowd), a row a task (place, x) and, of each range, a row for each part that it has rare contexts of: part,
+#: words (their hashes), n (its tables there) and at first runs (its customers).
+STATE = "key int, words binary, runs binary, context binary, n binary, rare binary, places binary, seats array<binary>, crowd array<binary>, place binary, x binary, part int"
 
 
-def swept(state: DataFrame, s: Setting, k: int) -> DataFrame:
-    """The state after sweep number k (-1: as it begins, every dish at one table): a row a range, with its seats, and a row a
-    task with the totals of its ranges."""
+def swept(state: DataFrame, back: DataFrame | None, s: Setting, k: int, parts: int) -> DataFrame:
+    """The state after sweep number k (-1: as it begins, every dish at one table; SWEEPS: only what came back is taken in). back:
+    totals of rare contexts after the sweep before."""
     import pyarrow as pa
 
-    names = [f.split()[0] for f in STATE.split(", ")]
+    fields = [(f.split()[0], pa.list_(pa.binary()) if "<" in f else pa.int32() if f.endswith(" int") else pa.binary()) for f in STATE.split(", ")]
+
+    def out(**row):
+        return pa.RecordBatch.from_arrays([pa.array([row.get(n)], t) for n, t in fields], [n for n, _ in fields])
+
+    def ranged(batches):
+        """Ranges with what came back for them."""
+        row, got = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] is not None:
+                    got.append(r)
+                    continue
+                if row:
+                    yield row, got
+                row, got = r, []
+        if row:
+            yield row, got
 
     def run(batches):
         total = np.zeros(PLACES)
-        for batch in batches:
-            for row in batch.to_pylist():
-                dishes, seats = Range(row["words"], row["runs"], row["context"], row["n"]), row["seats"] or []
+        for row, got in ranged(batches):
+            if k >= 0:
+                cuts = np.searchsorted(ranges(np.frombuffer(row["rare"], np.uint64), parts), np.arange(parts + 1))
+                taken = lambda c: whole(np.concatenate([np.zeros(0, np.int64), *[numbers(g[c], int(cuts[g["part"] + 1] - cuts[g["part"]])).astype(np.int64) for g in got]]))  # noqa: E731, B023
+                crowd = row["crowd"] or [taken("runs")]
+                row["crowd"] = crowd[: len(crowd) if k - 1 > BURN_IN else 1] + [taken("n")]
+            if k < SWEEPS:
+                dishes, seats = Range(*(row[c] for c in MODEL), row["crowd"]), row["seats"] or []
                 if k >= 0:
                     dishes.seated(seats[-2:])
                     dishes.sweep(s, k, np.random.default_rng([SEED, row["key"], k]))
                 total += dishes.totals()
-                row |= {"seats": (seats if k > BURN_IN else []) + dishes.seats(), "place": None, "x": None}
-                yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(names, (pa.int32(), *[pa.binary()] * 4, pa.list_(pa.binary()), pa.binary(), pa.binary()), strict=True)], names)
+                row["seats"] = (seats if k > BURN_IN else []) + dishes.seats()
+                cuts = np.searchsorted(ranges(dishes.rare, parts), np.arange(parts + 1))
+                t, c = dishes.rare_sums(dishes.t2), dishes.rare_sums(dishes.c2)
+                for j in np.flatnonzero(np.diff(cuts)).tolist():
+                    at = slice(cuts[j], cuts[j + 1])
+                    yield out(key=row["key"], part=j, words=dishes.rare[at].tobytes(), n=whole(t[at]), runs=whole(c[at]) if k < 0 else None)
+            yield out(**row)
         at = np.flatnonzero(total).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.binary())] * 4, pa.nulls(1, pa.list_(pa.binary())), pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names)
+        yield out(place=at.tobytes(), x=total[at].tobytes())
+
+    spark = state.sparkSession
+    rows = state.where("key is not null and part is null")
+    if back is not None:
+        rows = rows.unionByName(back.where("key is not null"), True).repartition("key").sortWithinPartitions("key", F.col("part").asc_nulls_first())
+    with setting(spark, BATCH, "1"):  # rows are ranges
+        return materialize(rows.mapInArrow(run, STATE), f"state{k}")
+
+
+def met(state: DataFrame) -> DataFrame:
+    """Totals of rare contexts over all ranges: for each range and part its contexts' tables (n) and at first customers (runs), in its
+    own order; and rows without a key: how many (n) restaurants have so many (words) tables, or (runs) customers."""
+    import pyarrow as pa
 
-    with setting(state.sparkSession, BATCH, "4"):  # rows are ranges
-        return materialize(state.mapInArrow(run, STATE), f"state{k}")
+    names, types = ["key", "part", "words", "runs", "n"], [pa.int32(), pa.int32(), *[pa.binary()] * 3]
+
+    def out(*row):
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
+    def total(batches):
+        for part, t in by_key(batches, ("range", "words", "runs", "n")):
+            rows = t.to_pylist()
+            hashes = [np.frombuffer(r["words"], np.uint64) for r in rows]
+            some, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            cuts = np.cumsum([0, *map(len, hashes)])
+            sums = {}
+            for c in ("n", "runs"):
+                if rows[0][c] is not None:
+                    each = np.concatenate([numbers(r[c], len(h)) for r, h in zip(rows, hashes, strict=True)])
+                    sums[c] = np.bincount(at, each, len(some)).astype(np.int64)
+                    values, many = np.unique(sums[c][sums[c] > 0], return_counts=True)
+                    blobs = {c: values.tobytes()}
+                    yield out(None, part, blobs.get("n"), blobs.get("runs"), many.astype(np.int64).tobytes())
+            for j, r in enumerate(rows):
+                mine = at[cuts[j] : cuts[j + 1]]
+                yield out(r["range"], part, None, whole(sums["runs"][mine]) if "runs" in sums else None, whole(sums["n"][mine]))
+
+    rows = state.where("part is not null").select(F.col("part").alias("key"), F.col("key").alias("range"), "words", "runs", "n")
+    return materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(total, "key int, part int, words binary, runs binary, n binary"), "met")
+
+
+def spread_of(back: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tables (column words) or customers (runs), and how many rare restaurants have each."""
+    import pyarrow as pa
+
+    def read(batches):
+        for batch in batches:
+            for value, many in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(value, np.int64)), pa.array(np.frombuffer(many, np.int64))], ["value", "many"])
+
+    rows = back.where(f"key is null and {column} is not null").select(column, "n").mapInArrow(read, "value long, many long")
+    found = rows.groupBy("value").agg(F.sum("many").alias("many")).orderBy("value").collect()
+    return np.array([r.value for r in found], float), np.array([r.many for r in found], float)
 
 
 def summed(state: DataFrame) -> np.ndarray:
@@ -460,7 +609,7 @@ def hot_pairs(model: DataFrame, s: Setting, most: int = HOT_PAIRS) -> tuple[np.n
     def spread(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                n, many = np.unique(np.minimum(unpack(row["words"], row["runs"], row["context"], row["n"])[2], 65536), return_counts=True)
+                n, many = np.unique(np.minimum(unpack(row["words"], row["runs"], row["n"])[1], 65536), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(many.astype(np.int64))], ["n", "many"])
 
     found = model.mapInArrow(spread, "n long, many long").groupBy("n").agg(F.sum("many").alias("many")).orderBy(F.desc("n")).collect()
@@ -470,11 +619,12 @@ def hot_pairs(model: DataFrame, s: Setting, most: int = HOT_PAIRS) -> tuple[np.n
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                scorer = Scorer(Range(row["words"], row["runs"], row["context"], row["n"]), row["seats"], s)
+                scorer = Scorer(Range(*(row[c] for c in MODEL), row["crowd"]), row["seats"], s)
                 at = np.flatnonzero(scorer.n >= least)
                 w = scorer.word2[at]
                 logs = np.log10(scorer.seen[at] / len(scorer.samples))
-                blobs = (pair_key(scorer.words[w], scorer.child[at]), scorer.count[w], logs)
+                child = np.concatenate([np.arange(CONTEXTS, dtype=np.uint64), scorer.dishes.rare])[scorer.child[at]]
+                blobs = (pair_key(scorer.words[w], child), scorer.count[w], logs)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], ["pair", "count", "log"])
 
     rows = model.mapInArrow(run, "pair binary, count binary, log binary").collect()  # a row a range, HOT_PAIRS pairs in all
@@ -493,29 +643,35 @@ def score(docs: DataFrame) -> DataFrame:
     at, s = mark(), Setting()
     common = common_words(docs, many)
     free(at)
-    blank = [F.lit(None).cast("array<binary>").alias("seats"), *[F.lit(None).cast("binary").alias(c) for c in ("place", "x")]]
-    state = materialize(counted(docs, many, common).select("*", *blank), "counts")
+    blank = [*[F.lit(None).cast("array<binary>").alias(c) for c in ("seats", "crowd")], *[F.lit(None).cast("binary").alias(c) for c in ("place", "x")], F.lit(None).cast("int").alias("part")]
+    state, back, parts = materialize(counted(docs, many, common).select("*", *blank), "counts"), None, -(-many // 4)
     for k in range(-1, SWEEPS):
-        state = swept(state.where("key is not null"), s, k)
+        state = swept(state, back, s, k, parts)
         free(at, 1)  # the state before
-        s.add(summed(state))
-    model = state.where("key is not null").drop("place", "x")
-    with setting(spark, BATCH, "4"):
+        back = met(state)
+        if k < 0:
+            customers = spread_of(back, "runs")
+        s.add(summed(state), (*spread_of(back, "words"), *customers))
+    state = swept(state, back, s, SWEEPS, parts)
+    free(at, 1)
+    model = state.where("key is not null").select("key", *MODEL, "seats", "crowd")
+    with setting(spark, BATCH, "1"):
         hot = hot_pairs(model, s)
     n_all, v_all = int(s.totals[0][N_ALL]), int(s.totals[0][V_ALL])
     # plain lists and arrays: a class would be looked up where executors have no copy of this package
     shared, fast = spark.sparkContext.broadcast((s.totals, s.levels)), spark.sparkContext.broadcast((common, *hot))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    binary = ["words", "runs", "context", "texts"]
+    binary = ["words", "runs", "context", "texts", "rare"]
 
     def sums(owner, texts, count, known, logs):
         """Sums of tokens by text."""
         return np.bincount(owner, known, texts), np.bincount(owner, np.log10(count + 1), texts), np.bincount(owner, logs, texts)
 
     def deal(batches):
-        """Rows of tokens for each range of words, and one of the texts themselves (key -1) with what is scored here."""
+        """Rows of tokens for each range of words, and one of the texts themselves (its key is below 0) with what is scored here."""
         common, pairs, counts, logs = fast.value
-        at = TaskContext.get().partitionId() << 33
+        task = TaskContext.get().partitionId()
+        at = task << 33
         for table in flushes(batches, 1):
             # a slice at a time, so that only tokens that are sent are held for all texts of a flush
             texts, parts, told, done = len(table), [], [], 0
@@ -540,9 +696,10 @@ def score(docs: DataFrame) -> DataFrame:
                 a, b = cuts[k], cuts[k + 1]
                 new = np.flatnonzero(np.concatenate([[True], word[a + 1 : b] != word[a : b - 1]]))
                 keys.append(k)
-                blobs.append((word[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), context[a:b].tobytes(), owner[a:b].tobytes()))
-            blobs.append((tokens_in.astype(np.int64).tobytes(), total[0].tobytes(), total[1].tobytes(), total[2].tobytes()))
-            keys.append(-1)
+                small, rare = narrow(context[a:b])
+                blobs.append((word[a:b][new].tobytes(), whole(np.diff(np.append(new, b - a))), small, owner[a:b].tobytes(), rare))
+            blobs.append((tokens_in.astype(np.int64).tobytes(), total[0].tobytes(), total[1].tobytes(), total[2].tobytes(), None))
+            keys.append(-1 - task)
             ids = table.column(0).combine_chunks()
             ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
             lists = pa.ListArray.from_arrays(pa.array([0] * len(keys) + [texts], pa.int32()), ids)
@@ -553,29 +710,34 @@ def score(docs: DataFrame) -> DataFrame:
             at += texts
 
     dealt = docs.select("doc_id", "text", (fold() == 2).alias("held"))
-    dealt = materialize(dealt.mapInArrow(deal, f"key int, flush long, words binary, runs binary, context binary, texts binary, ids array<{kind}>, held array<boolean>"), "tokens")
+    dealt = dealt.mapInArrow(deal, f"key int, flush long, words binary, runs binary, context binary, texts binary, rare binary, ids array<{kind}>, held array<boolean>")
+    sums_of = ["key", "texts", "known", "base", "logs", "ids", "held"]
 
     def ranged(batches):
-        """Sums by text of the tokens of each range: its model comes first (flush -1), then tokens of each flush."""
+        """Sums by text of the tokens of each range: its model comes first (flush -1), then tokens of each flush. Rows of texts pass."""
         now = scorer = None
         for batch in batches:
-            for row in batch.to_pylist():
+            lists = [batch.schema.field(c).type for c in ("ids", "held")]
+            for j, row in enumerate(batch.drop_columns(["ids", "held"]).to_pylist()):
+                if row["key"] < 0:
+                    one = batch.slice(j, 1)
+                    yield pa.RecordBatch.from_arrays([one.column(c) for c in ("flush", "words", "runs", "context", "texts", "ids", "held")], sums_of)
+                    continue
                 if row["key"] != now:
                     now, known = row["key"], row["flush"] < 0
-                    scorer = Scorer(Range(*([row[c] for c in binary] if known else [b""] * 4)), row["seats"] if known else [], Setting(*shared.value))
+                    blobs = [row[c] for c in ("words", "runs", "context", "texts", "rare", "places", "crowd")] if known else [b""] * 4
+                    scorer = Scorer(Range(*blobs), row["seats"] if known else [], Setting(*shared.value))
                 if row["flush"] >= 0:
-                    word, owner = np.repeat(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["runs"], np.uint32)), np.frombuffer(row["texts"], np.uint16).astype(np.int64)
-                    known, base, logs = sums(owner, int(owner.max()) + 1, *scorer(word, np.frombuffer(row["context"], CONTEXT)))
+                    word, owner = unpack_words(row["words"], row["runs"]), np.frombuffer(row["texts"], np.uint16).astype(np.int64)
+                    known, base, logs = sums(owner, int(owner.max()) + 1, *scorer(word, wide(row["context"], row["rare"])))
                     at = np.unique(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["flush"]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint16), known[at].astype(np.uint32), base[at], logs[at].astype(np.float32))]], ["key", "texts", "known", "base", "logs"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["flush"]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint16), known[at].astype(np.uint32), base[at], logs[at].astype(np.float32))], *[pa.nulls(1, x) for x in lists]], sums_of)
 
-    tables_first = model.select("key", F.lit(-1).cast("long").alias("flush"), "words", "runs", "context", F.col("n").alias("texts"), "seats")
-    both = tables_first.unionByName(dealt.where("key >= 0").select("key", "flush", *binary, F.lit(None).cast("array<binary>").alias("seats")))
-    back = both.repartition("key").sortWithinPartitions("key", "flush").mapInArrow(ranged, "key long, texts binary, known binary, base binary, logs binary")
+    tables_first = model.select("key", F.lit(-1).cast("long").alias("flush"), "words", "runs", "context", F.col("n").alias("texts"), "rare", "seats", "places", "crowd")
+    both = tables_first.unionByName(dealt, True)
+    back = both.repartition("key").sortWithinPartitions("key", "flush").mapInArrow(ranged, f"key long, texts binary, known binary, base binary, logs binary, ids array<{kind}>, held array<boolean>")
     with setting(spark, BATCH, "32"):
         back = materialize(back, "sums")
-    own = dealt.where("key = -1").select(F.col("flush").alias("key"), F.col("words").alias("texts"), F.col("runs").alias("known"), F.col("context").alias("base"), F.col("texts").alias("logs"), "ids", "held")
-    empty = back.withColumn("ids", F.lit(None).cast(f"array<{kind}>")).withColumn("held", F.lit(None).cast("array<boolean>"))
 
     def add(batches):
         for _, t in by_key(batches, ("texts", "known", "base", "logs", "ids", "held")):
@@ -595,7 +757,7 @@ def score(docs: DataFrame) -> DataFrame:
             base -= number * np.log10(n_all + v_all + 1)
             yield pa.RecordBatch.from_arrays([ids[me].values, pa.array(rows[me]["held"], pa.bool_()), pa.array(number), pa.array(known.astype(np.int64)), pa.array(np.full(len(number), n_all)), pa.array(base), pa.array(logs)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = own.unionByName(empty).repartition("key").sortWithinPartitions("key")
+    out = back.repartition("key").sortWithinPartitions("key")
     return out.mapInArrow(add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

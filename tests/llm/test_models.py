@@ -443,6 +443,31 @@ def test_contexts_of_common_words_are_their_own(spark):
     assert all(pairs[c] == w for c, w in zip(context[1:].tolist(), word[:-1].tolist(), strict=True))
 
 
+def test_rare_contexts_are_their_own(spark, monkeypatch):
+    """Beyond the commonest words as well: no two words share a context, and scores don't depend on which words are common."""
+    raw = np.frombuffer(" ".join(f"w{k}" for k in range(20_000)).encode(), np.uint8)
+    _, context, _ = language_model.histories(raw, np.array([0, len(raw)]), np.zeros(0, np.uint64))
+    assert len(set(context.tolist())) == 20_001
+    rng = random.Random(4)
+    chain = {w: rng.sample(VOCAB, 3) for w in VOCAB}
+
+    def text():
+        w = [rng.choice(VOCAB)]
+        while len(w) < 30:
+            w.append(rng.choice(chain[w[-1]]))
+        return " ".join(w)
+
+    docs = spark.createDataFrame([(k, text()) for k in range(400)] + [(401, "never seen Never before")], "doc_id long, text string").repartition(3)
+    found = []
+    for most in (60_000, 5, 0):
+        monkeypatch.setattr(language_model.common_words, "__defaults__", (most,))
+        found.append({r.doc_id: r for r in language_model.score(docs).collect()})
+    for other in found[1:]:
+        assert set(other) == set(found[0])
+        for i, r in other.items():
+            assert r[:6] == pytest.approx(found[0][i][:6]) and r.score == pytest.approx(found[0][i].score, abs=0.03 * r.n_tokens)
+
+
 WORDS = "ash birch cedar elm fir oak pine yew".split()
 
 
