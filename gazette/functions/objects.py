@@ -74,7 +74,9 @@ def object_in(output: Column) -> Column:
     first to last brace, the whole, and a repair of a cut one; each as it is and without trailing commas. What follows a complete
     object doesn't count."""
     said = F.trim(F.coalesce(output, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    # most answers hold one object and no quote before it: where that is read as it stands, it is the first that balances
+    plain = F.try_parse_json(F.nullif(F.regexp_extract(said, r'(?s)^[^"{]*+(\{.*\})', 1), F.lit("")))
     outer = F.filter(F.array(F.nullif(F.regexp_extract(said, r"(?s)(\{.*\})", 1), F.lit("")), said, repaired(said)), lambda t: t.isNotNull())
     tries = F.flatten(F.transform(F.concat(balanced(said), outer), lambda t: F.array(t, F.regexp_replace(t, r",\s*([}\]])", "$1"))))
     read = F.filter(F.transform(tries, lambda t: F.try_parse_json(t)), lambda v: v.isNotNull() & (kind(v) == "OBJECT"))
-    return F.when(F.contains(said, F.lit("{")), F.to_json(F.get(read, 0)))
+    return F.when(F.contains(said, F.lit("{")), F.coalesce(F.when(kind(plain) == "OBJECT", F.to_json(plain)), F.to_json(F.get(read, 0))))

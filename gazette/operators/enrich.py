@@ -97,7 +97,8 @@ class Local(Provider):
         return "Here it is: " + json.dumps({"shortSummary": lines[0][:280] if lines else "", "bullets": [s[:140] for s in lines[1:6]] or lines[:1]}, ensure_ascii=False)
 
     def categorise(self, content: str) -> str:
-        counts = {c: content.lower().count(c) for c in CATEGORIES}
+        low = content.lower()
+        counts = {c: low.count(c) for c in CATEGORIES}
         best = max(CATEGORIES, key=lambda c: (counts[c], c == "other"))
         return json.dumps({"category": best})
 

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gazette.functions import text, urls
+from gazette.functions import objects, text, urls
 from gazette.operators import elements, enrich, linked_data, pages
 from gazette.sources import catalogue, feeds
 from gazette.streaming import events as stream
@@ -293,3 +293,11 @@ def test_element_tasks_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(elements, "TASK_ROWS", 64)
     rows = elements.table(spark.range(100).select(F.col("id").alias("page_id"), F.repeat(F.lit("<p>x</p>"), 20).alias("html")))
     assert rows.rdd.getNumPartitions() == 2 * 100 * 40 // 64
+
+
+def test_plain_answers_are_read_as_they_stand(spark):
+    """The way without a fold gives what the other gives: each answer again with a quoted sign before it, which takes the other."""
+    said = ['Here it is: {"a": [1, {"b": "}"}]}', '{"b": 1, "a": "\\"{"} and {"c": 2}', 'x } {"a": {"b": 1,},} y', '\\{"a": 1}', '{"a": 1', '{"a": 1}}', '{"a": "{"} }']
+    rows = spark.createDataFrame([(k, s, f'"q" {s}') for k, s in enumerate(said)], "k int, one string, other string")
+    got = rows.select("k", objects.object_in(F.col("one")).alias("one"), objects.object_in(F.col("other")).alias("other")).orderBy("k").collect()
+    assert all(r.one == r.other for r in got) and [r.one for r in got][:2] == ['{"a":[1,{"b":"}"}]}', '{"a":"\\"{","b":1}']
