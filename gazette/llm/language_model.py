@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH, by_key, free, mark, materialize, mix64, only, setting, slices, text_buffer, tokens
+from .common import BATCH, BYTES, by_key, free, mark, materialize, mix64, only, setting, slices, text_buffer, tokens
 
 #: Contexts: 0 is the beginning of a text, then come the commonest words; all others are the hash of their word. In rows the latter
 #: are RARE, and their hashes stand beside.
@@ -40,6 +40,8 @@ DISCOUNTS, STRENGTHS = np.round(np.arange(0.05, 1, 0.05), 2), np.array([0.1, 0.3
 #: Bytes of text for each range of words, bytes of a flush, pairs that are scored where they are read, words counted in one go.
 RANGE_BYTES, FLUSH_BYTES, HOT_PAIRS, MERGED_WORDS = 8 << 20, 4 << 20, 600_000, 1 << 19
 END = np.uint64(0xD1B54A32D192ED03)
+#: For tables whose rows are blobs of megabytes: a page holds one, as compressing holds whole pages outside of the heap.
+BLOBS = {"parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 #: Places of the totals in one list: of all restaurants, of the root, and what the posterior of both levels needs.
 SQUARE = (EXACT + 1) ** 2
 T_CHILD, C_CHILD, T_ROOT = 0, CONTEXTS, 2 * CONTEXTS
@@ -180,7 +182,7 @@ def common_words(docs: DataFrame, many: int, most: int | None = None) -> np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(times.astype(np.int64))], ["n", "times"])
 
     counts = trained(docs).mapInArrow(count, schema).repartition("key").sortWithinPartitions("key").mapInArrow(merge, schema)
-    counts = materialize(counts, "words")
+    counts = materialize(counts, "words", **BLOBS)
     found = counts.mapInArrow(spread, "n long, times long").groupBy("n").agg(F.sum("times").alias("times")).orderBy(F.desc("n")).collect()
     upto = np.cumsum([r.times for r in found])
     least = min((r.n for r, z in zip(found, upto, strict=True) if z <= (EXACT_CONTEXTS if most is None else most)), default=1 << 62)
@@ -537,7 +539,7 @@ def swept(state: DataFrame, back: DataFrame | None, s: Setting, k: int, parts: i
     if back is not None:
         rows = rows.unionByName(back.where("key is not null"), True).repartition("key").sortWithinPartitions("key", F.col("part").asc_nulls_first())
     with setting(spark, BATCH, "1"):  # rows are ranges
-        return materialize(rows.mapInArrow(run, STATE), f"state{k}")
+        return materialize(rows.mapInArrow(run, STATE), f"state{k}", **BLOBS)
 
 
 def met(state: DataFrame) -> DataFrame:
@@ -569,7 +571,7 @@ def met(state: DataFrame) -> DataFrame:
                 yield out(r["range"], part, None, whole(sums["runs"][mine]) if "runs" in sums else None, whole(sums["n"][mine]))
 
     rows = state.where("part is not null").select(F.col("part").alias("key"), F.col("key").alias("range"), "words", "runs", "n")
-    return materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(total, "key int, part int, words binary, runs binary, n binary"), "met")
+    return materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(total, "key int, part int, words binary, runs binary, n binary"), "met", **BLOBS)
 
 
 def spread_of(back: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -635,6 +637,13 @@ def hot_pairs(model: DataFrame, s: Setting, most: int = HOT_PAIRS) -> tuple[np.n
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    # Arrow batches of a flush: by default a task's whole text is one batch, which executor and worker hold, beside the flush
+    with setting(docs.sparkSession, BYTES, str(FLUSH_BYTES)):
+        return scored(docs)
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """score(), in Arrow batches as they are set."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -644,7 +653,7 @@ def score(docs: DataFrame) -> DataFrame:
     common = common_words(docs, many)
     free(at)
     blank = [*[F.lit(None).cast("array<binary>").alias(c) for c in ("seats", "crowd")], *[F.lit(None).cast("binary").alias(c) for c in ("place", "x")], F.lit(None).cast("int").alias("part")]
-    state, back, parts = materialize(counted(docs, many, common).select("*", *blank), "counts"), None, -(-many // 4)
+    state, back, parts = materialize(counted(docs, many, common).select("*", *blank), "counts", **BLOBS), None, -(-many // 4)
     for k in range(-1, SWEEPS):
         state = swept(state, back, s, k, parts)
         free(at, 1)  # the state before
@@ -737,7 +746,7 @@ def score(docs: DataFrame) -> DataFrame:
     both = tables_first.unionByName(dealt, True)
     back = both.repartition("key").sortWithinPartitions("key", "flush").mapInArrow(ranged, f"key long, texts binary, known binary, base binary, logs binary, ids array<{kind}>, held array<boolean>")
     with setting(spark, BATCH, "32"):
-        back = materialize(back, "sums")
+        back = materialize(back, "sums", **BLOBS)
 
     def add(batches):
         for _, t in by_key(batches, ("texts", "known", "base", "logs", "ids", "held")):

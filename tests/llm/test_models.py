@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gazette.llm import graph, html_text, language_model, near_dedup, quality, queries, topk
+from gazette.llm import common, graph, html_text, language_model, near_dedup, quality, queries, topk
 
 VOCAB = [f"{a}{b}" for a in "ka lo mi tu re sa no".split() for b in "ban dor fil gus hem jot".split()]
 
@@ -607,3 +607,27 @@ def test_html_of_hostile_pages():
     assert deep.count("y") == 3000 and deep.count("a") == 3000 and len(deep) < 60 * 3000 * 20
     assert max(map(len, r("<ul><li>" * 5000 + "x<br>y").split("\n"))) < 410
     assert time.time() - begun < 30
+
+
+def test_lm_batches_and_pages_are_bounded(spark, monkeypatch):
+    """Every table of op9 is computed in Arrow batches of a flush and written a blob a page, not a whole task's text at once."""
+    import pyarrow as pa
+
+    seen, write = [], language_model.materialize
+
+    def noted(df, name, **options):
+        seen.append((name, int(spark.conf.get(common.BYTES)), options.get("parquet.page.size.row.check.min")))
+        return write(df, name, **options)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    monkeypatch.setattr(language_model, "materialize", noted)
+    docs = spark.range(0, 48, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 60000) AS text")
+    assert language_model.score(docs).count() == 48
+    assert {n for n, *_ in seen} >= {"words", "counts", "state0", "met", "sums"}
+    assert all(size == language_model.FLUSH_BYTES and rows == "1" for _, size, rows in seen), seen
+    with common.setting(spark, common.BYTES, str(language_model.FLUSH_BYTES)):
+        found = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 4 * language_model.FLUSH_BYTES and max(found) < 2 * language_model.FLUSH_BYTES
