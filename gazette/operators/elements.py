@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from gazette.functions import markup, text, urls
 
 ROW = "event string, pos int, el int, last int, home int, depth int, tag string, attributes map<string,string>, said string, sep int, letters int, parts int, begun int, linked boolean"
-#: Rows of an Arrow batch, and about as many of a task.
-ROWS, TASK_ROWS = 16384, 1 << 16
+#: Rows of an Arrow batch, about as many of a task, and how many tasks' rows are read in one.
+ROWS, TASK_ROWS, READ_TASKS = 16384, 1 << 16, 16
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -44,12 +44,14 @@ def table(pages: DataFrame, *keep: str) -> DataFrame:
                     columns = [pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), fields, strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *[batch.column(2 + i).take(at) for i in range(len(keep))], *columns], names)
 
-    # tasks grow in number with the markup, not in size: each step's windows sort a task's rows anew
-    signs = pages.agg(F.sum(F.regexp_count("html", F.lit("<")))).first()[0] or 0
-    many = max(pages.sparkSession.sparkContext.defaultParallelism, -(-2 * signs // TASK_ROWS))
+    # tasks grow in number with the markup, not in size: each step's windows sort a task's rows anew. Pages are dealt out before they
+    # are read, too, as reading costs most and a file may be scanned in one task
+    signs = pages.agg(F.sum(F.octet_length("html") - F.octet_length(F.replace(F.col("html"), F.lit("<"))))).first()[0] or 0
+    least, many = pages.sparkSession.sparkContext.defaultParallelism, -(-2 * signs // TASK_ROWS)
     kind = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", "html", *keep).mapInArrow(run, f"page_id {kind}, " + "".join(f"{c} string, " for c in keep) + ROW)
-    return rows.repartition(many, "page_id")
+    dealt = pages.select("page_id", "html", *keep).repartition(max(least, -(-many // READ_TASKS)), "page_id")
+    rows = dealt.mapInArrow(run, f"page_id {kind}, " + "".join(f"{c} string, " for c in keep) + ROW)
+    return rows.repartition(max(least, many), "page_id")
 
 
 def in_page() -> WindowSpec:

@@ -301,3 +301,11 @@ def test_plain_answers_are_read_as_they_stand(spark):
     rows = spark.createDataFrame([(k, s, f'"q" {s}') for k, s in enumerate(said)], "k int, one string, other string")
     got = rows.select("k", objects.object_in(F.col("one")).alias("one"), objects.object_in(F.col("other")).alias("other")).orderBy("k").collect()
     assert all(r.one == r.other for r in got) and [r.one for r in got][:2] == ['{"a":[1,{"b":"}"}]}', '{"a":"\\"{","b":1}']
+
+
+def test_pages_are_dealt_out_before_they_are_read(spark):
+    """A file that is scanned in one task is read in several."""
+    rows = elements.table(spark.range(0, 40, 1, 1).selectExpr("id AS page_id", "concat('<p>', id, '</p>') AS html"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.rindex("RepartitionByExpression") and plan.count("RepartitionByExpression") == 2
+    assert rows.where("event = 'text'").selectExpr("count(*) n", "count_if(said = cast(page_id as string)) same").first() == (40, 40)
