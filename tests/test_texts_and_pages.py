@@ -309,3 +309,38 @@ def test_pages_are_dealt_out_before_they_are_read(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInArrow") < plan.rindex("RepartitionByExpression") and plan.count("RepartitionByExpression") == 2
     assert rows.where("event = 'text'").selectExpr("count(*) n", "count_if(said = cast(page_id as string)) same").first() == (40, 40)
+
+
+def test_newest_run_of_a_reader_asks_the_state_once():
+    """Statuses of a batch, and that no call of the state's server is made whose answer is known."""
+    import pandas as pd
+
+    from gazette.streaming import cache
+
+    class State:
+        value, calls, timers = None, [], set()
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    s, newest = State(), cache.Newest(1)
+    newest.init(s)
+    batch = lambda *rows: iter([pd.DataFrame([r], columns=["run", "saved_us"]) for r in rows])
+    told = lambda *rows: [tuple(r) for out in newest.handleInputRows((7,), batch(*rows), None) for r in out.itertuples(index=False)]
+    assert told((2, 5000), (1, 9000), (2, 5000), (2, 4000)) == [(7, 1, 9000, "superseded"), (7, 2, 4000, "superseded"), (7, 2, 5000, "saved")]
+    assert told((2, 5000), (1, 1000)) == [(7, 1, 1000, "superseded"), (7, 2, 5000, "saved")]
+    assert told((1, 8000)) == [(7, 1, 8000, "superseded")] and s.timers == {3_600_005}
+    assert told((3, 7000)) == [(7, 3, 7000, "saved")] and s.timers == {3_600_007} and s.calls == ["get"] * 4
