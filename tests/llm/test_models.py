@@ -631,3 +631,64 @@ def test_lm_batches_and_pages_are_bounded(spark, monkeypatch):
     with common.setting(spark, common.BYTES, str(language_model.FLUSH_BYTES)):
         found = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
     assert sum(found) > 4 * language_model.FLUSH_BYTES and max(found) < 2 * language_model.FLUSH_BYTES
+
+
+def test_lm_places_and_orders():
+    """Lookups by first bits and sorts of packed numbers give what searchsorted, argsort and unique give."""
+    rng = np.random.default_rng(3)
+    for many in (0, 1, 2, 1000):
+        keys = np.unique(np.concatenate([rng.integers(0, 2**64, many, np.uint64), np.array([0, 5, 6, 7, 2**64 - 1] if many else [], np.uint64)]))
+        wanted = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 2**64, 500, np.uint64)])
+        at, there = language_model.Places(keys)(wanted)
+        assert (at == np.searchsorted(keys, wanted)).all() and (there == np.isin(wanted, keys)).all()
+        x = rng.integers(0, 50, many, np.uint64)
+        assert (language_model.order(x, 6) == np.argsort(x, kind="stable")).all()
+        assert (language_model.distinct(x) == np.unique(x)).all()
+        some = language_model.order(wanted)
+        assert sorted(some.tolist()) == list(range(len(wanted))) and (np.diff((wanted[some] >> np.uint64(11)).astype(np.int64)) >= 0).all()
+
+
+def test_lm_tables_cost():
+    """Numbers of tables are drawn as by the logarithms of all weights, which take more than one and a half times their CPU time."""
+    import time
+
+    def plain(c, fresh, discount, weights, rng):
+        out, paths = np.minimum(c, 1), np.zeros(len(language_model.DISCOUNTS))
+        some = np.flatnonzero((c > 1) & (c <= language_model.EXACT))
+        some = some[np.argsort(c[some], kind="stable")]
+        cuts = np.searchsorted(c[some], np.arange(2, language_model.EXACT + 2))
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 2):
+            chance = weights[k, 1 : k + 1] + np.cumsum(np.log(np.stack(list(map(fresh(some[a:b]), range(k))), 1)), 1)
+            chance = np.cumsum(np.exp(chance - chance.max(1, keepdims=True)), 1)
+            out[some[a:b]] = 1 + (chance < (rng.random(b - a) * chance[:, -1])[:, None]).sum(1)
+        at = np.flatnonzero(c > language_model.EXACT)
+        t, j = np.ones(len(at)), 1
+        while len(at):
+            step = max(1, j // 16)
+            new, old = fresh(at)(t), np.maximum(j - discount * t, 1e-9)
+            group = np.minimum(c[at] - j, step)
+            more = rng.binomial(group, np.minimum(new / (new + old), 1))
+            paths += ((group - more)[:, None] * np.log(np.maximum(j - language_model.DISCOUNTS * t[:, None], 1e-9))).sum(0)
+            t, j = t + more, j + step
+            done = c[at] <= j
+            out[at[done]] = t[done]
+            at, t = at[~done], t[~done]
+        return out, paths
+
+    rng = np.random.default_rng(5)
+    c = np.minimum((1 / rng.random(300_000)) ** 1.1, 1e5).astype(np.int64)
+    share = rng.random(len(c)) ** 4
+
+    def fresh(at):
+        some = share[at]
+        return lambda i: (3 + 0.4 * i) * some
+
+    found, least = {}, {plain: math.inf, language_model.tables: math.inf}
+    for _ in range(3):
+        for f in least:
+            begun = time.thread_time()
+            found[f] = f(c, fresh, 0.4, language_model.stirling(0.4), np.random.default_rng(7))
+            least[f] = min(least[f], time.thread_time() - begun)
+    (t, paths), (t1, paths1) = found[language_model.tables], found[plain]
+    assert (t == t1).all() and paths == pytest.approx(paths1) and t.max() > 24
+    assert least[plain] > 1.5 * least[language_model.tables], least.values()
