@@ -6,104 +6,139 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Products, and places of sums, at a time.
-AT_ONCE = 1 << 21
+#: Products, places of sums (which a processor's cache should hold) and pairs to complete, at a time.
+AT_ONCE, CELLS, PAIRS = 1 << 21, 1 << 18, 1 << 16
 
 
-def spread(begin: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For runs of places: the number of the run, and the place, of each of them."""
-    run = np.repeat(np.arange(len(many)), many)
-    return run, np.arange(len(run)) + np.repeat(begin - (np.cumsum(many) - many), many)
+def spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places of runs that begin somewhere, one run after another."""
+    ends = np.cumsum(many)
+    at = np.arange(ends[-1] if len(ends) else 0)
+    at += np.repeat(begin - (ends - many), many)
+    return at
+
+
+def at_least(x: np.ndarray, least: float) -> np.ndarray:
+    """Where a table of a multiple of eight numbers has `least` or more, which is seldom: eight places are looked at in one."""
+    hit = x >= least
+    some = np.flatnonzero(hit.view(np.uint64))
+    k, l = np.nonzero(hit.reshape(-1, 8)[some])  # noqa: E741
+    return some[k] * 8 + l
+
+
+class Part:
+    """Some entries of a group, by article and token: whose, t and u, where each article's begin, and what they are looked up by."""
+
+    def __init__(self, owner: np.ndarray, t: np.ndarray, u: np.ndarray, n: int, size: int):
+        self.owner, self.t, self.u, self.size = owner, t, u, size
+        self.begins, self.keys = np.searchsorted(owner, np.arange(n + 1)), owner * size + t
 
 
 class Side:
-    """The vectors of a group: entries by article, those that the join leaves out (rest) apart from the others."""
+    """The vectors of a group: entries that the join leaves out (rest) apart from the others (kept)."""
 
-    def __init__(self, which: np.ndarray, cuts: np.ndarray, t: np.ndarray, u: np.ndarray, rest: np.ndarray, slack: np.ndarray):
-        run, at = spread(cuts[which], cuts[which + 1] - cuts[which])
+    def __init__(self, which: np.ndarray, cuts: np.ndarray, t: np.ndarray, u: np.ndarray, rest: np.ndarray, slack: np.ndarray, size: int):
+        many = cuts[which + 1] - cuts[which]
+        run, at = np.repeat(np.arange(len(which)), many), spread(cuts[which], many)
         order = np.lexsort((t[at], run))
         run, at = run[order], at[order]
         self.which, self.slack, self.n = which, slack[which], len(which)
-        self.t, self.u, self.rest, self.owner = t[at], u[at], rest[at], run
-
-    def part(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """owner, t and u of some entries, and where each article's begin."""
-        owner = self.owner[chosen]
-        return owner, self.t[chosen], self.u[chosen], np.searchsorted(owner, np.arange(self.n + 1))
+        part = lambda w: Part(run[w], t[at[w]], u[at[w]], self.n, size)
+        self.every, self.kept, self.rest = part(slice(None)), part(~rest[at]), part(rest[at])
 
 
-def looked_up(mine, wanted: np.ndarray, theirs, other: np.ndarray, size: int) -> np.ndarray:
+def looked_up(mine: Part, wanted: np.ndarray, theirs: Part, other: np.ndarray) -> np.ndarray:
     """For pairs of articles: the sum of products of one part's entries with the equal tokens of another part."""
-    _, t, u, begins = mine
-    owner, t2, u2, _ = theirs
-    run, at = spread(begins[wanted], begins[wanted + 1] - begins[wanted])
-    keys, look = owner * size + t2, other[run] * size + t[at]
-    if not len(keys) or not len(look):
+    many = mine.begins[wanted + 1] - mine.begins[wanted]
+    run, at = np.repeat(np.arange(len(wanted)), many), spread(mine.begins[wanted], many)
+    if not len(theirs.keys) or not len(at):
         return np.zeros(len(wanted))
-    place = np.minimum(np.searchsorted(keys, look), len(keys) - 1)
-    return np.bincount(run, np.where(keys[place] == look, u[at] * u2[place], 0.0), len(wanted))
-
-
-def similar(x: Side, y: Side, same: bool, size: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places in x and y, and the cosine, of pairs of `least` or more; of one group, every pair once."""
-    mx, my, rest_x, rest_y = x.part(~x.rest), y.part(~y.rest), x.part(x.rest), y.part(y.rest)
-    every_y = y.part(np.ones(len(y.t), bool))
-    order = np.argsort(my[1], kind="stable")
-    lists, owner, u = my[1][order], my[0][order], my[2][order]
-    begin = np.searchsorted(lists, mx[1])
-    many = np.searchsorted(lists, mx[1], "right") - begin
-    upto = np.concatenate([[0], np.cumsum(many)])[mx[3]]  # products before each article
-    a = 0
+    look = other[run] * theirs.size + mine.t[at]
+    place = np.minimum(np.searchsorted(theirs.keys, look), len(theirs.keys) - 1)
+    return np.bincount(run, np.where(theirs.keys[place] == look, mine.u[at] * theirs.u[place], 0.0), len(wanted))
+
+
+def able(x: Side, y: Side, same: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in x and y, and the sum over kept entries, of pairs that can have a cosine of `least` or more. The sums of some
+    articles of x with all of y stand in a table of CELLS places, to which every product is added by its place."""
+    mine, theirs = x.kept, y.kept
+    order = np.argsort(theirs.t, kind="stable")
+    owner, u = theirs.owner[order].astype(np.int32), theirs.u[order]
+    starts = np.searchsorted(theirs.t[order], np.arange(theirs.size + 1))
+    begin, many = starts[mine.t], starts[mine.t + 1] - starts[mine.t]
+    upto = np.concatenate([[0], np.cumsum(many)])[mine.begins]  # products before each article
+    worst = max(least - 1e-9 - max(x.slack.max(initial=0.0), y.slack.max(initial=0.0)), np.finfo(float).tiny)
+    a, rows = 0, max(1, CELLS // max(y.n, 1))
     while a < x.n:
-        z = max(a + 1, min(int(np.searchsorted(upto, upto[a] + AT_ONCE, "right")) - 1, a + AT_ONCE // max(y.n, 1)))
-        p, q = mx[3][a], mx[3][z]
-        run, at = spread(begin[p:q], many[p:q])
-        dot = np.bincount((mx[0][p:q][run] - a) * y.n + owner[at], mx[2][p:q][run] * u[at], (z - a) * y.n)
-        found = np.flatnonzero(dot)
+        z = min(x.n, max(a + 1, min(int(np.searchsorted(upto, upto[a] + AT_ONCE, "right")) - 1, a + rows)))
+        p, q = mine.begins[a], mine.begins[z]
+        at = spread(begin[p:q], many[p:q])
+        place = np.repeat((mine.owner[p:q] - a) * y.n, many[p:q])
+        place += owner.take(at)
+        product = np.repeat(mine.u[p:q], many[p:q])
+        product *= u.take(at)
+        dot = np.bincount(place, product, -(-(z - a) * y.n // 8) * 8)
+        found = at_least(dot, worst)
         i, j, dot = found // y.n + a, found % y.n, dot[found]
-        able = dot + np.maximum(x.slack[i], y.slack[j]) >= least - 1e-9
+        good = dot + np.maximum(x.slack[i], y.slack[j]) >= least - 1e-9
         if same:
-            able &= i < j
-        i, j, dot = i[able], j[able], dot[able]
-        for k in range(0, len(i), AT_ONCE // 32):
-            one, two = i[k : k + AT_ONCE // 32], j[k : k + AT_ONCE // 32]
-            cosine = dot[k : k + AT_ONCE // 32] + looked_up(rest_x, one, every_y, two, size) + looked_up(rest_y, two, mx, one, size)
-            good = cosine >= least
-            yield one[good], two[good], cosine[good]
+            good &= i < j
+        yield i[good], j[good], dot[good]
         a = z
 
 
+def similar(x: Side, y: Side, same: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in x and y, and the cosine, of pairs of `least` or more; of one group, every pair once."""
+
+    def complete():
+        i, j, dot = (np.concatenate(c) for c in zip(*held, strict=True))
+        cosine = dot + looked_up(x.rest, i, y.every, j) + looked_up(y.rest, j, x.kept, i)
+        good = cosine >= least
+        return i[good], j[good], cosine[good]
+
+    held, many = [], 0
+    for pairs in able(x, y, same, least):
+        held.append(pairs)
+        many += len(pairs[0])
+        if many >= PAIRS:
+            yield complete()
+            held, many = [], 0
+    if held:
+        yield complete()
+
+
 def of_places(batches, least: float):
-    """a, b, similarity of Arrow batches of i, j, first, id, slack, t, u, rest, sorted by i and j: two groups a place."""
+    """a, b, similarity of Arrow batches of place, same, first, id, slack, t, u, rest, sorted by place, where two groups meet, or one
+    (same) with itself."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     def flat(column):
         return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks])
 
-    def met(place: tuple[int, int], held: list):
+    def met(held: list):
         table = pa.Table.from_batches(held)
         table = table.take(pc.sort_indices(table["id"])).combine_chunks()
-        ids, first = table["id"].combine_chunks(), table["first"].to_numpy()
+        ids, first, same = table["id"].combine_chunks(), table["first"].to_numpy(), table["same"][0].as_py()
         cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(table["t"]).to_numpy())])
         names, t = np.unique(flat(table["t"]), return_inverse=True)
-        entries = (cuts, t, flat(table["u"]), flat(table["rest"]), table["slack"].to_numpy())
-        same = place[0] == place[1]
-        x, y = (Side(np.flatnonzero(w), *entries) for w in (first, first if same else ~first))
-        for i, j, cosine in similar(x, y, same, len(names), least):
+        entries = (cuts, t, flat(table["u"]), flat(table["rest"]), table["slack"].to_numpy(), len(names))
+        x = Side(np.flatnonzero(first), *entries)
+        y = x if same else Side(np.flatnonzero(~first), *entries)
+        for i, j, cosine in similar(x, y, same, least):
             i, j = x.which[i], y.which[j]
             yield pa.RecordBatch.from_arrays([pa.array(ids.take(pa.array(k))) for k in (np.minimum(i, j), np.maximum(i, j))] + [pa.array(cosine)], ["a", "b", "similarity"])
 
     held, last = [], None
     for batch in batches:
-        i, j = (batch.column(k).to_numpy() for k in range(2))
-        cuts = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(i)]
+        place = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             if a < z:
-                if held and (i[a], j[a]) != last:
-                    yield from met(last, held)
+                if held and place[a] != last:
+                    yield from met(held)
                     held = []
                 held.append(batch.slice(a, z - a))
-                last = i[a], j[a]
+                last = place[a]
     if held:
-        yield from met(last, held)
+        yield from met(held)

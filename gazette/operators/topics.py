@@ -18,6 +18,8 @@ MOST_ROUNDS = 100
 LIST = 256
 #: Articles of a group, of which every two meet in a place, and the least number of groups.
 GROUP, GROUPS = 32_768, 8
+#: Share of the threshold that the tokens which an article leaves out may reach.
+LEFT_OUT = 1 / 3
 
 
 def _seconds(column: str | Column) -> Column:
@@ -34,7 +36,8 @@ def windowed(articles: DataFrame, as_of: datetime, upper: bool = True) -> DataFr
 def vectors(articles: DataFrame) -> DataFrame:
     """id, token, weight: tf * (ln(N / df) + 1). A row for each token, so that joins can be dealt by token."""
     words = articles.select("id", F.explode(text.tokens(F.col("title"), F.col("summary_short"))).alias("token"))
-    tf = words.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    # texts are read once: what is made of the counts reads them from a table
+    tf = materialize(words.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf")), "tf")
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     total = articles.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     return tf.join(df, "token").select("id", "token", (F.col("tf") * (F.log(F.lit(float(total)) / F.col("df")) + 1)).alias("weight"))
@@ -56,28 +59,32 @@ def met_in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def similar_pairs(weights: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """a, b (a < b), similarity: cosines of `least` or more, from equal tokens. Common tokens would make most of the pairs, so
-    every article leaves out, commonest first, as many of its tokens as can't reach `least` by themselves: their share of a cosine
-    is at most their length, and at most the sum of their weights times each token's greatest weight anywhere. As all leave out in
-    one order of tokens, what a pair shares outside of the rest is left out by whichever of both leaves out more: a pair whose
-    other tokens fall short by more than the larger share of both is none, and one without any is none either; the rest is
-    scored on whole vectors. Articles are dealt by a hash of the id into groups of some GROUP, every two groups meet in a place of
-    their own, and so does a pair of articles: what its tokens add up to is summed there and is shuffled nowhere."""
+    """a, b (a < b), similarity: cosines of `least` or more, from equal tokens. Common tokens would make most of the products, so
+    every article leaves out, commonest first, as many of its tokens as can't reach LEFT_OUT of `least` by themselves: their share of
+    a cosine is at most their length, and at most the sum of their weights times each token's greatest weight anywhere. As all leave
+    out in one order of tokens, what a pair shares outside of the rest is left out by whichever of both leaves out more: a pair whose
+    other tokens fall short by more than the larger share of both is none; the others are completed. The less is left out, the more
+    products there are and the fewer pairs to complete. Articles are dealt by a hash of the id into groups of some GROUP, every two
+    groups meet in a place of their own, a task each, and so does a pair of articles: what its tokens add up to is summed there and is
+    shuffled nowhere."""
     norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    unit = weights.join(norms, "id").select("id", "token", (F.col("weight") / F.col("norm")).alias("u"))
+    unit = materialize(weights.join(norms, "id").select("id", "token", (F.col("weight") / F.col("norm")).alias("u")), "unit")
     stats = unit.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("u").alias("most"))
     stats = materialize(stats.withColumn("t", F.monotonically_increasing_id()), "tokens")
     common = Window.partitionBy("id").orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0)
     bound = F.least(F.sqrt(F.sum(F.col("u") * F.col("u")).over(common)), F.sum(F.col("u") * F.col("most")).over(common))
-    marked = unit.join(stats, "token").withColumn("upto", bound).withColumn("rest", F.col("upto") < least - 1e-9)
+    marked = unit.join(stats, "token").withColumn("upto", bound).withColumn("rest", F.col("upto") < least * LEFT_OUT)
     whole = marked.groupBy("id").agg(F.collect_list(F.struct("t", "u", "rest")).alias("v"), F.coalesce(F.max(F.when(F.col("rest"), F.col("upto"))), F.lit(0.0)).alias("slack"))
     whole = materialize(whole, "whole")
     many = max(GROUPS, -(-whole.count() // GROUP))
     own = F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")
     dealt = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"), "id", "slack", *[F.col(f"v.{c}").alias(c) for c in ("t", "u", "rest")])
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    place = F.expr("j * (j + 1) div 2 + i").cast("int")
+    dealt = dealt.withColumns({"i": i, "j": j}).select(place.alias("place"), (F.col("i") == F.col("j")).alias("same"), (F.col("own") <= F.col("other")).alias("first"), "id", "slack", *[F.col(f"v.{c}").alias(c) for c in ("t", "u", "rest")])
     kind = weights.schema["id"].dataType.simpleString()
-    return dealt.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(lambda batches: cosines.of_places(batches, least), f"a {kind}, b {kind}, similarity double")
+    dealt = dealt.repartitionById(many * (many + 1) // 2, "place").sortWithinPartitions("place")
+    return dealt.mapInArrow(lambda batches: cosines.of_places(batches, least), f"a {kind}, b {kind}, similarity double")
 
 
 def greedy(articles: DataFrame, pairs: DataFrame) -> DataFrame:

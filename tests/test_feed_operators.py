@@ -343,3 +343,31 @@ def test_similar_pairs_meet_in_places_of_two_groups(spark, monkeypatch):
     want = sorted((*sorted((f"d{a}", f"d{b}")), round(shared(a, b) / 3, 9)) for a in range(60) for b in range(a) if shared(a, b) > 1)
     assert sorted((r.a, r.b, round(r.similarity, 9)) for r in found.collect()) == want
     assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_read_texts_once(spark):
+    """Counts are a table of their own, so frequencies, weights, norms and vectors don't tokenize every text again."""
+    rows = articles(spark, [{"id": k, "title": f"solar storm {k % 2} report", "summary_short": "solar wind"} for k in range(4)])
+    weights = topics.vectors(rows)
+    assert "Generate" not in weights._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.token): round(r.weight, 6) for r in weights.collect()}[0, "solar"] == 2.0
+
+
+def test_similar_pairs_complete_few_pairs(spark):
+    """A place is a task, and only pairs whose products come near the threshold are looked up, however many share a common token."""
+    import numpy as np
+
+    from gazette.functions import cosines
+
+    rows = [(k, t, w) for k in range(90) for t, w in (("all", 0.29), (f"pair{k // 2}", 0.2), (f"own{k}", 1.0), (f"other{k}", 1.0))]
+    found = topics.similar_pairs(spark.createDataFrame(rows, "id long, token string, weight double"), 0.05)
+    assert found.rdd.getNumPartitions() == topics.GROUPS * (topics.GROUPS + 1) // 2
+    norm = 0.29**2 + 0.2**2 + 2.0
+    assert sorted((r.a, r.b, round(r.similarity, 9)) for r in found.collect()) == [(k, k + 1, round((0.29**2 + 0.2**2) / norm, 9)) for k in range(0, 90, 2)]
+    n, one = 50, np.ones(50)
+    t = np.stack([np.zeros(n, int), 1 + np.arange(n) // 2, 26 + np.arange(n)], 1).ravel()
+    entries = (np.arange(0, 3 * n + 1, 3), t, np.tile([0.09, 0.3, 0.949], n), np.tile([True, False, False], n), 0.09 * one, 26 + n)
+    x, none = cosines.Side(np.arange(n), *entries), cosines.Side(np.arange(0), *entries)
+    assert sum(len(i) for i, _, _ in cosines.able(x, x, True, 0.098)) == n // 2
+    assert [(i.tolist(), j.tolist(), np.round(c, 9).tolist()) for i, j, c in cosines.similar(x, x, True, 0.098)] == [(list(range(0, n, 2)), list(range(1, n, 2)), [round(0.09**2 + 0.3**2, 9)] * (n // 2))]
+    assert not sum(len(i) for i, _, _ in (*cosines.similar(x, none, False, 0.098), *cosines.similar(none, x, False, 0.098)))
