@@ -34,15 +34,24 @@ def table(pages: DataFrame, *keep: str) -> DataFrame:
     fields = (("event", pa.string()), ("pos", pa.int32()), ("el", pa.int32()), ("last", pa.int32()), ("home", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("said", pa.string()), ("sep", pa.int32()), ("letters", pa.int32()), ("parts", pa.int32()), ("begun", pa.int32()), ("linked", pa.bool_()))
     names = ["page_id", *keep, *[n for n, _ in fields]]
 
+    def made(batch, at, rows):
+        for a in range(0, len(rows), ROWS):
+            columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows[a : a + ROWS], strict=True), fields, strict=True)]
+            mine = pa.array(at[a : a + ROWS], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(mine), *[batch.column(2 + i).take(mine) for i in range(len(keep))], *columns], names)
+
     def run(batches):
+        # a batch holds the rows of many pages: one of each page would cost more than reading it
         for batch in batches:
+            at, held = [], []
             for k in range(len(batch)):
                 found = markup.rows(batch.column(1)[k].as_py())
-                for a in range(0, len(found), ROWS):
-                    part = found[a : a + ROWS]
-                    at = pa.array([k] * len(part), pa.int32())
-                    columns = [pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), fields, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *[batch.column(2 + i).take(at) for i in range(len(keep))], *columns], names)
+                at.extend([k] * len(found))
+                held.extend(found)
+                if len(held) >= ROWS:
+                    yield from made(batch, at, held)
+                    at, held = [], []
+            yield from made(batch, at, held)
 
     # tasks grow in number with the markup, not in size: each step's windows sort a task's rows anew. Pages are dealt out before they
     # are read, too, as reading costs most and a file may be scanned in one task

@@ -64,5 +64,6 @@ def articles(pages: DataFrame) -> DataFrame:
         level = below(level.where("not hit"))
     if found is None:
         return pages.select("page_id", F.lit(None).cast("string").alias("body"), F.lit(None).cast("string").alias("headline"), F.lit(None).cast("boolean").alias("is_free"))
-    first = found.groupBy("page_id").agg(F.min_by(F.struct("body", "headline", "is_free"), "path").alias("a"))
+    # texts in variants look small to the planner, which would send all of them through the driver to every task: a merge join doesn't
+    first = found.groupBy("page_id").agg(F.min_by(F.struct("body", "headline", "is_free"), "path").alias("a")).hint("merge")
     return pages.select("page_id").join(first, "page_id", "left").select("page_id", "a.body", "a.headline", "a.is_free")

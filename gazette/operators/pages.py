@@ -123,7 +123,8 @@ def distilled(pages: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     found = elements.up_to_terminator(found, text.TERMINATORS) if "language" in given else found
     read = elements.rendered(cleaned(found, "language" in given, "hero_url" in given))
     read = read.select("page_id", "html", "said", words(F.col("said")).alias("words"), F.lit("readable").alias("method"))
-    out = rows.withColumnRenamed("html", "page").join(fast.unionByName(read), "page_id", "left").withColumn("words", F.coalesce("words", F.lit(0)))
+    # whole texts: never broadcast, however small the tables that they are made of look to the planner
+    out = rows.withColumnRenamed("html", "page").join(fast.unionByName(read).hint("merge"), "page_id", "left").withColumn("words", F.coalesce("words", F.lit(0)))
     short, more = F.col("words") < distill.LEAST_WORDS, words(F.col("fallback_text")) > F.col("words")
     marks = text.paywalled(F.coalesce("page", F.lit("")), F.col("words"))
     for r in known:

@@ -344,3 +344,15 @@ def test_newest_run_of_a_reader_asks_the_state_once():
     assert told((2, 5000), (1, 1000)) == [(7, 1, 1000, "superseded"), (7, 2, 5000, "saved")]
     assert told((1, 8000)) == [(7, 1, 8000, "superseded")] and s.timers == {3_600_005}
     assert told((3, 7000)) == [(7, 3, 7000, "saved")] and s.timers == {3_600_007} and s.calls == ["get"] * 4
+
+
+def test_texts_are_never_broadcast(spark):
+    """Tables that texts are read from, or made of, may look small to the planner: their texts still don't go through the driver."""
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@type": "NewsArticle", "articleBody": "'), F.repeat(F.lit("some words "), 50), F.lit('"}</script>'))
+    html = F.when(F.col("id") % 2 == 0, ld).otherwise(F.concat(F.lit("<p>"), F.repeat(F.lit("other words "), 60), F.lit("</p>")))
+    rows = spark.range(20).select(F.col("id").alias("page_id"), F.lit("https://a.example/").alias("url"), html.alias("html"))
+    for out in (linked_data.articles(rows), pages.distilled(rows)):
+        joins = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftOuter" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+        assert out.count() == 20
+    assert {(r.method, r.words) for r in pages.distilled(rows).collect()} == {("jsonld", 100), ("readable", 120)}
